@@ -6,9 +6,10 @@ count of leading zeros and a few mantissa bits in one byte. Registers of empty b
 ones. Documents that share a band are candidates; the registers' collision-corrected Jaccard estimate discards
 candidates far below the threshold; the rest are confirmed on full shingle sets.
 
-No bucket is expanded into all pairs: each member is compared with the bucket's least and greatest member, verified
-links are contracted to components, and only buckets of four or more that still span several components compare
-members across components.
+No bucket is expanded into all pairs: each member is compared with the bucket's members of the most and the fewest
+neighbours (the original of a group of edited copies has the most), and verified links are contracted to components.
+For larger buckets that still span several components, an exact prefix join over the members' differences from the
+pivot finds the pairs that are left.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.arrow import WordHashes, as_bytes, mixed, pieces, ragged, words
@@ -202,19 +203,78 @@ def _confirmed(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """Of candidate pairs (a, b) of nodes those whose full sets are similar enough, as edges (u, v)."""
+def _likely_pairs(pairs: DataFrame, reps: DataFrame, threshold: Fraction) -> DataFrame:
+    """Candidate pairs (a, b) of nodes that their registers don't rule out."""
     regs = reps.select("node", "n_shingles", "regs")
     both = pairs.join(regs.toDF("a", "na", "ra"), "a").join(regs.toDF("b", "nb", "rb"), "b")
-    likely = written(both.mapInArrow(_likely(float(threshold)), "a long, b long"), "likely")
-    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "set_key", F.col("rep").alias("doc_id")), "node")
-    texts = nodes.hint("shuffle_merge").join(docs.select(F.col("doc_id").alias("own_id"), "text"), F.col("own_id").eqNullSafe(F.col("doc_id")))
-    sets = texts.select("node", "set_key", "text").mapInArrow(_sets(size), "node long, shingles binary").filter("shingles is not null").dropDuplicates(["node"])
-    sets = written(sets, "sets")
-    full = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return written(both.mapInArrow(_likely(float(threshold)), "a long, b long"), "likely")
+
+
+def _sets_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): full sets, made again from the text of one document of each node."""
+    wanted = nodes.select("node").distinct().join(reps.select("node", "set_key", F.col("rep").alias("doc_id")), "node")
+    texts = wanted.hint("shuffle_merge").join(docs.select(F.col("doc_id").alias("own_id"), "text"), F.col("own_id").eqNullSafe(F.col("doc_id")))
+    sets = texts.select("node", "set_key", "text").mapInArrow(_sets(size), "node long, shingles binary").filter("shingles is not null")
+    return written(sets.dropDuplicates(["node"]), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Of pairs (a, b) those whose full sets are similar enough, as edges (u, v)."""
+    full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return full.mapInArrow(_confirmed(threshold.numerator, threshold.denominator), "a long, b long").toDF("u", "v")
 
 
+def _differences(num: int, den: int):
+    """Rows (p, x, sp, sx) -> (p, x, far, n, m, items): the symmetric difference of x's set and p's, and whether they are too far apart for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far, n, items = [], [], []
+            for x, y in zip(batch.column("sx"), batch.column("sp"), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                apart = np.setxor1d(a, b, assume_unique=True)
+                union = (len(a) + len(b) + len(apart)) // 2
+                far.append(den * (union - len(apart)) < num * union)
+                n.append(len(a))
+                items.append(apart.view(np.int64))
+            sizes = [len(x) for x in items]
+            listed = ragged(np.concatenate(items) if items else np.zeros(0, np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("x"), pa.array(far, pa.bool_()), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), listed], ["p", "x", "far", "n", "m", "items"])
+
+    return run
+
+
+def _rest_pairs(around: DataFrame, sets: DataFrame, roots: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (a, b) of different components, around a common pivot, that may still be similar enough; no such pair is missed.
+
+    ``around``: (p, x), the nodes x that share a bucket with its pivot p. Copies of one original differ from it in few
+    shingles, and differently: so not the sets are compared but their differences X = x ^ p. With t the threshold, x and y are
+    linked only if |X ^ Y| <= (|x| + |y|) (1 - t) / (1 + t). One of the two, say x, is far from p (else both were linked to it),
+    and from these two follow |X & Y| >= t / (1 + t) |Y| and |X & Y| >= |X| - (1 - t) / t |x|. So the two differences share an
+    item among the first few in any common order, the rarest first: a prefix join that meets next to none of the copies
+    which are merely near the same original.
+    """
+    t = float(threshold)
+    rows = around.join(sets.toDF("x", "sx"), "x").join(sets.toDF("p", "sp"), "p")
+    kind = "p long, x long, far boolean, n long, m long, items array<long>"
+    diff = rows.mapInArrow(_differences(threshold.numerator, threshold.denominator), kind)
+    spots = written(diff.select("p", "x", "far", "n", "m", F.explode("items").alias("item")), "spots")
+    often = spots.filter("far").groupBy("p", "item").agg(F.count("*").alias("df"))
+    met = spots.join(often, ["p", "item"])
+    own = met.groupBy("p", "x").agg(F.count("*").alias("met"))
+    # items that no far node has come first in the order and use up places of the prefix
+    place = F.row_number().over(Window.partitionBy("p", "x").orderBy("df", "item")) + F.col("m") - F.col("met")
+    ranked = met.join(own, ["p", "x"]).withColumn("place", place)
+    near_end = F.col("m") - F.ceil(F.col("m") * (t / (1 + t)) - 1e-9) + 1
+    far_end = F.col("m") - F.greatest(F.lit(1), F.col("m") - F.floor(F.col("n") * ((1 - t) / t) + 1e-9)) + 1
+    ranked = ranked.withColumns({"near": F.col("place") <= near_end, "far": F.col("far") & (F.col("place") <= far_end)}).filter("near or far")
+    ranked = ranked.join(roots.toDF("x", "root"), "x", "left").select("p", "item", "x", "n", "near", "far", F.coalesce("root", "x").alias("root"))
+    ranked = written(ranked, "prefixes")
+    left = ranked.filter("far").select("p", "item", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    found = left.join(ranked.filter("near"), ["p", "item"]).filter("ry <> root").filter(F.least("n", "ny") * threshold.denominator >= F.greatest("n", "ny") * threshold.numerator)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -234,24 +294,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float |
 
     bands = reps.select("node", "regs").mapInArrow(_bands, "node long, keys array<long>")
     bands = written(bands.select("node", F.explode("keys").alias("key")), "bands")
-    ends = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members")).filter("members > 1")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = written(bands.join(sizes, "key"), "shared")
+    # a bucket's pivots: its members with the most and the fewest neighbours over all buckets; the original of a group of
+    # edited copies has the most, and the copies are surely linked to it when they may not be to each other
+    degree = written(shared.groupBy("node").agg(F.sum("members").alias("degree")), "degree")
+    place = F.struct("degree", "node")
+    ends = shared.join(degree, "node").groupBy("key").agg(F.max(place)["node"].alias("high"), F.min(place)["node"].alias("low"))
     ends = written(ends, "ends")
-    shared = written(bands.join(ends, "key"), "shared")
+    with_ends = shared.join(ends, "key")
+
+    def ordered(x: str, y: str) -> Column:
+        return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
-    pairs = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").filter("a < b")
+    pairs = with_ends.select(F.explode(F.array(ordered("low", "node"), ordered("high", "node"))).alias("p")).select("p.*").filter("a < b")
     tested = written(pairs.distinct(), "pairs")
-    edges = written(_links(tested, reps, docs, shingle_words, threshold), "links")
+    likely = _likely_pairs(tested, reps, threshold)
+    sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")), reps, docs, shingle_words)
+    edges = written(_links(likely, sets, threshold), "links")
     roots = written(components(edges), "roots")
 
-    # Buckets of up to three members have had all their pairs tested.
+    # Buckets of up to three members have had all their pairs tested. Larger ones that span several components have not.
     members = shared.filter("members > 3").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    members = written(members.join(apart, "key"), "apart")
-    left, right = members.toDF("key", "a", "root_a"), members.toDF("key", "b", "root_b")
-    more = left.join(right, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(more, "pairs")
-    if more.limit(1).count():
-        edges = written(edges.unionByName(_links(more, reps, docs, shingle_words, threshold)), "links")
+    around = members.join(apart, "key").join(ends.select("key", F.col("high").alias("p")), "key").select("p", F.col("node").alias("x")).filter("p <> x").distinct()
+    around = written(around, "around")
+    if around.limit(1).count():
+        sets = _sets_of(around.select(F.explode(F.array("p", "x")).alias("node")), reps, docs, shingle_words)
+        more = _rest_pairs(around, sets, roots, threshold).join(tested, ["a", "b"], "left_anti")
+        edges = written(edges.unionByName(_links(_likely_pairs(more, reps, threshold), sets, threshold)), "links")
         roots = written(components(edges), "roots")
 
     found = reps.select("node", "set_key", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
