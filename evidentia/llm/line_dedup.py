@@ -104,6 +104,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     later = postings.join(first, ["mark", "content"]).filter("place > first").select("doc_id", "row", F.struct("start", "end").alias("span"))
     spans = later.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("span").alias("spans"))
     spans = written(spans, "spans")
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select(*docs.columns, "spans")
+    # the number of documents with repeats grows with the corpus: the same sort-merge join at every size
+    joined = keyed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select(*docs.columns, "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(_without(docs.columns), f"{schema}, removed_lines int")
