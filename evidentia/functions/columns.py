@@ -205,7 +205,7 @@ def unpack_id(c: Column | str, separator: str = "<SENT_LINE>") -> Column:
 
 
 def to_scoring_format(ids: Column | str) -> Column:
-    return F.transform(_col(ids), unpack_id)
+    return F.transform(_col(ids), lambda x: unpack_id(x))
 
 
 # --- evidence

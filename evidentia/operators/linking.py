@@ -222,8 +222,7 @@ def literal_rewrite(claims: DataFrame, rewrites: dict[str, str], column: str = "
 
 def docid_rules(links: DataFrame, claims: DataFrame) -> DataFrame:
     """Per candidate: the bracket overlap score at priority 1.0, then the media bonus. Claims have tokens and lemmas (tokens where null)."""
-    title = C.title_tokens(F.lower("doc_id"))
-    title = F.transform(title, lambda t: F.when(t.rlike("^-[lr][rsc]b-$"), F.upper(t)).otherwise(t))
+    title = F.transform(C.title_tokens("doc_id"), lambda t: F.when(t.rlike("^-[LR][RSC]B-$"), t).otherwise(F.lower(t)))
     rows = links.join(claims.select("claim_id", F.col("tokens").alias("_t"), F.coalesce("lemmas", "tokens").alias("_l")), "claim_id").withColumn("_d", title)
     score = F.when(F.col("priority") == STRIPPED, C.bracket_overlap_score("_d", "_d", "_t", "_l")).otherwise(F.col("priority"))
     return rows.withColumn("priority", F.round(score + C.media_bonus("_d"), 6)).drop("_t", "_l", "_d")
@@ -249,7 +248,7 @@ Rule = Callable[[DataFrame], DataFrame]
 def rule_chain(links: DataFrame, rules: list[Rule]) -> DataFrame:
     """Applies rules in order; a user's rule set is any list of functions of links."""
     for rule in rules:
-        links = links.transform(rule)
+        links = rule(links)
     return links
 
 

@@ -40,8 +40,8 @@ def e2_select_unique(s, d):
 @query(f"""with {X.PAIRS}, more as (select *, row_number() over (partition by claim_id order by score desc, doc_id, line_num) as r from uniq where prob >= 0.2 qualify r <= 2),
   fresh as (select m.*, row_number() over (partition by m.claim_id order by m.r) as k from more m anti join best b on b.claim_id = m.claim_id and b.doc_id = m.doc_id and b.line_num = m.line_num),
   sizes as (select claim_id, count(*) as n from best group by 1),
-  both as (select claim_id, doc_id, line_num, rank from best union all select f.claim_id, f.doc_id, f.line_num, coalesce(n, 0) + k from fresh f left join sizes using (claim_id) where coalesce(n, 0) < 5)
-  select claim_id, doc_id, line_num, rank from both where rank <= 5""")
+  whole as (select claim_id, doc_id, line_num, rank from best union all select f.claim_id, f.doc_id, f.line_num, coalesce(n, 0) + k from fresh f left join sizes using (claim_id) where coalesce(n, 0) < 5)
+  select claim_id, doc_id, line_num, rank from whole where rank <= 5""")
 def e3_append_selected(s, d):
     return _flat(E.append_selected(_selected(s, d), X.pairs(s, d), 0.2, 2, 5))
 
@@ -92,8 +92,8 @@ def e9_doc_score_table(s, d):
     return E.score_table(x, ["claim_id", "doc_id"], tolerance=0.05)[0].select("claim_id", "doc_id", R("prob"))
 
 
-@query(f"""with {X.PAIRS}, some as (select * from uniq where line_num % 2 = 0), docs as (select claim_id, doc_id, max(prob) as prob from some group by all)
-  select b.claim_id, b.doc_id, b.line_num, round(coalesce(x.prob, 0.5), 6) as sent_prob, round(coalesce(y.prob, 0.99), 6) as doc_prob from best b left join some x using (claim_id, doc_id, line_num) left join docs y on y.claim_id = b.claim_id and y.doc_id = b.doc_id""")
+@query(f"""with {X.PAIRS}, few as (select * from uniq where line_num % 2 = 0), docs as (select claim_id, doc_id, max(prob) as prob from few group by all)
+  select b.claim_id, b.doc_id, b.line_num, round(coalesce(x.prob, 0.5), 6) as sent_prob, round(coalesce(y.prob, 0.99), 6) as doc_prob from best b left join few x using (claim_id, doc_id, line_num) left join docs y on y.claim_id = b.claim_id and y.doc_id = b.doc_id""")
 def e10_attach_scores(s, d):
     p = E.first_rows(X.pairs(s, d), "pos").filter("line_num % 2 = 0")
     rows = _flat(_selected(s, d)).drop("rank")
@@ -290,7 +290,7 @@ def _hash_sql(*parts: str, seed: int = 12) -> str:
 
 AUG = f"""{X.PAIRS}, {X.CLAIMS}, groups as (select claim_id, label, grp, dense_rank() over (partition by claim_id order by grp) - 1 as group_id, doc_id, line_num from gold join claims using (claim_id)),
   base as (select claim_id, label, group_id, doc_id, line_num, false as added from groups where label <> 'NOT ENOUGH INFO'),
-  room as (select claim_id, label, group_id, 5 - count(*) as room, floor({_hash_sql('claim_id', 'group_id')} * (5 - count(*) + 1)) as take from base group by all having count(*) < 5),
+  room as (select claim_id, label, group_id, 5 - count(*) as room, floor({_hash_sql('claim_id', 'group_id')} * (5 - count(*) + 1)) as take from base group by claim_id, label, group_id having count(*) < 5),
   cand as (select r.*, b.doc_id, b.line_num from room r join best b using (claim_id) anti join base x on x.claim_id = r.claim_id and x.group_id = r.group_id and x.doc_id = b.doc_id and x.line_num = b.line_num),
   fill as (select claim_id, label, group_id, doc_id, line_num, true as added from (select *, row_number() over (partition by claim_id, group_id order by {_hash_sql('claim_id', 'group_id', 'doc_id', 'line_num', seed=13)}, doc_id, line_num) as r from cand) where r <= take),
   none as (select c.claim_id, label, 0 as group_id, doc_id, line_num, true as added from claims c join best b using (claim_id) where label = 'NOT ENOUGH INFO'
@@ -353,14 +353,14 @@ def n4_training_rows(s, d):
     return N.training_rows(_order_claims(s, d), _best(s, d), _part_sentences(s, d))
 
 
-@query(f"with {TEXTS}, some as (select * from uniq where line_num % 2 = 0) select id, label, count(*) as n, round(sum(coalesce(s.prob, 0.5)), 6) as total from ided i join aug a using (claim_id, group_id, label) left join some s on s.claim_id = a.claim_id and s.doc_id = a.doc_id and s.line_num = a.line_num group by all")
+@query(f"with {TEXTS}, few as (select * from uniq where line_num % 2 = 0) select id, label, count(*) as n, round(sum(coalesce(s.prob, 0.5)), 6) as total from ided i join aug a using (claim_id, group_id, label) left join few s on s.claim_id = a.claim_id and s.doc_id = a.doc_id and s.line_num = a.line_num group by all")
 def n6_training_rows_scored(s, d):
     scores = E.first_rows(X.pairs(s, d), "pos").filter("line_num % 2 = 0")
     got = N.training_rows_scored(_order_claims(s, d), _best(s, d), _part_sentences(s, d), scores)
     return got.select("id", "label", F.size("evid").cast("long").alias("n"), F.round(F.aggregate("evid", F.lit(0.0), lambda a, e: a + e["prob"]), 6).alias("total"))
 
 
-@query(f"with {TEXTS}, some as (select * from uniq where line_num % 2 = 0), dd as (select claim_id, doc_id, max(prob) as prob from some group by all) select id, label, round(sum(coalesce(dd.prob, 0.99)), 6) as total from ided i join aug a using (claim_id, group_id, label) left join dd on dd.claim_id = a.claim_id and dd.doc_id = a.doc_id group by all")
+@query(f"with {TEXTS}, few as (select * from uniq where line_num % 2 = 0), dd as (select claim_id, doc_id, max(prob) as prob from few group by all) select id, label, round(sum(coalesce(dd.prob, 0.99)), 6) as total from ided i join aug a using (claim_id, group_id, label) left join dd on dd.claim_id = a.claim_id and dd.doc_id = a.doc_id group by all")
 def n7_training_rows_doc_scored(s, d):
     scores = E.first_rows(X.pairs(s, d), "pos").filter("line_num % 2 = 0")
     got = N.training_rows_scored(_order_claims(s, d), _best(s, d), _part_sentences(s, d), scores, scores.groupBy("claim_id", "doc_id").agg(F.max("prob").alias("prob")))

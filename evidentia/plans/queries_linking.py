@@ -166,12 +166,12 @@ def _page_links(s, d) -> DataFrame:
 
 @query()
 def d4_expand_from_docs(s, d):
-    p = X.read(s, d, "pages")
-    sentences = p.select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))).alias("line_num", "text"))
+    p = X.read(s, d, "pages").withColumn("doc", F.col("page_id").cast("string"))
+    sentences = p.select(F.col("doc").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))).alias("line_num", "text"))
     claims = p.select(F.col("page_id").alias("claim_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("text"))
-    links = p.select(F.col("page_id").alias("claim_id"), F.lit("").alias("match_key"), F.col("page_id").alias("doc_id"), F.lit(1.0).alias("priority"))
-    graph = _page_links(s, d).withColumn("line_num", F.col("line_num") % 4)
-    return D.expand_from_docs(claims, links, sentences, graph, least=0.5).select("claim_id", F.col("doc_id").cast("string").alias("doc_id"), "priority")
+    links = p.select(F.col("page_id").alias("claim_id"), F.lit("").alias("match_key"), F.col("doc").alias("doc_id"), F.lit(1.0).alias("priority"))
+    graph = _page_links(s, d).withColumns({"line_num": F.col("line_num") % 4, "doc_id": F.col("doc_id").cast("string")})
+    return D.expand_from_docs(claims, links, sentences, graph, least=0.5).select("claim_id", "doc_id", "priority")
 
 
 HOPS = f"""{X.HREFS}, hops as (select page_id % 20 as claim_id, page_id as sent_doc, pos % 3 as sent_line, replace(replace(replace(replace(replace(replace(replace(target, '(', '-LRB-'), ')', '-RRB-'), '[', '-LSB-'), ']', '-RSB-'), '{{', '-LCB-'), '}}', '-RCB-'), ':', '-COLON-') as t, (page_id % 7 + pos % 3)::double as priority from hrefs),

@@ -114,5 +114,5 @@ def keyword_titles(spark, sf_dir) -> DataFrame:
 def title_claims(spark, sf_dir) -> DataFrame:
     """Claims whose tokens hold part names: order lines' part names in a sentence."""
     p = read(spark, sf_dir, "part")
-    claim = F.concat(F.lit("The "), "p_name", F.lit(" beat a "), F.lower("p_type"), F.lit(" and the "), "p_name", F.lit(" album"))
+    claim = F.concat(F.lit("The "), "p_name", F.lit(" "), (F.col("p_partkey") % 50).cast("string"), F.lit(" beat a "), F.lower("p_type"), F.lit(" and the "), "p_name", F.lit(" album"))
     return p.select(F.col("p_partkey").alias("claim_id"), claim.alias("claim"), F.split(claim, " ").alias("tokens"), F.lit(None).cast("array<string>").alias("lemmas"))
