@@ -63,5 +63,35 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_brown_lm, op4_mixing, op5_spotsigs, op6_media, op7_bpe, op8_token_counts, op9_langid, op10_line_dedup)}
 
 
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: All pairs of documents that share a shingle, and reachability over links. For small tables.
+OP1_SQL = f"""with recursive w as (select doc_id, coalesce({_WORDS.format(_LOWER)}, []) as ws from documents),
+  s as (select doc_id, case when len(ws) < 2 then ws else list_distinct([concat(ws[i], ' ', ws[i + 1]) for i in range(1, len(ws))]) end as sh from w),
+  n as (select doc_id, len(sh) as n from s), e as (select doc_id, unnest(sh) as g from s),
+  o as (select a.doc_id as x, b.doc_id as y, count(*) as i from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
+  l as (select x, y from o join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * i >= 80 * (nx.n + ny.n - i)),
+  both_ways as (select x, y from l union all select y, x from l),
+  reach as (select doc_id as a, doc_id as b from documents union select r.a, l.y from reach r join both_ways l on l.x = r.b)
+  select doc_id, any_value(n) as n_shingles, min(b) as component_id, doc_id = min(b) as kept from reach join n on n.doc_id = a group by doc_id"""
+
+#: Each run of lines with 50 words or more that cannot be shortened from one end, and its first occurrence.
+OP10_SQL = f"""with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+  u as (select doc_id, unnest(range(1, len(ls) + 1)) as k, unnest(ls) as line from l),
+  c0 as (select *, len({_WORDS.format('line')}) as n from u),
+  c as (select *, sum(n) over (partition by doc_id order by k) as total from c0),
+  fw as (select a.doc_id, a.k as s, min(b.k) as e from c a join c b on b.doc_id = a.doc_id and b.k >= a.k and b.total - a.total + a.n >= 50 group by all),
+  bw as (select b.doc_id, max(a.k) as s, b.k as e from c a join c b on b.doc_id = a.doc_id and b.k >= a.k and b.total - a.total + a.n >= 50 group by b.doc_id, b.k),
+  win as (select * from fw union select * from bw),
+  wc as (select doc_id, s, e, array_to_string([trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13))) for x in ls[s:e]], chr(10)) as content from win join l using (doc_id)),
+  first as (select content, min((doc_id, s)) as f from wc group by 1),
+  later as (select doc_id, s, e from wc join first using (content) where (doc_id, s) > f),
+  gone as (select distinct u.doc_id, u.k from u join later on later.doc_id = u.doc_id and u.k between s and e),
+  kept as (select u.doc_id, count(g.k) as removed, coalesce(string_agg(line, chr(10) order by u.k) filter (g.k is null), '') as t from u left join gone g on g.doc_id = u.doc_id and g.k = u.k group by 1)
+  select doc_id, coalesce(removed, 0) as removed_lines, length(t) as kept_chars, sha256(t) as kept_sha256 from documents left join kept using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express an operator; the others are tested against brute force, round trips or held-out rows."""
+    return {"op1_near_dedup": OP1_SQL, "op10_line_dedup": OP10_SQL}
