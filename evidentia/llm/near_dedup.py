@@ -6,9 +6,8 @@ count of leading zeros and a few mantissa bits in one byte. Registers of empty b
 ones. Documents that share a band are candidates; the registers' collision-corrected Jaccard estimate discards
 candidates far below the threshold; the rest are confirmed on full shingle sets.
 
-No bucket is expanded into all pairs: each member is compared with the bucket's members of the most and the fewest
-neighbours (the original of a group of edited copies has the most), and verified links are contracted to components.
-For larger buckets that still span several components, an exact prefix join over the members' differences from the
+No bucket is expanded into all pairs: each member is compared with the bucket's pivot, the member with the most
+neighbours (the original of a group of edited copies), and verified links are contracted to components. For buckets that still span several components, an exact prefix join over the members' differences from the
 pivot finds the pairs that are left.
 """
 
@@ -20,7 +19,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.arrow import WordHashes, as_bytes, mixed, pieces, ragged, words
@@ -268,10 +267,13 @@ def _rest_pairs(around: DataFrame, sets: DataFrame, roots: DataFrame, threshold:
     near_end = F.col("m") - F.ceil(F.col("m") * (t / (1 + t)) - 1e-9) + 1
     far_end = F.col("m") - F.greatest(F.lit(1), F.col("m") - F.floor(F.col("n") * ((1 - t) / t) + 1e-9)) + 1
     ranked = ranked.withColumns({"near": F.col("place") <= near_end, "far": F.col("far") & (F.col("place") <= far_end)}).filter("near or far")
-    ranked = ranked.join(roots.toDF("x", "root"), "x", "left").select("p", "item", "x", "n", "near", "far", F.coalesce("root", "x").alias("root"))
+    ranked = ranked.join(roots.toDF("x", "root"), "x", "left").select("p", "item", "x", "n", "m", "place", "near", "far", F.coalesce("root", "x").alias("root"))
     ranked = written(ranked, "prefixes")
-    left = ranked.filter("far").select("p", "item", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    left = ranked.filter("far").select("p", "item", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("place").alias("py"), F.col("root").alias("ry"))
     found = left.join(ranked.filter("near"), ["p", "item"]).filter("ry <> root").filter(F.least("n", "ny") * threshold.denominator >= F.greatest("n", "ny") * threshold.numerator)
+    # after the first item that two differences share, enough must be left of both
+    need = (F.col("m") + F.col("my") - (F.col("n") + F.col("ny")) * ((1 - t) / (1 + t))) / 2
+    found = found.filter(1 + F.least(F.col("m") - F.col("place"), F.col("my") - F.col("py")) >= need - 1e-9)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -296,28 +298,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float |
     bands = written(bands.select("node", F.explode("keys").alias("key")), "bands")
     sizes = bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = written(bands.join(sizes, "key"), "shared")
-    # a bucket's pivots: its members with the most and the fewest neighbours over all buckets; the original of a group of
-    # edited copies has the most, and the copies are surely linked to it when they may not be to each other
+    # a bucket's pivot: its member with the most neighbours over all buckets; that is the original of a group of edited
+    # copies, to which they are linked when they may not be to each other
     degree = written(shared.groupBy("node").agg(F.sum("members").alias("degree")), "degree")
-    place = F.struct("degree", "node")
-    ends = shared.join(degree, "node").groupBy("key").agg(F.max(place)["node"].alias("high"), F.min(place)["node"].alias("low"))
-    ends = written(ends, "ends")
-    with_ends = shared.join(ends, "key")
-
-    def ordered(x: str, y: str) -> Column:
-        return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    pairs = with_ends.select(F.explode(F.array(ordered("low", "node"), ordered("high", "node"))).alias("p")).select("p.*").filter("a < b")
+    pivots = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("p"))
+    pivots = written(pivots, "pivots")
+    pairs = shared.join(pivots, "key").filter("p <> node").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
     tested = written(pairs.distinct(), "pairs")
     likely = _likely_pairs(tested, reps, threshold)
     sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")), reps, docs, shingle_words)
     edges = written(_links(likely, sets, threshold), "links")
     roots = written(components(edges), "roots")
 
-    # Buckets of up to three members have had all their pairs tested. Larger ones that span several components have not.
-    members = shared.filter("members > 3").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # Buckets of two members have had their pair tested. Larger ones that span several components have pairs left.
+    members = shared.filter("members > 2").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    around = members.join(apart, "key").join(ends.select("key", F.col("high").alias("p")), "key").select("p", F.col("node").alias("x")).filter("p <> x").distinct()
+    around = members.join(apart, "key").join(pivots, "key").select("p", F.col("node").alias("x")).filter("p <> x").distinct()
     around = written(around, "around")
     if around.limit(1).count():
         sets = _sets_of(around.select(F.explode(F.array("p", "x")).alias("node")), reps, docs, shingle_words)
