@@ -168,7 +168,8 @@ def test_factorization_machine_learns_a_pair():
     docs, y = [], []
     for _ in range(1500):
         a, b = rng.random(2) < 0.5
-        docs.append(np.array(sorted({1} * a | {2} * b | set((10 + rng.integers(0, 5, 3)).tolist())) if False else sorted(([1] if a else []) + ([2] if b else []) + list(set((10 + rng.integers(0, 5, 3)).tolist()))), np.int64))
+        noise = set((10 + rng.integers(0, 5, 3)).tolist())
+        docs.append(np.array(sorted({1, 2} - ({1} if not a else set()) - ({2} if not b else set()) | noise), np.int64))
         y.append(float(a and b))
     m = toxicity.train(docs, np.array(y), np.ones(len(y)), epochs=30)
     both, one = m.scores([np.array([1, 2, 11])])[0], m.scores([np.array([1, 11]), np.array([2, 11])]).max()
