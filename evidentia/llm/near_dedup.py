@@ -224,7 +224,7 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def _differences(num: int, den: int):
-    """Rows (p, x, sp, sx) -> (p, x, far, n, m, items): the symmetric difference of x's set and p's, and whether they are too far apart for a link."""
+    """Rows (p, x, root, sp, sx) -> (p, x, root, far, n, m, items): the symmetric difference of x's set and p's, and whether they are too far apart for a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +238,7 @@ def _differences(num: int, den: int):
                 items.append(apart.view(np.int64))
             sizes = [len(x) for x in items]
             listed = ragged(np.concatenate(items) if items else np.zeros(0, np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("x"), pa.array(far, pa.bool_()), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), listed], ["p", "x", "far", "n", "m", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("x"), batch.column("root"), pa.array(far, pa.bool_()), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), listed], ["p", "x", "root", "far", "n", "m", "items"])
 
     return run
 
@@ -254,21 +254,20 @@ def _rest_pairs(around: DataFrame, sets: DataFrame, roots: DataFrame, threshold:
     which are merely near the same original.
     """
     t = float(threshold)
-    rows = around.join(sets.toDF("x", "sx"), "x").join(sets.toDF("p", "sp"), "p")
-    kind = "p long, x long, far boolean, n long, m long, items array<long>"
+    rooted = around.join(roots.toDF("x", "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    rows = rooted.join(sets.toDF("x", "sx"), "x").join(sets.toDF("p", "sp"), "p")
+    kind = "p long, x long, root long, far boolean, n long, m long, items array<long>"
     diff = rows.mapInArrow(_differences(threshold.numerator, threshold.denominator), kind)
-    spots = written(diff.select("p", "x", "far", "n", "m", F.explode("items").alias("item")), "spots")
+    spots = written(diff.select("p", "x", "root", "far", "n", "m", F.explode("items").alias("item")), "spots")
     often = spots.filter("far").groupBy("p", "item").agg(F.count("*").alias("df"))
     met = spots.join(often, ["p", "item"])
-    own = met.groupBy("p", "x").agg(F.count("*").alias("met"))
     # items that no far node has come first in the order and use up places of the prefix
-    place = F.row_number().over(Window.partitionBy("p", "x").orderBy("df", "item")) + F.col("m") - F.col("met")
-    ranked = met.join(own, ["p", "x"]).withColumn("place", place)
+    own = Window.partitionBy("p", "x")
+    ranked = met.withColumn("place", F.row_number().over(own.orderBy("df", "item")) + F.col("m") - F.count("*").over(own))
     near_end = F.col("m") - F.ceil(F.col("m") * (t / (1 + t)) - 1e-9) + 1
     far_end = F.col("m") - F.greatest(F.lit(1), F.col("m") - F.floor(F.col("n") * ((1 - t) / t) + 1e-9)) + 1
     ranked = ranked.withColumns({"near": F.col("place") <= near_end, "far": F.col("far") & (F.col("place") <= far_end)}).filter("near or far")
-    ranked = ranked.join(roots.toDF("x", "root"), "x", "left").select("p", "item", "x", "n", "m", "place", "near", "far", F.coalesce("root", "x").alias("root"))
-    ranked = written(ranked, "prefixes")
+    ranked = written(ranked.select("p", "item", "x", "n", "m", "place", "near", "far", "root"), "prefixes")
     left = ranked.filter("far").select("p", "item", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("place").alias("py"), F.col("root").alias("ry"))
     found = left.join(ranked.filter("near"), ["p", "item"]).filter("ry <> root").filter(F.least("n", "ny") * threshold.denominator >= F.greatest("n", "ny") * threshold.numerator)
     # after the first item that two differences share, enough must be left of both
