@@ -1,12 +1,15 @@
 """Language-model scores by Brown class-based bigrams.
 
 Exchange clustering assigns words to classes so that class bigrams predict best; a token's probability is that of its
-class after the class before it, times that of the word in its class, both smoothed. Words beyond the ``CLUSTERED``
-most frequent ones are clustered in groups of like endings, so every word has a class, also one never seen.
+class after the class before it, times that of the word in its class, both smoothed. The ``CLUSTERED`` most frequent
+words and groups of like endings of all others are exchanged until none moves. Then each further training word leaves
+its endings' group for the class that its own predecessors and successors favour most (one exchange step for each word,
+all against the same table). Only words that no training text has get the class of their ending.
 
 All counts cover all training texts: word counts and bigram counts are gathered by partition and summed in Spark.
 The counts of the ``HEAD`` most frequent words (a fixed bound) are broadcast; those of all other words, whose number
-grows with the corpus, are met by a join on the word's hash. Such words are rare by construction, so no key is hot.
+grows with the corpus, are met with their classes by a join on the word's hash. Such words are rare by construction,
+so no key is hot. Class transitions are counted after that join, from the classes of all tokens.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +31,6 @@ HEAD = 1 << 16
 CLUSTERED = 1024
 SHAPES = 256
 CLASSES = 48
-SWEEPS = 6
 #: Item 0 is the end of a text (and what stands before its start), then come the clustered words, then the shapes.
 ITEMS = 1 + CLUSTERED + SHAPES
 WORD_PRIOR = 0.5
@@ -153,7 +156,11 @@ def _bigrams(head):
     return run
 
 
-def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def _xlog(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def exchange(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """A class for each item by the exchange algorithm: items move, in order of frequency, to the class that gives the bigrams the highest likelihood, until none moves.
 
     ``counts`` is the items' bigram matrix (predecessor, item), whose size is fixed. Item 0 keeps class 0 to itself.
@@ -170,10 +177,10 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
     right = counts.T @ one  # item -> class of its predecessor
     table = one.T @ left
 
-    def xlog(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
-    for _ in range(sweeps):
+    # a move must gain more than rounding does, so each one raises the likelihood and the sweeps end
+    least = 1e-9 + 1e-12 * float(_xlog(counts.sum()))
+    moved = 1
+    while moved:
         moved = 0
         for w in order:
             if not out[w] + into[w]:
@@ -187,15 +194,15 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
             table[:, c] -= pred
             table[c, c] -= self_count
             # likelihood gained by adding w to each class k (class 0 is the end's own)
-            rows, cols = table.sum(1), table.sum(0)
-            gain = (xlog(table + succ) - xlog(table)).sum(1) + (xlog(table + pred[:, None]) - xlog(table)).sum(0)
+            rows, cols = table.sum(1) + pred, table.sum(0) + succ
+            gain = (_xlog(table + succ) - _xlog(table)).sum(1) + (_xlog(table + pred[:, None]) - _xlog(table)).sum(0)
             d = np.arange(classes)
             both = table[d, d]
-            gain += xlog(both + succ + pred + self_count) - xlog(both + succ) - xlog(both + pred) + xlog(both)
-            gain -= xlog(rows + out[w]) - xlog(rows) + xlog(cols + into[w]) - xlog(cols)
+            gain += _xlog(both + succ + pred + self_count) - _xlog(both + succ) - _xlog(both + pred) + _xlog(both)
+            gain -= _xlog(rows + out[w]) - _xlog(rows) + _xlog(cols + into[w]) - _xlog(cols)
             gain[0] = -np.inf
             k = int(gain.argmax())
-            if gain[k] <= gain[c] + 1e-9:
+            if gain[k] <= gain[c] + least:
                 k = c
             table[k] += succ
             table[:, k] += pred
@@ -207,11 +214,105 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
                 left[:, k] += counts[:, w]
                 right[:, c] -= counts[w]
                 right[:, k] += counts[w]
-        if not moved:
-            break
     return group
 
 
+#: Keys of a word's neighbours: classes before it, classes after it, itself.
+KEYS = 2 * CLASSES + 1
+
+
+def _contexts(shared):
+    """Of each word that is no item of its own: its hash, its ending's class, and counts of its neighbours' classes (count * 128 + key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, group = shared.value
+        slots, known = _Slots(), np.zeros(0, np.int64)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            owner, key = np.divmod(keys, KEYS)
+            mine, sizes = np.unique(owner, return_counts=True)
+            home = group[1 + CLUSTERED + np.array(slots.shapes, np.int64)[mine]] if len(mine) else mine
+            return pa.RecordBatch.from_arrays([pa.array(_signed(slots.hashes)[mine] if len(mine) else mine), pa.array(home.astype(np.int32)), ragged(counts * 128 + key, sizes)], ["word", "home", "near"])
+
+        for part in pieces(batches):
+            found, sizes = slots.of(as_bytes(part.column("text")))
+            known = h.look_up(slots, known)
+            item, before, _ = _with_ends(h.item_of(slots, known)[found], sizes)
+            word, word_before, _ = _with_ends(found + 1, sizes)
+            at = np.flatnonzero(item > CLUSTERED)
+            base, again, repeated = (word[at] - 1) * KEYS, word_before[at] == word[at], word[np.minimum(at + 1, len(word) - 1)] == word[at]
+            new = np.concatenate([base + np.where(again, 2 * CLASSES, group[before[at]]), (base + CLASSES + group[item[np.minimum(at + 1, len(item) - 1)]])[~repeated]])
+            new, n = np.unique(new, return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            if slots.full:
+                yield out()
+                slots.reset()
+                known = keys = counts = np.zeros(0, np.int64)
+        yield out()
+
+    return run
+
+
+def best_classes(table: np.ndarray, home: np.ndarray, owner: np.ndarray, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The class of most exchange gain for each word, by itself taken out of the class ``home`` that ``table`` counts it in.
+
+    owner (a word's number, rising), key and count: the words' neighbours, each key of a word once.
+    """
+    n, k = len(home), len(table)
+    dense = np.zeros((n, 2 * k + 1))
+    dense[owner, key] = count
+    pred, succ, self_count = dense[:, :k], dense[:, k : 2 * k], dense[:, 2 * k]
+    gain = np.zeros((n, k))
+    at_home = np.arange(k) == home[:, None]
+    for side, other, t, own in ((succ, pred, table, key // k == 1), (pred, succ, table.T, key // k == 0)):
+        w, j, c = owner[own], key[own] % k, count[own][:, None]
+        # entries (class, j) of the table without the word
+        cell = t[:, j].T - at_home[w] * (c + (j == home[w])[:, None] * self_count[w, None]) - (j == home[w])[:, None] * other[w]
+        np.add.at(gain, w, _xlog(cell + c) - _xlog(cell))
+        total, mass = t.sum(1) - at_home * (side.sum(1) + self_count)[:, None], (side.sum(1) + self_count)[:, None]
+        gain -= _xlog(total + mass) - _xlog(total)
+    w = np.flatnonzero(((pred > 0) & (succ > 0)).any(1) | (self_count > 0))
+    both = np.diag(table) - at_home[w] * (succ[w] + pred[w] + self_count[w, None])
+    gain[w] += _xlog(both + succ[w] + pred[w] + self_count[w, None]) - _xlog(both + succ[w]) - _xlog(both + pred[w]) + _xlog(both)
+    gain[:, 0] = -np.inf
+    best, here = gain.argmax(1), np.arange(n)
+    return np.where(gain[here, best] > gain[here, home] + 1e-6, best, home)
+
+
+def _classes(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                flat = part.column("near").flatten().to_numpy()
+                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("near")).to_numpy())
+                pair, place = np.unique(owner * 128 + flat % 128, return_inverse=True)
+                count = np.bincount(place, flat // 128, len(pair))
+                owner, key = np.divmod(pair, 128)
+                home = part.column("home").to_numpy().astype(np.int64)
+                tokens = np.bincount(owner, np.where((key < CLASSES) | (key == 2 * CLASSES), count, 0), part.num_rows)
+                # most words occur once: one computation for all with the same neighbours
+                once = np.flatnonzero((tokens == 1) & (np.bincount(owner, minlength=part.num_rows) == 2))
+                chosen = np.zeros(part.num_rows, np.int64)
+                code = np.zeros(part.num_rows, np.int64)
+                np.add.at(code, owner, np.where(key < CLASSES, key * CLASSES, key - CLASSES))
+                code = code[once] * CLASSES + home[once]
+                _, first, same = np.unique(code, return_index=True, return_inverse=True)
+                rest = np.setdiff1d(np.arange(part.num_rows), once, assume_unique=True)
+                asked = np.sort(np.concatenate([once[first], rest]))
+                number = np.full(part.num_rows, -1)
+                number[asked] = np.arange(len(asked))
+                own = number[owner] >= 0
+                chosen[asked] = best_classes(table, home[asked], number[owner[own]], key[own], count[own])
+                chosen[once] = chosen[once[first]][same]
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(tokens.astype(np.int64)), pa.array(chosen.astype(np.int32))], ["word", "n", "class"])
+
+    return run
+
+
 class Model:
     """What scoring needs: the head, and by item the class, the class's transition and emission denominators (log10)."""
 
@@ -226,41 +327,45 @@ class Model:
         self.base = -math.log10(tokens + 0.5 * (kinds + 1))
 
 
-def _scored(model):
+#: Marks a token's class as that of its ending, because the word isn't in the head.
+TAIL = 128
+
+
+def _sequences(shared):
+    """Each document's token classes, and its distinct words beyond the head with their tokens' places in that list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
+        h, head_class, group = shared.value
         slots, known = _Slots(), np.zeros(0, np.int64)
-        log_counts = np.log10(m.head.counts + WORD_PRIOR)
-        end_count, end_log = m.ends, math.log10(m.ends + WORD_PRIOR)
+        log_counts = np.log10(h.counts + WORD_PRIOR)
         for part in pieces(batches):
             found, sizes = slots.of(as_bytes(part.column("text")))
-            known = m.head.look_up(slots, known)
+            known = h.look_up(slots, known)
+            ending = group[1 + CLUSTERED + np.array(slots.shapes, np.int64)]
+            of_slot = np.where(known >= 0, head_class[known] if len(head_class) else 0, ending + TAIL)
             index = known[found]
             in_head = index >= 0
-            logs = np.where(in_head, log_counts[index] if len(log_counts) else 0.0, 0.0)
-            full, before, starts = _with_ends(m.head.item_of(slots, known)[found], sizes)
-            cls = m.group[full]
-            steps = m.step[m.group[before], cls] + m.emission[cls]
-            n = sizes + 1
-            log_sum = np.zeros(len(sizes))
+            full, _, starts = _with_ends(of_slot[found], sizes)
+            flat = full.astype(np.uint8).tobytes()
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            np.add.at(log_sum, doc, logs)
-            head_tokens = np.bincount(doc, in_head, len(sizes)).astype(np.int64)
+            log_sum = np.zeros(len(sizes))
+            np.add.at(log_sum, doc, np.where(in_head, log_counts[index] if len(log_counts) else 0.0, 0.0))
             rest = np.flatnonzero(~in_head)
-            # distinct rare words of each document, with how often they occur
-            pair, times = np.unique(doc[rest] * len(slots.hashes) + found[rest], return_counts=True) if len(rest) else (np.zeros(0, np.int64),) * 2
-            owner, slot = np.divmod(pair, max(1, len(slots.hashes)))
+            width = max(1, len(slots.hashes))
+            # distinct rare words of each document, and for each rare token its word
+            pair, place = np.unique(doc[rest] * width + found[rest], return_inverse=True)
+            owner, slot = np.divmod(pair, width)
             rare = np.bincount(owner, minlength=len(sizes))
+            first = np.concatenate([[0], np.cumsum(rare)[:-1]]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"), part.column("row"), part.column("held_out"), pa.array(n),
-                    pa.array(head_tokens + (1 if end_count else 0)),
-                    pa.array(n * m.base + log_sum + end_log),
-                    pa.array(np.add.reduceat(steps, starts) + log_sum),
+                    part.column("doc_id"), part.column("row"), part.column("held_out"),
+                    pa.array(np.bincount(doc, in_head, len(sizes)).astype(np.int64)), pa.array(log_sum),
+                    pa.array([flat[i : i + n + 1] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)], pa.binary()),
                     ragged(_signed(slots.hashes)[slot] if len(slot) else np.zeros(0, np.int64), rare),
-                    ragged(times.astype(np.int32), rare),
+                    ragged((place - first[doc[rest]]).astype(np.int32), np.bincount(doc[rest], minlength=len(sizes))),
                 ],
-                ["doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
+                ["doc_id", "row", "held_out", "n_known", "log_sum", "classes", "rare", "places"],
             )
             if slots.full:
                 slots.reset()
@@ -269,6 +374,77 @@ def _scored(model):
     return run
 
 
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Flat values and each list's number of them; a null list is empty."""
+    return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes, logs and numbers of known tokens with the words beyond the head that training texts have (met)."""
+    for part in pieces(batches, "classes"):
+        rare, rares = _lists(part.column("rare"))
+        place, places = _lists(part.column("places"))
+        met, mets = _lists(part.column("met"))
+        rare, place, (word, n, cls) = rare.to_numpy(), place.to_numpy(), (met.field(i).to_numpy() for i in range(3))
+        out, known, logs = [], part.column("n_known").to_numpy().copy(), part.column("log_sum").to_numpy().copy()
+        a = b = c = 0
+        for i, code in enumerate(part.column("classes").to_pylist()):
+            if rares[i]:
+                r, at = rare[a : a + rares[i]], place[b : b + places[i]]
+                w = word[c : c + mets[i]]
+                order = np.argsort(w)
+                n_r, c_r = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
+                if len(w):
+                    k = order[np.minimum(np.searchsorted(w, r, sorter=order), len(w) - 1)]
+                    n_r, c_r = np.where(w[k] == r, n[c + k], 0), cls[c + k]
+                seq = np.frombuffer(code, np.uint8).copy()
+                tail = np.flatnonzero(seq >= TAIL)
+                seq[tail] = np.where(n_r[at] > 0, c_r[at], seq[tail] - TAIL)
+                code = seq.tobytes()
+                known[i] += (n_r[at] > 0).sum()
+                logs[i] += np.log10(n_r[at] + WORD_PRIOR).sum()
+            a, b, c = a + rares[i], b + places[i], c + mets[i]
+            out.append(code)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(known), pa.array(logs), pa.array(out, pa.binary())], ["doc_id", "held_out", "n_known", "log_sum", "classes"])
+
+
+def _class_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' classes and those before them, the documents' starts and sizes."""
+    codes = column.to_pylist()
+    sizes = np.array([len(x) for x in codes], np.int64)
+    cls = np.frombuffer(b"".join(codes), np.uint8).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    before = np.zeros_like(cls)
+    before[1:] = cls[:-1]
+    before[starts] = 0
+    return cls, before, starts, sizes
+
+
+def _moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CLASSES * CLASSES, np.int64)
+    for part in pieces(batches, "classes"):
+        cls, before, _, _ = _class_pairs(part.column("classes"))
+        total += np.bincount(before * CLASSES + cls, minlength=len(total))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["key", "n"])
+
+
+def _scored(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        end_log = math.log10(m.ends + WORD_PRIOR)
+        for part in pieces(batches, "classes"):
+            cls, before, starts, n = _class_pairs(part.column("classes"))
+            logs = part.column("log_sum").to_numpy()
+            score = np.add.reduceat(m.step[before, cls] + m.emission[cls], starts) + logs
+            known = part.column("n_known").to_numpy() + (1 if m.ends else 0)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("held_out"), pa.array(n), pa.array(known), pa.array(np.full(len(n), m.tokens)), pa.array(n * m.base + logs + end_log), pa.array(score)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return run
+
+
 def class_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -293,33 +469,40 @@ def class_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFram
     matrix = matrix.reshape(ITEMS, ITEMS)
     group = exchange(matrix)
 
-    # tokens and distinct words by item: those of shapes without the words that are items of their own
-    by_shape = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
-    tokens, kinds = np.zeros(ITEMS), np.zeros(ITEMS)
-    tokens[1 + CLUSTERED + by_shape["shape"].to_numpy()] = by_shape["n"].to_numpy()
-    kinds[1 + CLUSTERED + by_shape["shape"].to_numpy()] = by_shape["v"].to_numpy()
-    own = min(CLUSTERED, len(top))
-    n_top, shape_top = top["n"].to_numpy()[:own], top["shape"].to_numpy()[:own]
-    tokens[1 : 1 + own], kinds[1 : 1 + own] = n_top, 1
-    np.subtract.at(tokens, 1 + CLUSTERED + shape_top, n_top)
-    np.subtract.at(kinds, 1 + CLUSTERED + shape_top, 1)
-    tokens[0], kinds[0] = ends, 1 if ends else 0
     one = np.zeros((ITEMS, CLASSES))
     one[np.arange(ITEMS), group] = 1
-    total = int(tokens.sum())
-    model = Model(head, group, one.T @ matrix @ one, one.T @ tokens, one.T @ kinds, total, int(kinds.sum()))
+    near = train.mapInArrow(_contexts(spark.sparkContext.broadcast((head, group))), "word long, home int, near array<long>")
+    near = near.groupBy("word").agg(F.first("home").alias("home"), F.flatten(F.collect_list("near")).alias("near"))
+    classes = written(near.mapInArrow(_classes(spark.sparkContext.broadcast(one.T @ matrix @ one)), "word long, n long, class int"), "classes")
+
+    # tokens and distinct words by class
+    own = min(CLUSTERED, len(top))
+    per_class, vocabulary = np.zeros(CLASSES), np.zeros(CLASSES)
+    np.add.at(per_class, group[1 : 1 + own], top["n"].to_numpy()[:own])
+    np.add.at(vocabulary, group[1 : 1 + own], 1)
+    for r in classes.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # CLASSES rows
+        per_class[r["class"]] += r["n"]
+        vocabulary[r["class"]] += r["v"]
+    per_class[0], vocabulary[0] = ends, 1 if ends else 0
+    total = int(per_class.sum())
+    # the head's further words: the same order as top's
+    further = classes.orderBy(F.desc("n"), "word").limit(max(0, HEAD - CLUSTERED)).select("word", "class").toArrow() if HEAD > CLUSTERED else None
+    head_class = group[head.items]
+    if further is not None and len(further):
+        at = np.searchsorted(head.words, further["word"].to_numpy())
+        head_class[at] = further["class"].to_numpy()
+
+    sequences = rows.mapInArrow(_sequences(spark.sparkContext.broadcast((head, head_class, group))), "doc_id long, row long, held_out boolean, n_known long, log_sum double, classes binary, rare array<long>, places array<int>")
+    sequences = written(sequences, "sequences")
+    rare = sequences.dropDuplicates(["doc_id", "row"]).select("doc_id", "row", F.explode("rare").alias("word"))
+    tail = classes if len(top) < HEAD else classes.filter(F.col("n") <= int(top["n"][-1].as_py()))
+    met = rare.join(tail, "word").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("word", "n", "class")).alias("met"))
+    joined = sequences.join(met.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select(*sequences.columns, "met")
+    filled = written(joined.mapInArrow(_filled, "doc_id long, held_out boolean, n_known long, log_sum double, classes binary"), "filled")
+    got = filled.filter("not held_out").select("classes").mapInArrow(_moves, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    moves = np.zeros(CLASSES * CLASSES)
+    moves[got["key"].to_numpy()] = got["n"].to_numpy()
+    model = Model(head, group, moves.reshape(CLASSES, CLASSES), per_class, vocabulary, total, int(vocabulary.sum()))
     model.ends = ends
-    model_shared = spark.sparkContext.broadcast(model)
-
-    scored = rows.mapInArrow(_scored(model_shared), "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>")
-    scored = written(scored, "scored")
-    rare = scored.dropDuplicates(["doc_id", "row"]).select("doc_id", "row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("doc_id", "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    tail = counts.select("word", "n") if len(top) < HEAD else counts.filter(F.col("n") <= int(top["n"][-1].as_py())).select("word", "n")
-    met = rare.join(tail, "word", "left")
-    sums = met.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + WORD_PRIOR)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known")
-    )
-    slim = scored.drop("rare", "times")
-    out = slim.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    model.head = None  # the sequences hold what scoring needs of it
+    return filled.mapInArrow(_scored(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -242,6 +242,68 @@ def test_class_model_is_a_distribution(docs):
     assert likelihood(group) > likelihood(start)
 
 
+def likelihood_of(table):
+    x = lambda a: (a * np.log(np.maximum(a, 1))).sum()
+    return x(table) - x(table.sum(0)) - x(table.sum(1))
+
+
+def test_further_words_get_the_class_of_most_gain():
+    """Against the likelihood of the whole table, with the word put into each class in turn."""
+    rng = np.random.default_rng(4)
+    k = brown_lm.CLASSES
+    tokens = rng.integers(0, 300, 6000)
+    tokens[1::7] = tokens[::7][: len(tokens[1::7])]
+    group = 1 + rng.integers(0, k - 1, 300)
+    pairs = np.zeros((300, 300))
+    np.add.at(pairs, (tokens[:-1], tokens[1:]), 1)
+
+    def table(g):
+        one = np.eye(k)[g]
+        return one.T @ pairs @ one
+
+    for w in range(0, 300, 20):
+        pred, succ = (np.bincount(group, x, k) for x in (pairs[:, w], pairs[w]))
+        pred[group[w]] -= pairs[w, w]
+        succ[group[w]] -= pairs[w, w]
+        near = np.concatenate([pred, succ, [pairs[w, w]]])
+        key = np.flatnonzero(near)
+        got = brown_lm.best_classes(table(group), group[[w]], np.zeros(len(key), int), key, near[key])[0]
+        moved = lambda c: likelihood_of(table(np.where(np.arange(300) == w, c, group)))  # noqa: E731, B023
+        assert math.isclose(moved(got), max(moved(c) for c in range(1, k)), abs_tol=1e-5)
+
+
+def test_exchange_ends_where_no_word_gains():
+    rng = np.random.default_rng(5)
+    counts = rng.poisson(rng.gamma(0.3, 2, (160, 160))).astype(float)
+    group = brown_lm.exchange(counts, 9)
+
+    def likelihood(g):
+        one = np.eye(9)[g]
+        return likelihood_of(one.T @ counts @ one)
+
+    best = likelihood(group)
+    assert all(likelihood(np.where(np.arange(160) == w, c, group)) <= best + 1e-6 for w in range(1, 160) for c in range(1, 9))
+
+
+def test_words_beyond_the_clustered_have_classes_of_their_own(monkeypatch, spark):
+    """Two kinds of rare words with one ending, each among words of its own: among the first kind's, its rare words are likelier."""
+    monkeypatch.setattr(brown_lm, "HEAD", 1030)
+    rng = random.Random(6)
+    kinds = [[f"{kind}{i}" for i in range(520)] for kind in "ab"]
+    texts = [" ".join(f"{'ab'[i % 2]}q{rng.randint(0, 2999)}xyz" if rng.random() < 0.1 else rng.choice(kinds[i % 2]) for _ in range(300)) for i in range(400)]
+    held = [next(i for i in range(10_000 * k, 99_999) if zlib.crc32(str(i).encode()) % 5 == 1) for k in (1, 2)]
+    free = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 != 1][:400]
+    counts = Counter(w for t in texts for w in t.split())
+    around = kinds[0][:200]
+    rows = [(i, t, None, None, None) for i, t in zip(free, texts, strict=True)]
+    for at, kind in zip(held, "ab", strict=True):
+        seen = sorted(w for w in counts if w.startswith(f"{kind}q") and counts[w] == 3)[:200]
+        rows.append((at, " ".join(w for pair in zip(around, seen, strict=True) for w in pair), None, None, None))
+    got = {r.doc_id: r for r in brown_lm.class_scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[held[0]].n_known == got[held[1]].n_known == 401
+    assert got[held[0]].score - got[held[0]].base_score > got[held[1]].score - got[held[1]].base_score + 20
+
+
 def test_class_scores_of_odd_rows(odd, empty):
     rows = [tuple(r)[:2] for r in odd.collect()]
     got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in brown_lm.class_scores(clashing(odd)).collect())
