@@ -10,6 +10,7 @@ from evidentia.operators import tfidf
 from evidentia.plans import pipeline as U
 from evidentia.plans import standins as X
 from evidentia.plans.registry import query
+from evidentia.plans.scratch import written
 
 STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in C.STOP_WORDS)
 
@@ -107,12 +108,21 @@ def t9_prefix_title(s, d):
     return X.lines(s, d).join(sources, "doc_id").select("doc_id", "line_num", F.sha2(T.prefix_title("source"), 256).alias("text"))
 
 
+def _numbered_claims(s, d):
+    """(claim_id, item_id, query): every benchmark passage with text, numbered from 0 without gaps."""
+    rows = X.read(s, d, "benchmark").select(F.col("item_id").cast("long"), F.col("text").alias("query")).filter("length(query) > 0")
+    numbered = rows.orderBy("item_id", "query").rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    return written(s.createDataFrame(numbered, "claim_id long, item_id long, query string"), "claims")
+
+
 @query()
 def u2_score_pairs(s, d):
-    claims = X.read(s, d, "benchmark").select((F.col("item_id") % 7).alias("claim_id"), F.col("text").alias("query")).filter("length(query) > 0").groupBy("claim_id").agg(F.min("query").alias("query"))
-    pairs = T.sentence_candidates(X.read(s, d, "documents").select((F.col("doc_id") % 7).alias("claim_id"), "doc_id"), X.lines(s, d), X.read(s, d, "labels").filter("quality = 1").select((F.col("doc_id") % 7).alias("claim_id"), "doc_id", F.lit(0).alias("line_num")))
-    rows = pairs.join(F.broadcast(claims), "claim_id")  # 7 rows
-    return U.score_pairs(rows, U.train_scorer(rows)).select("claim_id", "doc_id", "line_num", "prob", "score")
+    """Documents are dealt to all passages in turn, by doc_id modulo the number of passages."""
+    claims = _numbered_claims(s, d)
+    claim = (F.col("doc_id") % max(1, claims.count())).alias("claim_id")
+    pairs = T.sentence_candidates(X.read(s, d, "documents").select(claim, "doc_id"), X.lines(s, d), X.read(s, d, "labels").filter("quality = 1").select(claim, "doc_id", F.lit(0).alias("line_num")))
+    rows = pairs.join(claims.hint("merge"), "claim_id")
+    return U.score_pairs(rows, U.train_scorer(rows)).select(F.col("item_id").alias("claim_id"), "doc_id", "line_num", "prob", "score")
 
 
 @query(f"with {X.LINES} select doc_id, line_num from lines where length(text) > 20")

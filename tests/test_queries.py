@@ -54,3 +54,8 @@ def test_query_without_sql_runs(spark, name):
     df = registry.queries()[name](spark, SF)
     assert len(set(df.columns)) == len(df.columns)
     assert df.count() > 0 or name == "c23_number_bucket"
+
+
+def test_score_pairs_takes_every_passage(spark, con):
+    got = {r.claim_id for r in registry.queries()["u2_score_pairs"](spark, SF).select("claim_id").distinct().collect()}
+    assert got == {r[0] for r in con.sql("select item_id from benchmark where length(text) > 0").fetchall()}
