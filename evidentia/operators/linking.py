@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import columns as C
+from evidentia.plans.scratch import written
 
 EXACT, STRIPPED = 5.0, 1.0
 ARTICLES = ("The", "A", "An")
@@ -122,20 +123,24 @@ def first_letter_filter(claims: DataFrame, index: DataFrame, max_rounds: int | N
     return out.groupBy("claim_id", "match_key", "doc_id").agg(F.max("priority").alias("priority"))
 
 
-def _restarting(claims: DataFrame, index: DataFrame, keep: Callable[[DataFrame], DataFrame], max_rounds: int = 50) -> DataFrame:
-    """Links kept by ``keep`` (adds a boolean ``ok``). When a key of more than two tokens keeps none, the claim loses that key's first token and is matched anew, matches so far discarded."""
+def _restarting(claims: DataFrame, index: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links kept by ``keep`` (adds a boolean ``ok``). When a key of more than two tokens keeps none, the claim loses that key's first token and is matched anew, matches so far discarded.
+
+    Each round takes a token from every claim that is left, so the rounds end; those claims are written, which cuts the lineage.
+    """
     longest = longest_keyword(index)
     work, out = claims.select("claim_id", "tokens"), None
-    for _ in range(max_rounds):
+    while True:
         links = keep(link_keywords(work, index, ["claim_id"], longest).filter(~_stop_key()))
         by_key = links.groupBy("claim_id", "match_key", "start", "stop").agg(F.max(F.col("ok").cast("int")).alias("ok"))
         failed = by_key.filter((F.col("ok") == 0) & (F.size(F.split("match_key", " ")) > 2)).groupBy("claim_id").agg(F.min("start").alias("at"))
         done = links.filter("ok").join(failed.select("claim_id"), "claim_id", "left_anti").select("claim_id", "match_key", "start", "stop", "doc_id", "priority")
         out = done if out is None else out.unionByName(done)
-        work = work.join(failed, "claim_id").select("claim_id", F.concat(F.slice("tokens", 1, F.col("at")), F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("tokens"))
-        if longest <= 2 or not work.limit(1).count():
-            break
-    return out
+        if longest <= 2:
+            return out
+        work = written(work.join(failed, "claim_id").select("claim_id", F.concat(F.slice("tokens", 1, F.col("at")), F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("tokens")), "restarted")
+        if not work.limit(1).count():
+            return out
 
 
 def link_keywords_multi(claims: DataFrame, index: DataFrame) -> DataFrame:

@@ -175,6 +175,13 @@ def test_first_letter_rules(spark):
     assert {(r.claim_id, r.doc_id) for r in K.link_no_bracket(c, kw, freq).collect()} == {(0, "Odyssey")}
 
 
+def test_restarts_go_on_until_no_key_fails(spark):
+    """Each failing key costs a restart; the link after them stays."""
+    kw = index(spark, [("red green blue", "Colour", 5.0), ("Odyssey", "Odyssey", 5.0)])
+    c = claims(spark, " ".join(["red green blue"] * 5 + ["Odyssey"]))
+    assert {(r.claim_id, r.doc_id) for r in K.link_keywords_multi(c, kw).collect()} == {(0, "Odyssey")}
+
+
 def test_rule_chain_and_presets(spark):
     kw = index(spark, [("Beatles", "Beatles", 5.0), ("Let It Be", "Let_It_Be_-LRB-album-RRB-", 1.0), ("Let It Be", "Let_It_Be_-LRB-film-RRB-", 1.0)])
     c = claims(spark, "The Beatles made the album Let It Be")
