@@ -13,6 +13,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -38,6 +39,11 @@ class Vocabulary:
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self.valid: dict[int, bool] = {}
+        #: finds all tokens that end at each byte, longest first, in one pass (bytes as the characters 0 to 255)
+        self.automaton = ahocorasick.Automaton()
+        for t, r in ranks.items():
+            self.automaton.add_word(t.decode("latin-1"), (len(t), r))
+        self.automaton.make_automaton()
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"a byte-level vocabulary needs all 256 bytes; {len(missing)} are missing")
@@ -79,17 +85,15 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         """Extends the piece; earlier entries stay as they are."""
         v, last = self.vocabulary, self.last
-        ranked, known, longest = v.ranks.get, v.valid.get, v.longest
-        start, self.data = len(self.data), self.data + more
-        data = self.data
-        for end in range(start + 1, len(data) + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                token = ranked(data[begin:end])
-                if token is not None:
-                    fits = known(last[begin] << 32 | token)
-                    if fits or fits is None and v.fits(last[begin], token):
-                        last.append(token)
-                        break
+        known, end = v.valid.get, len(self.data)
+        self.data += more
+        for at, (n, token) in v.automaton.iter(self.data.decode("latin-1"), max(0, end - v.longest + 1)):
+            if at >= end:  # the first token that ends here and is valid; the single byte comes last
+                left = last[at + 1 - n]
+                fits = known(left << 32 | token)
+                if fits or fits is None and v.fits(left, token):
+                    last.append(token)
+                    end = at + 1
 
     def turn_into(self, data: bytes) -> None:
         """Becomes the table of ``data``, keeping the entries of the prefix that it shares with the piece so far."""
@@ -116,7 +120,7 @@ class PrefixTable:
 
 
 class Encoder(dict):
-    """pre-token -> its ids as little-endian unsigned 32-bit integers.
+    """pre-token -> its ids as little-endian unsigned 32-bit integers (``value``).
 
     Memory is bounded by two generations of ``LIMIT`` entries: a full one becomes the old one, whose entries move over
     when they are met again, so frequent pre-tokens stay.
@@ -136,10 +140,17 @@ class Encoder(dict):
             rank = self.vocabulary.ranks.get(data)
             if rank is None:
                 self.table.turn_into(data)
-            out = array("I", [rank] if rank is not None else self.table.ids()).tobytes()
+            out = self.value([rank] if rank is not None else self.table.ids())
         self[piece] = out
         return out
 
+    @staticmethod
+    def value(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def count(self, piece: str) -> int:
+        return len(self[piece]) // 4
+
     def learn(self, found: list[list[str]]) -> None:
         """Encodes the pre-tokens that are new in sorted order, so that each extends the table of a prefix it shares with the one before."""
         for piece in sorted(set().union(*found).difference(self)):

@@ -23,28 +23,37 @@ LEAF = 32
 AHEAD = 3
 
 
+class TokenCounts(Encoder):
+    """pre-token -> its number of tokens."""
+
+    @staticmethod
+    def value(ids: list[int]) -> int:
+        return len(ids)
+
+    count = Encoder.__getitem__
+
+
 class CountTree:
-    """Pre-tokens of one text with subtree sums of characters, pre-tokens and tokens."""
+    """Pre-tokens of one text with subtree sums of characters, pre-tokens and tokens.
 
-    def __init__(self, text: str, encoder: Encoder, pattern: regex.Pattern) -> None:
+    ``found``: the text's pre-tokens, where they are known already.
+    """
+
+    def __init__(self, text: str, encoder: Encoder, pattern: regex.Pattern, found: list[str] | None = None) -> None:
         self.encoder, self.pattern = encoder, pattern
         self.text = text
-        self.build([len(p) for p in encoder.find(text)], None)
-
-    def count(self, piece: str) -> int:
-        return len(self.encoder[piece]) // 4
+        found = encoder.find(text) if found is None else found
+        self.build(list(map(len, found)), list(map(encoder.count, found)))
 
-    def build(self, lengths: list[int], counts: list[int] | None) -> None:
-        if counts is None:
-            counts, at = [], 0
-            for n in lengths:
-                counts.append(self.count(self.text[at : at + n]))
-                at += n
+    def build(self, lengths: list[int], counts: list[int]) -> None:
         self.leaves = [[lengths[i : i + LEAF], counts[i : i + LEAF]] for i in range(0, len(lengths), LEAF)] or [[[], []]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 3), np.int64)
-        for i, (a, b) in enumerate(self.leaves):
-            self.sums[self.size + i] = sum(a), len(a), sum(b)
+        if lengths:
+            starts, bottom = np.arange(0, len(lengths), LEAF), self.sums[self.size : self.size + len(self.leaves)]
+            bottom[:, 0] = np.add.reduceat(lengths, starts)
+            bottom[:, 1] = np.diff(starts, append=len(lengths))
+            bottom[:, 2] = np.add.reduceat(counts, starts)
         level = self.size
         while level > 1:
             self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
@@ -108,7 +117,7 @@ class CountTree:
             match = self.pattern.match(text, position)
             piece = match.group()
             fresh_lengths.append(len(piece))
-            fresh_counts.append(self.count(piece))
+            fresh_counts.append(self.encoder.count(piece))
             position = match.end()
         else:
             leaf = len(self.leaves) - 1
@@ -136,13 +145,14 @@ class CountTree:
 
 def _counted(ranks, pattern: str, edits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, compiled = Encoder(Vocabulary(ranks.value), pattern), regex.compile(pattern)
+        encoder, compiled = TokenCounts(Vocabulary(ranks.value), pattern), regex.compile(pattern)
         for part in pieces(batches):
             rows = []
-            texts = part.column("text").to_pylist()
-            encoder.learn([encoder.find(t) for t in texts if t])
-            for text in texts:
-                tree = CountTree(text or "", encoder, compiled)
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            found = [encoder.find(t) for t in texts]
+            encoder.learn(found)
+            for text, pre_tokens in zip(texts, found, strict=True):
+                tree = CountTree(text, encoder, compiled, pre_tokens)
                 before = (tree.pre_tokens, tree.tokens)
                 again = sum(tree.edit(*e) for e in edits(len(tree.text)))
                 rows.append((*before, tree.pre_tokens, tree.tokens, len(tree.text), again))
