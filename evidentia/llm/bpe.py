@@ -172,10 +172,26 @@ class Encoder(dict):
             self.clear()
 
 
-def _coded(ranks, pattern: str, with_ids: bool):
+#: kind of encoder -> (what it was made for, the encoder): what a worker process has learned serves its next tasks too.
+_KEPT: dict[type, tuple[tuple[str, str], Encoder]] = {}
+
+
+def kept_encoder(kind: type[Encoder], name: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """This process's encoder for the ranks named ``name`` (see ``rank_name``); results don't depend on what it has learned."""
+    if kind not in _KEPT or _KEPT[kind][0] != (name, pattern):
+        _KEPT[kind] = (name, pattern), kind(Vocabulary(ranks), pattern)
+    return _KEPT[kind][1]
+
+
+def rank_name(ranks: dict[bytes, int]) -> str:
+    """A digest that names the ranks."""
+    return hashlib.sha256(b"".join(b"%d %d %b" % (r, len(t), t) for t, r in sorted(ranks.items()))).hexdigest()
+
+
+def _coded(ranks, name: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(ranks.value)
-        encoder, tokens = Encoder(vocabulary, pattern), vocabulary.tokens
+        encoder = kept_encoder(Encoder, name, ranks.value, pattern)
+        tokens = encoder.vocabulary.tokens
         for part in pieces(batches):
             n, ids_hex, bytes_hex, ids = [], [], [], []
             for coded in encoder.encode_all([t or "" for t in part.column("text").to_pylist()]):
@@ -204,9 +220,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
     null ids give a row each; other columns are ignored; an empty table gives an empty result. The ranks (about 1 MB)
     are read on the driver and broadcast.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    name, ranks = rank_name(ranks), docs.sparkSession.sparkContext.broadcast(ranks)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_coded(ranks, pattern, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_coded(ranks, name, pattern, with_ids), schema)
 
 
 def decode(coded: DataFrame, ranks_path: str) -> DataFrame:

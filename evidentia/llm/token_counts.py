@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.arrow import pieces
-from evidentia.llm.bpe import Encoder, Vocabulary, read_ranks
+from evidentia.llm.bpe import Encoder, kept_encoder, rank_name, read_ranks
 
 LEAF = 32
 #: The pattern's decision on a pre-token looks at most this many characters past its end (the longest contraction).
@@ -26,6 +26,8 @@ AHEAD = 3
 class TokenCounts(Encoder):
     """pre-token -> its number of tokens."""
 
+    LIMIT = 500_000
+
     @staticmethod
     def value(ids: list[int]) -> int:
         return len(ids)
@@ -143,9 +145,9 @@ class CountTree:
                 self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
 
 
-def _counted(ranks, pattern: str, edits):
+def _counted(ranks, name: str, pattern: str, edits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, compiled = TokenCounts(Vocabulary(ranks.value), pattern), regex.compile(pattern)
+        encoder, compiled = kept_encoder(TokenCounts, name, ranks.value, pattern), regex.compile(pattern)
         for part in pieces(batches):
             rows = []
             texts = [t or "" for t in part.column("text").to_pylist()]
@@ -178,6 +180,7 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, edits=standard_
     text counts as empty. Whole texts of any length; repeated rows, ties and null ids give a row each; other columns are
     ignored; an empty table gives an empty result.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    name, ranks = rank_name(ranks), docs.sparkSession.sparkContext.broadcast(ranks)
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in NAMES)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted(ranks, pattern, edits), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted(ranks, name, pattern, edits), schema)
