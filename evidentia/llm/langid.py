@@ -19,6 +19,8 @@ SMOOTHING = 0.5
 #: Languages at most: bounds the broadcast matrix to BUCKETS * MAX_LANGUAGES * 4 bytes.
 MAX_LANGUAGES = 512
 _CHUNK = 300_000
+#: Log probabilities looked up at once at most.
+_CELLS = 4_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,7 +32,7 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(points: np.ndarray, order: int) -> np.ndarray:
-    """The bucket of the n-gram that starts at each code point (the last order-1 of a run wrap to what follows, see callers)."""
+    """The bucket of the n-gram that starts at each code point, but for the last order - 1."""
     n = len(points) - order + 1
     h = np.full(n, order, np.uint64)
     for i in range(order):
@@ -39,20 +41,41 @@ def _grams(points: np.ndarray, order: int) -> np.ndarray:
     return (h * _P >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _batches_of(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts in groups of bounded size; a long text is cut into overlapping parts that hold each of its n-grams once."""
-    index, group, size = [], [], 0
+class _Group:
+    """Texts, or parts of long texts, laid end to end: which text each belongs to, its length, and how many n-grams of it start in the part itself."""
+
+    def __init__(self) -> None:
+        self.index, self.parts, self.lengths, self.own, self.size = [], [], [], [], 0
+
+    def add(self, i: int, part: np.ndarray, own: int) -> None:
+        self.index.append(i)
+        self.parts.append(part)
+        self.lengths.append(len(part))
+        self.own.append(own)
+        self.size += len(part)
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """A bucket for each code point, and the places where no n-gram of this order starts: at the end of a text, or where the next part repeats them."""
+        lengths = np.array(self.lengths)
+        spare = lengths - np.minimum(self.own, np.maximum(lengths - order + 1, 0))
+        ends = np.cumsum(lengths)
+        none = np.concatenate([(ends - k)[spare >= k] for k in range(1, max(ORDERS))])
+        return _grams(np.concatenate([*self.parts, np.zeros(order - 1, np.uint64)]), order), none
+
+
+def _groups(texts: list[str], limit: int) -> Iterator[_Group]:
+    """Texts in groups of bounded size. A text of more than ``limit`` characters is cut into parts that overlap, and each of its n-grams counts in one part."""
+    group = _Group()
     for i, t in enumerate(texts):
-        for at in range(0, len(t) or 1, _CHUNK):
-            part = t[max(0, at - (max(ORDERS) - 1)) : at + _CHUNK] if at else t[:_CHUNK]
-            index.append(i)
-            group.append(part)
-            size += len(part)
-            if size >= _CHUNK:
-                yield index, group
-                index, group, size = [], [], 0
-    if group:
-        yield index, group
+        points, _ = _points([t])
+        for at in range(0, len(points), limit):
+            part = points[at : at + limit + max(ORDERS) - 1]
+            group.add(i, part, limit if at + limit < len(points) else len(part))
+            if group.size >= limit:
+                yield group
+                group = _Group()
+    if group.index:
+        yield group
 
 
 def _counts(langs: list[str]):
@@ -63,10 +86,10 @@ def _counts(langs: list[str]):
         for part in pieces(batches):
             rows = [(place[x], t) for t, x in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True) if t]
             for k in {r[0] for r in rows}:
-                for _, group in _batches_of([t for p, t in rows if p == k]):
-                    points, _ = _points(group)
+                for group in _groups([t for p, t in rows if p == k], _CHUNK):
                     for order in ORDERS:
-                        total[k] += np.bincount(_grams(points, order), minlength=BUCKETS)
+                        grams, none = group.grams(order)
+                        total[k] += np.bincount(grams, minlength=BUCKETS) - np.bincount(grams[none], minlength=BUCKETS)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
 
@@ -106,13 +129,13 @@ def _scored(model, names: list[str]):
         for part in pieces(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
             sums = np.tile(m.priors, (len(texts), 1))
-            for index, group in _batches_of(texts):
-                points, lengths = _points(group)
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            for group in _groups(texts, min(_CHUNK, max(1000, _CELLS // m.logs.shape[1]))):
+                starts = np.concatenate([[0], np.cumsum(group.lengths)[:-1]])
                 for order in ORDERS:
-                    grams = _grams(points, order)
-                    add = np.add.reduceat(m.logs[grams], np.minimum(starts, len(grams) - 1), axis=0)
-                    np.add.at(sums, index, add)
+                    grams, none = group.grams(order)
+                    logs = m.logs[grams]
+                    logs[none] = 0
+                    np.add.at(sums, group.index, np.add.reduceat(logs, starts, axis=0, dtype=np.float64))
             best = sums.argmax(1)
             score = np.exp(sums[np.arange(len(sums)), best] - np.logaddexp.reduce(sums, axis=1))
             letters = [any(map(str.isalpha, t)) for t in texts]
@@ -127,7 +150,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with ``lang_pred`` and ``score`` (the posterior probability) added, replacing columns of these names.
 
     lang_pred is ``und`` with score 0 where the text is null, empty, has no letter, or nothing was learned. Texts are
-    scored whole; ties go to the first language by name. Repeated rows and other columns are kept.
+    scored whole, each by its own n-grams only, so a score depends neither on the texts beside it nor on partitions; ties go to the first language by name. Repeated rows and other columns are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
