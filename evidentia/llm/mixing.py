@@ -3,7 +3,8 @@
 Each document draws an exponential key whose rate is its quality weight; within a source, documents in key order are
 taken until the token budget is reached. Whole epochs come first, the remainder is the prefix of the key order. No
 source is sorted in one task: keys are binned twice (4,096 bins, then 4,096 in the bin where the budget ends), bins
-are pre-aggregated, and only the documents of the last sub-bin are ordered.
+are pre-aggregated, and only the documents of the last sub-bin are ordered. Bins are even in the key's logarithm: a
+rate only shifts that, so the documents spread over as many bins whatever their rates.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from evidentia.plans.scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
+#: Rates are kept between these; the logarithms of all keys then lie within LOGS.
+RATES = (1e-6, 1e6)
+LOGS = (-52.0, 18.0)
 #: Sources (one row each) up to which the plan is broadcast; beyond, an ordinary join is used.
 BROADCAST_SOURCES = 100_000
 
@@ -70,17 +74,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
 
     Keys come from a hash of doc_id, source, text and ``seed``: reruns agree, whatever the partitioning. Null and empty
     texts have size 0 and take nothing. Rows that repeat in all of doc_id, source and text tie; each has its own place in
-    the order. With all sizes 0 all targets are 0. An empty table gives an empty result. Other columns are kept.
+    the order. A null quality counts as the least rate. With all sizes 0 all targets are 0. An empty table gives an empty
+    result. Other columns are kept, whatever their names: a row travels as one struct beside the operator's own columns.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     quality = letter_share() if quality is None else quality
     hashed = F.xxhash64("doc_id", "source", "text", F.lit(seed))
     u = (F.pmod(hashed, F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rate = F.greatest(F.lit(1e-3), quality)
-    key = -F.log(u) / rate  # exponential with the quality as its rate
-    place = F.least(F.floor((1 - F.exp(-key)) * float(BINS * BINS)), F.lit(BINS * BINS - 1))
-    rows = docs.withColumns({"size": word_count(), "_key": key, "_place": place, "_tie": hashed})
-    slim = written(rows.select("source", "size", "_key", "_tie", "_place").withColumns({"b1": F.floor(F.col("_place") / BINS), "b2": F.col("_place") % BINS}), "sizes")
+    rate = F.greatest(F.lit(RATES[0]), F.least(F.lit(RATES[1]), quality))
+    rows = docs.select(F.struct("*").alias("doc"), "source", word_count().alias("size"), (-F.log(u) / rate).alias("key"), hashed.alias("tie"))
+    width = (LOGS[1] - LOGS[0]) / (BINS * BINS)
+    place = F.greatest(F.lit(0), F.least(F.lit(BINS * BINS - 1), F.floor((F.log("key") - LOGS[0]) / width)))
+    rows = rows.withColumn("place", place).withColumns({"b1": F.floor(F.col("place") / BINS), "b2": F.col("place") % BINS})
+    slim = written(rows.drop("doc"), "sizes")
 
     plan = _targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size") + 1e-12))).otherwise(0)
@@ -91,27 +97,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     plan = written(_cut(slim, plan, "b1", "zero"), "cuts")
 
     def at(rows: DataFrame, columns: list[str], plan: DataFrame) -> DataFrame:
-        p = shared(plan.select(F.col("source").alias("_s"), *columns))
-        return rows.join(p, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        p = shared(plan.select(F.col("source").alias("s"), *columns))
+        return rows.join(p, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
     inner = at(slim, ["cut_b1"], plan).filter("b1 = cut_b1")
     plan = written(_cut(inner, plan, "b2", "done_b1"), "cuts")
     last = at(slim, ["cut_b1", "cut_b2", "done_b2", "remainder"], plan).filter("b1 = cut_b1 and b2 = cut_b2")
-    order = Window.partitionBy("source").orderBy("_key", "_tie", "size")
+    order = Window.partitionBy("source").orderBy("key", "tie", "size")
     incl = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     inside = (F.col("done_b2") + incl - F.col("size") / 2) <= F.col("remainder")
     # documents up to here in the sub-bin's order are in; equal rows that straddle the end are told apart below
-    edge = last.withColumn("inside", inside).filter("inside").groupBy("source").agg(F.max(F.struct("_key", "_tie", "size")).alias("edge"))
-    plan = written(plan.join(edge.withColumnRenamed("source", "_e"), F.col("source").eqNullSafe(F.col("_e")), "left").drop("_e"), "cuts")
+    edge = last.withColumn("inside", inside).filter("inside").groupBy("source").agg(F.max(F.struct("key", "tie", "size")).alias("edge"))
+    plan = written(plan.join(edge.withColumnRenamed("source", "e"), F.col("source").eqNullSafe(F.col("e")), "left").drop("e"), "cuts")
 
     full = at(rows, ["source_size", "target", "epochs", "cut_b1", "cut_b2", "edge"], plan)
     cut = F.col("cut_b1") * BINS + F.col("cut_b2")
-    more = (F.col("cut_b1") >= 0) & ((F.col("_place") < F.when(F.col("cut_b2") >= 0, cut).otherwise(F.col("cut_b1") * BINS)) | ((F.col("_place") == cut) & F.coalesce(F.struct("_key", "_tie", "size") <= F.col("edge"), F.lit(False))))
+    more = (F.col("cut_b1") >= 0) & ((F.col("place") < F.when(F.col("cut_b2") >= 0, cut).otherwise(F.col("cut_b1") * BINS)) | ((F.col("place") == cut) & F.coalesce(F.struct("key", "tie", "size") <= F.col("edge"), F.lit(False))))
     full = full.withColumn("copies", (F.col("epochs") + F.when(more, 1).otherwise(0)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return full.select(*docs.columns, "size", "source_size", F.col("target").cast("double").alias("target"), "copies", "taken")
+    return full.select("doc.*", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", "taken")
 
 
 def apply_mix(mixed: DataFrame) -> DataFrame:
     """The mixed corpus: each row as often as ``copies`` says."""
     extra = ("size", "source_size", "target", "copies", "taken")
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("_copy", *extra)
+    kept = [f"`{c}`" for c in mixed.columns if c not in extra]
+    return mixed.filter("copies > 0").select(F.struct(*kept).alias("doc"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")

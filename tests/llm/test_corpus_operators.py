@@ -67,7 +67,15 @@ def empty(spark):
 def clashing(df):
     """Extra columns named like the operators' own."""
     names = ("node", "row", "place", "score", "size", "taken", "copies", "target", "group", "spans", "held_out", "lang_pred", "removed_lines", "_s", "key")
-    return df.withColumns({c: F.lit(1) for c in names})
+    return df.withColumns({c: F.lit(1) for c in (*names, *MORE_NAMES)})
+
+
+#: Names that an operator uses within itself and does not return.
+MORE_NAMES = ("_key", "_place", "_tie", "epochs", "cut_b1", "cut_b2", "edge", "doc", "s", "tie", "b1", "_id", "_row", "at_id", "at_row", "first", "content", "mark", "c0", "c1")
+
+
+def kept_values(df):
+    return Counter((r.doc_id, *(r[c] for c in MORE_NAMES)) for r in df.collect())
 
 
 def brute_components(table, k, threshold=Fraction(4, 5)):
@@ -327,6 +335,16 @@ def brute_targets(table, weights=(5, 2, 1)):
         fixed |= {s: 3.0 * sizes[s] for s in over}
 
 
+def test_operators_that_return_rows_keep_clashing_columns(odd):
+    rows = clashing(odd)
+    want = kept_values(rows)
+    for got in (mixing.mix(rows), line_dedup.dedup_lines(rows, 4), langid.predict(rows, langid.fit(rows))):
+        assert set(got.columns) >= set(rows.columns) and kept_values(got) == want
+    assert {r.row for r in line_dedup.dedup_lines(rows, 4).collect()} == {r.row for r in mixing.mix(rows).collect()} == {1}
+    mixed = mixing.apply_mix(mixing.mix(rows))
+    assert set(kept_values(mixed)) <= set(want)
+
+
 def check_mix(rows, got):
     sizes, targets = brute_targets(rows)
     taken, largest = defaultdict(int), defaultdict(int)
@@ -361,6 +379,14 @@ def test_mixing_of_skewed_and_odd_rows(spark, odd, empty):
     assert len(nothing) == 11 and all(r.taken == 0 and r.target == 0 for r in nothing)
 
 
+def test_mixing_spreads_low_rates_over_bins(spark):
+    """With the least rates the keys still fall into many bins, and the result is that of the order by key."""
+    rows = [(i, "w " * (1 + i % 5), None, f"s{i % 3}", None) for i in range(3000)]
+    for rate in (1e-6, 0.05, 1.0):
+        got = mixing.mix(spark.createDataFrame(rows, SCHEMA), quality=F.lit(rate)).collect()
+        check_mix([r[:4] for r in rows], [(r, r.source) for r in got])
+
+
 def test_mixing_prefers_quality(spark):
     rows = [(i, ("abcd " if i % 2 else "1234 ") * 5, None, f"s{i % 6 // 2}", None) for i in range(3000)]
     got = mixing.mix(spark.createDataFrame(rows, SCHEMA), weights=(1, 4, 1)).filter("source <> 's1'").groupBy((F.col("doc_id") % 2).alias("good")).agg(F.sum("taken").alias("t")).collect()
@@ -534,6 +560,54 @@ def test_language_scores_equal_brute_force(docs):
         assert np.allclose(model.logs[:, k], np.log(counts[x] / counts[x].sum()), atol=1e-4)
 
 
+def test_language_scores_depend_on_the_text_alone(spark, docs, monkeypatch):
+    model = langid.fit(docs)
+    texts = ["hello", "", None, "guten tag", "une phrase", "x" * 5, "one two three " * 40]
+
+    def scores(order, parts):
+        rows = [(i, texts[i], None, None, None) for i in order]
+        got = langid.predict(spark.createDataFrame(rows, SCHEMA).repartition(parts), model).collect()
+        return {r.doc_id: (r.lang_pred, r.score) for r in got}
+
+    alone = {i: scores([i], 1)[i] for i in range(len(texts))}
+    assert scores(range(len(texts)), 1) == alone == scores([6, 3, 0, 5, 1, 2, 4], 3)
+
+
+def test_long_texts_count_each_gram_once(monkeypatch):
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcd ef") for _ in range(1000))
+    points, _ = langid._points([text])
+    for limit in (1, 2, 3, 7, 100, 333, 1001, 1002, 5000):
+        for order in langid.ORDERS:
+            got = np.zeros(langid.BUCKETS, int)
+            for group in langid._groups([text, "", "ab"], limit):
+                grams, none = group.grams(order)
+                got += np.bincount(grams, minlength=langid.BUCKETS) - np.bincount(grams[none], minlength=langid.BUCKETS)
+            want = sum(np.bincount(langid._grams(langid._points([t])[0], order), minlength=langid.BUCKETS) for t in (text, "", "ab") if len(t) + 2 >= order)
+            assert (got == want).all()
+
+
+def test_long_texts_in_parts_score_alike(spark, docs, monkeypatch):
+    model = langid.fit(docs)
+    model.priors = model.priors * 0
+    text = " ".join(r.text for r in docs.filter("lang = 'de'").limit(200).collect())
+    while len(text) <= 3 * langid._CHUNK:
+        text += " " + text
+    sums = np.zeros(len(model.langs))
+    for order in langid.ORDERS:
+        sums += model.logs[langid._grams(langid._points([text])[0], order)].sum(0, dtype=np.float64)
+    got = langid.predict(spark.createDataFrame([(1, text, None, None, None)], SCHEMA), model).first()
+    assert got.lang_pred == model.langs[sums.argmax()] and math.isclose(got.score, 1, abs_tol=1e-9)
+    group_sums = np.zeros(len(model.langs))
+    for group in langid._groups([text], langid._CHUNK):
+        for order in langid.ORDERS:
+            grams, none = group.grams(order)
+            logs = model.logs[grams]
+            logs[none] = 0
+            group_sums += logs.sum(0, dtype=np.float64)
+    assert np.allclose(sums, group_sums, rtol=1e-9)
+
+
 def brute_lines(rows, min_words):
     """Every run of lines with min_words words that occurs earlier is deleted, checked run by run."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0]))
