@@ -2,11 +2,13 @@
 
 The unit is a run of consecutive lines that holds ``min_words`` words or more. Windows over the line hashes are measured
 in words: from each line the shortest run forward, and to each line the shortest run backward, that reaches
-``min_words``. A window's least line hash is its fingerprint, so every repeated run of that length shares one: no
-repeat is missed. Postings are joined by fingerprint and window content to the first place where the run occurs; the
-union of a document's repeated windows is exactly its repeated runs extended as far as they match both ways, because a
-line lies in a repeated run if and only if it lies in a repeated forward or backward window. Later runs are deleted;
-the first stays. No pairs of occurrences are made: each one meets the first occurrence only.
+``min_words``. Each window selects its least line hash (the last of equal ones); a line that is selected, by however many
+windows, is one fingerprint. Equal windows select the same line, so every repeated run of that length shares a
+fingerprint: no repeat is missed. Fingerprints that occur once in the corpus end there. Positions of the others are
+joined by fingerprint, and each is extended both ways: of the windows that selected it, those whose lines agree with
+an earlier occurrence's are repeated. The union of a document's repeated windows is exactly its repeated runs, because a
+line lies in a repeated run if and only if it lies in a repeated forward or backward window. Later runs are deleted; the
+first stays. No pairs of occurrences are made: each one meets the first occurrence only.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from evidentia.llm.arrow import as_bytes, pieces, row_hash
+from evidentia.llm.arrow import as_bytes, pieces, ragged, row_hash
 from evidentia.plans.scratch import written
 
 MIN_WORDS = 50
@@ -40,35 +43,44 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line.strip())
 
 
-def _postings(min_words: int):
+def _fingerprints(min_words: int):
+    """A row for each selected line: its hash, and the windows that selected it with the hash of their lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            row, start, end, mark, content = [], [], [], [], []
+            row, mark, sizes, start, end, content = [], [], [], [], [], []
             for i, text in enumerate(as_bytes(part.column("text"))):
                 lines = text.split(b"\n") if text else []
                 spans = windows(np.array([len(x.split()) for x in lines], np.int64), min_words) if lines else ()
                 if not len(spans):
                     continue
                 hashes = np.fromiter(map(line_hash, lines), np.uint64, len(lines))
+                selected: dict[int, list[tuple[int, int]]] = {}
                 for s, e in spans.tolist():
-                    inside = hashes[s:e]
+                    selected.setdefault(e - 1 - int(hashes[s:e][::-1].argmin()), []).append((s, e))
+                for at, around in selected.items():
                     row.append(i)
-                    start.append(s)
-                    end.append(e)
-                    mark.append(inside.min())
-                    content.append(xxhash.xxh3_64_intdigest(inside.tobytes()))
+                    mark.append(hashes[at])
+                    sizes.append(len(around))
+                    for s, e in around:
+                        start.append(s)
+                        end.append(e)
+                        content.append(xxhash.xxh3_64_intdigest(hashes[s:e].tobytes()))
             at = pa.array(row, pa.int64())
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (mark, content)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("row").take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), *longs], ["doc_id", "row", "start", "end", "mark", "content"])
+            lists = [ragged(np.array(start, np.int32), sizes), ragged(np.array(end, np.int32), sizes), ragged(np.array(content, np.uint64).view(np.int64), sizes)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("row").take(at), pa.array(np.array(mark, np.uint64).view(np.int64)), *lists], ["doc_id", "row", "mark", "starts", "ends", "contents"])
 
     return run
 
 
 def _without(names: list[str]):
+    """The columns ``names``, as c0, c1 and so on, without the lines of ``spans`` in the text; then removed_lines."""
+    at = f"c{names.index('text')}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in pieces(batches, at):
             texts, removed = [], []
-            for text, spans in zip(as_bytes(part.column("text")), part.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(as_bytes(part.column(at)), part.column("spans").to_pylist(), strict=True):
                 if not spans:
                     texts.append(text)
                     removed.append(0)
@@ -80,7 +92,7 @@ def _without(names: list[str]):
                 texts.append(b"\n".join(x for x, k in zip(lines, keep, strict=True) if k))
                 removed.append(int((~keep).sum()))
             new = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([new if c == "text" else part.column(c) for c in names] + [pa.array(removed, pa.int32())], [*names, "removed_lines"])
+            yield pa.RecordBatch.from_arrays([new if c == "text" else part.column(f"c{i}") for i, c in enumerate(names)] + [pa.array(removed, pa.int32())], [*names, "removed_lines"])
 
     return run
 
@@ -92,19 +104,26 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     deleted; the order is doc_id (null last), then a hash of the text, then the line. Lines are compared without white
     space at their ends; the first occurrence, shorter repeats and everything else stay unchanged. A text deleted whole
     becomes the empty text; null stays null. Rows that repeat both doc_id and text count as one document and get the same
-    result. Texts of any length are read whole. An empty table gives an empty result.
+    result. Texts of any length are read whole. An empty table gives an empty result. Other columns are kept, whatever
+    their names.
     """
-    docs = docs.drop("removed_lines", "row", "spans")
-    keyed = docs.withColumn("row", row_hash("text"))
-    postings = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text").mapInArrow(_postings(min_words), "doc_id long, row long, start int, end int, mark long, content long")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    postings = written(postings, "postings").withColumn("place", place)
-    first = postings.groupBy("mark", "content").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    docs = docs.drop("removed_lines")
+    text = docs.columns.index("text")
+    # the user's columns go by number, so their names clash with nothing
+    keyed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    keyed = keyed.withColumns({"doc_id": F.col(f"c{docs.columns.index('doc_id')}").cast("long"), "row": row_hash(f"c{text}")})
+    rows = keyed.select("doc_id", "row", F.col(f"c{text}").alias("text"))
+    marks = written(rows.mapInArrow(_fingerprints(min_words), "doc_id long, row long, mark long, starts array<int>, ends array<int>, contents array<long>"), "fingerprints")
+    often = written(marks.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "often")
+    around = marks.join(often.hint("merge"), "mark").select("doc_id", "row", "mark", F.explode(F.arrays_zip("starts", "ends", "contents")).alias("w"))
+    around = around.select("mark", "w.contents", "doc_id", "row", F.col("w.starts").alias("start"), F.col("w.ends").alias("end"))
+    around = written(around.withColumnRenamed("contents", "content"), "windows")
+    around = around.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start"))
+    first = around.groupBy("mark", "content").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     first = written(first, "first")
-    later = postings.join(first, ["mark", "content"]).filter("place > first").select("doc_id", "row", F.struct("start", "end").alias("span"))
-    spans = later.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("span").alias("spans"))
+    later = around.join(first, ["mark", "content"]).filter("place > first").select("doc_id", "row", F.struct("start", "end").alias("span"))
+    spans = later.groupBy(F.col("doc_id").alias("at_id"), F.col("row").alias("at_row")).agg(F.collect_set("span").alias("spans"))
     spans = written(spans, "spans")
     # the number of documents with repeats grows with the corpus: the same sort-merge join at every size
-    joined = keyed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select(*docs.columns, "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_without(docs.columns), f"{schema}, removed_lines int")
+    joined = keyed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("row") == F.col("at_row")), "left").drop("doc_id", "row", "at_id", "at_row")
+    return joined.mapInArrow(_without(docs.columns), StructType([*docs.schema.fields, StructField("removed_lines", IntegerType())]))
