@@ -35,6 +35,34 @@ def letter_share(col: str = "text") -> Column:
     return F.greatest(F.lit(0.05), F.least(F.lit(1.0), letters / F.greatest(solid, F.lit(1))))
 
 
+#: The features that a learned quality weight looks at: tenths of letter_share, and characters a word up to SPANS.
+SHARES, SPANS = 10, 12
+#: Weight of the overall share of good documents in each cell of features, in documents.
+PRIOR = 5.0
+
+
+def _cell(text: str = "text", size: str = "size") -> Column:
+    """The number of a document's cell of features, below SHARES * SPANS."""
+    share = F.least(F.lit(SHARES - 1), F.floor(letter_share(text) * SHARES))
+    span = F.least(F.lit(SPANS - 1), F.floor(F.coalesce(F.length(text), F.lit(0)) / F.greatest(F.col(size), F.lit(1))))
+    return (share * SPANS + span).cast("int")
+
+
+def _learned(rows: DataFrame, labels: DataFrame) -> Column:
+    """The share of labelled documents with ``quality`` 1 in each row's ``cell``, smoothed towards the share in all; from 0.05 to 1.
+
+    Learned from all labels with an id and a quality of 0 or 1. SHARES * SPANS sums at most come to the driver. Without labels all
+    documents weigh the same.
+    """
+    marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum("quality").alias("good"), F.count("*").alias("n"))
+    known = rows.groupBy("doc_id", "cell").agg(F.count("*").alias("times")).join(marks.hint("merge"), "doc_id")
+    sums = known.groupBy("cell").agg(F.sum(F.col("good") * F.col("times")).alias("good"), F.sum(F.col("n") * F.col("times")).alias("n")).collect()
+    n = sum(r["n"] for r in sums)
+    overall = sum(r["good"] for r in sums) / n if n else 1.0
+    by_cell = {r["cell"]: (r["good"] + PRIOR * overall) / (r["n"] + PRIOR) for r in sums}
+    return F.lit([max(0.05, by_cell.get(c, overall)) for c in range(SHARES * SPANS)])[F.col("cell")]
+
+
 def _targets(totals: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
     """Sources with their target: a share of all sizes by weight, at most max_epochs times the size, the excess reshared by weight.
 
@@ -64,7 +92,7 @@ def _cut(rows: DataFrame, plan: DataFrame, level: str, start: str) -> DataFrame:
     return out.withColumn(f"cut_{level}", F.coalesce(F.col(f"end.{level}"), F.lit(-1))).withColumn(f"done_{level}", F.coalesce("end.before", F.col(start))).drop("end")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7, quality: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7, quality: Column | None = None, labels: DataFrame | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target, copies and taken added (replacing columns of these names).
 
     Size is the number of words of the text. Sources in code-point order (null last) take the weights in turn, repeating;
@@ -72,21 +100,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     the mix takes a document: the whole epochs, and one more for the documents whose midpoint in the source's key order
     lies within the remainder, so a source misses its target by half a document at most. ``taken`` is copies * size.
 
+    The quality weight is the column ``quality``; else, with ``labels`` (doc_id, quality 0 or 1), the learned chance that a
+    document like this one is good; else ``letter_share``. ``keep`` names the columns of ``docs`` to return (default all): the
+    texts are read once, and what is kept of them is written with their sizes and keys.
+
     Keys come from a hash of doc_id, source, text and ``seed``: reruns agree, whatever the partitioning. Null and empty
     texts have size 0 and take nothing. Rows that repeat in all of doc_id, source and text tie; each has its own place in
     the order. A null quality counts as the least rate. With all sizes 0 all targets are 0. An empty table gives an empty
     result. Other columns are kept, whatever their names: a row travels as one struct beside the operator's own columns.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    quality = letter_share() if quality is None else quality
     hashed = F.xxhash64("doc_id", "source", "text", F.lit(seed))
-    u = (F.pmod(hashed, F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rate = F.greatest(F.lit(RATES[0]), F.least(F.lit(RATES[1]), quality))
-    rows = docs.select(F.struct("*").alias("doc"), "source", word_count().alias("size"), (-F.log(u) / rate).alias("key"), hashed.alias("tie"))
+    kept = [f"`{c}`" for c in (docs.columns if keep is None else keep)]
+    rows = docs.select(F.struct(*kept).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), hashed.alias("tie"), *([] if labels is not None else [(letter_share() if quality is None else quality).alias("quality")]), "text")
+    if labels is not None:
+        rows = rows.withColumn("cell", _cell())
+    rows = written(rows.drop("text"), "sizes")
+    weight = F.col("quality") if labels is None else _learned(rows, labels)
+    u = (F.pmod("tie", F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    rate = F.greatest(F.lit(RATES[0]), F.least(F.lit(RATES[1]), weight))
+    rows = rows.select("doc", "source", "size", "tie", (-F.log(u) / rate).alias("key"))
     width = (LOGS[1] - LOGS[0]) / (BINS * BINS)
     place = F.greatest(F.lit(0), F.least(F.lit(BINS * BINS - 1), F.floor((F.log("key") - LOGS[0]) / width)))
     rows = rows.withColumn("place", place).withColumns({"b1": F.floor(F.col("place") / BINS), "b2": F.col("place") % BINS})
-    slim = written(rows.drop("doc"), "sizes")
+    slim = rows.drop("doc")
 
     plan = _targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size") + 1e-12))).otherwise(0)

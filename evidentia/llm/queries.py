@@ -31,7 +31,7 @@ def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(_read(spark, sf_dir, "documents"), labels=_read(spark, sf_dir, "labels"), keep=("doc_id",))
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -387,6 +387,22 @@ def test_mixing_spreads_low_rates_over_bins(spark):
         check_mix([r[:4] for r in rows], [(r, r.source) for r in got])
 
 
+def test_mixing_learns_quality_from_labels(spark):
+    """Digits are bad here: unlabelled documents of digits are taken less often; the rest of the contract holds."""
+    rows = [(i, ("abcd " if i % 2 else "1234 ") * 5, None, f"s{i % 6 // 2}", None) for i in range(3000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400)] + [(None, 0), (3, None)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df, weights=(1, 4, 1), labels=labels).collect()
+    assert set(mixing.mix(df, labels=labels, keep=("doc_id",)).columns) == {"doc_id", "size", "source_size", "target", "copies", "taken"}
+    by = Counter()
+    for r in got:
+        if r.source != "s1":
+            by[r.doc_id % 2] += r.taken
+    assert by[1] > 1.5 * by[0] > 0
+    check_mix([r[:4] for r in rows], [(r, r.source) for r in mixing.mix(df, labels=labels).collect()])
+    check_mix([r[:4] for r in rows], [(r, r.source) for r in mixing.mix(df, labels=labels.limit(0)).collect()])
+
+
 def test_mixing_prefers_quality(spark):
     rows = [(i, ("abcd " if i % 2 else "1234 ") * 5, None, f"s{i % 6 // 2}", None) for i in range(3000)]
     got = mixing.mix(spark.createDataFrame(rows, SCHEMA), weights=(1, 4, 1)).filter("source <> 's1'").groupBy((F.col("doc_id") % 2).alias("good")).agg(F.sum("taken").alias("t")).collect()
