@@ -6,7 +6,8 @@ words and groups of like endings of all others are exchanged until none moves. T
 its endings' group for the class that its own predecessors and successors favour most (one exchange step for each word,
 all against the same table). Only words that no training text has get the class of their ending.
 
-All counts cover all training texts: word counts and bigram counts are gathered by partition and summed in Spark.
+Texts are split into words twice: to count the words, and to write each text as a sequence of numbers (``_sequences``) from
+which bigrams, neighbours and scores are counted. All counts cover all training texts and are summed in Spark.
 The counts of the ``HEAD`` most frequent words (a fixed bound) are broadcast; those of all other words, whose number
 grows with the corpus, are met with their classes by a join on the word's hash. Such words are rare by construction,
 so no key is hot. Class transitions are counted after that join, from the classes of all tokens.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.arrow import as_bytes, fold, pieces, ragged, row_hash
 from evidentia.plans.scratch import written
 
-HEAD = 1 << 16
+HEAD = (1 << 16) - 1  # with one number more for all other words, a word's number has 16 bits
 CLUSTERED = 1024
 SHAPES = 256
 CLASSES = 48
@@ -103,12 +104,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Head:
     """The most frequent words: sorted hashes with counts; the first CLUSTERED by count are items of their own."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
-        """words and counts come by falling count."""
+    def __init__(self, words: np.ndarray, counts: np.ndarray, shapes: np.ndarray | None = None) -> None:
+        """words, counts and shapes come by falling count. ``items``: a word's own item, 0 if it has none; ``places``: that, or its shape's."""
         items = np.zeros(len(words), np.int32)
         items[:CLUSTERED] = np.arange(1, min(CLUSTERED, len(words)) + 1)
         order = np.argsort(words)
         self.words, self.counts, self.items = words[order], counts[order], items[order]
+        if shapes is not None:
+            self.places = np.where(self.items > 0, self.items, 1 + CLUSTERED + shapes[order])
 
     def look_up(self, slots: _Slots, known: np.ndarray) -> np.ndarray:
         """For each slot the head's index or -1, extending what is known."""
@@ -138,18 +141,91 @@ def _with_ends(items: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return full, before, starts
 
 
-def _bigrams(head):
+#: The number of all words beyond the head.
+OTHER = (1 << 16) - 1
+
+
+def _sequences(head):
+    """Each document as its words' numbers in the head, 16 bits each (OTHER beyond it), with its distinct other words (hash, shape) and those tokens' places in that list."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, known, total = _Slots(), np.zeros(0, np.int64), np.zeros(ITEMS * ITEMS, np.int64)
         h: Head = head.value
+        slots, known = _Slots(), np.zeros(0, np.int64)
+        log_counts = np.log10(h.counts + WORD_PRIOR)
         for part in pieces(batches):
             found, sizes = slots.of(as_bytes(part.column("text")))
             known = h.look_up(slots, known)
-            full, before, _ = _with_ends(h.item_of(slots, known)[found], sizes)
-            total += np.bincount(before * ITEMS + full, minlength=ITEMS * ITEMS)
+            index = known[found]
+            in_head = index >= 0
+            codes = np.where(in_head, index, OTHER).astype("<u2").tobytes()
+            ends = np.cumsum(sizes)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            log_sum = np.bincount(doc, np.where(in_head, log_counts[index] if len(log_counts) else 0.0, 0.0), len(sizes))
+            rest = np.flatnonzero(~in_head)
+            width = max(1, len(slots.hashes))
+            # distinct other words of each document, and for each such token its word
+            pair, place = np.unique(doc[rest] * width + found[rest], return_inverse=True)
+            owner, slot = np.divmod(pair, width)
+            rare = np.bincount(owner, minlength=len(sizes))
+            first = np.concatenate([[0], np.cumsum(rare)[:-1]]).astype(np.int64)
+            shapes, stops = np.array(slots.shapes, np.uint8)[slot].tobytes() if len(slot) else b"", np.cumsum(rare)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"), part.column("row"), part.column("held_out"),
+                    pa.array(np.bincount(doc, in_head, len(sizes)).astype(np.int64)), pa.array(log_sum),
+                    pa.array([codes[2 * (e - n) : 2 * e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary()),
+                    ragged(_signed(slots.hashes)[slot] if len(slot) else np.zeros(0, np.int64), rare),
+                    pa.array([shapes[e - n : e] for e, n in zip(stops.tolist(), rare.tolist(), strict=True)], pa.binary()),
+                    ragged((place - first[doc[rest]]).astype(np.int32), np.bincount(doc[rest], minlength=len(sizes))),
+                ],
+                ["doc_id", "row", "held_out", "n_known", "log_sum", "codes", "rare", "shapes", "places"],
+            )
             if slots.full:
                 slots.reset()
                 known = np.zeros(0, np.int64)
+
+    return run
+
+
+SEQUENCES = "doc_id long, row long, held_out boolean, n_known long, log_sum double, codes binary, rare array<long>, shapes binary, places array<int>"
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and each list's number of them."""
+    return column.flatten().to_numpy(), pc.list_value_length(column).to_numpy().astype(np.int64)
+
+
+class _Tokens:
+    """The documents of a batch of sequences laid end to end."""
+
+    def __init__(self, part: pa.RecordBatch) -> None:
+        codes = part.column("codes").to_pylist()
+        self.sizes = np.array([len(x) // 2 for x in codes], np.int64)
+        self.codes = np.frombuffer(b"".join(codes), "<u2").astype(np.int64)
+        self.rare, rares = _lists(part.column("rare"))
+        places, each = _lists(part.column("places"))
+        self.other = np.flatnonzero(self.codes == OTHER)
+        #: for each token beyond the head, its word's place in ``rare``
+        self.of_other = places + np.repeat(np.concatenate([[0], np.cumsum(rares)[:-1]]).astype(np.int64), each)
+        self.shapes = np.frombuffer(b"".join(part.column("shapes").to_pylist()), np.uint8).astype(np.int64)
+
+    def values(self, of_head: np.ndarray, of_rare: np.ndarray) -> np.ndarray:
+        """A value for each token: by its number in the head, or by its place among the other words."""
+        out = of_head[np.minimum(self.codes, len(of_head) - 1)] if len(of_head) else np.zeros(len(self.codes), of_rare.dtype)
+        out[self.other] = of_rare[self.of_other]
+        return out
+
+    def items(self, head: Head) -> np.ndarray:
+        return self.values(head.places, 1 + CLUSTERED + self.shapes)
+
+
+def _bigrams(head):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ITEMS * ITEMS, np.int64)
+        for part in pieces(batches, "codes"):
+            tokens = _Tokens(part)
+            full, before, _ = _with_ends(tokens.items(head.value), tokens.sizes)
+            total += np.bincount(before * ITEMS + full, minlength=ITEMS * ITEMS)
         keys = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(total[keys])], ["key", "n"])
 
@@ -219,38 +295,55 @@ def exchange(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
 
 #: Keys of a word's neighbours: classes before it, classes after it, itself.
 KEYS = 2 * CLASSES + 1
+#: Neighbours are packed as count * 128 + key in 32 bits; a count beyond this takes several.
+MOST = (1 << 24) - 1
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
+    """The packed neighbours of each of n words; ``owner`` (the word's number) rises."""
+    times = -(-counts // MOST)
+    last = np.cumsum(times) - 1
+    out = np.repeat(np.full(len(keys), MOST), times)
+    out[last] = counts - (times - 1) * MOST
+    flat = (out * 128 + np.repeat(keys, times)).astype("<u4").tobytes()
+    sizes = 4 * np.bincount(owner, times, n).astype(np.int64)
+    return [flat[end - size : end] for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
 
 
 def _contexts(shared):
-    """Of each word that is no item of its own: its hash, its ending's class, and counts of its neighbours' classes (count * 128 + key)."""
+    """Of each word that is no item of its own: its hash, its ending's class, and its neighbours' classes.
+
+    The head's words are counted over the whole partition, all others by piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, group = shared.value
-        slots, known = _Slots(), np.zeros(0, np.int64)
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            owner, key = np.divmod(keys, KEYS)
-            mine, sizes = np.unique(owner, return_counts=True)
-            home = group[1 + CLUSTERED + np.array(slots.shapes, np.int64)[mine]] if len(mine) else mine
-            return pa.RecordBatch.from_arrays([pa.array(_signed(slots.hashes)[mine] if len(mine) else mine), pa.array(home.astype(np.int32)), ragged(counts * 128 + key, sizes)], ["word", "home", "near"])
-
-        for part in pieces(batches):
-            found, sizes = slots.of(as_bytes(part.column("text")))
-            known = h.look_up(slots, known)
-            item, before, _ = _with_ends(h.item_of(slots, known)[found], sizes)
-            word, word_before, _ = _with_ends(found + 1, sizes)
+        size = len(h.words)
+        total = np.zeros(size * KEYS, np.int64)
+
+        def out(words: np.ndarray, home: np.ndarray, owner: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(home.astype(np.int8)), pa.array(_packed(key, n, owner, len(words)), pa.binary())], ["word", "home", "near"])
+
+        for part in pieces(batches, "codes"):
+            tokens = _Tokens(part)
+            item, before, _ = _with_ends(tokens.items(h), tokens.sizes)
+            # words by number: the head's first, then the piece's other words by hash
+            rare, number = np.unique(tokens.rare, return_inverse=True)
+            word, word_before, _ = _with_ends(tokens.values(np.arange(size), size + number) + 1, tokens.sizes)
             at = np.flatnonzero(item > CLUSTERED)
-            base, again, repeated = (word[at] - 1) * KEYS, word_before[at] == word[at], word[np.minimum(at + 1, len(word) - 1)] == word[at]
-            new = np.concatenate([base + np.where(again, 2 * CLASSES, group[before[at]]), (base + CLASSES + group[item[np.minimum(at + 1, len(item) - 1)]])[~repeated]])
-            new, n = np.unique(new, return_counts=True)
-            keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if slots.full:
-                yield out()
-                slots.reset()
-                known = keys = counts = np.zeros(0, np.int64)
-        yield out()
+            base, following = (word[at] - 1) * KEYS, np.minimum(at + 1, len(word) - 1)
+            again, repeated = word_before[at] == word[at], word[following] == word[at]
+            new = np.concatenate([base + np.where(again, 2 * CLASSES, group[before[at]]), (base + CLASSES + group[item[following]])[~repeated]])
+            inside = new < size * KEYS
+            total += np.bincount(new[inside], minlength=size * KEYS)
+            keys, n = np.unique(new[~inside] - size * KEYS, return_counts=True)
+            owner, key = np.divmod(keys, KEYS)
+            shape = np.zeros(len(rare), np.int64)
+            shape[number] = tokens.shapes
+            yield out(rare, group[1 + CLUSTERED + shape], owner, key, n)
+        mine = np.flatnonzero(total.reshape(size, KEYS).any(1))
+        owner, key = np.nonzero(total.reshape(size, KEYS)[mine])
+        yield out(h.words[mine], group[h.places[mine]], owner, key, total.reshape(size, KEYS)[mine[owner], key])
 
     return run
 
@@ -281,34 +374,59 @@ def best_classes(table: np.ndarray, home: np.ndarray, owner: np.ndarray, key: np
     return np.where(gain[here, best] > gain[here, home] + 1e-6, best, home)
 
 
+def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Sorted rows of words -> (words, homes, owner, key, count) of up to 2048 whole words at a time, each key of a word once."""
+    empty = np.zeros(0, np.int64)
+    held = (empty, empty, empty, empty, empty)
+
+    def joined(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        word, home, near = batch.column("word").to_numpy(), batch.column("home").to_numpy().astype(np.int64), batch.column("near").to_pylist()
+        flat = np.frombuffer(b"".join(near), "<u4").astype(np.int64)
+        of = np.repeat(np.arange(len(word)), [len(x) // 4 for x in near]) + len(held[0])
+        word, home = np.concatenate([held[0], word]), np.concatenate([held[1], home])
+        owner, key, count = np.concatenate([held[2], of]), np.concatenate([held[3], flat % 128]), np.concatenate([held[4], flat // 128])
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        number = np.cumsum(np.concatenate([[0], (word[1:] != word[:-1]).astype(np.int64)]))
+        pair, place = np.unique(number[owner] * 128 + key, return_inverse=True)
+        count = np.bincount(place, count, len(pair)).astype(np.int64)
+        owner, key = np.divmod(pair, 128)
+        return word[first], home[first], owner, key, count
+
+    def cut(rows: tuple[np.ndarray, ...], a: int, b: int) -> tuple[np.ndarray, ...]:
+        lo, hi = np.searchsorted(rows[2], [a, b])
+        return rows[0][a:b], rows[1][a:b], rows[2][lo:hi] - a, rows[3][lo:hi], rows[4][lo:hi]
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = joined(batch)
+            n = len(rows[0])
+            for at in range(0, n - 1, 2048):
+                yield cut(rows, at, min(at + 2048, n - 1))
+            held = cut(rows, n - 1, n)  # its rows may go on
+    if len(held[0]):
+        yield held
+
+
 def _classes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                flat = part.column("near").flatten().to_numpy()
-                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("near")).to_numpy())
-                pair, place = np.unique(owner * 128 + flat % 128, return_inverse=True)
-                count = np.bincount(place, flat // 128, len(pair))
-                owner, key = np.divmod(pair, 128)
-                home = part.column("home").to_numpy().astype(np.int64)
-                tokens = np.bincount(owner, np.where((key < CLASSES) | (key == 2 * CLASSES), count, 0), part.num_rows)
-                # most words occur once: one computation for all with the same neighbours
-                once = np.flatnonzero((tokens == 1) & (np.bincount(owner, minlength=part.num_rows) == 2))
-                chosen = np.zeros(part.num_rows, np.int64)
-                code = np.zeros(part.num_rows, np.int64)
-                np.add.at(code, owner, np.where(key < CLASSES, key * CLASSES, key - CLASSES))
-                code = code[once] * CLASSES + home[once]
-                _, first, same = np.unique(code, return_index=True, return_inverse=True)
-                rest = np.setdiff1d(np.arange(part.num_rows), once, assume_unique=True)
-                asked = np.sort(np.concatenate([once[first], rest]))
-                number = np.full(part.num_rows, -1)
-                number[asked] = np.arange(len(asked))
-                own = number[owner] >= 0
-                chosen[asked] = best_classes(table, home[asked], number[owner[own]], key[own], count[own])
-                chosen[once] = chosen[once[first]][same]
-                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(tokens.astype(np.int64)), pa.array(chosen.astype(np.int32))], ["word", "n", "class"])
+        for word, home, owner, key, count in _by_word(batches):
+            size = len(word)
+            tokens = np.bincount(owner, np.where((key < CLASSES) | (key == 2 * CLASSES), count, 0), size)
+            # most words occur once: one computation for all with the same neighbours
+            once = np.flatnonzero((tokens == 1) & (np.bincount(owner, minlength=size) == 2))
+            chosen = np.zeros(size, np.int64)
+            code = np.bincount(owner, np.where(key < CLASSES, key * CLASSES, key - CLASSES), size).astype(np.int64)
+            code = code[once] * CLASSES + home[once]
+            _, first, same = np.unique(code, return_index=True, return_inverse=True)
+            rest = np.setdiff1d(np.arange(size), once, assume_unique=True)
+            asked = np.sort(np.concatenate([once[first], rest]))
+            number = np.full(size, -1)
+            number[asked] = np.arange(len(asked))
+            own = number[owner] >= 0
+            chosen[asked] = best_classes(table, home[asked], number[owner[own]], key[own], count[own])
+            chosen[once] = chosen[once[first]][same]
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(tokens.astype(np.int64)), pa.array(chosen.astype(np.int32))], ["word", "n", "class"])
 
     return run
 
@@ -331,61 +449,29 @@ class Model:
 TAIL = 128
 
 
-def _sequences(shared):
-    """Each document's token classes, and its distinct words beyond the head with their tokens' places in that list."""
+def _recoded(shared):
+    """Sequences with a class a token, and the end's after each text, instead of numbers; TAIL and the ending's class for words beyond the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, head_class, group = shared.value
-        slots, known = _Slots(), np.zeros(0, np.int64)
-        log_counts = np.log10(h.counts + WORD_PRIOR)
-        for part in pieces(batches):
-            found, sizes = slots.of(as_bytes(part.column("text")))
-            known = h.look_up(slots, known)
-            ending = group[1 + CLUSTERED + np.array(slots.shapes, np.int64)]
-            of_slot = np.where(known >= 0, head_class[known] if len(head_class) else 0, ending + TAIL)
-            index = known[found]
-            in_head = index >= 0
-            full, _, starts = _with_ends(of_slot[found], sizes)
+        head_class, group = shared.value
+        for part in pieces(batches, "codes"):
+            tokens = _Tokens(part)
+            full, _, starts = _with_ends(tokens.values(head_class, TAIL + group[1 + CLUSTERED + tokens.shapes]), tokens.sizes)
             flat = full.astype(np.uint8).tobytes()
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            log_sum = np.zeros(len(sizes))
-            np.add.at(log_sum, doc, np.where(in_head, log_counts[index] if len(log_counts) else 0.0, 0.0))
-            rest = np.flatnonzero(~in_head)
-            width = max(1, len(slots.hashes))
-            # distinct rare words of each document, and for each rare token its word
-            pair, place = np.unique(doc[rest] * width + found[rest], return_inverse=True)
-            owner, slot = np.divmod(pair, width)
-            rare = np.bincount(owner, minlength=len(sizes))
-            first = np.concatenate([[0], np.cumsum(rare)[:-1]]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"), part.column("row"), part.column("held_out"),
-                    pa.array(np.bincount(doc, in_head, len(sizes)).astype(np.int64)), pa.array(log_sum),
-                    pa.array([flat[i : i + n + 1] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)], pa.binary()),
-                    ragged(_signed(slots.hashes)[slot] if len(slot) else np.zeros(0, np.int64), rare),
-                    ragged((place - first[doc[rest]]).astype(np.int32), np.bincount(doc[rest], minlength=len(sizes))),
-                ],
-                ["doc_id", "row", "held_out", "n_known", "log_sum", "classes", "rare", "places"],
-            )
-            if slots.full:
-                slots.reset()
-                known = np.zeros(0, np.int64)
+            classes = pa.array([flat[i : i + n + 1] for i, n in zip(starts.tolist(), tokens.sizes.tolist(), strict=True)], pa.binary())
+            names = ["doc_id", "row", "held_out", "n_known", "log_sum", "rare", "places"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), classes], [*names, "classes"])
 
     return run
 
 
-def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Flat values and each list's number of them; a null list is empty."""
-    return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
-
-
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes, logs and numbers of known tokens with the words beyond the head that training texts have (met)."""
     for part in pieces(batches, "classes"):
         rare, rares = _lists(part.column("rare"))
         place, places = _lists(part.column("places"))
-        met, mets = _lists(part.column("met"))
-        rare, place, (word, n, cls) = rare.to_numpy(), place.to_numpy(), (met.field(i).to_numpy() for i in range(3))
+        met, mets = part.column("met").flatten(), pc.fill_null(pc.list_value_length(part.column("met")), 0).to_numpy().astype(np.int64)
+        word, n, cls = (met.field(i).to_numpy() for i in range(3))
         out, known, logs = [], part.column("n_known").to_numpy().copy(), part.column("log_sum").to_numpy().copy()
         a = b = c = 0
         for i, code in enumerate(part.column("classes").to_pylist()):
@@ -458,12 +544,13 @@ def class_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("text").alias("row"), (fold("doc_id", folds) == held_out).alias("held_out"), "text")
     train = rows.filter("not held_out").select("text")
     counted = train.mapInArrow(_word_counts, "word long, shape int, n long").groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
-    counts = written(counted, "words")
     ends = train.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    head = Head(top["word"].to_numpy(), top["n"].to_numpy())
+    top = counted.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    head = Head(top["word"].to_numpy(), top["n"].to_numpy(), top["shape"].to_numpy())
     shared = spark.sparkContext.broadcast(head)
-    got = train.mapInArrow(_bigrams(shared), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    sequences = written(rows.mapInArrow(_sequences(shared), SEQUENCES), "sequences")
+    learned = sequences.filter("not held_out").select("codes", "rare", "shapes", "places")
+    got = learned.mapInArrow(_bigrams(shared), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(ITEMS * ITEMS)
     matrix[got["key"].to_numpy()] = got["n"].to_numpy()
     matrix = matrix.reshape(ITEMS, ITEMS)
@@ -471,8 +558,8 @@ def class_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFram
 
     one = np.zeros((ITEMS, CLASSES))
     one[np.arange(ITEMS), group] = 1
-    near = train.mapInArrow(_contexts(spark.sparkContext.broadcast((head, group))), "word long, home int, near array<long>")
-    near = near.groupBy("word").agg(F.first("home").alias("home"), F.flatten(F.collect_list("near")).alias("near"))
+    near = learned.mapInArrow(_contexts(spark.sparkContext.broadcast((head, group))), "word long, home byte, near binary")
+    near = near.repartition("word").sortWithinPartitions("word")
     classes = written(near.mapInArrow(_classes(spark.sparkContext.broadcast(one.T @ matrix @ one)), "word long, n long, class int"), "classes")
 
     # tokens and distinct words by class
@@ -492,12 +579,12 @@ def class_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFram
         at = np.searchsorted(head.words, further["word"].to_numpy())
         head_class[at] = further["class"].to_numpy()
 
-    sequences = rows.mapInArrow(_sequences(spark.sparkContext.broadcast((head, head_class, group))), "doc_id long, row long, held_out boolean, n_known long, log_sum double, classes binary, rare array<long>, places array<int>")
-    sequences = written(sequences, "sequences")
-    rare = sequences.dropDuplicates(["doc_id", "row"]).select("doc_id", "row", F.explode("rare").alias("word"))
+    rare = sequences.select("doc_id", "row", F.explode("rare").alias("word"))
     tail = classes if len(top) < HEAD else classes.filter(F.col("n") <= int(top["n"][-1].as_py()))
-    met = rare.join(tail, "word").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("word", "n", "class")).alias("met"))
-    joined = sequences.join(met.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select(*sequences.columns, "met")
+    # a set: rows that repeat doc_id and text bring the same words
+    met = rare.join(tail, "word").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("word", "n", "class")).alias("met"))
+    recoded = sequences.mapInArrow(_recoded(spark.sparkContext.broadcast((head_class, group))), "doc_id long, row long, held_out boolean, n_known long, log_sum double, rare array<long>, places array<int>, classes binary")
+    joined = recoded.join(met.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select(*recoded.columns, "met")
     filled = written(joined.mapInArrow(_filled, "doc_id long, held_out boolean, n_known long, log_sum double, classes binary"), "filled")
     got = filled.filter("not held_out").select("classes").mapInArrow(_moves, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     moves = np.zeros(CLASSES * CLASSES)
