@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.arrow import as_bytes, fold, pieces, ragged, row_hash
@@ -459,37 +459,34 @@ def _recoded(shared):
             full, _, starts = _with_ends(tokens.values(head_class, TAIL + group[1 + CLUSTERED + tokens.shapes]), tokens.sizes)
             flat = full.astype(np.uint8).tobytes()
             classes = pa.array([flat[i : i + n + 1] for i, n in zip(starts.tolist(), tokens.sizes.tolist(), strict=True)], pa.binary())
-            names = ["doc_id", "row", "held_out", "n_known", "log_sum", "rare", "places"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), classes], [*names, "classes"])
+            names = ["doc_id", "row", "held_out", "n_known", "log_sum", "places"]
+            rares = pc.list_value_length(part.column("rare")).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), rares, classes], [*names, "rares", "classes"])
 
     return run
 
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes, logs and numbers of known tokens with the words beyond the head that training texts have (met)."""
+    """Classes, logs and numbers of known tokens with the words beyond the head that training texts have: ``met`` (place among the document's other words * 64 + class) and their counts ``times``."""
     for part in pieces(batches, "classes"):
-        rare, rares = _lists(part.column("rare"))
         place, places = _lists(part.column("places"))
-        met, mets = part.column("met").flatten(), pc.fill_null(pc.list_value_length(part.column("met")), 0).to_numpy().astype(np.int64)
-        word, n, cls = (met.field(i).to_numpy() for i in range(3))
+        met, times = part.column("met").flatten().to_numpy(), part.column("times").flatten().to_numpy()
+        mets = pc.fill_null(pc.list_value_length(part.column("met")), 0).to_numpy()
+        rares = part.column("rares").to_numpy()
         out, known, logs = [], part.column("n_known").to_numpy().copy(), part.column("log_sum").to_numpy().copy()
-        a = b = c = 0
+        b = c = 0
         for i, code in enumerate(part.column("classes").to_pylist()):
             if rares[i]:
-                r, at = rare[a : a + rares[i]], place[b : b + places[i]]
-                w = word[c : c + mets[i]]
-                order = np.argsort(w)
-                n_r, c_r = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
-                if len(w):
-                    k = order[np.minimum(np.searchsorted(w, r, sorter=order), len(w) - 1)]
-                    n_r, c_r = np.where(w[k] == r, n[c + k], 0), cls[c + k]
+                at, mine = place[b : b + places[i]], met[c : c + mets[i]]
+                n_r, c_r = np.zeros(rares[i], np.int64), np.zeros(rares[i], np.int64)
+                n_r[mine // 64], c_r[mine // 64] = times[c : c + mets[i]], mine % 64
                 seq = np.frombuffer(code, np.uint8).copy()
                 tail = np.flatnonzero(seq >= TAIL)
                 seq[tail] = np.where(n_r[at] > 0, c_r[at], seq[tail] - TAIL)
                 code = seq.tobytes()
                 known[i] += (n_r[at] > 0).sum()
                 logs[i] += np.log10(n_r[at] + WORD_PRIOR).sum()
-            a, b, c = a + rares[i], b + places[i], c + mets[i]
+            b, c = b + places[i], c + mets[i]
             out.append(code)
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(known), pa.array(logs), pa.array(out, pa.binary())], ["doc_id", "held_out", "n_known", "log_sum", "classes"])
 
@@ -531,6 +528,34 @@ def _scored(model):
     return run
 
 
+def _level(n: str = "n") -> Column:
+    """A word's count as a level: the count itself below 2^16, above in 4,096 steps for each doubling. About 260,000 levels at most."""
+    return F.when(F.col(n) < 1 << 16, F.col(n)).otherwise((1 << 16) + F.floor((F.log2(n) - 16) * 4096)).cast("long")
+
+
+def _cut(sizes: pa.Table, room: int) -> tuple[int, int]:
+    """Of (level, size), levels falling: the first level that no longer fits, and how much room the ones above leave."""
+    level, size = sizes["level"].to_numpy(), sizes["size"].to_numpy()
+    order = np.argsort(-level)
+    total = np.cumsum(size[order])
+    k = int(np.searchsorted(total, room, side="right"))
+    return (int(level[order[k]]) if k < len(order) else -(1 << 62)), room - (int(total[k - 1]) if k else 0)
+
+
+def _most_frequent(counted: DataFrame, most: int) -> tuple[pa.Table, int]:
+    """At most ``most`` words of the highest counts, by falling count, and the level that the words beyond don't exceed.
+
+    No sort of all words and no task that meets a part of each: levels are sized first, and in the level where the
+    limit falls (words of one count, as a rule) words are taken by hash, whose leading 16 bits are levels again.
+    """
+    ranked = counted.withColumn("level", _level())
+    edge, room = _cut(ranked.groupBy("level").agg(F.count("*").alias("size")).toArrow(), most)
+    fine = (-F.shiftright("word", 48)).alias("level")
+    last, _ = _cut(ranked.filter(F.col("level") == edge).groupBy(fine).agg(F.count("*").alias("size")).toArrow(), room)
+    head = ranked.filter((F.col("level") > edge) | ((F.col("level") == edge) & (-F.shiftright("word", 48) > last))).select("word", "shape", "n").toArrow()
+    return head.sort_by([("n", "descending"), ("word", "ascending")]), edge
+
+
 def class_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -545,7 +570,7 @@ def class_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFram
     train = rows.filter("not held_out").select("text")
     counted = train.mapInArrow(_word_counts, "word long, shape int, n long").groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
     ends = train.count()
-    top = counted.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    top, edge = _most_frequent(written(counted, "words"), HEAD)
     head = Head(top["word"].to_numpy(), top["n"].to_numpy(), top["shape"].to_numpy())
     shared = spark.sparkContext.broadcast(head)
     sequences = written(rows.mapInArrow(_sequences(shared), SEQUENCES), "sequences")
@@ -572,19 +597,18 @@ def class_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFram
         vocabulary[r["class"]] += r["v"]
     per_class[0], vocabulary[0] = ends, 1 if ends else 0
     total = int(per_class.sum())
-    # the head's further words: the same order as top's
-    further = classes.orderBy(F.desc("n"), "word").limit(max(0, HEAD - CLUSTERED)).select("word", "class").toArrow() if HEAD > CLUSTERED else None
+    # the head's further words, at most HEAD
     head_class = group[head.items]
-    if further is not None and len(further):
-        at = np.searchsorted(head.words, further["word"].to_numpy())
-        head_class[at] = further["class"].to_numpy()
-
-    rare = sequences.select("doc_id", "row", F.explode("rare").alias("word"))
-    tail = classes if len(top) < HEAD else classes.filter(F.col("n") <= int(top["n"][-1].as_py()))
-    # a set: rows that repeat doc_id and text bring the same words
-    met = rare.join(tail, "word").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("word", "n", "class")).alias("met"))
-    recoded = sequences.mapInArrow(_recoded(spark.sparkContext.broadcast((head_class, group))), "doc_id long, row long, held_out boolean, n_known long, log_sum double, rare array<long>, places array<int>, classes binary")
-    joined = recoded.join(met.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select(*recoded.columns, "met")
+    further = classes.join(F.broadcast(spark.createDataFrame(top.select(["word"]))), "word").select("word", "class").toArrow()
+    head_class[np.searchsorted(head.words, further["word"].to_numpy())] = further["class"].to_numpy()
+
+    # the hash of the text tells texts apart, so any id can stand for null; equal rows bring the same words, once
+    key = (F.coalesce("doc_id", F.lit(-1)).alias("id"), "row")
+    rare = sequences.select(*key, F.posexplode("rare").alias("place", "word")).repartition("word").dropDuplicates(["word", "id", "row"])
+    tail = classes.filter(_level() <= edge)
+    met = rare.join(tail.hint("merge"), "word").groupBy("id", "row").agg(F.collect_list(F.col("place") * 64 + F.col("class")).alias("met"), F.collect_list("n").alias("times"))
+    recoded = sequences.mapInArrow(_recoded(spark.sparkContext.broadcast((head_class, group))), "doc_id long, row long, held_out boolean, n_known long, log_sum double, places array<int>, rares int, classes binary")
+    joined = recoded.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(met.hint("merge"), ["id", "row"], "left").select(*recoded.columns, "met", "times")
     filled = written(joined.mapInArrow(_filled, "doc_id long, held_out boolean, n_known long, log_sum double, classes binary"), "filled")
     got = filled.filter("not held_out").select("classes").mapInArrow(_moves, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     moves = np.zeros(CLASSES * CLASSES)
