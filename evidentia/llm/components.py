@@ -16,13 +16,13 @@ def _digest(edges: DataFrame) -> tuple:
 def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     """One star step: each node's neighbours (large: all; small: the smaller ones and itself) move to its least neighbour.
 
-    The least neighbour comes from a pre-aggregated minimum that is joined back, so a node with very many
-    neighbours is never gathered in one task.
+    The least neighbour comes from a pre-aggregated minimum that is written and joined back: both sides of the join are
+    plain exchanges, which adaptive execution can split, so a node with very many neighbours is never gathered in one task.
     """
     near = edges.select("u", "v")
     if both_ways:
         near = near.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = written(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     joined = near.join(least, "u")
     if both_ways:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float |
 
     bands = reps.select("node", "regs").mapInArrow(_bands, "node long, keys array<long>")
     bands = written(bands.select("node", F.explode("keys").alias("key")), "bands")
-    sizes = bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    sizes = written(bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "sizes")
     shared = written(bands.join(sizes, "key"), "shared")
     # a bucket's pivot: its member with the most neighbours over all buckets; that is the original of a group of edited
     # copies, to which they are linked when they may not be to each other
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float |
 
     # Buckets of two members have had their pair tested. Larger ones that span several components have pairs left.
     members = shared.filter("members > 2").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    apart = written(members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"), "apart")
     around = members.join(apart, "key").join(pivots, "key").select("p", F.col("node").alias("x")).filter("p <> x").distinct()
     around = written(around, "around")
     if around.limit(1).count():
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float |
         roots = written(components(edges), "roots")
 
     found = reps.select("node", "set_key", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = written(found.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     found = written(found.join(least, "root").select("set_key", "component_id"), "found")
     out = signed.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
