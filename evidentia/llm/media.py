@@ -26,42 +26,72 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
+def _paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Of three neighbours the one next to left + up - corner; left before up before corner on ties."""
+    a, b = abs(up - corner), abs(left - corner)
+    c = abs(left + up - 2 * corner)
+    return np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+
+
+#: Rows that are filtered or unfiltered at once.
+BLOCK = 256
+
+
+def _filtered(data: np.ndarray, bpp: int) -> np.ndarray:
+    """Rows of samples -> rows with a filter byte first: of the five filters, the one with the least sum of differences (as signed bytes), the first on ties."""
+    out = np.zeros((len(data), data.shape[1] + 1), np.uint8)
+    for start in range(0, len(data), BLOCK):
+        now = data[start : start + BLOCK].astype(np.int16)
+        up, left, corner = np.zeros_like(now), np.zeros_like(now), np.zeros_like(now)
+        up[1:] = now[:-1]
+        if start:
+            up[0] = data[start - 1]
+        left[:, bpp:], corner[:, bpp:] = now[:, :-bpp], up[:, :-bpp]
+        tried = np.stack([now, now - left, now - up, now - (left + up) // 2, now - _paeth(left, up, corner)]).astype(np.uint8)
+        kind = np.abs(tried.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64).argmin(0)
+        out[start : start + BLOCK, 0] = kind
+        out[start : start + BLOCK, 1:] = tried[kind, np.arange(len(now))]
+    return out
+
+
 def write_png(pixels: np.ndarray, level: int = 3) -> bytes:
-    """A PNG of height x width x channels 8-bit samples (1: grey, 2: grey and alpha, 3: RGB, 4: RGBA), rows unfiltered."""
+    """A PNG of height x width x channels 8-bit samples (1: grey, 2: grey and alpha, 3: RGB, 4: RGBA), each row by the filter that suits it."""
     height, width, channels = pixels.shape
     color = {v: k for k, v in CHANNELS.items()}[channels]
-    rows = np.zeros((height, 1 + width * channels), np.uint8)
-    rows[:, 1:] = pixels.reshape(height, -1)
+    rows = _filtered(pixels.reshape(height, -1), channels)
     head = struct.pack(">IIBBBBB", width, height, 8, color, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
 def _unfiltered(rows: np.ndarray, bpp: int) -> np.ndarray:
-    """Rows with a filter byte first -> samples. Sub and Up work on whole rows in numpy, Average and Paeth on whole pixels in turn."""
-    filters, data = rows[:, 0], rows[:, 1:].copy()
-    if not filters.any():
-        return data
-    above = np.zeros(data.shape[1], np.uint8)
-    for kind, row in zip(filters, data, strict=True):
-        if kind == 1:
-            row[:] = np.cumsum(row.reshape(-1, bpp), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            row += above
-        elif kind in (3, 4):
-            left, corner = np.zeros(bpp, np.int32), np.zeros(bpp, np.int32)
-            for at in range(0, len(row), bpp):
-                up = above[at : at + bpp].astype(np.int32)
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                row[at : at + bpp] = (row[at : at + bpp] + guess) & 255
-                left, corner = row[at : at + bpp].astype(np.int32), up
-        elif kind > 4:
-            raise ValueError(f"unknown row filter {kind}")
-        above = row
+    """Rows with a filter byte first -> samples.
+
+    A sample needs those left, above and in the corner between. So pixels are laid out by diagonals (row + column), each of
+    which needs only the two before it: all filters of all rows on a diagonal are undone at once.
+    """
+    filters, data = rows[:, 0].astype(np.int64), rows[:, 1:].copy()
+    if filters.max(initial=0) > 4:
+        raise ValueError(f"unknown row filter {filters.max()}")
+    width = data.shape[1] // bpp
+    above = np.zeros((width, bpp), np.int16)
+    for start in range(0, len(data), BLOCK):
+        kind = filters[start : start + BLOCK]
+        block = data[start : start + BLOCK].reshape(len(kind), width, bpp)
+        if kind.any():
+            n, x = len(kind), np.arange(width)
+            # plane d + 2 holds the pixels with row + column = d; row 0 is the one above the block
+            planes = np.zeros((n + width + 3, n + 1, bpp), np.int16)
+            planes[x + 2, 0] = above
+            at = np.arange(1, n + 1)[:, None]
+            planes[at + x + 2, at] = block
+            kinds = np.concatenate([[0], kind])[:, None]
+            for d in range(1, n + width):
+                lo, hi = max(1, d - width + 1), min(n, d) + 1
+                left, up, corner = planes[d + 1, lo:hi], planes[d + 1, lo - 1 : hi - 1], planes[d, lo - 1 : hi - 1]
+                guess = np.choose(kinds[lo:hi], (0, left, up, (left + up) >> 1, _paeth(left, up, corner)))
+                planes[d + 2, lo:hi] = (planes[d + 2, lo:hi] + guess) & 255
+            block[:] = planes[at + x + 2, at]
+        above = block[-1].astype(np.int16)
     return data
 
 
@@ -91,9 +121,14 @@ def read_png(data: bytes) -> np.ndarray:
     width, height, depth, color, _, _, interlace = head
     if depth != 8 or color not in CHANNELS or interlace:
         raise ValueError("only 8-bit samples without palette or interlace")
+    if not width or not height:
+        raise ValueError("an image without pixels")
     channels = CHANNELS[color]
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
-    if len(raw) != height * (1 + width * channels):
+    size = height * (1 + width * channels)
+    # no more is unpacked than the header promises
+    unpack = zlib.decompressobj()
+    raw = np.frombuffer(unpack.decompress(b"".join(body), size + 1), np.uint8)
+    if len(raw) != size or not unpack.eof:
         raise ValueError("wrong number of samples")
     return _unfiltered(raw.reshape(height, -1), channels).reshape(height, width, channels)
 

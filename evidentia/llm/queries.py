@@ -39,7 +39,7 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.to_media(_read(spark, sf_dir, "documents"), with_media=False)
+    return media.to_media(_read(spark, sf_dir, "documents"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
