@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import sys
 from collections import Counter
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from test_corpus_operators import DATA, brute_components, brute_lines, check_mix
 
-sys.path.insert(0, "/root/repo/tests/llm")
-from test_operators import DATA, brute_components, brute_lines, check_mix  # noqa: E402
-
-from evidentia.llm import mixing  # noqa: E402
+from evidentia.llm import mixing
 
 
 @pytest.fixture(scope="module")
