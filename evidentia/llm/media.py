@@ -33,24 +33,21 @@ def _paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
     return np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
 
 
-#: Rows that are filtered or unfiltered at once.
-BLOCK = 256
+#: Rows that are filtered, and unfiltered, at once.
+WRITTEN, BLOCK = 4096, 256
 
 
 def _filtered(data: np.ndarray, bpp: int) -> np.ndarray:
-    """Rows of samples -> rows with a filter byte first: of the five filters, the one with the least sum of differences (as signed bytes), the first on ties."""
-    out = np.zeros((len(data), data.shape[1] + 1), np.uint8)
-    for start in range(0, len(data), BLOCK):
-        now = data[start : start + BLOCK].astype(np.int16)
-        up, left, corner = np.zeros_like(now), np.zeros_like(now), np.zeros_like(now)
-        up[1:] = now[:-1]
-        if start:
-            up[0] = data[start - 1]
-        left[:, bpp:], corner[:, bpp:] = now[:, :-bpp], up[:, :-bpp]
-        tried = np.stack([now, now - left, now - up, now - (left + up) // 2, now - _paeth(left, up, corner)]).astype(np.uint8)
-        kind = np.abs(tried.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64).argmin(0)
-        out[start : start + BLOCK, 0] = kind
-        out[start : start + BLOCK, 1:] = tried[kind, np.arange(len(now))]
+    """Rows of samples -> rows with a filter byte first: of None, Sub and Up (which whole rows undo), the one with the least sum of differences as signed bytes, the first on ties."""
+    left, up = data.copy(), data.copy()
+    left[:, bpp:] -= data[:, :-bpp]
+    up[1:] -= data[:-1]
+    tried = np.stack([data, left, up])
+    cost = np.abs(tried.view(np.int8).astype(np.int16)).sum(2, dtype=np.int64)
+    kind = cost.argmin(0)
+    out = np.empty((len(data), data.shape[1] + 1), np.uint8)
+    out[:, 0] = kind
+    out[:, 1:] = tried[kind, np.arange(len(data))]
     return out
 
 
@@ -58,16 +55,22 @@ def write_png(pixels: np.ndarray, level: int = 3) -> bytes:
     """A PNG of height x width x channels 8-bit samples (1: grey, 2: grey and alpha, 3: RGB, 4: RGBA), each row by the filter that suits it."""
     height, width, channels = pixels.shape
     color = {v: k for k, v in CHANNELS.items()}[channels]
-    rows = _filtered(pixels.reshape(height, -1), channels)
+    data, pack = pixels.reshape(height, -1), zlib.compressobj(level)
+    # by blocks, so that memory follows a block; a block's first row is filtered with the row above it
+    body = []
+    for start in range(0, height, WRITTEN):
+        above = min(start, 1)
+        body.append(pack.compress(_filtered(data[start - above : start + WRITTEN], channels)[above:].tobytes()))
     head = struct.pack(">IIBBBBB", width, height, 8, color, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", b"".join(body) + pack.flush()) + _chunk(b"IEND", b"")
 
 
 def _unfiltered(rows: np.ndarray, bpp: int) -> np.ndarray:
     """Rows with a filter byte first -> samples.
 
-    A sample needs those left, above and in the corner between. So pixels are laid out by diagonals (row + column), each of
-    which needs only the two before it: all filters of all rows on a diagonal are undone at once.
+    Sub and Up are running sums, of whole rows and over runs of rows. For Average and Paeth a sample needs those left, above and
+    in the corner between: there pixels are laid out by diagonals (row + column), each of which needs only the two before
+    it, and all filters of all rows on a diagonal are undone at once.
     """
     filters, data = rows[:, 0].astype(np.int64), rows[:, 1:].copy()
     if filters.max(initial=0) > 4:
@@ -77,7 +80,16 @@ def _unfiltered(rows: np.ndarray, bpp: int) -> np.ndarray:
     for start in range(0, len(data), BLOCK):
         kind = filters[start : start + BLOCK]
         block = data[start : start + BLOCK].reshape(len(kind), width, bpp)
-        if kind.any():
+        if kind.max() <= 2:
+            sub = kind == 1
+            if sub.any():
+                block[sub] = np.cumsum(block[sub], axis=1, dtype=np.uint8)
+            changes = np.flatnonzero(np.diff(kind == 2, prepend=False, append=False))
+            for first, stop in changes.reshape(-1, 2).tolist():  # runs of Up rows
+                run = block[first:stop]
+                run[0] += block[first - 1] if first else above.astype(np.uint8)
+                np.cumsum(run, axis=0, dtype=np.uint8, out=run)
+        else:
             n, x = len(kind), np.arange(width)
             # plane d + 2 holds the pixels with row + column = d; row 0 is the one above the block
             planes = np.zeros((n + width + 3, n + 1, bpp), np.int16)

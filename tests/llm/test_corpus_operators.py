@@ -460,6 +460,44 @@ def test_media_round_trip(docs, table, odd, empty):
     assert media.to_media(empty).count() == 0
 
 
+def test_png_rows_are_filtered_across_blocks(monkeypatch):
+    monkeypatch.setattr(media, "WRITTEN", 5)
+    monkeypatch.setattr(media, "BLOCK", 7)
+    rng = np.random.default_rng(6)
+    for height in (1, 4, 5, 6, 23):
+        for pixels in (rng.integers(0, 256, (height, 6, 3)), np.cumsum(rng.integers(0, 3, (height, 6, 3)), 0), np.cumsum(rng.integers(0, 3, (height, 6, 3)), 1), np.full((height, 6, 3), 200)):
+            pixels = pixels.astype(np.uint8)
+            assert (media.read_png(media.write_png(pixels)) == pixels).all()
+    kinds = media._filtered(np.cumsum(rng.integers(0, 3, (20, 18)), 0).astype(np.uint8), 3)[:, 0]
+    assert (kinds == 2).any()
+    with pytest.raises(ValueError):
+        media.read_png(media.SIGNATURE + media._chunk(b"IHDR", bytes(8) + b"\x08\x02\0\0\0") + media._chunk(b"IDAT", b"") + media._chunk(b"IEND", b""))
+
+
+def plain_cosine_hash(pixels):
+    """The hash by its definition, coefficient by coefficient."""
+    grey = pixels.mean(2)
+    h, w = grey.shape
+    pool = np.zeros((32, 32))
+    for i in range(32):
+        for j in range(32):
+            a, b = (i * h // 32, (i + 1) * h // 32) if h >= 32 else (i * h // 32, i * h // 32 + 1)
+            c, d = (j * w // 32, (j + 1) * w // 32) if w >= 32 else (j * w // 32, j * w // 32 + 1)
+            pool[i, j] = grey[a:b, c:d].mean()
+    low = np.array([[sum(pool[y, x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for v in range(1, 9)] for u in range(1, 9)])
+    return low, np.median(low)
+
+
+def test_cosine_hash_equals_its_definition():
+    rng = np.random.default_rng(7)
+    for height, width in ((40, 64), (3, 64)):
+        pixels = rng.integers(0, 256, (height, width, 3), dtype=np.uint8)
+        low, middle = plain_cosine_hash(pixels)
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(media.cosine_hash(pixels)), np.uint8)).reshape(8, 8)
+        clear = abs(low - middle) > 1e-6
+        assert (bits[clear] == (low > middle)[clear]).all() and clear.sum() >= 60
+
+
 def test_png_filters_and_damage(spark):
     rng = np.random.default_rng(4)
     for channels in (1, 2, 3, 4):
