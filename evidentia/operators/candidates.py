@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import columns as C
 from evidentia.operators.docs import topk_docs
-from evidentia.operators.select import hash_fraction
+from evidentia.operators.select import first_by_hash, hash_fraction
 from evidentia.operators.tfidf import top_k
 
 SENT = ["doc_id", "line_num"]
@@ -82,12 +82,12 @@ def candidate_count_stats(pairs: DataFrame) -> DataFrame:
 
 
 def balance_pairs(pairs: DataFrame, ratio: float = 1.0, seed: int = 12) -> DataFrame:
-    """With m the smaller class's size: m false and ratio * m true pairs, in hash order. Two classes: the ranking is by exact counts below a hash bound, not by a global sort."""
+    """With m the smaller class's size: m false and ratio * m true pairs, in hash order, see ``first_by_hash``."""
     n = {r["selection_label"]: r["n_pairs"] for r in label_balance(pairs.filter("selection_label in ('true', 'false')")).collect()}
     least = min(n.get("true", 0), n.get("false", 0))
-    order = [hash_fraction("claim_id", *SENT, seed=seed), F.col("claim_id"), *[F.col(c) for c in SENT]]
-    true = pairs.filter("selection_label = 'true'").orderBy(*order).limit(int(ratio * least))
-    return true.unionByName(pairs.filter("selection_label = 'false'").orderBy(*order).limit(least))
+    place, ties = hash_fraction("claim_id", *SENT, seed=seed), [F.col("claim_id"), *[F.col(c) for c in SENT]]
+    true = first_by_hash(pairs.filter("selection_label = 'true'"), place, ties, int(ratio * least))
+    return true.unionByName(first_by_hash(pairs.filter("selection_label = 'false'"), place, ties, least))
 
 
 def pairs_for_label(pairs: DataFrame, claims: DataFrame, label: str = "NOT ENOUGH INFO") -> DataFrame:

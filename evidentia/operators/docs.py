@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import columns as C
-from evidentia.operators.select import hash_fraction
+from evidentia.operators.select import first_by_hash, hash_fraction
 from evidentia.operators.tfidf import rank_candidates, top_k
 
 BRACKET = "-LRB-"
@@ -136,7 +136,7 @@ def disambiguation_train_pairs(links: DataFrame, gold: DataFrame, claims: DataFr
         negative = negative.join(positive.select("claim_id").distinct(), "claim_id", "left_semi")
     if ratio is not None:
         n = positive.count()
-        negative = negative.orderBy(hash_fraction("claim_id", "doc_id", seed=seed + 2), "claim_id", "doc_id").limit(int(n * ratio))
+        negative = first_by_hash(negative, hash_fraction("claim_id", "doc_id", seed=seed + 2), [F.col("claim_id"), F.col("doc_id")], int(n * ratio))
     return positive.withColumn("selection_label", F.lit("true")).unionByName(negative.withColumn("selection_label", F.lit("false")))
 
 

@@ -117,7 +117,7 @@ def first_letter_filter(claims: DataFrame, index: DataFrame, max_rounds: int | N
         lost = links.groupBy("claim_id", "part", "match_key").agg(F.max(_same_letter().cast("int")).alias("ok")).filter("ok = 0")
         words = F.split("match_key", " ")
         lost = lost.filter(F.size(words) > 2)
-        work = lost.select("claim_id", F.concat_ws("/", "part", "match_key").alias("part"), _titled(F.slice(words, 2, F.size(words) - 1), 0).alias("tokens"))
+        work = written(lost.select("claim_id", F.concat_ws("/", "part", "match_key").alias("part"), _titled(F.slice(words, 2, F.size(words) - 1), 0).alias("tokens")), "fragments")
         if longest <= 2 or not work.limit(1).count():
             break
     return out.groupBy("claim_id", "match_key", "doc_id").agg(F.max("priority").alias("priority"))

@@ -111,19 +111,22 @@ def doc_macro_recall(k: int | Column | None = TOP, predicted: str = "predicted_d
     return F.when(~_nei(), (doc_hit(k, predicted) | no_gold(F.col("evidence"))).cast("double"))
 
 
-def doc_score(rows: DataFrame, k: int | Column | None = TOP, predicted: str = "predicted_docids", by: list[str] | None = None) -> DataFrame:
-    """hit rate, precision, recall, f1, mean number of documents considered."""
-    got = rows.groupBy(*(by or [])).agg(
+def _doc_means(k: int | Column | None, predicted: str) -> list[Column]:
+    return [
         _share(doc_hit(k, predicted)).alias("hit"), F.avg(doc_macro_precision(k, predicted)).alias("precision"), F.avg(doc_macro_recall(k, predicted)).alias("recall"),
         F.avg(F.size(first_k(F.col(predicted), k))).alias("mean_docs"),
-    )
-    return got.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    ]
+
+
+def doc_score(rows: DataFrame, k: int | Column | None = TOP, predicted: str = "predicted_docids", by: list[str] | None = None) -> DataFrame:
+    """hit rate, precision, recall, f1, mean number of documents considered."""
+    return rows.groupBy(*(by or [])).agg(*_doc_means(k, predicted)).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
 def metrics_at_k(rows: DataFrame, ks: tuple[int, ...] = (5, 10, 15, 20), predicted: str = "predicted_docids") -> DataFrame:
-    """doc_score for several k in one job: each claim meets the small table of k values."""
-    table = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in ks], "k int"))
-    return doc_score(rows.crossJoin(table), F.col("k"), predicted, ["k"])
+    """doc_score for several k in one pass over the rows: the means of each k are aggregates side by side. Without rows there is no result row."""
+    means = rows.agg(F.count("*").alias("n"), F.array(*[F.struct(F.lit(k).alias("k"), *_doc_means(k, predicted)) for k in ks]).alias("all"))
+    return means.filter("n > 0").select(F.inline("all")).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
 def sentence_hit(ids: str = "predicted_sentids", k: int = TOP) -> Column:

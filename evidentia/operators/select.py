@@ -31,6 +31,19 @@ def _listed(rows: DataFrame, claims: DataFrame | None, n: int | None = None) ->
     return lists.withColumn("predicted_evidence", F.transform(top, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["line_num"].alias("line_num"))))
 
 
+def first_by_hash(rows: DataFrame, fraction: Column, ties: list[Column], n: int, bins: int = 1 << 16) -> DataFrame:
+    """The first n rows in the order of ``fraction`` (0 to 1), then ``ties``, without a sort of all rows: fractions are counted in bins, the bins before the one where n falls are taken whole, and only that one is ordered."""
+    keyed = rows.withColumn("_bin", F.floor(fraction * bins))
+    counts = {r["_bin"]: r["count"] for r in keyed.groupBy("_bin").count().collect()}  # bins + 1 rows at most
+    left = n
+    for edge in sorted(counts):
+        if counts[edge] > left:
+            last = keyed.filter(F.col("_bin") == edge).orderBy(fraction, *ties).limit(left)
+            return keyed.filter(F.col("_bin") < edge).unionByName(last).drop("_bin")
+        left -= counts[edge]
+    return rows
+
+
 def best_rows(pairs: DataFrame, threshold: float, n: int, order: list[Column] | None = None) -> DataFrame:
     """Pairs with prob >= threshold, the n of the highest score by claim, with ``rank``; ties by sentence."""
     return top_k(pairs.filter(F.col("prob") >= threshold), ["claim_id"], order or [F.desc("score"), *SENT], n)
