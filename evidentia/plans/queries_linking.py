@@ -174,13 +174,13 @@ def d4_expand_from_docs(s, d):
     return D.expand_from_docs(claims, links, sentences, graph, least=0.5).select("claim_id", "doc_id", "priority")
 
 
-HOPS = f"""{X.HREFS}, hops as (select page_id % 20 as claim_id, page_id as sent_doc, pos % 3 as sent_line, replace(replace(replace(replace(replace(replace(replace(target, '(', '-LRB-'), ')', '-RRB-'), '[', '-LSB-'), ']', '-RSB-'), '{{', '-LCB-'), '}}', '-RCB-'), ':', '-COLON-') as t, (page_id % 7 + pos % 3)::double as priority from hrefs),
+HOPS = f"""{X.HREFS}, hops as (select page_id // 10 as claim_id, page_id as sent_doc, pos % 3 as sent_line, replace(replace(replace(replace(replace(replace(replace(target, '(', '-LRB-'), ')', '-RRB-'), '[', '-LSB-'), ']', '-RSB-'), '{{', '-LCB-'), '}}', '-RCB-'), ':', '-COLON-') as t, (page_id % 7 + pos % 3)::double as priority from hrefs),
   h as (select claim_id, sent_doc, sent_line::int as sent_line, replace(t, ' ', '_') as doc_id, priority from hops)"""
 
 
 def _hops(s, d) -> DataFrame:
     graph = _page_links(s, d).withColumn("line_num", F.col("line_num") % 3)
-    chosen = graph.select((F.col("doc_id") % 20).alias("claim_id"), "doc_id", "line_num", (F.col("doc_id") % 7 + F.col("line_num")).cast("double").alias("score")).distinct()
+    chosen = graph.select(F.floor(F.col("doc_id") / 10).alias("claim_id"), "doc_id", "line_num", (F.col("doc_id") % 7 + F.col("line_num")).cast("double").alias("score")).distinct()
     return D.expand_from_sentences(chosen, graph)
 
 
@@ -224,11 +224,12 @@ def d8_pageview_rank_aside(s, d):
     return _aside(s, d)
 
 
-FIRST = """first as (select distinct page_id % 20 as claim_id, target as doc_id, 1.0::double as priority from hrefs where page_id % 2 = 0 and pos = 0)"""
+FIRST = """first as (select distinct page_id // 10 as claim_id, target as doc_id, 1.0::double as priority from hrefs where pos = 0)"""
 
 
 def _first(s, d) -> DataFrame:
-    return _page_links(s, d).filter("doc_id % 2 = 0 and line_num = 0").select((F.col("doc_id") % 20).alias("claim_id"), F.col("target").alias("doc_id"), F.lit(1.0).alias("priority")).distinct()
+    """A page's first link is its first hop; ten pages in turn are a claim's."""
+    return _page_links(s, d).filter("line_num = 0").select(F.floor(F.col("doc_id") / 10).alias("claim_id"), F.col("target").alias("doc_id"), F.lit(1.0).alias("priority")).distinct()
 
 
 NEW = "fresh as (select a.* from aside a anti join first f on f.claim_id = a.claim_id and f.doc_id = a.doc_id)"
@@ -245,18 +246,19 @@ def d10_new_docs_only(s, d):
 
 
 def _title_links(s, d) -> DataFrame:
-    return X.titles(s, d).select((F.col("p_partkey") % 97).alias("claim_id"), "doc_id", (F.col("p_size") % 9).cast("double").alias("priority"), F.col("p_partkey").alias("pos"), F.lit("k").alias("match_key"))
+    """Twenty parts in turn are a claim's candidates."""
+    return X.titles(s, d).select(F.floor(F.col("p_partkey") / 20).alias("claim_id"), "doc_id", (F.col("p_size") % 9).cast("double").alias("priority"), F.col("p_partkey").alias("pos"), F.lit("k").alias("match_key"))
 
 
 def _title_texts(s, d) -> DataFrame:
-    """Claim c holds the natural titles of part c's name with each bracketed kind."""
-    p = X.read(s, d, "part").filter("p_partkey < 97")
+    """Claim c holds the natural titles of its first part's name with each bracketed kind."""
+    p = X.read(s, d, "part").groupBy(F.floor(F.col("p_partkey") / 20).alias("claim_id")).agg(F.min_by("p_name", "p_partkey").alias("p_name"))
     text = F.concat_ws(" ", F.lit("a"), "p_name", F.lit("-LRB- film -RRB- and"), "p_name", F.lit("-LRB- album -RRB-"))
-    return p.select(F.col("p_partkey").alias("claim_id"), text.alias("claim"), F.split(text, " ").alias("tokens"))
+    return p.select("claim_id", text.alias("claim"), F.split(text, " ").alias("tokens"))
 
 
-TL = f"""{X.TITLES}, tl as (select p_partkey % 97 as claim_id, doc_id, (p_size % 9)::double as priority, p_partkey as pos, bracketed or other as br, base, inside, bracketed from titles),
-  tx as (select p_partkey as claim_id, p_name from part where p_partkey < 97),
+TL = f"""{X.TITLES}, tl as (select p_partkey // 20 as claim_id, doc_id, (p_size % 9)::double as priority, p_partkey as pos, bracketed or other as br, base, inside, bracketed from titles),
+  tx as (select p_partkey // 20 as claim_id, arg_min(p_name, p_partkey) as p_name from part group by 1),
   te as (select tl.*, br and bracketed and base = p_name and inside in ('film', 'album') as exact, p_name from tl join tx using (claim_id))"""
 
 
@@ -279,7 +281,7 @@ def d13_disambiguation_pairs(s, d):
 @query()
 def d14_disambiguation_train_pairs(s, d):
     links = _title_links(s, d)
-    return D.disambiguation_train_pairs(links, links.filter("pos % 5 = 0"), _title_texts(s, d), ratio=2.0)
+    return D.disambiguation_train_pairs(links, links.filter("priority < 2"), _title_texts(s, d), ratio=2.0)
 
 
 @query(f"""with {TL}, sc as (select distinct claim_id, doc_id, round((length(doc_id) % 10) / 10.0, 6) as prob from tl where br), p as (select te.*, coalesce(sc.prob, te.priority) as np from te left join sc using (claim_id, doc_id))
@@ -290,7 +292,7 @@ def d15_apply_disambiguation(s, d):
     return D.apply_disambiguation(links, scores, "v2", 0.4, _title_texts(s, d)).select("claim_id", "doc_id", "pos", "priority")
 
 
-@query(f"with {X.TITLES} select p_partkey % 97 as claim_id, count(*) as n, least(3, count(*)) as kept from titles group by 1")
+@query(f"with {X.TITLES} select p_partkey // 20 as claim_id, count(*) as n, least(3, count(*)) as kept from titles group by 1")
 def d16_truncate_docs(s, d):
     rows = _title_links(s, d).groupBy("claim_id").agg(F.count("*").alias("n"), F.collect_list("doc_id").alias("predicted_docids"))
     return D.truncate_docs(rows, 3).select("claim_id", "n", F.size("predicted_docids").cast("long").alias("kept"))
@@ -307,11 +309,11 @@ def d18_docs_in_links(s, d):
     return D.docs_in_links(_hops(s, d)).select("claim_id", F.array_join("docs", "|").alias("docs"))
 
 
-@query(f"with {TL} select distinct claim_id from te where br and not exact and pos % 5 = 0 and claim_id % 2 = 0")
+@query(f"with {TL} select distinct te.claim_id from te semi join (select claim_id, doc_id from tl where priority >= 1) h on h.claim_id = te.claim_id and h.doc_id = te.doc_id where br and not exact and priority < 2")
 def d19_bracket_subset(s, d):
     links = _title_links(s, d)
-    gold = links.filter("pos % 5 = 0").groupBy("claim_id").agg(F.array(F.collect_list(F.struct("doc_id", F.lit(0).alias("line_num")))).alias("evidence"))
-    return D.bracket_subset(_title_texts(s, d).join(gold, "claim_id"), links.filter("claim_id % 2 = 0")).select("claim_id")
+    gold = links.filter("priority < 2").groupBy("claim_id").agg(F.array(F.collect_list(F.struct("doc_id", F.lit(0).alias("line_num")))).alias("evidence"))
+    return D.bracket_subset(_title_texts(s, d).join(gold, "claim_id"), links.filter("priority >= 1")).select("claim_id")
 
 
 # --- audits

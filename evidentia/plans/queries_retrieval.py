@@ -61,7 +61,9 @@ def t5_closest_sentences(s, d):
     return got.select("item_id", "doc_id", "line_num", F.round("score", 5).alias("score"), "rank")
 
 
-CAND = f"""{X.LINES}, cand as (select doc_id % 40 as item_id, doc_id, line_num, text from lines),
+#: Documents are dealt to all passages in turn.
+DEALT = "doc_id % (select count(*) from benchmark)"
+CAND = f"""{X.LINES}, cand as (select {DEALT} as item_id, doc_id, line_num, text from lines),
   counts as (select item_id, doc_id, line_num, term, count(*) as tf from {_grams('cand', 'item_id, doc_id, line_num')} group by all),
   dfs as (select item_id, term, count(*) as df from counts group by all), ns as (select item_id, count(*) as n from cand group by 1),
   idf as (select item_id, term, df, n from dfs join ns using (item_id) where n - df > df),
@@ -69,8 +71,12 @@ CAND = f"""{X.LINES}, cand as (select doc_id % 40 as item_id, doc_id, line_num,
   sc as (select qc.item_id, doc_id, line_num, round(sum({W.format(tf='qc.tf')} * {W.format(tf='counts.tf')}), 9) as score from qc join idf on idf.item_id = qc.item_id and idf.term = qc.term join counts on counts.item_id = qc.item_id and counts.term = qc.term group by all)"""
 
 
+def _dealt(s, d):
+    return F.col("doc_id") % max(1, X.read(s, d, "benchmark").count())
+
+
 def _candidates(s, d):
-    return X.lines(s, d).withColumn("item_id", F.col("doc_id") % 40)
+    return X.lines(s, d).withColumn("item_id", _dealt(s, d))
 
 
 @query(f"with {CAND}, r as (select *, row_number() over (partition by item_id order by score desc, doc_id, line_num)::int as rank from sc where score > 0) select item_id, doc_id, line_num, round(score, 5) as score, rank from r where rank <= 5")
@@ -79,12 +85,12 @@ def t6_rank_sentences_online(s, d):
     return got.select("item_id", "doc_id", "line_num", F.round("score", 5).alias("score"), "rank")
 
 
-DOCS = CAND.replace("counts as (select item_id, doc_id, line_num, term", "counts as (select item_id, doc_id, term").replace(_grams("cand", "item_id, doc_id, line_num"), _grams("dt", "item_id, doc_id")).replace("cand as (select doc_id % 40 as item_id, doc_id, line_num, text from lines)", "dt as (select doc_id % 40 as item_id, doc_id, text from documents)").replace("from cand group", "from dt group").replace("qc.item_id, doc_id, line_num, round", "qc.item_id, doc_id, round")
+DOCS = CAND.replace("counts as (select item_id, doc_id, line_num, term", "counts as (select item_id, doc_id, term").replace(_grams("cand", "item_id, doc_id, line_num"), _grams("dt", "item_id, doc_id")).replace(f"cand as (select {DEALT} as item_id, doc_id, line_num, text from lines)", f"dt as (select {DEALT} as item_id, doc_id, text from documents)").replace("from cand group", "from dt group").replace("qc.item_id, doc_id, line_num, round", "qc.item_id, doc_id, round")
 
 
 @query(f"with {DOCS}, r as (select * from sc where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 100) select dt.item_id as claim_id, dt.doc_id, round(coalesce(score, 0.0), 5) as priority from dt left join r on r.item_id = dt.item_id and r.doc_id = dt.doc_id")
 def d17_tfidf_rank_docs(s, d):
-    texts = X.read(s, d, "documents").select((F.col("doc_id") % 40).alias("claim_id"), "doc_id", "text")
+    texts = X.read(s, d, "documents").select(_dealt(s, d).alias("claim_id"), "doc_id", "text")
     claims = X.read(s, d, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
     return tfidf.rank_docs(claims, texts, claim_text="text").select("claim_id", "doc_id", F.round("priority", 5).alias("priority"))
 
