@@ -259,7 +259,7 @@ def _title_texts(s, d) -> DataFrame:
 
 TL = f"""{X.TITLES}, tl as (select p_partkey // 20 as claim_id, doc_id, (p_size % 9)::double as priority, p_partkey as pos, bracketed or other as br, base, inside, bracketed from titles),
   tx as (select p_partkey // 20 as claim_id, arg_min(p_name, p_partkey) as p_name from part group by 1),
-  te as (select tl.*, br and bracketed and base = p_name and inside in ('film', 'album') as exact, p_name from tl join tx using (claim_id))"""
+  te as (select tl.*, br and bracketed and contains(concat('a ', p_name, ' -LRB- film -RRB- and ', p_name, ' -LRB- album -RRB-'), concat(base, ' -LRB- ', inside, ' -RRB-')) as exact, p_name from tl join tx using (claim_id))"""
 
 
 @query(f"with {X.TITLES} select p_partkey, doc_id, case when bracketed or other then 1.0 else 7.0 end::double as priority from titles")
