@@ -17,8 +17,11 @@ def _own_dir() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset (a local session), a new temporary one."""
-    return spark.conf.get(SETTING, None) or _own_dir()
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; in a local session without it a new temporary one, elsewhere its absence is an error."""
+    named = spark.conf.get(SETTING, None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{SETTING} must name a folder that the driver and all executors share")
+    return named or _own_dir()
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
