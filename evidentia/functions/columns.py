@@ -270,9 +270,9 @@ def joint_scores(logits: Column | str) -> Column:
 
 
 def number_bucket(token: Column | str, buckets: int = 20_000) -> Column:
-    """A bucket for tokens of one to five digits, else null."""
+    """A bucket (of the token's md5, which other SQL engines can repeat) for tokens of one to five digits, else null."""
     token = _col(token)
-    return F.when(token.rlike(r"^\d{1,5}$"), F.pmod(F.xxhash64(token), F.lit(buckets)))
+    return F.when(token.rlike(r"^\d{1,5}$"), (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % buckets).cast("int"))
 
 
 def position_weight(position: Column | str, count: Column | str, k: int = 5, start: float = 1.1, end: float = 0.8) -> Column:

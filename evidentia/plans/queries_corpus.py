@@ -11,6 +11,7 @@ from evidentia.operators import lexical as L
 from evidentia.operators import vocab as V
 from evidentia.plans import pipeline as U
 from evidentia.plans import standins as X
+from evidentia.plans.queries_linking import INDEX, TOPK, encoded, matches
 from evidentia.plans.registry import query
 from evidentia.plans.scratch import scratch_dir, written
 from evidentia.sources import tables as S
@@ -20,6 +21,12 @@ STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in C.STOP_WORDS)
 ENCODE = "replace(replace(replace(replace(replace(replace(replace({}, '(', '-LRB-'), ')', '-RRB-'), '[', '-LSB-'), ']', '-RSB-'), '{{', '-LCB-'), '}}', '-RCB-'), ':', '-COLON-')"
 
 
+#: As functions.columns.TOKEN.
+TOKEN = C.TOKEN.replace("'", "''")
+DECODE = "replace(replace(replace(replace(replace(replace(replace({}, '-LRB-', '('), '-RRB-', ')'), '-LSB-', '['), '-RSB-', ']'), '-LCB-', '{{'), '-RCB-', '}}'), '-COLON-', ':')"
+NATURAL = f"array_to_string(regexp_extract_all(replace({DECODE.format('doc_id')}, '_', ' '), '{TOKEN}'), ' ')"
+
+
 # --- S
 
 
@@ -34,6 +41,51 @@ PAGES = """p as (select concat('p', doc_id) as id, text, string_split(nfc_normal
   u as (select id, text, unnest(range(len(l))) as line_num, unnest(l) as t, l from p)"""
 
 
+def _rewritten(s, df, name: str) -> str:
+    """``df`` as JSON lines in a scratch folder."""
+    path = f"{scratch_dir(s)}/{name}-{uuid.uuid4().hex}"
+    S.write_rows(df, path)
+    return path
+
+
+@query(f"with {X.CLAIMS} select c.claim_id as id, label, count(distinct grp) as n_groups, count(grp) as n_sentences from claims c left join gold using (claim_id) group by 1, 2")
+def s1_read_claims(s, d):
+    """Orders as claims in JSON lines, evidence as string tuples with a repeated and an empty one in each group."""
+    entry = lambda e: F.array(F.lit("1"), F.lit("2"), e["doc_id"].cast("string"), e["line_num"].cast("string"))
+    none = F.array(F.lit("1"), F.lit("2"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    groups = F.transform("evidence", lambda g: F.concat(F.transform(g, entry), F.transform(F.slice(g, 1, 1), entry), F.array(none)))
+    rows = X.claims(s, d).select(F.col("claim_id").alias("id"), F.lit("VERIFIABLE").alias("verifiable"), "label", F.lit("c").alias("claim"), groups.alias("evidence"))
+    got = S.read_claims(s, _rewritten(s, rows, "claims"))
+    return got.select("id", "label", F.size("evidence").cast("long").alias("n_groups"), F.aggregate("evidence", F.lit(0), lambda n, g: n + F.size(g)).cast("long").alias("n_sentences"))
+
+
+@query("select concat('p', doc_id) as id, sha256(replace(text, chr(9), ' ')) as text, len(string_split(text, chr(10)))::int as n_lines from documents")
+def s2_read_pages(s, d):
+    got = S.read_pages(s, _rewritten(s, _pages_raw(s, d), "pages"))
+    return got.select("id", F.sha2("text", 256).alias("text"), F.size(F.split("lines", "\n")).alias("n_lines"))
+
+
+@query("select conv_id, turn, role, text from conversations")
+def s9_write_rows(s, d):
+    rows = X.read(s, d, "conversations").select("conv_id", "turn", "role", "text")
+    return s.read.schema(rows.schema).json(_rewritten(s, rows, "rows"))
+
+
+@query(f"with {X.TITLES} select distinct doc_id, {NATURAL} as keyword from titles")
+def s12_read_keyword_dict(s, d):
+    """Titles and, as ids without letters, part numbers, which the filter drops."""
+    ids = X.titles(s, d).select(F.col("doc_id").alias("docid")).union(X.read(s, d, "part").select(F.col("p_partkey").cast("string"))).distinct()
+    return S.read_keyword_dict(s, _rewritten(s, ids, "keywords"))
+
+
+@query(f"with {X.CLAIMS} select c.claim_id as id, predicted_label, count(grp) as n_evidence from claims c left join gold using (claim_id) group by 1, 2")
+def s16_write_submission(s, d):
+    rows = X.claims(s, d).select(F.col("claim_id").alias("id"), "predicted_label", "label", F.flatten("evidence").alias("predicted_evidence"))
+    schema = "id long, predicted_label string, predicted_evidence array<struct<doc_id:long,line_num:int>>"
+    got = s.read.schema(schema).json(_rewritten(s, S.submission(rows), "submission"))
+    return got.select("id", "predicted_label", F.size("predicted_evidence").cast("long").alias("n_evidence"))
+
+
 @query(f"with {PAGES} select id, line_num::int as line_num, length(nfc_normalize(trim(t))) as n, case when line_num % 2 = 0 and line_num % 5 <> 3 then 2 else 0 end as n_links from u")
 def s3_build_documents(s, d):
     docs = S.build_documents(_pages_raw(s, d)).select("id", F.inline("lines"))
@@ -63,7 +115,7 @@ def s6_lookup_doc_sentences(s, d):
     return S.lookup_doc_sentences(X.read(s, d, "labels").select("doc_id"), X.lines(s, d)).withColumn("text", F.sha2("text", 256))
 
 
-@query("select concat('p', doc_id) as id from documents where length(text) > 1 and not contains(text, chr(9))")
+@query("select concat('p', doc_id) as id from documents where length(text) > 1")
 def s7_list_doc_ids(s, d):
     return S.list_doc_ids(S.build_documents(_pages_raw(s, d)))
 
@@ -104,10 +156,27 @@ def s14_concat_datasets(s, d):
     return S.concat_datasets(a, X.read(s, d, "benchmark").select(F.col("item_id").alias("id"), F.sha2("text", 256).alias("text")))
 
 
-@query("select c_custkey as key, c_name as value from customer where c_custkey not in (select s_suppkey from supplier)")
+def _customers(s, d):
+    """(fresh, cached) customers: those whose account isn't overdrawn are cached."""
+    rows = X.read(s, d, "customer")
+    named = [F.col("c_custkey").alias("key"), F.col("c_name").alias("value")]
+    return rows.select(*named), rows.filter("c_acctbal >= 0").select(*named)
+
+
+@query("select c_custkey as key, c_name as value from customer where coalesce(c_acctbal, -1) < 0")
 def s15_cache_update(s, d):
-    fresh = X.read(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
-    return S.cache_update(X.read(s, d, "supplier").select(F.col("s_suppkey").alias("key")), fresh)
+    fresh, cached = _customers(s, d)
+    return S.cache_update(cached, fresh)
+
+
+@query("select c_custkey as key, c_name as value from customer")
+def s15_cache_load(s, d):
+    """The cache after the missing rows were appended: each key once."""
+    fresh, cached = _customers(s, d)
+    path = f"{scratch_dir(s)}/cache-{uuid.uuid4().hex}"
+    cached.write.parquet(path)
+    S.cache_append(s, path, fresh)
+    return S.cache_load(s, path, fresh.schema)
 
 
 # --- C
@@ -199,10 +268,43 @@ def c21_joint_scores(s, d):
     return x.select("vec_id", F.round("j.score", 6).alias("score"), F.round("j.prob", 6).alias("prob"))
 
 
-@query()
+@query("select p_partkey, w as token, case when regexp_matches(w, '^[0-9]{1,5}$') then (('0x' || substr(md5(w), 1, 8))::bigint % 20000)::int end as bucket from (select p_partkey, unnest([p_partkey::varchar, (p_partkey * 7919)::varchar, p_name]) as w from part)")
 def c23_number_bucket(s, d):
-    x = X.read(s, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("w"))
-    return x.select("o_orderkey", C.number_bucket("w").alias("bucket")).filter("bucket is not null")
+    tokens = F.array(F.col("p_partkey").cast("string"), (F.col("p_partkey") * 7919).cast("string"), F.col("p_name"))
+    return X.read(s, d, "part").select("p_partkey", F.explode(tokens).alias("token")).select("p_partkey", "token", C.number_bucket("token").alias("bucket"))
+
+
+@query("""select doc_id, sha256(nfc_normalize(text)) as composed, length(nfc_normalize(text)) + len(list_filter(string_split(nfc_normalize(text), ''), lambda c: c <> strip_accents(c))) as n_decomposed from documents""")
+def c1_nfd(s, d):
+    """The decomposed length, and the text after composing it again."""
+    x = X.read(s, d, "documents").select("doc_id", C.nfd("text").alias("t"))
+    return x.select("doc_id", F.sha2(nfc("t"), 256).alias("composed"), F.length("t").cast("long").alias("n_decomposed"))
+
+
+@query(f"with {X.TITLES} select p_partkey, {NATURAL} as title from titles")
+def c4_natural_title(s, d):
+    return X.titles(s, d).select("p_partkey", C.natural_title("doc_id").alias("title"))
+
+
+@query(f"select doc_id, len(t) as n_tokens, sha256(array_to_string(t, ' ')) as tokens from (select doc_id, regexp_extract_all(text, '{TOKEN}') as t from documents)")
+def c5_tokenize(s, d):
+    x = X.read(s, d, "documents").select("doc_id", C.tokenize("text").alias("t"))
+    return x.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens"))
+
+
+@query("""with l as (select doc_id, string_split(replace(text, chr(9), ' '), chr(10)) as l from documents), u as (select doc_id, len(l) as n, unnest(range(len(l))) as i, unnest(l) as t from l)
+  select doc_id, i::int as line_num, sha256(trim(case when i = 6 and n > 7 then concat(t, '8') else t end)) as text from u where i < 7""")
+def c13_split_numbered_lines(s, d):
+    """Documents as numbered lines whose numbers skip 7: from there on the rest stays in line 6, whose text ends at the next tab."""
+    number = lambda i: F.when(i < 7, i).otherwise(i + 1).cast("string")
+    x = X.read(s, d, "documents").withColumn("text", F.replace("text", F.lit("\t"), F.lit(" ")))
+    x = x.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda t, i: F.concat_ws("\t", number(i), t)), "\n").alias("lines"))
+    return x.select("doc_id", F.inline(C.split_numbered_lines("lines"))).select("doc_id", "line_num", F.sha2("text", 256).alias("text"))
+
+
+@query(f"with {X.CLAIMS} select c.claim_id, count(grp) as n from claims c left join gold using (claim_id) group by 1")
+def c17_validate_evidence(s, d):
+    return X.claims(s, d).select("claim_id", F.size(C.validate_evidence(F.flatten("evidence"))).cast("long").alias("n"))
 
 
 @query(f"with {X.LINES}, p as (select doc_id, line_num, row_number() over (partition by doc_id order by line_num) - 1 as pos, least(5, count(*) over (partition by doc_id)) as k from lines) select doc_id, line_num, round(1.1 * pow(0.8 / 1.1, case when k > 1 then pos / (k - 1) else 0.0 end), 6) as weight from p where pos < k")
@@ -216,6 +318,7 @@ def c24_position_weight(s, d):
 
 # --- V
 
+U01 = "((('0x' || substr(md5(concat(token, '|12|', i, '|{j}')), 1, 8))::bigint)::double + 0.5) / 4294967296.0"
 VC = "vc as (select lang as namespace, w as token, count(*) as n from (select lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents) group by all)"
 
 
@@ -251,12 +354,15 @@ def v4_save_and_load_vocab(s, d):
     return V.load_vocab(s, path)
 
 
-@query()
+@query(f"""with v as (select concat('w', vec_id) as token, vec_id::int as idx, label % 2 = 0 as known, embedding from embeddings), s as (select avg(x::double) as mean, stddev_pop(x::double) as std from (select unnest(embedding) as x from v where known)),
+  p as (select token, idx, known, embedding, unnest(range(64))::int as i from v)
+  select token, idx, i, round((case when known then embedding[i + 1]::float else (mean + std * sqrt(-2 * ln({U01.format(j=0)})) * cos(2 * pi() * {U01.format(j=1)}))::float end)::double, 4) as x from p, s""")
 def v5_vocab_vectors(s, d):
     x = X.read(s, d, "embeddings")
     vectors = x.filter("label % 2 = 0").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vec"))
     vocab = x.select(F.concat(F.lit("w"), "vec_id").alias("token"), F.col("vec_id").cast("int").alias("idx"))
-    return V.vocab_vectors(vocab, vectors, 64)
+    got = V.vocab_vectors(vocab, vectors, 64).select("token", "idx", F.posexplode("vec").alias("i", "x"))
+    return got.withColumn("x", F.round(F.col("x").cast("double"), 4))
 
 
 @query("select distinct concat('w', vec_id % 100) as word from embeddings")
@@ -310,7 +416,16 @@ def l4_exact_match(s, d):
     return L.exact_match(*_sides(s, d))
 
 
-@query()
+@query("""with w as (select distinct conv_id as claim_id, turn % 2 as side, token from (select conv_id, turn, unnest(string_split_regex(text, '\\s+')) as token from conversations) where token <> ''),
+  f as (select claim_id, side, token, unnest([lower(token), regexp_replace(lower(token), '[.,]', '', 'g'), case when lower(token) in ('not', 'n''t') then 'not' else lower(token) end]) as form from w),
+  em as (select distinct a.claim_id, a.side, a.token, 'em' as family from f a join f b on a.claim_id = b.claim_id and a.form = b.form and a.side <> b.side),
+  ant as (select distinct a.claim_id, a.side, a.token, 'ant' as family from w a join w b on a.claim_id = b.claim_id and a.side <> b.side and b.token = reverse(a.token)),
+  up as (select distinct a.claim_id, a.side, a.token, unnest(['anc', 'hyper_1']) as family from w a join w b on a.claim_id = b.claim_id and a.side <> b.side and length(a.token) > 3 and b.token = left(a.token, 3)),
+  down as (select distinct a.claim_id, a.side, a.token, unnest(['desc', 'hypo_1']) as family from w a join w b on a.claim_id = b.claim_id and a.side <> b.side and length(b.token) > 3 and a.token = left(b.token, 3)),
+  found as (select * from em union all select * from ant union all select * from up union all select * from down),
+  cells as (select claim_id, token, k, v from (select distinct claim_id, token from w), (select unnest(range(30)) as k), (select 1 as v)),
+  hit as (select claim_id, token, (list_position(['em', 'ant', 'anc', 'desc', 'hypo_1', 'hyper_1'], family) - 1) * 3 + unnest([side, 2]) as k from found)
+  select claim_id, token, string_agg(case when h.k is null then '0' else '1' end, '' order by c.k) as flags from cells c left join (select distinct * from hit) h using (claim_id, token, k) group by 1, 2""")
 def l5_pair_features(s, d):
     one, two = _sides(s, d)
     words = one.select("token").union(two.select("token")).distinct()
@@ -345,7 +460,9 @@ def r1_stream_pageviews(s, d):
     return _drained(s, streams.stream_pageviews(x)).select("start", "doc", "views")
 
 
-@query()
+@query(f"""with recursive {INDEX}, exact as (select keyword, doc_id, 5.0::double as priority from k1), said as (select p_partkey as claim_id, string_split(concat('the ', p_name, ' ', p_partkey % 50), ' ') as tokens from part), {matches('linked', 'said', 'exact')},
+  r as (select claim_id, doc_id, priority, row_number() over (partition by claim_id, match_key order by length(doc_id) desc, doc_id) - 1 as place, count(*) over (partition by claim_id, match_key) as n from linked),
+  ranked as (select claim_id, doc_id, case when n > 1 then round(greatest(0.0, 1 - 0.2 * place), 6)::double else priority end as priority from r), {TOPK} select * from topd""")
 def r2_stream_link_claims(s, d):
     index = written(X.keyword_titles(s, d).transform(lambda t: t.select("keyword", "doc_id", F.lit(5.0).alias("priority"))), "index")
     x = streams.read_stream(s, d, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", "part.parquet")
@@ -356,13 +473,15 @@ def r2_stream_link_claims(s, d):
     return s.read.schema("claim_id long, doc_id string, priority double, rank int, batch int").parquet(f"{path}/out").drop("batch")
 
 
-@query()
+@query(f"""with {X.HREFS}, chosen as (select page_id // 20 as claim_id, page_id, length(html)::double as score from pages), own as (select claim_id, page_id, target, score from chosen join hrefs using (page_id) where pos = 0),
+  best as (select * from own qualify row_number() over (partition by claim_id order by score desc, page_id) = 1), c as (select claim_id, {encoded('target')} as doc_id, target, score from best),
+  linked as (select distinct page_id // 20 as claim_id, target as doc_id from hrefs where pos = 1), ranked as (select claim_id, doc_id, score as priority from c anti join linked using (claim_id, doc_id)), {TOPK} select * from topd""")
 def r3_stream_second_hop(s, d):
     graph = X.hrefs(s, d).select(F.col("page_id").alias("doc_id"), F.posexplode("h_links").alias("line_num", "target"))
     x = streams.read_stream(s, d, "page_id long, url string, html string", "pages.parquet")
-    chosen = x.select((F.col("page_id") % 20).alias("claim_id"), F.col("page_id").alias("doc_id"), F.lit(0).alias("line_num"), F.length("html").cast("double").alias("score"))
+    chosen = x.select(F.floor(F.col("page_id") / 20).alias("claim_id"), F.col("page_id").alias("doc_id"), F.lit(0).alias("line_num"), F.length("html").cast("double").alias("score"))
     views = X.hrefs(s, d).select(F.explode("h_links").alias("doc")).groupBy("doc").agg(F.count("*").alias("views"))
-    links = graph.filter("line_num = 1").select((F.col("doc_id") % 20).alias("claim_id"), F.col("target").alias("doc_id")).distinct()
+    links = graph.filter("line_num = 1").select(F.floor(F.col("doc_id") / 20).alias("claim_id"), F.col("target").alias("doc_id")).distinct()
     path = f"{scratch_dir(s)}/stream-{uuid.uuid4().hex}"
     streams.stream_second_hop(chosen, graph, links, views, f"{path}/out", f"{path}/at").awaitTermination()
     return s.read.schema("claim_id long, doc_id string, priority double, rank int, batch int").parquet(f"{path}/out").drop("batch")
@@ -378,6 +497,16 @@ def r4_stream_dedup_scores(s, d):
 # --- U
 
 
+@query("select p_brand, count(*) as n, 1 as n_ran, 0 as n_ran_again from part group by 1")
+def u4_step_reuse(s, d):
+    """A finished step is read, not run, by a second run over the same folder."""
+    folder = f"{scratch_dir(s)}/steps-{uuid.uuid4().hex}"
+    first, again = U.Steps(s, folder), U.Steps(s, folder)
+    first("brands", lambda: X.read(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")))
+    rows = again("brands", lambda: X.read(s, d, "part").select("p_brand", F.lit(0).cast("long").alias("n")))
+    return rows.select("p_brand", "n", F.lit(len(first.ran)).alias("n_ran"), F.lit(len(again.ran)).alias("n_ran_again"))
+
+
 @query()
 def u5_two_hop(s, d):
     """The whole pipeline: claims about parts, titles as documents, their types as sentences, links between like names."""

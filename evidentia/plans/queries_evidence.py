@@ -284,17 +284,13 @@ def m21_evidence_profile(s, d):
 # --- N
 
 
-def _hash_sql(*parts: str, seed: int = 12) -> str:
-    return f"((('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 12))::bigint)::double / 281474976710656.0)"
-
-
 AUG = f"""{X.PAIRS}, {X.CLAIMS}, groups as (select claim_id, label, grp, dense_rank() over (partition by claim_id order by grp) - 1 as group_id, doc_id, line_num from gold join claims using (claim_id)),
   base as (select claim_id, label, group_id, doc_id, line_num, false as added from groups where label <> 'NOT ENOUGH INFO'),
-  room as (select claim_id, label, group_id, 5 - count(*) as room, floor({_hash_sql('claim_id', 'group_id')} * (5 - count(*) + 1)) as take from base group by claim_id, label, group_id having count(*) < 5),
+  room as (select claim_id, label, group_id, 5 - count(*) as room, floor({X.hash_sql('claim_id', 'group_id')} * (5 - count(*) + 1)) as take from base group by claim_id, label, group_id having count(*) < 5),
   cand as (select r.*, b.doc_id, b.line_num from room r join best b using (claim_id) anti join base x on x.claim_id = r.claim_id and x.group_id = r.group_id and x.doc_id = b.doc_id and x.line_num = b.line_num),
-  fill as (select claim_id, label, group_id, doc_id, line_num, true as added from (select *, row_number() over (partition by claim_id, group_id order by {_hash_sql('claim_id', 'group_id', 'doc_id', 'line_num', seed=13)}, doc_id, line_num) as r from cand) where r <= take),
+  fill as (select claim_id, label, group_id, doc_id, line_num, true as added from (select *, row_number() over (partition by claim_id, group_id order by {X.hash_sql('claim_id', 'group_id', 'doc_id', 'line_num', seed=13)}, doc_id, line_num) as r from cand) where r <= take),
   none as (select c.claim_id, label, 0 as group_id, doc_id, line_num, true as added from claims c join best b using (claim_id) where label = 'NOT ENOUGH INFO'
-    qualify row_number() over (partition by c.claim_id order by {_hash_sql('c.claim_id', 'doc_id', 'line_num', seed=14)}, doc_id, line_num) <= 2 + floor({_hash_sql('c.claim_id')} * 4)),
+    qualify row_number() over (partition by c.claim_id order by {X.hash_sql('c.claim_id', 'doc_id', 'line_num', seed=14)}, doc_id, line_num) <= 2 + floor({X.hash_sql('c.claim_id')} * 4)),
   aug as (select * from base union all select * from fill union all select * from none)"""
 
 
@@ -308,8 +304,8 @@ def n1_augment_evidence(s, d):
 
 
 @query(f"""with {AUG}, tops as (select c.claim_id, label, doc_id, line_num, row_number() over (partition by c.claim_id order by score desc, doc_id, line_num) <= 2 as top from claims c join best b using (claim_id) where label = 'NOT ENOUGH INFO'),
-  t as (select *, row_number() over (partition by claim_id, top order by {_hash_sql('claim_id', 'top', 'doc_id', 'line_num', seed=14)}, doc_id, line_num) as r from tops),
-  v as (select claim_id, label, 0 as group_id, doc_id, line_num, true as added from t where top or r <= floor({_hash_sql('claim_id')} * 3)),
+  t as (select *, row_number() over (partition by claim_id, top order by {X.hash_sql('claim_id', 'top', 'doc_id', 'line_num', seed=14)}, doc_id, line_num) as r from tops),
+  v as (select claim_id, label, 0 as group_id, doc_id, line_num, true as added from t where top or r <= floor({X.hash_sql('claim_id')} * 3)),
   z as (select * from base union all select * from fill union all select * from v)
   select claim_id, label, group_id::int as group_id, doc_id, line_num, added from z""")
 def n2_augment_evidence_v11(s, d):
@@ -415,7 +411,7 @@ def n14_shuffle_sentences(s, d):
     return x.select("conv_id", F.array_join(N.shuffle_sentences("t", "conv_id"), "|").alias("texts"))
 
 
-@query()
+@query(f"select conv_id as claim_id, turn * 100000 + i as pos, 36 as n, {X.hash_sql('text')} as prob from (select conv_id, turn, text, unnest(range(len(string_split_regex(text, '\\s+')))) as i from conversations)")
 def n15_token_features(s, d):
     x = _talk(s, d).select(F.col("conv_id").alias("claim_id"), "doc_id", "line_num", F.posexplode(F.split("text", r"\s+")).alias("i", "token"))
     tokens = x.withColumn("pos", F.col("line_num") * 100_000 + F.col("i"))
@@ -439,12 +435,12 @@ def t14_candidate_count_stats(s, d):
     return T.candidate_count_stats(X.pairs(s, d)).select(R("mean"), "max", "min", R("std"))
 
 
-@query(f"with {X.PAIRS}, p as (select *, line_num % 2 = 0 as t from pairs) select claim_id, doc_id, line_num, score from p where t or {_hash_sql('claim_id', 'doc_id', 'line_num')} < 0.3")
+@query(f"with {X.PAIRS}, p as (select *, line_num % 2 = 0 as t from pairs) select claim_id, doc_id, line_num, score from p where t or {X.hash_sql('claim_id', 'doc_id', 'line_num')} < 0.3")
 def t11_downsample_negatives(s, d):
     return T.downsample_negatives(_labelled(s, d), 0.3).select("claim_id", "doc_id", "line_num", "score")
 
 
-@query(f"""with {X.PAIRS}, p as (select *, line_num % 2 = 0 as t, {_hash_sql('claim_id', 'doc_id', 'line_num')} as h from uniq), m as (select least(count(*) filter (t), count(*) filter (not t)) as m from p)
+@query(f"""with {X.PAIRS}, p as (select *, line_num % 2 = 0 as t, {X.hash_sql('claim_id', 'doc_id', 'line_num')} as h from uniq), m as (select least(count(*) filter (t), count(*) filter (not t)) as m from p)
   select claim_id, doc_id, line_num, t::varchar as selection_label from (select *, row_number() over (partition by t order by h, claim_id, doc_id, line_num) as r from p), m where r <= m""")
 def t15_balance_pairs(s, d):
     rows = E.first_rows(X.pairs(s, d), "pos").withColumn("selection_label", F.when(F.col("line_num") % 2 == 0, "true").otherwise("false"))

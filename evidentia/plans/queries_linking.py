@@ -9,6 +9,8 @@ from evidentia.functions import columns as C
 from evidentia.operators import docs as D
 from evidentia.operators import linking as K
 from evidentia.plans import standins as X
+from evidentia.plans.queries_retrieval import W as WEIGHT
+from evidentia.plans.queries_retrieval import grams
 from evidentia.plans.registry import query
 from evidentia.sources import tables as S
 
@@ -20,6 +22,13 @@ def _tokens(text: str) -> F.Column:
     return F.split(text, r"\s+")
 
 
+def encoded(target: str) -> str:
+    """SQL of a link target as a document id."""
+    for plain, code in (("(", "-LRB-"), (")", "-RRB-"), ("[", "-LSB-"), ("]", "-RSB-"), ("{", "-LCB-"), ("}", "-RCB-"), (":", "-COLON-"), (" ", "_")):
+        target = f"replace({target}, '{plain}', '{code}')"
+    return target
+
+
 # --- K
 
 INDEX = f"""{X.TITLES}, kt as (select distinct doc_id, trim(regexp_replace(replace(doc_id, '_', ' '), '(-(?:[LR][RSC]B|COLON)-)', ' \\1 ', 'g')) as k0, base, bracketed, other from titles),
@@ -52,18 +61,44 @@ def k2_drop_noise_keywords(s, d):
 def _index(s, d) -> DataFrame:
     return K.build_keyword_index(X.keyword_titles(s, d))
 
-
-@query()
+def matches(name: str, claims: str, index: str = "idx", lower: bool = False) -> str:
+    """SQL of the leftmost-longest matches of ``claims`` (claim_id, tokens) as ``name``: the sweep follows each taken span to the next free start."""
+    key, word = ("lower(match_key)", "lower(keyword)") if lower else ("match_key", "keyword")
+    return f"""{name}_g as (select claim_id, start, start + k as stop, array_to_string(tokens[start + 1:start + k], ' ') as match_key from (
+    select *, unnest(range(1, least(len(tokens) - start, (select max(len(string_split(keyword, ' '))) from {index})) + 1)) as k from (select claim_id, tokens, unnest(range(len(tokens))) as start from {claims}))),
+  {name}_b as (select claim_id, start, max(stop) as stop, arg_max(match_key, stop) as match_key from {name}_g where {key} in (select {word} from {index}) group by claim_id, start),
+  {name}_x as (select a.*, (select min(b.start) from {name}_b b where b.claim_id = a.claim_id and b.start >= a.stop) as following from {name}_b a),
+  {name}_s as (select x.* from {name}_x x join (select claim_id, min(start) as start from {name}_b group by 1) using (claim_id, start) union all select x.* from {name}_s s join {name}_x x on x.claim_id = s.claim_id and x.start = s.following),
+  {name} as (select claim_id, match_key, start::int as start, stop::int as stop, doc_id, max(priority)::double as priority from {name}_s join {index} on {key} = {word} group by all)"""
+
+
+TITLE_CLAIMS = "claims as (select p_partkey as claim_id, string_split(concat('The ', p_name, ' ', p_partkey % 50, ' beat a ', lower(p_type), ' and the ', p_name, ' album'), ' ') as tokens from part)"
+MATCHED = f"recursive {INDEX}, {TITLE_CLAIMS}, {matches('links', 'claims')}"
+#: Every keyword and its documents start with the same letter here, so no key fails and none is matched again; tests/test_operators.py has rows where that happens.
+SAME_LETTER = f"left(doc_id, 1) = left(match_key, 1) and lower(match_key) not in ({STOPS})"
+FREQUENT = f"""freq as (select unnest(regexp_extract_all(lower(array_to_string(tokens, ' ')), '[a-z0-9]+')) as word, from claims), n as (select word, count(*) as n from freq group by 1),
+  words as (select match_key, unnest(string_split(lower(match_key), ' ')) as word from (select distinct match_key from links)),
+  flags as (select match_key, bool_and(coalesce(n, 0) > {{above}}) as frequent from words left join n using (word) group by 1)"""
+PLAIN = "claim_id, match_key, doc_id, priority"
+#: The first of the tokens left in title case.
+TITLED = "list_concat([concat(upper(left(tokens[2], 1)), lower(substr(tokens[2], 2)))], tokens[3:])"
+ARTICLE = f"bare as (select claim_id, {TITLED} as tokens from claims where tokens[1] in ('The', 'A', 'An') and len(tokens) > 1), {matches('more', 'bare')}, both_ as (select {PLAIN} from links union select {PLAIN} from more)"
+SINGULAR = """case when regexp_matches(w, '(?i)(ss|us|is)$') then w when regexp_matches(w, '(?i)[^aeiou]ies$') then regexp_replace(w, '(?i)([^aeiou])ies$', '\\1y') when regexp_matches(w, '(?i)(sh|ch|x|ss|z)es$') then regexp_replace(w, '(?i)(sh|ch|x|ss|z)es$', '\\1')
+    when regexp_matches(w, '(?i)[aeo]ves$') then regexp_replace(w, '(?i)([aeo])ves$', '\\1f') when regexp_matches(w, '(?i)men$') then regexp_replace(w, '(?i)men$', 'man') when regexp_matches(w, '(?i)s$') then regexp_replace(w, '(?i)s$', '') else w end"""
+SINGULARS = f"rest as (select claim_id, list_transform(tokens, lambda w: {SINGULAR}) as tokens from claims where claim_id not in (select claim_id from {{linked}})), {matches('single', 'rest')}"
+
+
+@query(f"with {MATCHED} select * from links")
 def k3_link_keywords(s, d):
     return K.link_keywords(X.title_claims(s, d), _index(s, d))
 
 
-@query()
+@query(f"with {MATCHED} select claim_id, match_key, doc_id, max(priority) as priority from links where {SAME_LETTER} group by all")
 def k4_first_letter_filter(s, d):
     return K.first_letter_filter(X.title_claims(s, d), _index(s, d))
 
 
-@query()
+@query(f"with {MATCHED} select * from links where {SAME_LETTER}")
 def k5_link_keywords_multi(s, d):
     return K.link_keywords_multi(X.title_claims(s, d), _index(s, d))
 
@@ -72,12 +107,12 @@ def _frequencies(s, d) -> DataFrame:
     return K.word_frequencies(X.title_claims(s, d), "claim")
 
 
-@query()
+@query(f"with {MATCHED}, {FREQUENT.format(above=5)} select links.* from links join flags using (match_key) where lower(match_key) not in ({STOPS}) and (not frequent or left(doc_id, 1) = left(match_key, 1))")
 def k6_link_frequency_aware(s, d):
     return K.link_frequency_aware(X.title_claims(s, d), _index(s, d), _frequencies(s, d))
 
 
-@query()
+@query(f"with {MATCHED}, {FREQUENT.format(above=1000)} select links.* from links join flags using (match_key) where lower(match_key) not in ({STOPS}) and case when frequent then left(doc_id, 1) = left(match_key, 1) when regexp_matches(match_key, '^[a-z]') then not contains(doc_id, '-LRB-') else true end")
 def k7_link_no_bracket(s, d):
     return K.link_no_bracket(X.title_claims(s, d), _index(s, d), _frequencies(s, d), 1000)
 
@@ -87,20 +122,21 @@ def k8_word_frequencies(s, d):
     return K.frequent_words(K.word_frequencies(X.read(s, d, "documents")))
 
 
-@query()
+@query(f"with {MATCHED}, {ARTICLE} select * from both_")
 def k9_article_rule(s, d):
     claims, index = X.title_claims(s, d), _index(s, d)
     return K.article_rule(claims, K.link_keywords(claims, index), index)
 
 
-@query()
+@query(f"with {MATCHED.replace(TITLE_CLAIMS, TITLE_CLAIMS.replace('claims as', 'said as') + ", claims as (select claim_id, list_transform(tokens, lambda t: concat(t, 's')) as tokens from said)")}, {SINGULARS.format(linked='links')} select {PLAIN} from links union all select {PLAIN} from single")
 def k10_singularize_fallback(s, d):
     claims, index = X.title_claims(s, d).withColumn("tokens", F.transform("tokens", lambda t: F.concat(t, F.lit("s")))), _index(s, d)
     links = K.link_keywords(claims, index).select("claim_id", "match_key", "doc_id", "priority")
     return K.singularize_fallback(claims, links, index)
 
 
-@query()
+@query(f"""with {MATCHED.replace(TITLE_CLAIMS, TITLE_CLAIMS.replace('claims as', 'said as') + ", claims as (select claim_id, list_transform(tokens, lambda t: upper(t)) as tokens from said)")},
+  rest as (select claim_id, list_filter(tokens, lambda w: lower(w) not in ({STOPS})) as tokens from claims where claim_id not in (select claim_id from links)), {matches('low', 'rest', lower=True)} select {PLAIN} from links union all select {PLAIN} from low""")
 def k11_lowercase_fallback(s, d):
     claims, index = X.title_claims(s, d).withColumn("tokens", F.transform("tokens", F.upper)), _index(s, d)
     links = K.link_keywords(claims, index).select("claim_id", "match_key", "doc_id", "priority")
@@ -121,18 +157,43 @@ def k13_docid_rules(s, d):
     return K.docid_rules(links, claims).select("claim_id", "doc_id", "priority")
 
 
-@query()
+DOCID_RULES = f"""inner_ as (select chained.*, tokens, regexp_extract(doc_id, '-LRB-(.*)-RRB-', 1) as inside from chained join claims using (claim_id)),
+  ruled as (select claim_id, match_key, doc_id, round((case when priority <> 1 then priority when inside <> '' and inside not in ({STOPS}) and list_contains(list_transform(tokens, lambda w: lower(w)), inside) then 3.0 else 1.0 end)
+    + case inside when 'film' then 0.2 when 'album' then 0.1 else 0.0 end, 6)::double as priority from inner_)"""
+
+
+@query(f"with {MATCHED}, {ARTICLE}, {SINGULARS.format(linked='both_')}, chained as (select * from both_ union all select {PLAIN} from single), {DOCID_RULES} select * from ruled")
 def k14_rule_chain(s, d):
     claims, index = X.title_claims(s, d), _index(s, d)
     return K.rule_chain(None, K.preset("default", claims, index))
 
 
-@query()
+@query(f"""with recursive {INDEX}, {TITLE_CLAIMS}, i0 as (select * from idx where priority = 5), i1 as (select * from idx where priority = 1), {matches('l0', 'claims', 'i0')}, {matches('l1', 'claims', 'i1')}
+  select * replace (5.0::double as priority), 0 as index_id from l0 union all select * replace (1.0::double as priority), 1 from l1""")
 def k15_multi_index_link(s, d):
     index = _index(s, d)
     return K.multi_index_link(X.title_claims(s, d), [(index.filter("priority = 5"), 5.0), (index.filter("priority = 1"), 1.0)])
 
 
+@query(f"with {MATCHED} select {PLAIN} from links where priority = 5 and not contains(doc_id, 'disambiguation') and length(match_key) > 9")
+def u1_user_rules(s, d):
+    """A user's own rule set: any functions of links, in their order."""
+    claims, index = X.title_claims(s, d), _index(s, d)
+    rules = [lambda links: K.link_keywords(claims, index).select("claim_id", "match_key", "doc_id", "priority"), lambda links: links.filter("priority = 5 and not contains(doc_id, 'disambiguation')"), lambda links: links.filter("length(match_key) > 9")]
+    return K.rule_chain(None, rules)
+
+
+RAW = MATCHED.replace("links as (", "every as (") + f", links as (select claim_id, match_key, doc_id, max(priority) as priority from every where {SAME_LETTER} group by all)"
+
+
+@query(f"with {RAW}, {ARTICLE}, {SINGULARS.format(linked='both_')}, chained as (select *, 'nopageview' as method from both_ union all select *, 'raw_id' from both_ union all select {PLAIN}, 'raw_id' from single), {DOCID_RULES.replace('select claim_id, match_key', 'select method, claim_id, match_key')} select * from ruled")
+def u6_method_choice(s, d):
+    """Presets by name over the same claims."""
+    claims, index = X.title_claims(s, d), _index(s, d)
+    runs = [K.rule_chain(None, K.preset(name, claims, index)).select(F.lit(name).alias("method"), "claim_id", "match_key", "doc_id", "priority") for name in ("nopageview", "raw_id")]
+    return runs[0].unionByName(runs[1])
+
+
 @query(f"with {INDEX} select distinct doc_id, keyword from k1")
 def k16_build_keyword_dict(s, d):
     return K.build_keyword_dict(X.titles(s, d).select(F.col("doc_id").alias("id")).distinct())
@@ -164,7 +225,14 @@ def _page_links(s, d) -> DataFrame:
     return X.hrefs(s, d).select(F.col("page_id").alias("doc_id"), F.posexplode("h_links").alias("line_num", "target"))
 
 
-@query()
+@query(f"""with {X.HREFS}, pairs as (select page_id as item_id, unnest(range(len(l))) as line_num, unnest(l) as text from (select page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) as l from pages)),
+  asked as (select page_id as item_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as text from pages),
+  counts as (select item_id, line_num, term, count(*) as tf from {grams('pairs', 'item_id, line_num')} group by all), qc as (select item_id, term, count(*) as tf from {grams('asked', 'item_id')} group by all),
+  dfs as (select item_id, term, count(*) as df from counts group by all), ns as (select item_id, count(*) as n from pairs group by 1), idf as (select item_id, term, df, n from dfs join ns using (item_id) where n - df > df),
+  sc as (select item_id, line_num, round(sum({WEIGHT.format(tf='qc.tf')} * {WEIGHT.format(tf='counts.tf')}), 9) as score from qc join idf using (item_id, term) join counts using (item_id, term) group by all),
+  chosen as (select item_id, line_num from (select * from sc where score > 0 qualify row_number() over (partition by item_id order by score desc, line_num) <= 5) where score > 0.5),
+  more as (select distinct item_id, {encoded('target')} as doc_id from chosen join hrefs on page_id = item_id and pos % 4 = line_num)
+  select page_id as claim_id, page_id::varchar as doc_id, 1.0::double as priority from pages union all select item_id, doc_id, 1.0::double from more""")
 def d4_expand_from_docs(s, d):
     p = X.read(s, d, "pages").withColumn("doc", F.col("page_id").cast("string"))
     sentences = p.select(F.col("doc").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))).alias("line_num", "text"))
@@ -278,7 +346,10 @@ def d13_disambiguation_pairs(s, d):
     return D.disambiguation_pairs(_title_links(s, d), _title_texts(s, d), first).select("selection_id", "claim_id", "doc_id", "selection_label")
 
 
-@query()
+@query(f"""with {TL}, cand as (select distinct claim_id, doc_id, br from te), gold as (select distinct claim_id, doc_id from te where priority < 2), pos as (select distinct claim_id, doc_id from te where priority < 2 and br and not exact),
+  placed as (select *, row_number() over (partition by claim_id order by {X.hash_sql('claim_id', 'doc_id')}, doc_id) as r, 6 + floor({X.hash_sql('claim_id', seed=13)} * 7) as most from cand),
+  neg as (select claim_id, doc_id from placed anti join gold using (claim_id, doc_id) where r <= most and br), kept as (select * from neg qualify row_number() over (order by {X.hash_sql('claim_id', 'doc_id', seed=14)}, claim_id, doc_id) <= 2 * (select count(*) from pos))
+  select *, 'true' as selection_label from pos union all select *, 'false' from kept""")
 def d14_disambiguation_train_pairs(s, d):
     links = _title_links(s, d)
     return D.disambiguation_train_pairs(links, links.filter("priority < 2"), _title_texts(s, d), ratio=2.0)

@@ -15,20 +15,20 @@ from evidentia.plans.scratch import written
 STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in C.STOP_WORDS)
 
 
-def _grams(source: str, keys: str) -> str:
+def grams(source: str, keys: str) -> str:
     """1- and 2-grams of source's text without filtered ends."""
     return f"""(select {keys}, unnest(list_concat(list_filter(ws, lambda w: w not in ({STOPS})), list_filter([case when ws[i] in ({STOPS}) or ws[i + 1] in ({STOPS}) then null else concat(ws[i], ' ', ws[i + 1]) end for i in range(1, len(ws))], lambda g: g is not null))) as term
     from (select {keys}, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from {source}))"""
 
 
-CORPUS = f"""{X.LINES}, counts as (select doc_id, line_num, term, count(*) as tf from {_grams('lines', 'doc_id, line_num')} group by all),
+CORPUS = f"""{X.LINES}, counts as (select doc_id, line_num, term, count(*) as tf from {grams('lines', 'doc_id, line_num')} group by all),
   dfs as (select term, count(*) as df from counts group by 1), n as (select count(*) as n from lines),
   idf as (select term, df, n from dfs, n where n - df > df),
-  qc as (select item_id, term, count(*) as tf from {_grams('benchmark', 'item_id')} group by all)"""
+  qc as (select item_id, term, count(*) as tf from {grams('benchmark', 'item_id')} group by all)"""
 W = "ln(1 + {tf}) * greatest(0.0, ln((n - df + 0.5) / (df + 0.5)))"
 
 
-@query(f"with {X.LINES} select doc_id, line_num, term, count(*) as tf from {_grams('lines', 'doc_id, line_num')} group by all")
+@query(f"with {X.LINES} select doc_id, line_num, term, count(*) as tf from {grams('lines', 'doc_id, line_num')} group by all")
 def t1_ngram_counts(s, d):
     return tfidf.ngram_counts(X.lines(s, d), ["doc_id", "line_num"])
 
@@ -64,10 +64,10 @@ def t5_closest_sentences(s, d):
 #: Documents are dealt to all passages in turn.
 DEALT = "doc_id % (select count(*) from benchmark)"
 CAND = f"""{X.LINES}, cand as (select {DEALT} as item_id, doc_id, line_num, text from lines),
-  counts as (select item_id, doc_id, line_num, term, count(*) as tf from {_grams('cand', 'item_id, doc_id, line_num')} group by all),
+  counts as (select item_id, doc_id, line_num, term, count(*) as tf from {grams('cand', 'item_id, doc_id, line_num')} group by all),
   dfs as (select item_id, term, count(*) as df from counts group by all), ns as (select item_id, count(*) as n from cand group by 1),
   idf as (select item_id, term, df, n from dfs join ns using (item_id) where n - df > df),
-  qc as (select item_id, term, count(*) as tf from {_grams('benchmark', 'item_id')} group by all),
+  qc as (select item_id, term, count(*) as tf from {grams('benchmark', 'item_id')} group by all),
   sc as (select qc.item_id, doc_id, line_num, round(sum({W.format(tf='qc.tf')} * {W.format(tf='counts.tf')}), 9) as score from qc join idf on idf.item_id = qc.item_id and idf.term = qc.term join counts on counts.item_id = qc.item_id and counts.term = qc.term group by all)"""
 
 
@@ -85,7 +85,7 @@ def t6_rank_sentences_online(s, d):
     return got.select("item_id", "doc_id", "line_num", F.round("score", 5).alias("score"), "rank")
 
 
-DOCS = CAND.replace("counts as (select item_id, doc_id, line_num, term", "counts as (select item_id, doc_id, term").replace(_grams("cand", "item_id, doc_id, line_num"), _grams("dt", "item_id, doc_id")).replace(f"cand as (select {DEALT} as item_id, doc_id, line_num, text from lines)", f"dt as (select {DEALT} as item_id, doc_id, text from documents)").replace("from cand group", "from dt group").replace("qc.item_id, doc_id, line_num, round", "qc.item_id, doc_id, round")
+DOCS = CAND.replace("counts as (select item_id, doc_id, line_num, term", "counts as (select item_id, doc_id, term").replace(grams("cand", "item_id, doc_id, line_num"), grams("dt", "item_id, doc_id")).replace(f"cand as (select {DEALT} as item_id, doc_id, line_num, text from lines)", f"dt as (select {DEALT} as item_id, doc_id, text from documents)").replace("from cand group", "from dt group").replace("qc.item_id, doc_id, line_num, round", "qc.item_id, doc_id, round")
 
 
 @query(f"with {DOCS}, r as (select * from sc where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 100) select dt.item_id as claim_id, dt.doc_id, round(coalesce(score, 0.0), 5) as priority from dt left join r on r.item_id = dt.item_id and r.doc_id = dt.doc_id")

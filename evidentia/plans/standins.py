@@ -116,3 +116,10 @@ def title_claims(spark, sf_dir) -> DataFrame:
     p = read(spark, sf_dir, "part")
     claim = F.concat(F.lit("The "), "p_name", F.lit(" "), (F.col("p_partkey") % 50).cast("string"), F.lit(" beat a "), F.lower("p_type"), F.lit(" and the "), "p_name", F.lit(" album"))
     return p.select(F.col("p_partkey").alias("claim_id"), claim.alias("claim"), F.split(claim, " ").alias("tokens"), F.lit(None).cast("array<string>").alias("lemmas"))
+
+
+# --- a number in [0, 1) from a row's key, as operators.select.hash_fraction
+
+
+def hash_sql(*parts: str, seed: int = 12) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 12))::bigint)::double / 281474976710656.0)"

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evidentia.functions import columns as C
+from evidentia.plans.scratch import written
 from evidentia.sources import schemas
 
 
@@ -118,6 +120,17 @@ def cache_update(cache: DataFrame, fresh: DataFrame, key: str = "key") -> DataFr
     return fresh.dropDuplicates([key]).join(cache.select(key), key, "left_anti")
 
 
+def cache_load(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A cache written by cache_append."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def cache_append(spark: SparkSession, path: str, fresh: DataFrame, key: str = "key") -> None:
+    """Appends the rows of ``fresh`` whose key the cache lacks; they are written aside first, so that the cache isn't read while it grows."""
+    new = written(cache_update(cache_load(spark, path, fresh.schema), fresh, key), "cache")
+    new.write.mode("append").parquet(path)
+
+
 def submission(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("id", "predicted_label", "predicted_evidence")
 
