@@ -3,8 +3,10 @@
 One hash per shingle: its top bits choose a bucket, and a bucket's register keeps, of the least remaining hash, the
 count of leading zeros and a few mantissa bits in one byte. Registers of empty buckets are borrowed from filled ones
 (by a fixed random preference of each bucket) for banding only, so that short texts are banded as surely as long
-ones. Documents that share a band are candidates; the registers' collision-corrected Jaccard estimate discards
-candidates far below the threshold; the rest are confirmed on full shingle sets.
+ones. The registers are banded twice, in different orders and with different borrowing: a pair of exactly the threshold 0.8
+then shares no band with a probability near 2e-8, short sets (which get all bands of the second order) less. Documents
+that share a band are candidates; the registers' collision-corrected Jaccard estimate discards candidates far below
+the threshold; the rest are confirmed on full shingle sets.
 
 No bucket is expanded into all pairs: each member is compared with the bucket's pivot, the member with the most
 neighbours (the original of a group of edited copies), and verified links are contracted to components. For buckets that still span several components, an exact prefix join over the members' differences from the
@@ -30,10 +32,13 @@ BUCKET_BITS = 9
 BUCKETS = 1 << BUCKET_BITS
 ROWS = 8  # registers a band: one 64-bit word
 BANDS = BUCKETS // ROWS
+#: Sets of at most SHORT shingles, where two least hashes in one bucket weigh most, get all bands of the second order; longer ones the first MORE_BANDS.
+SHORT = 200
+MORE_BANDS = BANDS // 2
 MANTISSA_BITS = 4
 MAX_ZEROS = 14
 #: A candidate is discarded when its estimate is this many standard errors below the threshold.
-MARGIN = 5.0
+MARGIN = 6.0
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _ATTEMPTS = 12
@@ -72,13 +77,14 @@ def registers(sh: np.ndarray) -> np.ndarray:
 
 
 class _Banding:
-    """Borrowing for empty buckets, and band keys."""
+    """Borrowing for empty buckets, and band keys, in one order of the registers."""
 
-    def __init__(self) -> None:
-        rng = np.random.default_rng(20240607)  # fixed: the preferences are part of the signature's definition
+    def __init__(self, order: int) -> None:
+        rng = np.random.default_rng(20240607 + order)  # fixed: the preferences are part of the signature's definition
         self.tries = rng.integers(0, BUCKETS, (_ATTEMPTS, BUCKETS))
         self.rank = rng.permuted(np.tile(np.arange(BUCKETS, dtype=np.int16), (BUCKETS, 1)), axis=1)
-        self.salt = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _K)
+        self.salt = mixed(np.arange(order * BANDS + 1, (order + 1) * BANDS + 1, dtype=np.uint64) * _K)
+        self.place = rng.permutation(BUCKETS)
 
     def keys(self, regs: np.ndarray) -> np.ndarray:
         """regs: documents x buckets, each with a filled bucket. Returns documents x bands, int64."""
@@ -95,6 +101,7 @@ class _Banding:
             filled = np.flatnonzero(regs[d])
             left = empty[doc == d]
             full[d, left] = regs[d, filled[self.rank[np.ix_(left, filled)].argmin(1)]]
+        full = full[:, self.place]
         return mixed(np.ascontiguousarray(full).view(np.uint64).reshape(len(full), BANDS) ^ self.salt).view(np.int64)
 
 
@@ -150,13 +157,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS)
 
 
+def band_keys(regs: np.ndarray, sizes: np.ndarray, bandings: tuple[_Banding, _Banding]) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of sets one after another, and how many each set has."""
+    keys = np.concatenate([b.keys(regs) for b in bandings], 1)
+    bands = np.where(sizes <= SHORT, 2 * BANDS, BANDS + MORE_BANDS)
+    return keys[np.arange(2 * BANDS) < bands[:, None]], bands
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    banding = _Banding()
+    bandings = _Banding(0), _Banding(1)
     for batch in batches:
         for start in range(0, batch.num_rows, 2048):
             part = batch.slice(start, 2048)
-            keys = banding.keys(_matrix(part.column("regs")))
-            yield pa.RecordBatch.from_arrays([part.column("node"), ragged(keys.ravel(), [BANDS] * len(keys))], ["node", "keys"])
+            if not part.num_rows:
+                continue
+            keys, bands = band_keys(_matrix(part.column("regs")), part.column("n_shingles").to_numpy(), bandings)
+            yield pa.RecordBatch.from_arrays([part.column("node"), ragged(keys, bands)], ["node", "keys"])
 
 
 def _likely(threshold: float):
@@ -293,7 +309,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float |
     reps = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
 
-    bands = reps.select("node", "regs").mapInArrow(_bands, "node long, keys array<long>")
+    bands = reps.select("node", "n_shingles", "regs").mapInArrow(_bands, "node long, keys array<long>")
     bands = written(bands.select("node", F.explode("keys").alias("key")), "bands")
     sizes = written(bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "sizes")
     shared = written(bands.join(sizes, "key"), "shared")
