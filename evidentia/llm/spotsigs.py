@@ -2,7 +2,8 @@
 
 A signature is an anchor (a common word) and the chain of the next ``CHAIN`` content words (words that are no anchors)
 after it. A document's fingerprint is the set of its signatures, which follows running prose and ignores boilerplate
-with few common words. Likeness is Jaccard's; a search compares only documents whose set lengths allow the
+with few common words. Where no common word comes for ``GAP`` words (lists, other languages) a quarter of the words, chosen by hash, are
+anchors too, so that no long stretch of a text is without signatures. Likeness is Jaccard's; a search compares only documents whose set lengths allow the
 threshold, over the rarest signatures, and gives up a comparison when the threshold is out of reach.
 """
 
@@ -22,6 +23,9 @@ from evidentia.llm.arrow import pieces, row_hash
 from evidentia.plans.scratch import written
 
 CHAIN = 2
+GAP = 24
+#: Bytes of text that a range of doc_id aims at.
+RANGE_BYTES = 32 << 20
 # Common words of English, German, French and Spanish that serve as anchors.
 ANCHORS = frozenset(
     """
@@ -50,6 +54,9 @@ def signatures(text: str, cache: _Words) -> np.ndarray:
         cache.clear()
     hashes = np.fromiter((h for h, _ in found), np.uint64, len(found))
     anchor = np.fromiter((a for _, a in found), bool, len(found))
+    at = np.arange(len(found))
+    since = at - np.maximum.accumulate(np.where(anchor, at, -1))
+    anchor |= (since > GAP) & (hashes % np.uint64(4) == 0)
     content = np.concatenate([hashes[~anchor], np.arange(1, CHAIN + 1, dtype=np.uint64)])
     spots = np.flatnonzero(anchor)
     follow = np.concatenate([[0], spots - np.arange(len(spots))])  # how many content words stand before the anchor
@@ -112,11 +119,11 @@ def fingerprints(docs: DataFrame, groups: int | None = None) -> DataFrame:
     an empty result.
 
     Texts are shuffled once, into ranges of doc_id; the first row of each range is also sent to the range before, so that
-    each row meets its successor. Ranges follow the doc_ids' quantiles; they, not texts, come to the driver.
+    each row meets its successor. Ranges follow the doc_ids' quantiles, as many as give RANGE_BYTES each; they, not texts, come
+    to the driver.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = groups or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = groups or max(8, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     bounds = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []))
     cuts = [int(b) for b in bounds]
     # number of bounds below doc_id or equal, by a fixed sorted array
@@ -132,7 +139,8 @@ def fingerprints(docs: DataFrame, groups: int | None = None) -> DataFrame:
     first = F.create_map(*[F.lit(x) if not isinstance(x, tuple) else F.struct(F.lit(x[0]).alias("none"), F.lit(x[1]).cast("long").alias("doc_id"), F.lit(x[2]).alias("hash")) for r in firsts for x in (r["group"], tuple(r["first"]))])
     copies = keyed.filter(F.col("place").eqNullSafe(first[F.col("group")])).dropDuplicates(["place"]).withColumn("group", target[F.col("group")]).withColumn("sent", F.lit(True))
     both = keyed.withColumn("sent", F.lit(False)).unionByName(copies)
-    both = both.repartition(len(firsts), "group").sortWithinPartitions("group", "sent", "place", "text")
+    # twice as many partitions as ranges: fewer ranges meet in one task
+    both = both.repartition(2 * len(firsts), "group").sortWithinPartitions("group", "sent", "place", "text")
     return both.select("group", "doc_id", "text", "sent").mapInArrow(_compared, SCHEMA)
 
 

@@ -452,6 +452,17 @@ def test_spotsigs(docs, table):
     assert sum(r.near_edited for r in got.values()) > 10 * sum(r.near_next for r in got.values())
 
 
+def test_texts_without_common_words_have_signatures_all_along():
+    text = [f"zq{i}" for i in range(400)]
+    one = set(spotsigs.signatures(" ".join(text), spotsigs._Words()).tolist())
+    assert len(one) > 50
+    shared = []
+    for at in (100, 300):
+        other = set(spotsigs.signatures(" ".join(text[:at] + [f"other{i}" for i in range(80)] + text[at + 80 :]), spotsigs._Words()).tolist())
+        shared.append(len(one & other) / len(one | other))
+    assert all(0.5 < x < 0.9 for x in shared)
+
+
 def test_spotsigs_of_odd_rows(spark, odd, empty):
     got = spotsigs.fingerprints(odd, 3).collect()
     assert len(got) == 11
