@@ -139,8 +139,8 @@ def fingerprints(docs: DataFrame, groups: int | None = None) -> DataFrame:
     first = F.create_map(*[F.lit(x) if not isinstance(x, tuple) else F.struct(F.lit(x[0]).alias("none"), F.lit(x[1]).cast("long").alias("doc_id"), F.lit(x[2]).alias("hash")) for r in firsts for x in (r["group"], tuple(r["first"]))])
     copies = keyed.filter(F.col("place").eqNullSafe(first[F.col("group")])).dropDuplicates(["place"]).withColumn("group", target[F.col("group")]).withColumn("sent", F.lit(True))
     both = keyed.withColumn("sent", F.lit(False)).unionByName(copies)
-    # twice as many partitions as ranges: fewer ranges meet in one task
-    both = both.repartition(2 * len(firsts), "group").sortWithinPartitions("group", "sent", "place", "text")
+    # a task for each range, instead of ranges that meet by their hashes
+    both = both.repartitionById(max(before) + 1, F.col("group")).sortWithinPartitions("group", "sent", "place", "text")
     return both.select("group", "doc_id", "text", "sent").mapInArrow(_compared, SCHEMA)
 
 
