@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, brown_lm, langid, line_dedup, media, mixing, near_dedup, spotsigs, token_counts, toxicity
+from evidentia.llm import alignment, bpe, brown_lm, hard_negatives, langid, line_dedup, maxscore, media, mixing, near_dedup, spotsigs, token_counts, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+SIDES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 WORDS = 2
 
 
@@ -59,8 +60,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("removed_lines").cast("long").alias("removed_lines"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"), *map(public_tokenizers.path, SIDES))
+
+
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_near_dedup, op2_toxicity, op3_brown_lm, op4_mixing, op5_spotsigs, op6_media, op7_bpe, op8_token_counts, op9_langid, op10_line_dedup, op11_hard_negatives, op12_alignment, op13_maxscore)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_brown_lm, op4_mixing, op5_spotsigs, op6_media, op7_bpe, op8_token_counts, op9_langid, op10_line_dedup)}
+    return {f.__name__: f for f in _ALL}
 
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
@@ -92,6 +108,25 @@ OP10_SQL = f"""with l as (select doc_id, string_split(text, chr(10)) as ls from
   select doc_id, coalesce(removed, 0) as removed_lines, length(t) as kept_chars, sha256(t) as kept_sha256 from documents left join kept using (doc_id)"""
 
 
+_VECTORS = """v as materialized (select row_number() over () as r, vec_id, label, [floor({} * x::double) for x in embedding] as e from embeddings
+    where embedding is not null and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0)"""
+
+#: Each anchor against all rows.
+OP11_SQL = f"""with {_VECTORS.format(256)},
+  l as (select r, vec_id, e, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end as label from v where label is not null),
+  s as (select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id, a.label = b.label as same, list_dot_product(a.e, b.e)::bigint as score from l a join l b on a.r <> b.r where a.vec_id % 100 = 0),
+  p as (select * from s where same qualify row_number() over (partition by ar order by score desc, vec_id, br) <= 5),
+  n as (select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.ar, p.br order by s.score desc, s.vec_id, s.br)::int as rank, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+    from p join s on s.ar = p.ar and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+  select * from n where rank <= 5"""
+
+#: Each query against all rows.
+OP13_SQL = f"""with {_VECTORS.format(64)},
+  s as (select q.r as qr, q.vec_id as query_id, c.r, c.vec_id, list_dot_product(q.e, c.e)::bigint as score from v q join v c on q.r <> c.r where q.vec_id % 20 = 0),
+  f as (select query_id, row_number() over (partition by qr order by score desc, vec_id, r)::int as rank, vec_id, score from s)
+  select * from f where rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are tested against brute force, round trips or held-out rows."""
-    return {"op1_near_dedup": OP1_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op10_line_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_maxscore": OP13_SQL}
