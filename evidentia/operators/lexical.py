@@ -7,30 +7,35 @@ from pyspark.sql import functions as F
 
 from evidentia.plans.scratch import written
 
-MAX_DEPTH = 17
 NEGATIONS = ("not", "n't")
 FAMILIES = ("em", "ant", "anc", "desc", "hypo_1", "hyper_1", "hypo_2", "hyper_2", "hypo_3plus", "hyper_3plus")
 
 
-def closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(src, dst, depth): every node reachable over (src, dst) edges with its least depth (1 and up), without src itself; cycles end.
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(src, dst, depth): every node reachable over (src, dst) edges with its least depth (1 and up), without src itself.
 
-    Each round joins the frontier only, takes away what is known, and is written, so lineage stays short.
+    The known pairs, all of depth up to d, are doubled: a shortest path of d + 1 to 2 d steps is a pair of depth exactly d and a known
+    pair, so rounds grow with the logarithm of the depth. They end when no pair of depth d is left; cycles end there too, since only least depths
+    are kept. ``max_depth`` asks for the pairs within that many steps only; without it nothing is cut. Null ends are left out. Each round's pairs are written.
     """
-    step = edges.select("src", "dst").distinct().filter("src <> dst")
-    step = written(step, "edges")
-    known = frontier = step.withColumn("depth", F.lit(1))
-    for depth in range(2, max_depth + 1):
-        reached = frontier.select("src", F.col("dst").alias("mid")).join(step.toDF("mid", "dst"), "mid").select("src", "dst").filter("src <> dst").distinct()
-        frontier = written(reached.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if not frontier.limit(1).count():
+    step = edges.select("src", "dst").filter("src <> dst").distinct().withColumn("depth", F.lit(1))
+    known, reach = written(step, "closure"), 1
+    while max_depth is None or reach < max_depth:
+        edge = known.filter(F.col("depth") == reach).select("src", F.col("dst").alias("mid"), F.col("depth").alias("first"))
+        if not edge.limit(1).count():
             break
-        known = known.unionByName(frontier)
+        paths = edge.join(known.select(F.col("src").alias("mid"), "dst", "depth"), "mid").filter("src <> dst")
+        paths = paths.groupBy("src", "dst").agg(F.min(F.col("first") + F.col("depth")).alias("depth"))
+        fresh = paths.join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+        reach *= 2
+        if max_depth is not None:
+            fresh = fresh.filter(F.col("depth") <= max_depth)
+        known = written(known.unionByName(fresh), "closure")
     return known
 
 
 def closure_to_level(edges: DataFrame, level: int) -> DataFrame:
-    """(src, dst, depth) within 1 or 2 levels."""
+    """(src, dst, depth) within ``level`` steps."""
     return closure(edges, level)
 
 

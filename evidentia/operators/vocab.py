@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.numbering import ranked_within
+
 PADDING, OOV = "@@PADDING@@", "@@UNKNOWN@@"
 
 
@@ -18,7 +20,7 @@ def build_vocab(counts: DataFrame, min_count: int = 1, max_size: int | None = No
     """(namespace, token, idx): tokens by falling count (ties by token), from 1 + oov on; 0 is padding, then the OOV slots.
 
     A token stays with min_count occurrences, or, with ``pretrained`` words (column word), when it is one of them;
-    ``need_both`` asks for both. One window a namespace: for very large vocabularies cap or raise min_count.
+    ``need_both`` asks for both. Ranks come from one exact numbering over (namespace, count, token), so no task holds a namespace.
     """
     rows = counts
     if include:
@@ -30,8 +32,7 @@ def build_vocab(counts: DataFrame, min_count: int = 1, max_size: int | None = No
         rows = rows.join(pretrained.select(F.col("word").alias("token"), F.lit(True).alias("_p")).distinct(), "token", "left")
         known = F.coalesce("_p", F.lit(False))
         enough = (enough & known) if need_both else (enough | known)
-    rank = F.row_number().over(Window.partitionBy("namespace").orderBy(F.desc("n"), "token"))
-    rows = rows.filter(enough).withColumn("_r", rank)
+    rows = ranked_within(rows.filter(enough).select("namespace", "token", "n"), ["namespace"], [F.desc("n"), "token"], "_r")
     if max_size is not None:
         rows = rows.filter(F.col("_r") <= max_size)
     return rows.select("namespace", "token", (F.col("_r") + oov).cast("int").alias("idx"))

@@ -134,11 +134,21 @@ def s10_count_pageviews(s, d):
     return S.parse_pageviews(x.select(line.alias("value")))
 
 
-@query("select p_partkey, p_name, floor(p_partkey / 100)::bigint as part from part")
+#: Rows of a part of s11.
+PART_ROWS = 300
+_BY_KEY = "row_number() over (order by l_orderkey, l_linenumber) - 1"
+
+
+@query(f"""with n as (select concat_ws('-', lpad(l_orderkey::varchar, 12, '0'), l_linenumber) as id, {_BY_KEY} as number from lineitem)
+  select (number // {PART_ROWS})::bigint as part, count(*) as n_rows, 1::bigint as n_files, min(id) as first, max(id) as last, true as in_place from n group by 1""")
 def s11_split_and_merge(s, d):
+    """By part, as read back: its rows, files, first and last key, and whether its number is in the file's path."""
     path = f"{scratch_dir(s)}/split-{uuid.uuid4().hex}"
-    S.split_by_rows(X.read(s, d, "part").select("p_partkey", "p_name"), "p_partkey", 100, path)
-    return S.merge_splits(s, "p_partkey long, p_name string", path, "p_partkey").withColumn("part", F.floor(F.col("p_partkey") / 100))
+    key = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"))
+    S.split_by_rows(X.read(s, d, "lineitem").select(key.alias("id"), "l_partkey"), "id", PART_ROWS, path)
+    rows = S.read_splits(s, "id string, l_partkey long", path)
+    named = F.bool_and(F.contains("file", F.concat(F.lit("/part="), F.col("part").cast("string"), F.lit("/"))))
+    return rows.groupBy("part").agg(F.count("*").alias("n_rows"), F.count_distinct("file").alias("n_files"), F.min("id").alias("first"), F.max("id").alias("last"), named.alias("in_place"))
 
 
 @query("select concat('w', vec_id) as word, round(embedding[1]::double, 5) as first, round(embedding[64]::double, 5) as last from embeddings where label % 2 = 0 and vec_id % 5 <> 0")
@@ -477,14 +487,16 @@ def r2_stream_link_claims(s, d):
   best as (select * from own qualify row_number() over (partition by claim_id order by score desc, page_id) = 1), c as (select claim_id, {encoded('target')} as doc_id, target, score from best),
   linked as (select distinct page_id // 20 as claim_id, target as doc_id from hrefs where pos = 1), ranked as (select claim_id, doc_id, score as priority from c anti join linked using (claim_id, doc_id)), {TOPK} select * from topd""")
 def r3_stream_second_hop(s, d):
+    """Pages in six files, one a batch: a claim's sentences come in several batches."""
     graph = X.hrefs(s, d).select(F.col("page_id").alias("doc_id"), F.posexplode("h_links").alias("line_num", "target"))
-    x = streams.read_stream(s, d, "page_id long, url string, html string", "pages.parquet")
+    path = f"{scratch_dir(s)}/stream-{uuid.uuid4().hex}"
+    X.read(s, d, "pages").select("page_id", "html").repartition(6, F.hash("page_id")).write.parquet(f"{path}/in")
+    x = streams.read_stream(s, f"{path}/in", "page_id long, html string", "*.parquet", 1)
     chosen = x.select(F.floor(F.col("page_id") / 20).alias("claim_id"), F.col("page_id").alias("doc_id"), F.lit(0).alias("line_num"), F.length("html").cast("double").alias("score"))
     views = X.hrefs(s, d).select(F.explode("h_links").alias("doc")).groupBy("doc").agg(F.count("*").alias("views"))
     links = graph.filter("line_num = 1").select(F.floor(F.col("doc_id") / 20).alias("claim_id"), F.col("target").alias("doc_id")).distinct()
-    path = f"{scratch_dir(s)}/stream-{uuid.uuid4().hex}"
     streams.stream_second_hop(chosen, graph, links, views, f"{path}/out", f"{path}/at").awaitTermination()
-    return s.read.schema("claim_id long, doc_id string, priority double, rank int, batch int").parquet(f"{path}/out").drop("batch")
+    return streams.second_hop_result(s, f"{path}/out")
 
 
 @query("select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by all")

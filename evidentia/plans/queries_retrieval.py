@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import columns as C
 from evidentia.operators import candidates as T
 from evidentia.operators import tfidf
+from evidentia.operators.numbering import numbered
 from evidentia.plans import pipeline as U
 from evidentia.plans import standins as X
 from evidentia.plans.registry import query
@@ -117,8 +118,7 @@ def t9_prefix_title(s, d):
 def _numbered_claims(s, d):
     """(claim_id, item_id, query): every benchmark passage with text, numbered from 0 without gaps."""
     rows = X.read(s, d, "benchmark").select(F.col("item_id").cast("long"), F.col("text").alias("query")).filter("length(query) > 0")
-    numbered = rows.orderBy("item_id", "query").rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    return written(s.createDataFrame(numbered, "claim_id long, item_id long, query string"), "claims")
+    return written(numbered(rows, ["item_id", "query"], "claim_id"), "claims")
 
 
 @query()

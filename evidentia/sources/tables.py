@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from evidentia.functions import columns as C
+from evidentia.operators.numbering import numbered
 from evidentia.plans.scratch import written
 from evidentia.sources import schemas
 
@@ -80,13 +81,25 @@ def count_pageviews(spark: SparkSession, path: str, prefix: str = "en") -> DataF
     return parse_pageviews(spark.read.option("recursiveFileLookup", "true").text(path), prefix)
 
 
-def split_by_rows(df: DataFrame, key: str, rows: int, path: str) -> None:
-    """Parts of at most ``rows`` rows in the order of ``key``, each with its part number."""
-    df.orderBy(key).write.option("maxRecordsPerFile", rows).mode("errorifexists").json(path)
+def split_by_rows(df: DataFrame, key: str, rows: int, path: str, ranges: int | None = None) -> None:
+    """JSON parts of exactly ``rows`` rows (the last one: the rest) in the order of ``key``, one file each: part 12 lies in the folder ``part=12``.
+
+    A row's part follows from its exact number (operators.numbering), so it doesn't depend on how many tasks sorted the rows.
+    """
+    parts = numbered(df, [key], "_number", ranges).withColumn("part", F.floor(F.col("_number") / rows))
+    dealt = parts.repartition("part").sortWithinPartitions("part", "_number").drop("_number")
+    dealt.write.partitionBy("part").option("maxRecordsPerFile", 0).mode("errorifexists").json(path)
+
+
+def read_splits(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """The parts' rows with ``part`` and ``file``, the file that each was read from."""
+    rows = spark.read.schema(f"{schema}, part long").json(path)
+    return rows.withColumn("file", F.col("_metadata.file_path"))
 
 
 def merge_splits(spark: SparkSession, schema: str, path: str, key: str) -> DataFrame:
-    return spark.read.schema(schema).json(path).orderBy(key)
+    """All parts' rows in the order of their part's number, then of ``key``."""
+    return spark.read.schema(f"{schema}, part long").json(path).orderBy("part", key).drop("part")
 
 
 def read_keyword_dict(spark: SparkSession, path: str, filtering: bool = True) -> DataFrame:

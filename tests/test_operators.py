@@ -96,8 +96,12 @@ def test_sources(spark, tmp_path):
         f.write("en A 3 0\nen.m A 2 0\nde A 9 0\nen B 1\nen C 1 0\n")
     assert {r.doc: r.views for r in S.count_pageviews(spark, str(tmp_path / "views")).collect()} == {"A": 5, "C": 1}
     df = spark.range(25).select(F.col("id"), F.concat(F.lit("t"), "id").alias("t"))
-    S.split_by_rows(df, "id", 10, str(tmp_path / "parts"))
-    assert [r.id for r in S.merge_splits(spark, "id long, t string", str(tmp_path / "parts"), "id").collect()] == list(range(25))
+    for ranges in (1, 3, 7):
+        path = str(tmp_path / f"parts{ranges}")
+        S.split_by_rows(df, "id", 10, path, ranges)
+        assert [r.id for r in S.merge_splits(spark, "id long, t string", path, "id").collect()] == list(range(25))
+        parts = S.read_splits(spark, "id long, t string", path).groupBy("part", "file").count().collect()
+        assert sorted((r.part, r["count"]) for r in parts) == [(0, 10), (1, 10), (2, 5)] and all(f"/part={r.part}/" in r.file for r in parts)
     S.write_rows(df, str(tmp_path / "out/rows"))
     with pytest.raises(Exception):  # noqa: B017
         S.write_rows(df, str(tmp_path / "out/rows"))
