@@ -92,6 +92,24 @@ def _cut(rows: DataFrame, plan: DataFrame, level: str, start: str) -> DataFrame:
     return out.withColumn(f"cut_{level}", F.coalesce(F.col(f"end.{level}"), F.lit(-1))).withColumn(f"done_{level}", F.coalesce("end.before", F.col(start))).drop("end")
 
 
+#: Spark's row ids hold the partition above this bit.
+_PLACE_BITS = 33
+
+
+def _first_copies(tied: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan with ``last_in``: the row id of the k-th of a source's tied rows (source, place_in, k).
+
+    Counted by partition of the row ids first; only the partition where k falls is ordered, so a source's copies never meet in one task.
+    """
+    split = tied.withColumn("slice", F.shiftright("place_in", _PLACE_BITS))
+    counts = split.groupBy("source", "slice").agg(F.count("*").alias("n"), F.first("k").alias("k"))  # a row a source and partition
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    where = written(counts.withColumn("need", F.col("k") - ahead).filter("need > 0 and need <= n").select(F.col("source").alias("s"), F.col("slice").alias("at"), "need"), "slices")
+    near = split.select("source", "slice", "place_in").join(where, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("at")))
+    nth = near.withColumn("i", F.row_number().over(Window.partitionBy("source", "slice").orderBy("place_in"))).filter("i = need").select(F.col("source").alias("s"), F.col("place_in").alias("last_in"))
+    return plan.join(nth, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7, quality: Column | None = None, labels: DataFrame | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target, copies and taken added (replacing columns of these names).
 
@@ -105,8 +123,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     texts are read once, and what is kept of them is written with their sizes and keys.
 
     Keys come from a hash of doc_id, source, text and ``seed``: reruns agree, whatever the partitioning. Null and empty
-    texts have size 0 and take nothing. Rows that repeat in all of doc_id, source and text tie; each has its own place in
-    the order. A null quality counts as the least rate. With all sizes 0 all targets are 0. An empty table gives an empty
+    texts have size 0 and take nothing. Rows that repeat in all of doc_id, source and text tie; where the budget ends among them, as many of
+    them as it holds are taken, those that come first in the input (which of such rows it is makes no difference). A null quality counts as the least rate. With all sizes 0 all targets are 0. An empty table gives an empty
     result. Other columns are kept, whatever their names: a row travels as one struct beside the operator's own columns.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
@@ -115,11 +133,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     rows = docs.select(F.struct(*kept).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), hashed.alias("tie"), *([] if labels is not None else [(letter_share() if quality is None else quality).alias("quality")]), "text")
     if labels is not None:
         rows = rows.withColumn("cell", _cell())
-    rows = written(rows.drop("text"), "sizes")
+    rows = written(rows.drop("text").withColumn("place_in", F.monotonically_increasing_id()), "sizes")
     weight = F.col("quality") if labels is None else _learned(rows, labels)
     u = (F.pmod("tie", F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rate = F.greatest(F.lit(RATES[0]), F.least(F.lit(RATES[1]), weight))
-    rows = rows.select("doc", "source", "size", "tie", (-F.log(u) / rate).alias("key"))
+    rows = rows.select("doc", "source", "size", "tie", "place_in", (-F.log(u) / rate).alias("key"))
     width = (LOGS[1] - LOGS[0]) / (BINS * BINS)
     place = F.greatest(F.lit(0), F.least(F.lit(BINS * BINS - 1), F.floor((F.log("key") - LOGS[0]) / width)))
     rows = rows.withColumn("place", place).withColumns({"b1": F.floor(F.col("place") / BINS), "b2": F.col("place") % BINS})
@@ -140,16 +158,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int
     inner = at(slim, ["cut_b1"], plan).filter("b1 = cut_b1")
     plan = written(_cut(inner, plan, "b2", "done_b1"), "cuts")
     last = at(slim, ["cut_b1", "cut_b2", "done_b2", "remainder"], plan).filter("b1 = cut_b1 and b2 = cut_b2")
-    order = Window.partitionBy("source").orderBy("key", "tie", "size")
-    incl = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    inside = (F.col("done_b2") + incl - F.col("size") / 2) <= F.col("remainder")
-    # documents up to here in the sub-bin's order are in; equal rows that straddle the end are told apart below
-    edge = last.withColumn("inside", inside).filter("inside").groupBy("source").agg(F.max(F.struct("key", "tie", "size")).alias("edge"))
-    plan = written(plan.join(edge.withColumnRenamed("source", "e"), F.col("source").eqNullSafe(F.col("e")), "left").drop("e"), "cuts")
-
-    full = at(rows, ["source_size", "target", "epochs", "cut_b1", "cut_b2", "edge"], plan)
+    # the sub-bin in key order, rows that repeat as one entry with their number: of each entry as many rows are in as have their midpoint within the remainder
+    entries = last.groupBy("source", "key", "tie", "size").agg(F.count("*").alias("m"), F.first("done_b2").alias("start"), F.first("remainder").alias("remainder"))
+    order = Window.partitionBy("source").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("m")).over(order), F.lit(0))
+    room = F.floor((F.col("remainder") - before) / F.greatest(F.col("size"), F.lit(1)) + 0.5)
+    entries = entries.withColumn("k", F.greatest(F.lit(0), F.least(F.col("m"), F.when(F.col("size") > 0, room).when(before <= F.col("remainder"), F.col("m")).otherwise(0))).cast("long"))
+    ends = entries.filter("k > 0").groupBy("source").agg(F.max(F.struct("key", "tie", "size", "k", "m")).alias("end")).select(F.col("source").alias("e"), F.struct("end.key", "end.tie", "end.size").alias("edge"), "end.k", F.col("end.k") < F.col("end.m"))
+    plan = written(plan.join(ends.toDF("e", "edge", "k", "part"), F.col("source").eqNullSafe(F.col("e")), "left").drop("e"), "cuts")
+    plan = written(_first_copies(at(slim, ["cut_b1", "cut_b2", "edge", "k", "part"], plan).filter("part and b1 = cut_b1 and b2 = cut_b2 and struct(key, tie, size) = edge"), plan), "cuts")
+
+    full = at(rows, ["source_size", "target", "epochs", "cut_b1", "cut_b2", "edge", "last_in"], plan)
     cut = F.col("cut_b1") * BINS + F.col("cut_b2")
-    more = (F.col("cut_b1") >= 0) & ((F.col("place") < F.when(F.col("cut_b2") >= 0, cut).otherwise(F.col("cut_b1") * BINS)) | ((F.col("place") == cut) & F.coalesce(F.struct("key", "tie", "size") <= F.col("edge"), F.lit(False))))
+    own = F.struct("key", "tie", "size")
+    more = (F.col("cut_b1") >= 0) & ((F.col("place") < F.when(F.col("cut_b2") >= 0, cut).otherwise(F.col("cut_b1") * BINS)) | ((F.col("place") == cut) & F.coalesce((own < F.col("edge")) | ((own == F.col("edge")) & (F.col("place_in") <= F.coalesce("last_in", F.lit((1 << 63) - 1)))), F.lit(False))))
     full = full.withColumn("copies", (F.col("epochs") + F.when(more, 1).otherwise(0)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return full.select("doc.*", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", "taken")
 

@@ -21,9 +21,13 @@ BITS = 18
 FACTORS = 8
 #: Labelled rows of either kind that the model is fitted on at most, chosen by a hash of doc_id. Bounds the training data on the driver.
 MAX_TRAIN = 4_000
-#: Terms met in fewer training rows than this, or with a smaller chi-square against the label, get no weight: most terms are noise.
+#: A term gets a weight and factors when it is met in MIN_ROWS training rows and its chi-square against the label is MIN_CHI2 or more; so do both terms
+#: of a pair that goes beyond its single terms' effects by PAIR_CHI2, for terms met in PAIR_SHARE of the training rows. Other terms are noise.
 MIN_ROWS = 3
 MIN_CHI2 = 8.0
+PAIR_SHARE, PAIR_ROWS, PAIR_CHI2 = 0.025, 10, 100.0
+#: Terms whose pairs are counted at a time.
+PAIR_BLOCK = 1024
 THRESHOLD = 0.3
 
 _EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
@@ -92,13 +96,57 @@ def informative(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return (n >= MIN_ROWS) & (chi2 >= MIN_CHI2)
 
 
+def interacting(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Which features take part in a pair whose rows bear the label more or less often than the two terms' single effects, added up, would have it.
+
+    So terms that tell nothing alone are found when their pair does. Pairs are counted by products of 0/1 matrices, block by block.
+    """
+    flat, owner = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    n = np.bincount(flat, minlength=1 << BITS)
+    asked = np.flatnonzero((n >= max(MIN_ROWS, PAIR_SHARE * len(docs))) & (n < len(docs)))
+    place = np.full(1 << BITS, -1)
+    place[asked] = np.arange(len(asked))
+    at, row = place[flat], owner
+    at, row = at[at >= 0], row[at >= 0]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    starts = np.searchsorted(at, np.arange(0, len(asked) + PAIR_BLOCK, PAIR_BLOCK))
+    p = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
+    hits = np.bincount(at, labels[row], len(asked))
+    rate = (hits + 2 * p) / (n[asked] + 2)
+    effect = np.log(rate / (1 - rate)) - np.log(p / (1 - p))
+    out = np.zeros(1 << BITS, bool)
+
+    def block(k: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.arange(k * PAIR_BLOCK, min((k + 1) * PAIR_BLOCK, len(asked)))
+        m = np.zeros((len(docs), len(ids)), np.float32)
+        m[row[starts[k] : starts[k + 1]], at[starts[k] : starts[k + 1]] - k * PAIR_BLOCK] = 1
+        return ids, m
+
+    blocks = -(-len(asked) // PAIR_BLOCK)
+    y = labels.astype(np.float32)[:, None]
+    for i in range(blocks):
+        ids_i, m_i = block(i)
+        marked = m_i * y
+        for j in range(i, blocks):
+            ids_j, m_j = (ids_i, m_i) if i == j else block(j)
+            both, good = m_i.T @ m_j, marked.T @ m_j
+            q = 1 / (1 + np.exp(-np.clip(np.log(p / (1 - p)) + effect[ids_i][:, None] + effect[ids_j], -30, 30)))
+            strange = (both >= PAIR_ROWS) & ((good - both * q) ** 2 >= PAIR_CHI2 * np.maximum(both * q * (1 - q), 0.25))
+            # where one term always comes with the other the pair says no more than that one
+            strange &= (both < 0.95 * n[asked[ids_i]][:, None]) & (both < 0.95 * n[asked[ids_j]])
+            out[asked[ids_i[strange.any(1)]]] = True
+            out[asked[ids_j[strange.any(0)]]] = True
+    return out
+
+
 def train(docs: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, epochs: int = 8, rate: float = 0.05, l2: float = 1e-4, batch: int = 64, seed: int = 3) -> Machine:
     """Fits by mini-batches with adaptive steps. ``importance`` weighs rows (to undo unequal sampling of the two labels)."""
     m, rng = Machine(), np.random.default_rng(seed)
     if not len(docs) or labels.min() == labels.max():
         m.bias = -30.0 if not len(labels) or not labels.max() else 30.0
         return m
-    used = informative(docs, labels)
+    used = informative(docs, labels) | interacting(docs, labels)
     docs = [d[used[d]] for d in docs]
     p = float((labels * importance).sum() / importance.sum())
     m.bias = float(np.log(p / (1 - p)))

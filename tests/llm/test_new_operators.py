@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from evidentia.llm import alignment, hard_negatives, maxscore, vectors
+from evidentia.llm import alignment, hard_negatives, maxscore, mixing, toxicity, vectors
 from evidentia.llm.queries import SIDES
 
 DATA = "/root/testdata/sf0.001"
@@ -256,3 +256,50 @@ def test_terminals_by_pointer_jumping():
         ends = np.concatenate(cuts)
         common = np.intersect1d(*cuts)
         assert np.array_equal(ends[got], common[np.searchsorted(common, ends)]) and (got < len(cuts[0])).all()
+
+
+# --- mixing of repeated rows
+
+
+@pytest.mark.parametrize("sources", [("a", "b"), ("c", "b"), ("b", "a"), ("", None)])
+def test_mixing_meets_targets_with_repeated_rows(spark, sources):
+    """1,000 equal rows as the source of the first, second or third weight: capped, fractional and without a whole epoch."""
+    crowded, other = sources
+    rows = [(1, "four words in here", crowded, "x")] * 1000 + [(i, " ".join(["w"] * (i % 9)), other, "x") for i in range(2, 1500)] + [(i, "one two", "b2", "x") for i in range(5000, 5200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, place_in string").repartition(5)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2 + 1e-6
+    copies = {r.copies for r in got if r.source == crowded}
+    assert max(copies) - min(copies) <= 1
+    assert all(r.place_in == "x" for r in got)
+    again = mixing.mix(df.repartition(3)).collect()
+    key = lambda r: (r.doc_id, r.source or "", r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+# --- pairs of terms that tell nothing alone
+
+
+@pytest.mark.parametrize("rule", ["and", "same", "different"])
+def test_factorization_machine_finds_pairs_of_neutral_terms(rule):
+    rng = random.Random(8)
+    noise = [f"noise{i}" for i in range(300)]
+    texts, labels = [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([rng.choice(noise) for _ in range(20)] + ["zork"] * a + ["blim"] * b))
+        labels.append(float({"and": a and b, "same": a == b, "different": a != b}[rule]))
+    terms = toxicity.Terms()
+    x = [np.asarray(terms.of(t), np.int64) for t in texts]
+    model = toxicity.train(x, np.array(labels), np.ones(len(x)))
+    score = lambda end: model.scores([np.asarray(terms.of(" ".join(noise[:20]) + end), np.int64)])[0]
+    both, alone = score(" zork blim"), max(score(" zork"), score(" blim"))
+    assert (both < 0.3 and alone > 0.8) if rule == "different" else (both > 0.8 and alone < 0.3)
+    # the score by its definition: every pair's product, in O(n^2)
+    for d in x[:20]:
+        pairs = sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(d) for j in d[:n])
+        plain = model.bias + float(model.weights[d].sum()) + pairs
+        assert model.logits([d])[0] == pytest.approx(plain, abs=1e-3)
