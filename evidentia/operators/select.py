@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.columns import argmax_label
-from evidentia.operators.metrics import NEI, TOP, verification_score
+from evidentia.operators.metrics import NEI, TOP, verification_scores
 from evidentia.operators.tfidf import top_k
 
 SENT = ["doc_id", "line_num"]
@@ -90,14 +90,24 @@ def select_scaled(pairs: DataFrame, claims: DataFrame, threshold: float) -> Data
 
 
 def threshold_sweep(pairs: DataFrame, claims: DataFrame, thresholds: list[float], n: int = TOP) -> DataFrame:
-    """verification_score for each threshold in one job; claims need label and evidence, the gold label is the prediction."""
-    table = F.broadcast(pairs.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
-    rows = top_k(pairs.crossJoin(table).filter("prob >= threshold"), ["claim_id", "threshold"], [F.desc("score"), *SENT], n)
-    lists = rows.groupBy("claim_id", "threshold").agg(F.array_sort(F.collect_list(F.struct("rank", *SENT))).alias("l"))
-    lists = lists.withColumn("predicted_evidence", F.transform("l", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["line_num"].alias("line_num")))).drop("l")
-    full = claims.crossJoin(table).join(lists, ["claim_id", "threshold"], "left")
-    full = full.withColumn("predicted_evidence", F.coalesce("predicted_evidence", F.array().cast(dict(lists.dtypes)["predicted_evidence"]))).withColumn("predicted_label", F.col("label"))
-    return verification_score(full, TOP, ["threshold"])
+    """verification_score for each threshold in one job; claims need label and evidence, the gold label is the prediction.
+
+    A pair's level is how many thresholds it passes. What any threshold selects is among the n best pairs of each level, so a claim keeps n pairs a level (cut
+    before the shuffle) in one list; the n first of a level or more are the selection at its threshold. Rows are not multiplied by thresholds.
+    """
+    steps = sorted({float(t) for t in thresholds})
+    level = sum(((F.col("prob") >= t).cast("int") for t in steps), F.lit(0))
+    best = top_k(pairs.withColumn("_level", level).filter("_level > 0"), ["claim_id", "_level"], [F.desc("score"), *SENT], n)
+    item = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("falling"), *SENT, "_level")
+    lists = best.groupBy("claim_id").agg(F.array_sort(F.collect_list(item)).alias("_l"))
+    full = claims.join(lists, "claim_id", "left").withColumn("_l", F.coalesce("_l", F.array().cast(dict(lists.dtypes)["_l"]))).withColumn("predicted_label", F.col("label"))
+
+    def chosen(i: int) -> Column:
+        first = F.slice(F.filter("_l", lambda x: x["_level"] > i), 1, n)
+        return F.transform(first, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["line_num"].alias("line_num")))
+
+    columns = {f"_p{i}": chosen(i) for i in range(len(steps))}
+    return verification_scores(full.withColumns(columns), {t: f"_p{i}" for i, t in enumerate(steps)}, TOP)
 
 
 def recut(selected: DataFrame, k: int) -> DataFrame:

@@ -99,20 +99,27 @@ def nfc(column: str):
     return F.pandas_udf(lambda t: t.map(lambda x: None if x is None else unicodedata.normalize("NFC", x)), "string")(column)
 
 
+def _saved(s, d):
+    """The lines of documents as a bucketed table in the scratch folder."""
+    name = f"sentences_{uuid.uuid4().hex}"
+    S.save_sentences(X.lines(s, d), name, 16, f"{scratch_dir(s)}/{name}")
+    return s.table(name)
+
+
 @query(f"with {X.LINES} select doc_id, line_num, sha256(text) as text from lines")
 def s4_build_sentences(s, d):
-    return X.lines(s, d).withColumn("text", F.sha2("text", 256))
+    return _saved(s, d).withColumn("text", F.sha2("text", 256))
 
 
 @query(f"with {X.LINES}, e as (select doc_id, quality + 3 * toxic as line_num from labels) select e.doc_id, e.line_num, sha256(text) as text from e left join lines using (doc_id, line_num)")
 def s5_lookup_evidence(s, d):
     e = X.read(s, d, "labels").select("doc_id", (F.col("quality") + 3 * F.col("toxic")).cast("int").alias("line_num"))
-    return S.lookup_evidence(e, X.lines(s, d)).withColumn("text", F.sha2("text", 256))
+    return S.lookup_evidence(e, _saved(s, d)).withColumn("text", F.sha2("text", 256))
 
 
 @query(f"with {X.LINES} select doc_id, line_num, sha256(text) as text from labels join lines using (doc_id)")
 def s6_lookup_doc_sentences(s, d):
-    return S.lookup_doc_sentences(X.read(s, d, "labels").select("doc_id"), X.lines(s, d)).withColumn("text", F.sha2("text", 256))
+    return S.lookup_doc_sentences(X.read(s, d, "labels").select("doc_id"), _saved(s, d)).withColumn("text", F.sha2("text", 256))
 
 
 @query("select concat('p', doc_id) as id from documents where length(text) > 1")
@@ -509,14 +516,20 @@ def r4_stream_dedup_scores(s, d):
 # --- U
 
 
-@query("select p_brand, count(*) as n, 1 as n_ran, 0 as n_ran_again from part group by 1")
+@query("""with a as (select p_brand, count(*) as n from part where p_size > 10 group by 1)
+  select run, p_brand, n, ran from (values ('first', 'brands,largest'), ('again', ''), ('other size', 'brands,largest'), ('other limit', 'largest')) v(run, ran),
+  lateral (select p_brand, n from (select p_brand, count(*) as n from part where p_size > case run when 'first' then 10 when 'again' then 10 else 20 end group by 1) where n > case run when 'other limit' then 5 else 2 end)""")
 def u4_step_reuse(s, d):
-    """A finished step is read, not run, by a second run over the same folder."""
-    folder = f"{scratch_dir(s)}/steps-{uuid.uuid4().hex}"
-    first, again = U.Steps(s, folder), U.Steps(s, folder)
-    first("brands", lambda: X.read(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")))
-    rows = again("brands", lambda: X.read(s, d, "part").select("p_brand", F.lit(0).cast("long").alias("n")))
-    return rows.select("p_brand", "n", F.lit(len(first.ran)).alias("n_ran"), F.lit(len(again.ran)).alias("n_ran_again"))
+    """Two steps over one folder, four times: unchanged they are read, after a change of the first one's input both run, after one of the second's parameter only that one."""
+    folder, out = f"{scratch_dir(s)}/steps-{uuid.uuid4().hex}", None
+    for run, size, limit in (("first", 10, 2), ("again", 10, 2), ("other size", 20, 2), ("other limit", 20, 5)):
+        steps = U.Steps(s, folder)
+        parts = X.read(s, d, "part").filter(F.col("p_size") > size)
+        brands = steps("brands", lambda parts=parts: parts.groupBy("p_brand").agg(F.count("*").alias("n")), [parts])
+        rows = steps("largest", lambda brands=brands, limit=limit: brands.filter(F.col("n") > limit), ["brands"], {"limit": limit})
+        rows = written(rows, "reuse").select(F.lit(run).alias("run"), "p_brand", "n", F.lit(",".join(steps.ran)).alias("ran"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query()

@@ -40,14 +40,21 @@ def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.filter(F.trim("text") != "")
 
 
-def save_sentences(sentences: DataFrame, table: str, buckets: int = 512) -> None:
-    """A table bucketed by doc_id, so that look-ups by document join without a shuffle of the corpus."""
-    sentences.write.bucketBy(buckets, "doc_id").sortBy("doc_id", "line_num").mode("errorifexists").saveAsTable(table)
+def save_sentences(sentences: DataFrame, table: str, buckets: int = 512, path: str | None = None) -> None:
+    """A table bucketed by doc_id, a file a bucket, so that look-ups by document join without a shuffle of the corpus. ``path``: where its files go, else the warehouse."""
+    dealt = sentences.repartition(buckets, "doc_id")
+    writer = dealt.write.bucketBy(buckets, "doc_id").sortBy("doc_id", "line_num").mode("errorifexists")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
 def lookup_evidence(evidence: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Rows with (doc_id, line_num) get text and h_links, null where the sentence is absent."""
-    return evidence.join(sentences, ["doc_id", "line_num"], "left")
+    """Rows with (doc_id, line_num) get text and h_links, null where the sentence is absent.
+
+    The join's key is doc_id alone, the line a further condition: so sentences bucketed by doc_id (save_sentences) are read as they lie.
+    """
+    named = sentences.withColumnsRenamed({"doc_id": "_doc", "line_num": "_line"})
+    on = (F.col("doc_id") == F.col("_doc")) & (F.col("line_num") - F.col("_line") == 0)
+    return evidence.join(named, on, "left").drop("_doc", "_line")
 
 
 def lookup_doc_sentences(docs: DataFrame, sentences: DataFrame) -> DataFrame:
