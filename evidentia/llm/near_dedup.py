@@ -148,7 +148,7 @@ def _signatures(size: int):
                 n.append(len(sh))
                 keys.append(xxhash.xxh3_128_digest(sh.tobytes()))
                 regs.append(registers(sh).tobytes() if len(sh) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "set_key", "regs"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_key", "regs"])
 
     return run
 
@@ -226,9 +226,10 @@ def _likely_pairs(pairs: DataFrame, reps: DataFrame, threshold: Fraction) -> Dat
 
 
 def _sets_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): full sets, made again from the text of one document of each node."""
-    wanted = nodes.select("node").distinct().join(reps.select("node", "set_key", F.col("rep").alias("doc_id")), "node")
-    texts = wanted.hint("shuffle_merge").join(docs.select(F.col("doc_id").alias("own_id"), "text"), F.col("own_id").eqNullSafe(F.col("doc_id")))
+    """(node, shingles): full sets, made again from the text of one document of each node, which its doc_id and its text's hash name (rows without an id too)."""
+    wanted = nodes.select("node").distinct().join(reps.select("node", "set_key", F.col("rep").alias("doc_id"), "text_hash"), "node")
+    texts = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"), "text")
+    texts = wanted.hint("shuffle_merge").join(texts, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
     sets = texts.select("node", "set_key", "text").mapInArrow(_sets(size), "node long, shingles binary").filter("shingles is not null")
     return written(sets.dropDuplicates(["node"]), "sets")
 
@@ -275,7 +276,7 @@ def _rest_pairs(around: DataFrame, sets: DataFrame, roots: DataFrame, threshold:
     kind = "p long, x long, root long, far boolean, n long, m long, items array<long>"
     diff = rows.mapInArrow(_differences(threshold.numerator, threshold.denominator), kind)
     spots = written(diff.select("p", "x", "root", "far", "n", "m", F.explode("items").alias("item")), "spots")
-    often = spots.filter("far").groupBy("p", "item").agg(F.count("*").alias("df"))
+    often = written(spots.filter("far").groupBy("p", "item").agg(F.count("*").alias("df")), "often")
     met = spots.join(often, ["p", "item"])
     # items that no far node has come first in the order and use up places of the prefix
     own = Window.partitionBy("p", "x")
@@ -304,9 +305,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float |
     """
     threshold = Fraction(threshold).limit_denominator(1000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    signed = written(docs.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, set_key binary, regs binary"), "signed")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    signed = written(hashed.mapInArrow(_signatures(shingle_words), "doc_id long, text_hash long, n_shingles long, set_key binary, regs binary"), "signed")
     sets = signed.filter("n_shingles > 0")
-    reps = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    reps = sets.groupBy("set_key").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    reps = reps.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n_shingles", "regs")
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
 
     bands = reps.select("node", "n_shingles", "regs").mapInArrow(_bands, "node long, keys array<long>")

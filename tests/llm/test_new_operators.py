@@ -11,9 +11,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidentia.llm import alignment, hard_negatives, maxscore, mixing, toxicity, vectors
+from evidentia.llm import alignment, hard_negatives, maxscore, mixing, near_dedup, toxicity, vectors
 from evidentia.llm.queries import SIDES
 
 DATA = "/root/testdata/sf0.001"
@@ -303,3 +304,23 @@ def test_factorization_machine_finds_pairs_of_neutral_terms(rule):
         pairs = sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(d) for j in d[:n])
         plain = model.bias + float(model.weights[d].sum()) + pairs
         assert model.logits([d])[0] == pytest.approx(plain, abs=1e-3)
+
+
+# --- near duplicates without ids
+
+
+def test_rows_without_ids_are_fetched_by_their_texts(spark):
+    """Each edited text is confirmed on its own row only, so rows without ids, or with one id, cost what rows with ids cost."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words[:-1], "edited"])]
+    for ids in ((None,) * 300, (7,) * 300):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        reps = df.select(F.monotonically_increasing_id().alias("node"), F.xxhash64("text").alias("text_hash"), "text", F.col("doc_id").alias("rep"))
+        signed = df.withColumn("text_hash", F.xxhash64("text")).mapInArrow(near_dedup._signatures(2), "doc_id long, text_hash long, n_shingles long, set_key binary, regs binary")
+        reps = reps.join(signed.select("text_hash", "set_key"), "text_hash")
+        assert near_dedup._sets_of(reps, reps, df, 2).count() == 300
+        got = near_dedup.near_duplicates(df, 2).collect()
+        assert len(got) == 300 and {r.component_id for r in got} == {ids[0]}
