@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import columns as C
 from evidentia.operators import docs as D
 from evidentia.operators import linking as K
+from evidentia.operators import spiral
 from evidentia.plans import standins as X
 from evidentia.plans.queries_retrieval import W as WEIGHT
 from evidentia.plans.queries_retrieval import grams
@@ -168,6 +169,54 @@ def k14_rule_chain(s, d):
     return K.rule_chain(None, K.preset("default", claims, index))
 
 
+#: Selected sentences of part claims, links from sentences to titles, and views of titles; all from order lines.
+HOPS = """selected as (select l_partkey as claim_id, concat('s', l_suppkey) as doc_id, l_linenumber as line_num, max(l_extendedprice)::double as score from lineitem where l_returnflag <> 'N' group by all),
+  graph as (select distinct concat('s', l_suppkey) as doc_id, l_linenumber as line_num, t.doc_id as target from lineitem join titles t on t.p_partkey = l_partkey where l_returnflag = 'A'),
+  seen as (select replace(replace(t.doc_id, '-LRB-', '('), '-RRB-', ')') as doc, count(*) as views from lineitem join titles t on t.p_partkey = l_partkey group by 1)"""
+
+
+def by_views(name: str, source: str) -> str:
+    """SQL of ``source`` (claim_id, match_key, doc_id, priority) as ``name`` with groups of several documents ranked by views."""
+    decoded = "replace(replace(doc_id, '-LRB-', '('), '-RRB-', ')')"
+    return f"""{name}_r as (select x.*, row_number() over (partition by claim_id, match_key order by coalesce(views, 0) desc, doc_id) - 1 as r, count(*) over (partition by claim_id, match_key) as n from {source} x left join seen on doc = {decoded}),
+  {name} as (select claim_id, match_key, doc_id, case when n > 1 then round(greatest(0.0, 1 - 0.2 * r), 6)::double else priority end as priority from {name}_r)"""
+
+
+FIRST_HOP = f"""{MATCHED}, {HOPS}, chained as (select {PLAIN} from links), {DOCID_RULES}, {SINGULARS.format(linked='links')}, listed as (select {PLAIN} from ruled union all select {PLAIN} from single),
+  bare as (select claim_id, {TITLED} as tokens from claims where tokens[1] in ('The', 'A', 'An') and len(tokens) > 1), {matches('more', 'bare')},
+  main as (select * from listed union all select {PLAIN} from more anti join listed using (claim_id, match_key, doc_id)), {by_views('first_hop', 'main')}"""
+_SIDES = """reached as (select claim_id, s.doc_id as sent_doc, s.line_num as sent_line, target as doc_id, score as priority from selected s join graph g using (doc_id, line_num)),
+  top as (select claim_id, sent_doc, sent_line from reached where priority > -100 qualify row_number() over (partition by claim_id order by priority desc, sent_doc, sent_line) = 1),
+  beside as (select distinct claim_id, concat(sent_doc, '<SENT_LINE>', sent_line) as match_key, doc_id, priority from reached join top using (claim_id, sent_doc, sent_line))"""
+SECOND_HOP = f"{_SIDES}, {by_views('second_hop', 'beside')}"
+
+
+def _spiral_state(s, d) -> spiral.Hops:
+    lines, titles = X.read(s, d, "lineitem"), X.titles(s, d)
+    sentence = [F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("doc_id"), F.col("l_linenumber").alias("line_num")]
+    selected = lines.filter("l_returnflag <> 'N'").groupBy(F.col("l_partkey").alias("claim_id"), *sentence).agg(F.max("l_extendedprice").cast("double").alias("score"))
+    named = titles.select(F.col("p_partkey").alias("l_partkey"), F.col("doc_id").alias("target"))
+    graph = lines.filter("l_returnflag = 'A'").join(named, "l_partkey").select(*sentence, "target").distinct()
+    views = lines.join(named, "l_partkey").groupBy(C.brc_decode("target").alias("doc")).agg(F.count("*").alias("views"))
+    return spiral.Hops(X.title_claims(s, d), _index(s, d), views, selected, graph, encode=False)
+
+
+@query(f"with {FIRST_HOP} select * from first_hop")
+def k14_first_hop(s, d):
+    return spiral.run_rules(_spiral_state(s, d), "first_hop").links
+
+
+@query(f"with {X.TITLES}, {HOPS}, {SECOND_HOP} select * from second_hop")
+def k14_second_hop(s, d):
+    return spiral.run_rules(_spiral_state(s, d), "second_hop").aside
+
+
+@query(f"with {FIRST_HOP}, {SECOND_HOP} select *, 'main' as list from first_hop union all select *, 'aside' from second_hop")
+def k14_spiral(s, d):
+    state = spiral.run_rules(_spiral_state(s, d), "spiral")
+    return state.links.withColumn("list", F.lit("main")).unionByName(state.aside.withColumn("list", F.lit("aside")))
+
+
 @query(f"""with recursive {INDEX}, {TITLE_CLAIMS}, i0 as (select * from idx where priority = 5), i1 as (select * from idx where priority = 1), {matches('l0', 'claims', 'i0')}, {matches('l1', 'claims', 'i1')}
   select * replace (5.0::double as priority), 0 as index_id from l0 union all select * replace (1.0::double as priority), 1 from l1""")
 def k15_multi_index_link(s, d):
