@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Text bytes that one piece holds at most, unless a single text is longer.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -32,6 +32,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker may stay idle for a while
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -57,7 +58,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; call ``trim`` between texts to bound the memory."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)

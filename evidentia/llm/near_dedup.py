@@ -39,6 +39,8 @@ MANTISSA_BITS = 4
 MAX_ZEROS = 14
 #: A candidate is discarded when its estimate is this many standard errors below the threshold.
 MARGIN = 6.0
+#: Sets, or pairs of sets, whose registers are worked on at a time.
+PAIRS = 1024
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _ATTEMPTS = 12
@@ -167,8 +169,8 @@ def band_keys(regs: np.ndarray, sizes: np.ndarray, bandings: tuple[_Banding, _Ba
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bandings = _Banding(0), _Banding(1)
     for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            part = batch.slice(start, 2048)
+        for start in range(0, batch.num_rows, PAIRS):
+            part = batch.slice(start, PAIRS)
             if not part.num_rows:
                 continue
             keys, bands = band_keys(_matrix(part.column("regs")), part.column("n_shingles").to_numpy(), bandings)
@@ -178,8 +180,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _likely(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
+            for start in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(start, PAIRS)
                 if not part.num_rows:
                     continue
                 na, nb = (part.column(c).to_numpy() for c in ("na", "nb"))
