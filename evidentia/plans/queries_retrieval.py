@@ -8,6 +8,7 @@ from evidentia.functions import columns as C
 from evidentia.operators import candidates as T
 from evidentia.operators import tfidf
 from evidentia.operators.numbering import numbered
+from evidentia.plans import pair_scorer as P
 from evidentia.plans import pipeline as U
 from evidentia.plans import standins as X
 from evidentia.plans.registry import query
@@ -96,16 +97,16 @@ def d17_tfidf_rank_docs(s, d):
     return tfidf.rank_docs(claims, texts, claim_text="text").select("claim_id", "doc_id", F.round("priority", 5).alias("priority"))
 
 
-@query(f"with {X.LINES}, g as (select doc_id from labels where quality = 1) select doc_id % 7 as claim_id, doc_id, line_num, sha256(text) as text, case when line_num = 0 and doc_id in (select doc_id from g) then 'true' else 'false' end as selection_label from lines")
+@query(f"with {X.LINES}, g as (select doc_id from labels where quality = 1) select {DEALT} as claim_id, doc_id, line_num, sha256(text) as text, case when line_num = 0 and doc_id in (select doc_id from g) then 'true' else 'false' end as selection_label from lines")
 def t7_sentence_candidates(s, d):
-    docs = X.read(s, d, "documents").select((F.col("doc_id") % 7).alias("claim_id"), "doc_id")
-    gold = X.read(s, d, "labels").filter("quality = 1").select((F.col("doc_id") % 7).alias("claim_id"), "doc_id", F.lit(0).alias("line_num"))
+    docs = X.read(s, d, "documents").select(_dealt(s, d).alias("claim_id"), "doc_id")
+    gold = X.read(s, d, "labels").filter("quality = 1").select(_dealt(s, d).alias("claim_id"), "doc_id", F.lit(0).alias("line_num"))
     return T.sentence_candidates(docs, X.lines(s, d), gold).withColumn("text", F.sha2("text", 256))
 
 
-@query(f"with {X.LINES}, a as (select doc_id % 50 as claim_id, doc_id from documents qualify row_number() over (partition by doc_id % 50 order by n_chars desc, doc_id) <= 6) select claim_id, doc_id, line_num, 'hidden' as selection_label from a join lines using (doc_id)")
+@query(f"with {X.LINES}, a as (select {DEALT} as claim_id, doc_id from documents qualify row_number() over (partition by {DEALT} order by n_chars desc, doc_id) <= 6) select claim_id, doc_id, line_num, 'hidden' as selection_label from a join lines using (doc_id)")
 def t8_second_hop_candidates(s, d):
-    aside = X.read(s, d, "documents").select((F.col("doc_id") % 50).alias("claim_id"), "doc_id", F.col("n_chars").cast("double").alias("priority"))
+    aside = X.read(s, d, "documents").select(_dealt(s, d).alias("claim_id"), "doc_id", F.col("n_chars").cast("double").alias("priority"))
     return T.second_hop_candidates(aside, X.lines(s, d)).select("claim_id", "doc_id", "line_num", "selection_label")
 
 
@@ -121,14 +122,44 @@ def _numbered_claims(s, d):
     return written(numbered(rows, ["item_id", "query"], "claim_id"), "claims")
 
 
+#: Documents are dealt to all passages with text in turn, numbered by item_id and text.
+DEALT_PAIRS = f"""{X.LINES}, cl as (select row_number() over (order by item_id, text) - 1 as claim_id, item_id, text as query from benchmark where length(text) > 0),
+  qt as (select claim_id, term, count(*) as tf from (select claim_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) as term from cl) group by all),
+  lt as (select doc_id, line_num, term, count(*) as tf from (select doc_id, line_num, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from lines) group by all),
+  n as (select count(*) as n from lines), idf as (select term, ln((n - df + 0.5) / (df + 0.5)) as idf from (select term, count(*) as df from lt group by 1), n where n - df > df),
+  qw as (select claim_id, count(*) as n_query, coalesce(sum(ln(1 + tf) * idf), 0.0) as total from qt left join idf using (term) group by 1),
+  tw as (select doc_id, line_num, count(*) as n_text from lt group by all),
+  pairs as (select doc_id % (select greatest(1, count(*)) from cl) as claim_id, doc_id, line_num from lines),
+  sh as (select doc_id, line_num, count(*) as shared, coalesce(sum(ln(1 + qt.tf) * idf * idf * ln(1 + lt.tf)), 0.0) as tfidf, coalesce(sum(ln(1 + qt.tf) * idf), 0.0) as has
+    from pairs join lt using (doc_id, line_num) join qt using (claim_id, term) left join idf using (term) group by all)"""
+
+
+def _pair_features(s, d):
+    """Features of every line with its passage, and the passages."""
+    claims = _numbered_claims(s, d)
+    pairs = X.lines(s, d).withColumn("claim_id", F.col("doc_id") % max(1, claims.count()))
+    return P.pair_features(pairs, P.claim_table(claims, X.lines(s, d))), claims
+
+
+@query(f"""with {DEALT_PAIRS} select item_id as claim_id, doc_id, line_num, coalesce(shared, 0)::double as shared, round(coalesce(shared, 0) / greatest(coalesce(n_query, 0), 1), 5) as share_query,
+  round(coalesce(shared, 0) / greatest(coalesce(n_text, 0), 1), 5) as share_text, round(ln(1 + coalesce(n_text, 0)), 5) as length, round(coalesce(tfidf, 0.0), 5) as tfidf,
+  round(case when total > 0 then coalesce(has, 0.0) / total else 0.0 end, 5) as weight_share
+  from pairs join cl using (claim_id) left join qw using (claim_id) left join tw using (doc_id, line_num) left join sh using (doc_id, line_num)""")
+def u2_pair_features(s, d):
+    rows, claims = _pair_features(s, d)
+    named = rows.join(claims.select("claim_id", "item_id"), "claim_id")
+    rounded = [F.round(c, 5).alias(c) for c in ("share_query", "share_text", "length", "tfidf", "weight_share")]
+    return named.select(F.col("item_id").alias("claim_id"), "doc_id", "line_num", "shared", *rounded)
+
+
 @query()
 def u2_score_pairs(s, d):
-    """Documents are dealt to all passages in turn, by doc_id modulo the number of passages."""
-    claims = _numbered_claims(s, d)
-    claim = (F.col("doc_id") % max(1, claims.count())).alias("claim_id")
-    pairs = T.sentence_candidates(X.read(s, d, "documents").select(claim, "doc_id"), X.lines(s, d), X.read(s, d, "labels").filter("quality = 1").select(claim, "doc_id", F.lit(0).alias("line_num")))
-    rows = pairs.join(claims.hint("merge"), "claim_id")
-    return U.score_pairs(rows, U.train_scorer(rows)).select(F.col("item_id").alias("claim_id"), "doc_id", "line_num", "prob", "score")
+    """Lines of documents of good quality that open them are labelled true; each passage's pairs are scored by a model of other passages' pairs."""
+    rows, claims = _pair_features(s, d)
+    gold = X.read(s, d, "labels").filter("quality = 1").select("doc_id", F.lit(0).alias("line_num"), F.lit("true").alias("_gold")).distinct()
+    labelled = rows.join(gold, ["doc_id", "line_num"], "left").withColumn("selection_label", F.coalesce("_gold", F.lit("false"))).drop("_gold")
+    scored = P.cross_fit(written(labelled, "features")).join(claims.select("claim_id", "item_id"), "claim_id")
+    return scored.select(F.col("item_id").alias("claim_id"), "doc_id", "line_num", "fold", "prob", "score")
 
 
 @query(f"with {X.LINES} select doc_id, line_num from lines where length(text) > 20")
