@@ -1,14 +1,17 @@
 """Linking claims to documents by longest matches of title keywords.
 
 Tables: keyword index ``(keyword, doc_id, priority)``; claims ``(claim_id, tokens)``; links ``(claim_id, match_key, start, stop,
-doc_id, priority)``. Matching explodes each claim's n-grams (no longer than the longest keyword), joins them with the
-index's distinct keywords, and sweeps each claim's spans from left to right in one array expression.
+doc_id, priority)``. Keywords form a trie of two levels: a head (the first two words, or the only one) and the lengths of the
+keywords that begin with it. Each place of a claim looks up its heads; only where a head is known are n-grams of these lengths
+made and looked up. Each claim's spans are swept from left to right in one array expression.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,28 +67,49 @@ def _chosen(spans: Column) -> Column:
     return F.aggregate(spans, start, step)["out"]
 
 
-def match_spans(claims: DataFrame, index: DataFrame, keys: list[str], longest: int, lower: bool = False) -> DataFrame:
-    """(keys, match_key, start, stop): leftmost-longest non-overlapping keyword matches over tokens."""
-    grams = claims.select(*keys, F.posexplode("tokens").alias("start", "_w"), "tokens").drop("_w")
-    room = F.least(F.lit(longest), F.size("tokens") - F.col("start"))
-    grams = grams.select(*keys, "start", F.explode(F.sequence(F.lit(1), room)).alias("n"), "tokens")
-    grams = grams.select(*keys, "start", (F.col("start") + F.col("n")).cast("int").alias("stop"), F.array_join(F.slice("tokens", F.col("start") + 1, F.col("n")), " ").alias("match_key"))
+class Trie(NamedTuple):
+    """``known`` (known, n_words): the distinct keywords; ``heads`` (head, lengths): a head and the numbers of words of the keywords under it."""
+
+    known: DataFrame
+    heads: DataFrame
+
+
+def keyword_trie(index: DataFrame, lower: bool = False) -> Trie:
+    """Both tables are written, so that joins with them split a head or keyword that is met in most claims."""
     keyword = F.lower("keyword") if lower else F.col("keyword")
-    known = index.select(keyword.alias("_k")).distinct()
-    found = grams.join(known, (F.lower("match_key") if lower else F.col("match_key")) == F.col("_k"), "left_semi")
+    words = F.split("known", " ")
+    known = written(index.select(keyword.alias("known")).distinct().withColumn("n_words", F.size(words)), "keywords")
+    heads = known.groupBy(F.array_join(F.slice(words, 1, 2), " ").alias("head")).agg(F.collect_set("n_words").alias("lengths"))
+    return Trie(known, written(heads, "heads"))
+
+
+def match_spans(claims: DataFrame, index: DataFrame, keys: list[str], longest: int | None = None, lower: bool = False, trie: Trie | None = None) -> DataFrame:
+    """(keys, match_key, start, stop): leftmost-longest non-overlapping keyword matches (of ``longest`` words at most) over tokens.
+
+    Two rows a place are looked up among the heads; what follows grows with the heads found, not with the longest keyword.
+    """
+    known, heads = trie or keyword_trie(index, lower)
+    plain = (lambda c: F.lower(c)) if lower else (lambda c: c)
+    places = claims.select(*keys, F.posexplode("tokens").alias("start", "_w"), "tokens")
+    first = F.array_join(F.slice("tokens", F.col("start") + 1, 1), " ")
+    two = F.array_join(F.slice("tokens", F.col("start") + 1, 2), " ")
+    asked = places.select(*keys, "start", F.explode(F.when(F.col("start") + 1 < F.size("tokens"), F.array(plain(first), plain(two))).otherwise(F.array(plain(first)))).alias("head"))
+    hits = asked.join(heads, "head").groupBy(*keys).agg(F.collect_list(F.struct("start", "lengths")).alias("hits"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    met = claims.select(*keys, "tokens").alias("c").join(hits.alias("h"), same)
+    grams = met.select(*[F.col(f"c.{k}") for k in keys], "tokens", F.inline("hits")).select(*keys, "tokens", "start", F.explode("lengths").alias("n"))
+    grams = grams.filter(F.col("start") + F.col("n") <= F.size("tokens")).filter(F.col("n") <= longest if longest else F.lit(True))
+    grams = grams.select(*keys, "start", (F.col("start") + F.col("n")).cast("int").alias("stop"), F.array_join(F.slice("tokens", F.col("start") + 1, F.col("n")), " ").alias("match_key"))
+    found = grams.join(known, plain(F.col("match_key")) == F.col("known"), "left_semi")
     best = found.groupBy(*keys, "start").agg(F.max(F.struct("stop", "match_key")).alias("m"))
     spans = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("m.stop").alias("stop"), F.col("m.match_key").alias("match_key")))).alias("s"))
     return spans.select(*keys, F.inline(_chosen(F.col("s")))).select(*keys, "match_key", "start", "stop")
 
 
-def longest_keyword(index: DataFrame) -> int:
-    return index.agg(F.max(F.size(F.split("keyword", " ")))).first()[0] or 1
-
-
-def link_keywords(claims: DataFrame, index: DataFrame, keys: list[str] | None = None, longest: int | None = None, lower: bool = False) -> DataFrame:
-    """Links of the matches' candidates; ``lower`` matches regardless of case."""
+def link_keywords(claims: DataFrame, index: DataFrame, keys: list[str] | None = None, longest: int | None = None, lower: bool = False, trie: Trie | None = None) -> DataFrame:
+    """Links of the matches' candidates; ``lower`` matches regardless of case. ``trie``: the index's, where it serves several calls."""
     keys = keys or ["claim_id"]
-    spans = match_spans(claims, index, keys, longest or longest_keyword(index), lower)
+    spans = match_spans(claims, index, keys, longest, lower, trie)
     on = (F.lower("match_key") == F.lower("keyword")) if lower else (F.col("match_key") == F.col("keyword"))
     return spans.join(index, on).groupBy(*keys, "match_key", "start", "stop", "doc_id").agg(F.max("priority").alias("priority"))
 
@@ -108,10 +132,11 @@ def first_letter_filter(claims: DataFrame, index: DataFrame, max_rounds: int | N
     A key of more than two tokens that keeps no candidate is matched again without its first token, the next one in title
     case; fragments shrink, so the rounds are bounded by the longest keyword.
     """
-    longest = longest_keyword(index)
+    trie = keyword_trie(index)
+    longest = trie.known.agg(F.max("n_words")).first()[0] or 1
     work, out = claims.select("claim_id", F.lit("").alias("part"), "tokens"), None
     for _ in range(max_rounds or longest):
-        links = link_keywords(work, index, ["claim_id", "part"], longest).filter(~_stop_key())
+        links = link_keywords(work, index, ["claim_id", "part"], trie=trie).filter(~_stop_key())
         kept = links.filter(_same_letter()).select("claim_id", "match_key", "start", "stop", "doc_id", "priority")
         out = kept if out is None else out.unionByName(kept)
         lost = links.groupBy("claim_id", "part", "match_key").agg(F.max(_same_letter().cast("int")).alias("ok")).filter("ok = 0")
@@ -123,24 +148,78 @@ def first_letter_filter(claims: DataFrame, index: DataFrame, max_rounds: int | N
     return out.groupBy("claim_id", "match_key", "doc_id").agg(F.max("priority").alias("priority"))
 
 
+def _swept(tokens: list[str], keys: dict[str, bool]) -> list[tuple[str, int, int]]:
+    """(key, start, stop) of the leftmost-longest matches among ``keys`` (key -> whether it fails).
+
+    A failing key loses its first token. The sweep then goes back to the first place whose n-grams can reach over the gap;
+    what it took before that place stands.
+    """
+    tokens, longest = list(tokens), max(key.count(" ") for key in keys) + 1
+    taken: list[tuple[str, int, int]] = []
+    at = 0
+    while at < len(tokens):
+        grams = ((" ".join(tokens[at : at + n]), n) for n in range(min(longest, len(tokens) - at), 0, -1))
+        key, n = next((g for g in grams if g[0] in keys), (None, 1))
+        if key is None:
+            at += 1
+        elif not keys[key]:
+            taken.append((key, at, at + n))
+            at += n
+        else:
+            del tokens[at]
+            at = max(0, at - longest + 1)
+            while taken and taken[-1][1] >= at:
+                taken.pop()
+            at = max(at, taken[-1][2] if taken else 0)
+    return taken
+
+
+def _sweeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["claim_id", "match_key", "start", "stop"]
+    for batch in batches:
+        for at in range(batch.num_rows):  # a claim at a time: its keywords are lists of their own
+            claim = batch.slice(at, 1)
+            keys = {k["known"]: k["fails"] for k in claim.column("keys")[0].as_py()}
+            taken = _swept(claim.column("tokens")[0].as_py(), keys)
+            found = [pa.array([t[i] for t in taken], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([claim.column("claim_id").take(pa.array([0] * len(taken), pa.int32())), *found], names)
+
+
+def _swept_again(claims: DataFrame, known: DataFrame, failing: DataFrame) -> DataFrame:
+    """Spans of claims that meet a failing key, swept with restarts within the claim.
+
+    The gaps that restarts leave make new n-grams, but only of the claim's own words: a claim needs the keywords all of whose
+    words it holds. They are found by each keyword's rarest word, so a frequent word gathers only the keywords that have no other.
+    """
+    words = F.split("known", " ")
+    by_word = known.select("known", F.explode(F.array_distinct(words)).alias("word"))
+    counts = written(by_word.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    rarest = by_word.join(counts, "word").groupBy("known").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    marks = failing.select(F.col("match_key").alias("known"), F.lit(True).alias("fails"))
+    rated = written(rarest.join(marks, "known", "left").select("word", "known", F.coalesce("fails", F.lit(False)).alias("fails")), "rarest")
+    held = claims.select("claim_id", F.array_distinct("tokens").alias("own")).withColumn("word", F.explode("own"))
+    near = held.join(rated, "word").filter(F.size(F.array_except(words, "own")) == 0)
+    keys = near.groupBy("claim_id").agg(F.collect_set(F.struct("known", "fails")).alias("keys"))
+    kind = claims.schema["claim_id"].dataType.simpleString()
+    return claims.select("claim_id", F.array_compact("tokens").alias("tokens")).join(keys, "claim_id").select("claim_id", "tokens", "keys").mapInArrow(_sweeps, f"claim_id {kind}, match_key string, start int, stop int")
+
+
 def _restarting(claims: DataFrame, index: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links kept by ``keep`` (adds a boolean ``ok``). When a key of more than two tokens keeps none, the claim loses that key's first token and is matched anew, matches so far discarded.
 
-    Each round takes a token from every claim that is left, so the rounds end; those claims are written, which cuts the lineage.
+    Whether a key fails depends on the index alone, so keys are rated before any claim is read, and claims that meet a failing
+    one restart within themselves: the number of Spark jobs doesn't follow the number of restarts.
     """
-    longest = longest_keyword(index)
-    work, out = claims.select("claim_id", "tokens"), None
-    while True:
-        links = keep(link_keywords(work, index, ["claim_id"], longest).filter(~_stop_key()))
-        by_key = links.groupBy("claim_id", "match_key", "start", "stop").agg(F.max(F.col("ok").cast("int")).alias("ok"))
-        failed = by_key.filter((F.col("ok") == 0) & (F.size(F.split("match_key", " ")) > 2)).groupBy("claim_id").agg(F.min("start").alias("at"))
-        done = links.filter("ok").join(failed.select("claim_id"), "claim_id", "left_anti").select("claim_id", "match_key", "start", "stop", "doc_id", "priority")
-        out = done if out is None else out.unionByName(done)
-        if longest <= 2:
-            return out
-        work = written(work.join(failed, "claim_id").select("claim_id", F.concat(F.slice("tokens", 1, F.col("at")), F.slice("tokens", F.col("at") + 2, F.size("tokens"))).alias("tokens")), "restarted")
-        if not work.limit(1).count():
-            return out
+    trie = keyword_trie(index)
+    rated = written(keep(index.select(F.col("keyword").alias("match_key"), "doc_id", "priority")).filter(~_stop_key()).select("match_key", "doc_id", "priority", "ok"), "rated")
+    by_key = rated.groupBy("match_key").agg(F.max(F.col("ok").cast("int")).alias("ok"))
+    failing = written(by_key.filter((F.col("ok") == 0) & (F.size(F.split("match_key", " ")) > 2)).select("match_key"), "failing")
+    spans = written(match_spans(claims, index, ["claim_id"], trie=trie), "spans")
+    again = written(spans.join(failing, "match_key", "left_semi").select("claim_id").distinct(), "restarted")
+    swept = _swept_again(claims.join(again, "claim_id", "left_semi"), trie.known, failing)
+    spans = spans.join(again, "claim_id", "left_anti").unionByName(swept)
+    links = spans.join(rated.filter("ok").drop("ok"), "match_key")
+    return links.groupBy("claim_id", "match_key", "start", "stop", "doc_id").agg(F.max("priority").alias("priority"))
 
 
 def link_keywords_multi(claims: DataFrame, index: DataFrame) -> DataFrame:

@@ -46,9 +46,10 @@ def _each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out:
 
 def stream_link_claims(claims: DataFrame, index: DataFrame, views: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """First-hop links of arriving claims (claim_id, tokens) against the static index and views, ranked by views."""
+    trie = K.keyword_trie(index)
 
     def work(batch: DataFrame) -> DataFrame:
-        links = K.link_keywords(batch, index).select("claim_id", "match_key", "doc_id", "priority")
+        links = K.link_keywords(batch, index, trie=trie).select("claim_id", "match_key", "doc_id", "priority")
         return D.topk_docs(D.pageview_rank(links, views))
 
     return _each_batch(claims, work, out, checkpoint)
