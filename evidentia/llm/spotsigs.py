@@ -16,7 +16,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.arrow import pieces, row_hash
@@ -24,8 +24,9 @@ from evidentia.plans.scratch import written
 
 CHAIN = 2
 GAP = 24
-#: Bytes of text that a range of doc_id aims at.
+#: Bytes of text that a range of (doc_id, text hash) aims at; beyond MAX_RANGES of them ranges grow instead of their number.
 RANGE_BYTES = 32 << 20
+MAX_RANGES = 1 << 16
 # Common words of English, German, French and Spanish that serve as anchors.
 ANCHORS = frozenset(
     """
@@ -118,32 +119,72 @@ def fingerprints(docs: DataFrame, groups: int | None = None) -> DataFrame:
     texts count as empty. Equal texts have equal fingerprints. Whole texts; other columns are ignored; an empty table gives
     an empty result.
 
-    Texts are shuffled once, into ranges of doc_id; the first row of each range is also sent to the range before, so that
-    each row meets its successor. Ranges follow the doc_ids' quantiles, as many as give RANGE_BYTES each; they, not texts, come
-    to the driver.
+    Texts are read twice and shuffled once, into ranges of (doc_id, text hash), see ``_ranges``; the first row of each range is
+    also sent to the range before, so that each row meets its successor.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = groups or max(8, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
-    bounds = sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []))
-    cuts = [int(b) for b in bounds]
-    # number of bounds below doc_id or equal, by a fixed sorted array
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    group = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(edges, lambda x: x <= F.col("doc_id"))))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
-    keyed = rows.withColumn("group", group.cast("int")).withColumn("place", order)
-    firsts = keyed.groupBy("group").agg(F.min("place").alias("first")).orderBy("group").collect()  # a row per range
-    if not firsts:
-        return keyed.select("group", "doc_id", "text", F.lit(False).alias("sent"), "place").mapInArrow(_compared, SCHEMA)
-    before = {r["group"]: firsts[i - 1]["group"] for i, r in enumerate(firsts)}
-    target = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])
-    first = F.create_map(*[F.lit(x) if not isinstance(x, tuple) else F.struct(F.lit(x[0]).alias("none"), F.lit(x[1]).cast("long").alias("doc_id"), F.lit(x[2]).alias("hash")) for r in firsts for x in (r["group"], tuple(r["first"]))])
-    copies = keyed.filter(F.col("place").eqNullSafe(first[F.col("group")])).dropDuplicates(["place"]).withColumn("group", target[F.col("group")]).withColumn("sent", F.lit(True))
-    both = keyed.withColumn("sent", F.lit(False)).unionByName(copies)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text"))
+    ranges, n = _ranges(rows, groups)
+    keyed = rows.withColumn("place", _place()).crossJoin(F.broadcast(ranges))  # one row
+    keyed = keyed.withColumn("group", _group()).select("group", "place", "doc_id", "text", "firsts", "before")
+    own = F.struct("group", F.lit(False).alias("sent"))
+    is_first = F.get("firsts", F.col("group")).eqNullSafe(F.col("place"))
+    to = F.when(is_first, F.array(own, F.struct(F.get("before", F.col("group")).alias("group"), F.lit(True).alias("sent")))).otherwise(F.array(own))
+    both = keyed.select(F.inline(to), "place", "doc_id", "text")
     # a task for each range, instead of ranges that meet by their hashes
-    both = both.repartitionById(max(before) + 1, F.col("group")).sortWithinPartitions("group", "sent", "place", "text")
+    both = both.repartitionById(n, F.col("group")).sortWithinPartitions("group", "sent", "place", "text")
     return both.select("group", "doc_id", "text", "sent").mapInArrow(_compared, SCHEMA)
 
 
+def _place() -> Column:
+    """The order of documents: by doc_id, null last, then by the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("hash"))
+
+
+def _cell() -> Column:
+    """Number of ``cuts`` that are not above doc_id, by halving; null ids come after all."""
+    size = F.size("cuts")
+    powers = F.array(*[F.lit(1 << i) for i in reversed(range((2 * MAX_RANGES).bit_length()))])
+    below = F.aggregate(powers, F.lit(0), lambda at, p: F.when((at + p <= size) & (F.get("cuts", at + p - 1) <= F.col("doc_id")), at + p).otherwise(at))
+    return F.when(F.col("doc_id").isNull(), size + 1).otherwise(below)
+
+
+def _group() -> Column:
+    """The range of a row: its cell's first range and, where a cell of one doc_id has several, the share of the hashes below its own."""
+    cell = _cell()
+    parts = F.get("offsets", cell + 1) - F.get("offsets", cell)
+    share = F.shiftright((F.shiftright("hash", 32) + F.lit(1 << 31)) * parts, 32)
+    return (F.get("offsets", cell) + share).cast("int")
+
+
+def _ranges(rows: DataFrame, groups: int | None) -> tuple[DataFrame, int]:
+    """One row of arrays that describes the ranges, and how many there are.
+
+    ``cuts`` are quantiles of doc_id; one that fills several is a cell of its own, as are null ids, and such a cell is divided by
+    hash into as many ranges as it has bytes for. ``offsets``: a cell's first range; ``firsts`` and ``before``: a range's first
+    row's place and the range (with rows) before it. A few numbers a range come to the driver, for four times
+    MAX_RANGES ranges at most; texts don't: all is found from a written table of ids, hashes and sizes.
+    """
+    spark = rows.sparkSession
+    keys = written(rows.select("doc_id", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "places")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    n = groups or min(MAX_RANGES, max(8, -(-total // RANGE_BYTES)))
+    found = [int(b) for b in (keys.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [])]
+    hot = {v for v, again in zip(found, found[1:]) if v == again}
+    cuts = sorted(set(found) | {v + 1 for v in hot if v < (1 << 63) - 1})
+    bounds = spark.createDataFrame([(cuts,)], "cuts array<long>")
+    celled = keys.crossJoin(F.broadcast(bounds)).groupBy(_cell().alias("cell")).agg(F.sum("size").alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    each = -(-max(total, 1) // n)
+    parts = {r["cell"]: max(1, r["size"] // each) for r in celled.collect() if r["low"] == r["high"]}  # a row a cell; they add up to n at most
+    offsets = np.concatenate([[0], np.cumsum([parts.get(c, 1) for c in range(len(cuts) + 2)])]).tolist()
+    cells = spark.createDataFrame([(cuts, offsets)], "cuts array<long>, offsets array<int>")
+    found = keys.crossJoin(F.broadcast(cells)).groupBy(_group().alias("group")).agg(F.min(_place()).alias("place")).orderBy("group").collect()  # a row a range
+    firsts, before = [None] * offsets[-1], [None] * offsets[-1]
+    for i, r in enumerate(found):
+        firsts[r["group"]], before[r["group"]] = tuple(r["place"]), found[i - 1]["group"]
+    kind = "cuts array<long>, offsets array<int>, firsts array<struct<none:boolean,doc_id:long,hash:long>>, before array<int>"
+    return spark.createDataFrame([(cuts, offsets, firsts, before)], kind), offsets[-1]
+
+
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 

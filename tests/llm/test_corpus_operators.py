@@ -14,6 +14,7 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evidentia.llm import bpe, brown_lm, langid, line_dedup, media, mixing, near_dedup, spotsigs, token_counts, toxicity
@@ -463,6 +464,52 @@ def test_texts_without_common_words_have_signatures_all_along():
     assert all(0.5 < x < 0.9 for x in shared)
 
 
+def test_signatures_equal_a_plain_version(table):
+    """Anchors, chains and hashes word by word with Python's integers."""
+    mask = (1 << 64) - 1
+
+    def plain(text):
+        words = [w.strip(spotsigs._STRIP) or w for w in text.lower().split()]
+        bare = [w.strip(spotsigs._STRIP) for w in text.lower().split()]
+        h = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+        last, anchors = -1, []
+        for i, w in enumerate(bare):
+            if w in spotsigs.ANCHORS:
+                last = i
+                anchors.append(i)
+            elif i - last > spotsigs.GAP and h[i] % 4 == 0:
+                anchors.append(i)
+        out, known = set(), set(anchors)
+        for at, x in [(-1, 0)] + [(i, h[i]) for i in anchors]:
+            chain = list(itertools.islice((h[j] for j in range(at + 1, len(h)) if j not in known), spotsigs.CHAIN))
+            chain += list(range(1, spotsigs.CHAIN + 1))[: spotsigs.CHAIN - len(chain)]
+            for c in chain:
+                x = ((x ^ (x >> 31)) * 0x9E3779B97F4A7C15 + c) & mask
+            x ^= x >> 29
+            out.add(((x * 0xBF58476D1CE4E5B9) & mask) >> 32)
+        return out
+
+    cache = spotsigs._Words()
+    texts = ["", "the", "The quick, brown fox of the hill", "!!! --- the ???", "la"] + [t for _, t, *_ in table][:60] + [" ".join(f"zq{i}" for i in range(300))]
+    for t in texts:
+        assert set(spotsigs.signatures(t, cache).tolist()) == plain(t)
+
+
+def test_spotsigs_of_hot_ids_and_many_ranges(spark):
+    """A third of the rows share a doc_id, some have none: such cells are divided by hash, and each row meets its successor."""
+    rows = [((7 if i % 3 == 0 else None if i % 10 == 1 else i * 1000003 % 5000 - 2000), f"text {i} of the row and more {i * i}", None, None, None) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
+    want = sorted((str(r[0]), hashlib.sha256((r[1][: len(r[1]) - len(r[1]) // 2] + n[1][: len(r[1]) // 2]).encode()).hexdigest()) for r, n in zip(order, order[1:] + order[:1]))
+    for n in (None, 1, 5, 64, 500):
+        got = spotsigs.fingerprints(df, n)
+        assert sorted((str(r.doc_id), r.edited_sha256) for r in got.collect()) == want
+    ranges, _ = spotsigs._ranges(df.select("doc_id", "text", F.xxhash64("text").alias("hash")), 64)
+    sizes = df.withColumn("hash", F.xxhash64("text")).crossJoin(ranges).groupBy(spotsigs._group().alias("g")).count()
+    assert sizes.agg(F.max("count")).first()[0] < 40
+
+
 def test_spotsigs_of_odd_rows(spark, odd, empty):
     got = spotsigs.fingerprints(odd, 3).collect()
     assert len(got) == 11
