@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import columns as C
@@ -223,9 +224,15 @@ def c7_filter_ngram(s, d):
     return x.groupBy("role").agg(*[F.sum(C.filter_ngram("g", m).cast("long")).alias(f"n_{m}") for m in ("any", "all", "ends")])
 
 
-@query("select doc_id, not regexp_matches(l, '[a-zA-Z]') as dropped from (select doc_id, string_split(text, chr(10))[1] as l from documents)")
+@query("""with l as (select doc_id, string_split(text, chr(10))[1] as l from documents),
+  t as (select doc_id, unnest([l, regexp_replace(l, '[a-zA-Z]', '', 'g'), concat(l, ' ', chr(1605)), concat(chr(65010), l), concat(l, chr(126464)), concat(l, chr(1424))]) as title, unnest(range(6)) as form from l)
+  select doc_id, form, not regexp_matches(title, '[a-zA-Z]') or regexp_matches(title, '[\\x{600}-\\x{6FF}\\x{750}-\\x{77F}\\x{8A0}-\\x{8FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFF}\\x{10E60}-\\x{10E7F}\\x{1EE00}-\\x{1EEFF}]') as dropped from t""")
 def c8_filter_doc_id(s, d):
-    return X.read(s, d, "documents").select("doc_id", C.filter_doc_id(F.get(F.split("text", "\n"), F.lit(0))).alias("dropped"))
+    """First lines as they are, without ASCII letters, with a letter of three Arabic ranges, and with one just below the first range."""
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    forms = F.array(line, F.regexp_replace(line, "[a-zA-Z]", ""), F.concat(line, F.lit(" \u0645")), F.concat(F.lit("\ufdf2"), line), F.concat(line, F.lit("\U0001ee00")), F.concat(line, F.lit("\u0590")))
+    rows = X.read(s, d, "documents").select("doc_id", F.posexplode(forms).alias("form", "title"))
+    return rows.select("doc_id", F.col("form").cast("long").alias("form"), C.filter_doc_id("title").alias("dropped"))
 
 
 @query("""with t as (select p_partkey, p_size % 5 = 0 as open, p_name, lower(p_type) as ty from part)
@@ -477,6 +484,27 @@ def r1_stream_pageviews(s, d):
     return _drained(s, streams.stream_pageviews(x)).select("start", "doc", "views")
 
 
+def _viewed(s, d) -> DataFrame:
+    return streams.read_stream(s, d, EVENT, "events.parquet").select("ts", F.col("event_type").alias("doc"), F.col("user_id").alias("views"))
+
+
+@query("""with e as (select ts, event_type as doc, user_id, time_bucket(interval 30 minutes, ts, timestamp '1970-01-01 00:00:00') as last, unnest(range(4)) as k from events),
+  w as (select last - k * interval 30 minutes as start, doc, sum(user_id)::bigint as views from e group by all), m as (select max(ts) as m from events)
+  select start, start + interval 2 hours as stop, doc, views from w, m where start + interval 2 hours <= m - interval 1 hour""")
+def r1_stream_pageviews_sliding(s, d):
+    """Two hours every half hour; an event counts in four windows."""
+    return _drained(s, streams.stream_pageviews(_viewed(s, d), width="2 hours", slide="30 minutes"))
+
+
+@query("""with e as (select ts, event_type as doc, user_id, lag(ts) over (partition by event_type order by ts) as before from events),
+  n as (select *, sum((before is null or ts > before + interval 30 minutes)::int) over (partition by doc order by ts rows unbounded preceding) as n from e),
+  w as (select min(ts) as start, max(ts) + interval 30 minutes as stop, doc, sum(user_id)::bigint as views from n group by doc, n), m as (select max(ts) as m from events)
+  select start, stop, doc, views from w, m where stop <= m - interval 1 hour""")
+def r1_stream_pageviews_sessions(s, d):
+    """Sessions of a document: views no more than half an hour apart."""
+    return _drained(s, streams.stream_pageviews(_viewed(s, d), gap="30 minutes"))
+
+
 @query(f"""with recursive {INDEX}, exact as (select keyword, doc_id, 5.0::double as priority from k1), said as (select p_partkey as claim_id, string_split(concat('the ', p_name, ' ', p_partkey % 50), ' ') as tokens from part), {matches('linked', 'said', 'exact')},
   r as (select claim_id, doc_id, priority, row_number() over (partition by claim_id, match_key order by length(doc_id) desc, doc_id) - 1 as place, count(*) over (partition by claim_id, match_key) as n from linked),
   ranked as (select claim_id, doc_id, case when n > 1 then round(greatest(0.0, 1 - 0.2 * place), 6)::double else priority end as priority from r), {TOPK} select * from topd""")
