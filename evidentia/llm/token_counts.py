@@ -19,7 +19,7 @@ from evidentia.llm.arrow import pieces
 from evidentia.llm.bpe import Encoder, kept_encoder, rank_name, read_ranks
 
 LEAF = 32
-#: The pattern's decision on a pre-token looks at most this many characters past its end (the longest contraction).
+#: A pattern's decision on a pre-token looks at most this many characters past its end (the longest contraction) and the white space after it.
 AHEAD = 3
 
 
@@ -38,11 +38,12 @@ class TokenCounts(Encoder):
 class CountTree:
     """Pre-tokens of one text with subtree sums of characters, pre-tokens and tokens.
 
-    ``found``: the text's pre-tokens, where they are known already.
+    ``found``: the text's pre-tokens, where they are known already. ``ahead``: how many characters, beside white space, the
+    pattern looks past a pre-token's end; a pattern that looks further needs a larger one.
     """
 
-    def __init__(self, text: str, encoder: Encoder, pattern: regex.Pattern, found: list[str] | None = None) -> None:
-        self.encoder, self.pattern = encoder, pattern
+    def __init__(self, text: str, encoder: Encoder, pattern: regex.Pattern, found: list[str] | None = None, ahead: int = AHEAD) -> None:
+        self.encoder, self.pattern, self.ahead = encoder, pattern, ahead
         self.text = text
         found = encoder.find(text) if found is None else found
         self.build(list(map(len, found)), list(map(encoder.count, found)))
@@ -90,11 +91,14 @@ class CountTree:
         stop = max(start, stop)
         shift = len(new) - (stop - start)
         self.text = text = self.text[:start] + new + self.text[stop:]
-        first, at = self.find(max(0, start - AHEAD))
-        # from the pre-token that ends within AHEAD of the edit on, everything may change
+        reach = start  # white space before the edit may have been split by what stood after it
+        while reach and text[reach - 1].isspace():
+            reach -= 1
+        first, at = self.find(max(0, reach - self.ahead))
+        # from the pre-token that ends within ``ahead`` of it on, everything may change
         begin, keep = at, 0
         lengths, counts = self.leaves[first]
-        while keep < len(lengths) and begin + lengths[keep] + AHEAD <= start:
+        while keep < len(lengths) and begin + lengths[keep] + self.ahead <= reach:
             begin += lengths[keep]
             keep += 1
         head = (lengths[:keep], counts[:keep])
@@ -145,7 +149,7 @@ class CountTree:
                 self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
 
 
-def _counted(ranks, name: str, pattern: str, edits):
+def _counted(ranks, name: str, pattern: str, edits, ahead: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, compiled = kept_encoder(TokenCounts, name, ranks.value, pattern), regex.compile(pattern)
         for part in pieces(batches):
@@ -154,7 +158,7 @@ def _counted(ranks, name: str, pattern: str, edits):
             found = [encoder.find(t) for t in texts]
             encoder.learn(found)
             for text, pre_tokens in zip(texts, found, strict=True):
-                tree = CountTree(text, encoder, compiled, pre_tokens)
+                tree = CountTree(text, encoder, compiled, pre_tokens, ahead)
                 before = (tree.pre_tokens, tree.tokens)
                 again = sum(tree.edit(*e) for e in edits(len(tree.text)))
                 rows.append((*before, tree.pre_tokens, tree.tokens, len(tree.text), again))
@@ -173,14 +177,15 @@ def standard_edits(n: int) -> list[tuple[int, int, str]]:
     return [(n // 2, n // 2, " edit's 42\n"), (n // 4, n // 4 + 7, "Ünïcode"), (3 * n // 4, 3 * n // 4 + 11, "")]
 
 
-def token_counts(docs: DataFrame, ranks_path: str, pattern: str, edits=standard_edits) -> DataFrame:
+def token_counts(docs: DataFrame, ranks_path: str, pattern: str, edits=standard_edits, ahead: int = AHEAD) -> DataFrame:
     """One row per document: doc_id, counts of pre-tokens and tokens before and after ``edits``, and the characters encoded again.
 
-    ``edits(n_chars)`` lists (start, stop, new text), applied in turn; positions beyond the text are cut to its end. A null
+    ``edits(n_chars)`` lists (start, stop, new text), applied in turn; positions beyond the text are cut to its end. ``ahead``: see
+    ``CountTree``; it belongs to the pattern. A null
     text counts as empty. Whole texts of any length; repeated rows, ties and null ids give a row each; other columns are
     ignored; an empty table gives an empty result.
     """
     ranks = read_ranks(ranks_path)
     name, ranks = rank_name(ranks), docs.sparkSession.sparkContext.broadcast(ranks)
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in NAMES)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted(ranks, name, pattern, edits), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted(ranks, name, pattern, edits, ahead), schema)

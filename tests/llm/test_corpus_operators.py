@@ -668,6 +668,28 @@ def test_count_tree_on_random_edits(tiktoken_encoding):
             assert tree.pre_tokens == len(encoder.find(tree.text))
 
 
+def test_count_tree_of_a_pattern_that_looks_over_white_space():
+    """``\\s*[\\r\\n]+`` takes a line break however far it stands behind white space; a wider ``ahead`` serves a pattern that looks further."""
+    import regex
+
+    split = r"\s*[\r\n]+|\s+(?!\S)|\s?\S+|\s+"
+    encoder, pattern, rng = bpe.Encoder(bpe.Vocabulary(bpe.read_ranks(RANKS)), split), regex.compile(split), random.Random(10)
+    tree = token_counts.CountTree("foo\n" + " " * 10 + "x\nbar", encoder, pattern)
+    tree.edit(14, 15, "")
+    assert tree.pre_tokens == len(encoder.find(tree.text)) == 3
+    for _ in range(60):
+        tree = token_counts.CountTree("".join(rng.choice("ab \n  \t") for _ in range(rng.randint(0, 400))), encoder, pattern)
+        for _ in range(20):
+            at = rng.randint(0, len(tree.text) + 2)
+            tree.edit(at, at + rng.randint(0, 30), "".join(rng.choice("ab \n  ") for _ in range(rng.randint(0, 20))))
+            assert tree.pre_tokens == len(encoder.find(tree.text))
+    far = r"a(?=.{8}b)|\w+|\W+"
+    encoder, pattern = bpe.Encoder(bpe.Vocabulary(bpe.read_ranks(RANKS)), far), regex.compile(far)
+    tree = token_counts.CountTree("." * 40 + "ac12345678.", encoder, pattern, ahead=9)
+    tree.edit(49, 50, "b")
+    assert tree.pre_tokens == len(encoder.find(tree.text)) == 4
+
+
 def test_language_id(docs, table, odd, empty):
     lang = {r[0]: r[2] for r in table}
     got = langid.identify(docs).collect()
