@@ -496,13 +496,14 @@ def r1_stream_pageviews_sliding(s, d):
     return _drained(s, streams.stream_pageviews(_viewed(s, d), width="2 hours", slide="30 minutes"))
 
 
-@query("""with e as (select ts, event_type as doc, user_id, lag(ts) over (partition by event_type order by ts) as before from events),
+@query("""with e as (select ts, concat(event_type, '/', user_id) as doc, user_id, lag(ts) over (partition by event_type, user_id order by ts) as before from events),
   n as (select *, sum((before is null or ts > before + interval 30 minutes)::int) over (partition by doc order by ts rows unbounded preceding) as n from e),
   w as (select min(ts) as start, max(ts) + interval 30 minutes as stop, doc, sum(user_id)::bigint as views from n group by doc, n), m as (select max(ts) as m from events)
   select start, stop, doc, views from w, m where stop <= m - interval 1 hour""")
 def r1_stream_pageviews_sessions(s, d):
-    """Sessions of a document: views no more than half an hour apart."""
-    return _drained(s, streams.stream_pageviews(_viewed(s, d), gap="30 minutes"))
+    """Sessions of a user's events of a type: no more than half an hour apart."""
+    x = _viewed(s, d).withColumn("doc", F.concat_ws("/", "doc", F.col("views").cast("string")))
+    return _drained(s, streams.stream_pageviews(x, gap="30 minutes"))
 
 
 @query(f"""with recursive {INDEX}, exact as (select keyword, doc_id, 5.0::double as priority from k1), said as (select p_partkey as claim_id, string_split(concat('the ', p_name, ' ', p_partkey % 50), ' ') as tokens from part), {matches('linked', 'said', 'exact')},
