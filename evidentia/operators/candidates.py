@@ -25,11 +25,11 @@ def sentence_candidates(docs: DataFrame, sentences: DataFrame, gold: DataFrame |
     others false; without, all are hidden. ``k`` takes the first k documents by rank.
     """
     docs = docs if k is None else docs.filter(F.col("rank") <= k)
-    rows = docs.select("claim_id", "doc_id").distinct().join(sentences.select(*SENT, "text"), "doc_id")
+    rows = docs.select("claim_id", "doc_id").distinct().join(sentences.select(*SENT, "text").hint("merge"), "doc_id")
     if gold is None:
         return rows.withColumn("selection_label", F.lit("hidden"))
-    true = gold.select("claim_id", *SENT).distinct().join(sentences.select(*SENT, "text"), SENT).withColumn("selection_label", F.lit("true"))
-    false = rows.join(true.select("claim_id", *SENT), ["claim_id", *SENT], "left_anti").withColumn("selection_label", F.lit("false"))
+    true = gold.select("claim_id", *SENT).distinct().join(sentences.select(*SENT, "text").hint("merge"), SENT).withColumn("selection_label", F.lit("true"))
+    false = rows.join(true.select("claim_id", *SENT).hint("merge"), ["claim_id", *SENT], "left_anti").withColumn("selection_label", F.lit("false"))
     return true.select("claim_id", *SENT, "text", "selection_label").unionByName(false)
 
 
@@ -63,12 +63,12 @@ def decayed(start: float, step: float, epoch: int, least: float = 0.0) -> float:
 
 def missing_gold_pairs(gold: DataFrame, pairs: DataFrame, sentences: DataFrame) -> DataFrame:
     """Gold sentences without a scored pair, as true pairs."""
-    lost = gold.join(pairs.select("claim_id", *SENT), ["claim_id", *SENT], "left_anti")
-    return lost.join(sentences.select(*SENT, "text"), SENT, "left").select("claim_id", *SENT, prefix_title().alias("text"), F.lit("true").alias("selection_label"))
+    lost = gold.join(pairs.select("claim_id", *SENT).hint("merge"), ["claim_id", *SENT], "left_anti")
+    return lost.join(sentences.select(*SENT, "text").hint("merge"), SENT, "left").select("claim_id", *SENT, prefix_title().alias("text"), F.lit("true").alias("selection_label"))
 
 
 def gold_hit_ratio(gold: DataFrame, pairs: DataFrame) -> DataFrame:
-    hits = gold.join(pairs.select("claim_id", *SENT, F.lit(1).alias("hit")).distinct(), ["claim_id", *SENT], "left")
+    hits = gold.join(pairs.select("claim_id", *SENT, F.lit(1).alias("hit")).distinct().hint("merge"), ["claim_id", *SENT], "left")
     return hits.agg(F.count("hit").alias("n_hit"), F.count("*").alias("n_gold"))
 
 
@@ -91,7 +91,7 @@ def balance_pairs(pairs: DataFrame, ratio: float = 1.0, seed: int = 12) -> DataF
 
 
 def pairs_for_label(pairs: DataFrame, claims: DataFrame, label: str = "NOT ENOUGH INFO") -> DataFrame:
-    return pairs.join(claims.filter(F.col("label") == label).select("claim_id"), "claim_id", "left_semi")
+    return pairs.join(claims.filter(F.col("label") == label).select("claim_id").hint("merge"), "claim_id", "left_semi")
 
 
 def top_candidates(pairs: DataFrame, k: int) -> DataFrame:

@@ -72,7 +72,7 @@ def search_ensembles(runs: DataFrame, claims: DataFrame, n_runs: int, largest: i
     logit = lambda k, i: F.sum(F.when(F.col("run") == k, F.coalesce(F.get("logits", F.lit(i)), F.lit(0.0)).cast("double")).otherwise(0.0))
     one = runs.groupBy("claim_id").agg(F.array(*[logit(k, i) for k in range(n_runs) for i in range(3)]).alias("sums"), F.array(*[F.sum((F.col("run") == k).cast("double")) for k in range(n_runs)]).alias("counts"))
     place = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.upper("label")) - 1, F.lit(-1)).cast("int")
-    rows = one.join(claims, "claim_id").select("sums", "counts", place.alias("label"), F.coalesce(evidence_correct(), F.lit(False)).alias("evid"), macro_precision().alias("p"), macro_recall().alias("r"))
+    rows = one.join(claims.hint("merge"), "claim_id").select("sums", "counts", place.alias("label"), F.coalesce(evidence_correct(), F.lit(False)).alias("evid"), macro_precision().alias("p"), macro_recall().alias("r"))
     kind = "subset string, " + ", ".join(f"{c} double" for c in _COUNTS)
     sums = rows.mapInArrow(_walked(n_runs, largest), kind).groupBy("subset").agg(*[F.sum(c).alias(c) for c in _COUNTS]).filter("n > 0")
     mean = lambda x, n, none: F.when(F.col(n) > 0, F.col(x) / F.col(n)).otherwise(F.lit(none))

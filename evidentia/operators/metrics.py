@@ -179,7 +179,7 @@ def confusion_report(rows: DataFrame, true: str, predicted: str) -> DataFrame:
     cells = confusion(rows, true, predicted)
     t = cells.groupBy(F.col("true").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("true") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hits"))
     p = cells.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("n_predicted"))
-    each = t.join(p, "label", "full").fillna(0, ["support", "hits", "n_predicted"])
+    each = t.join(p.hint("merge"), "label", "full").fillna(0, ["support", "hits", "n_predicted"])
     sums = each.agg(F.sum("support").alias("s"), F.sum("hits").alias("c"), F.sum(F.col("n_predicted") * F.col("support")).alias("pt"), F.sum(F.col("n_predicted") ** 2).alias("pp"), F.sum(F.col("support") ** 2).alias("tt"))
     s2 = F.col("s") * F.col("s")
     rk = F.try_divide((F.col("c") * F.col("s") - F.col("pt")).cast("double"), F.sqrt(s2 - F.col("pp")) * F.sqrt(s2 - F.col("tt")))

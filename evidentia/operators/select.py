@@ -26,7 +26,7 @@ def _listed(rows: DataFrame, claims: DataFrame | None, n: int | None = None) ->
     lists = lists.select("claim_id", scored.alias("scored"))
     if claims is not None:
         kind = dict(lists.dtypes)["scored"]
-        lists = claims.join(lists, "claim_id", "left").withColumn("scored", F.coalesce("scored", F.array().cast(kind)))
+        lists = claims.join(lists.hint("merge"), "claim_id", "left").withColumn("scored", F.coalesce("scored", F.array().cast(kind)))
     top = F.col("scored") if n is None else F.slice("scored", 1, n)
     return lists.withColumn("predicted_evidence", F.transform(top, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["line_num"].alias("line_num"))))
 
@@ -68,7 +68,7 @@ def select_unique(pairs: DataFrame, claims: DataFrame | None = None, threshold:
 def append_selected(selected: DataFrame, pairs: DataFrame, threshold: float, add_n: int, top_n: int = TOP, order: str = "pos") -> DataFrame:
     """Appends up to add_n passing pairs that a claim's list lacks, cut to top_n. A list of five or more is left alone, whatever top_n is."""
     extra = select_unique(pairs, None, threshold, add_n, order).select("claim_id", F.col("scored").alias("_more"))
-    joined = selected.join(extra, "claim_id", "left")
+    joined = selected.join(extra.hint("merge"), "claim_id", "left")
     have = F.col("predicted_evidence")
     more = F.coalesce(F.col("_more"), F.slice("scored", 1, 0))
     fresh = F.filter(more, lambda x: ~F.array_contains(have, F.struct(x["doc_id"].alias("doc_id"), x["line_num"].alias("line_num"))))
@@ -100,7 +100,7 @@ def threshold_sweep(pairs: DataFrame, claims: DataFrame, thresholds: list[float]
     best = top_k(pairs.withColumn("_level", level).filter("_level > 0"), ["claim_id", "_level"], [F.desc("score"), *SENT], n)
     item = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("falling"), *SENT, "_level")
     lists = best.groupBy("claim_id").agg(F.array_sort(F.collect_list(item)).alias("_l"))
-    full = claims.join(lists, "claim_id", "left").withColumn("_l", F.coalesce("_l", F.array().cast(dict(lists.dtypes)["_l"]))).withColumn("predicted_label", F.col("label"))
+    full = claims.join(lists.hint("merge"), "claim_id", "left").withColumn("_l", F.coalesce("_l", F.array().cast(dict(lists.dtypes)["_l"]))).withColumn("predicted_label", F.col("label"))
 
     def chosen(i: int) -> Column:
         first = F.slice(F.filter("_l", lambda x: x["_level"] > i), 1, n)
@@ -127,9 +127,9 @@ def score_table(pairs: DataFrame, key: list[str], order: str = "pos", tolerance:
 
 def attach_scores(rows: DataFrame, sentence_scores: DataFrame, doc_scores: DataFrame | None = None, default: float = 0.5, doc_default: float = 0.99) -> DataFrame:
     """Rows of (claim, doc, line) with sent_prob and, if given, doc_prob; missing ones get the defaults."""
-    out = rows.join(sentence_scores.select("claim_id", *SENT, F.col("prob").alias("sent_prob")), ["claim_id", *SENT], "left").fillna(default, ["sent_prob"])
+    out = rows.join(sentence_scores.select("claim_id", *SENT, F.col("prob").alias("sent_prob")).hint("merge"), ["claim_id", *SENT], "left").fillna(default, ["sent_prob"])
     if doc_scores is not None:
-        out = out.join(doc_scores.select("claim_id", "doc_id", F.col("prob").alias("doc_prob")), ["claim_id", "doc_id"], "left").fillna(doc_default, ["doc_prob"])
+        out = out.join(doc_scores.select("claim_id", "doc_id", F.col("prob").alias("doc_prob")).hint("merge"), ["claim_id", "doc_id"], "left").fillna(doc_default, ["doc_prob"])
     return out
 
 

@@ -34,15 +34,15 @@ def augment_evidence(claims: DataFrame, selected: DataFrame, seed: int = 12, top
     base = enough.select("claim_id", "label", "group_id", F.explode("group").alias("e")).select("claim_id", "label", "group_id", "e.doc_id", "e.line_num").withColumn("added", F.lit(False))
     room = enough.select("claim_id", "label", "group_id", (MOST - F.size("group")).alias("room")).filter("room > 0")
     room = room.withColumn("take", F.floor(hash_fraction("claim_id", "group_id", seed=seed) * (F.col("room") + 1)))
-    fill = room.join(selected.select("claim_id", *SENT), "claim_id").join(base.select("claim_id", "group_id", *SENT), ["claim_id", "group_id", *SENT], "left_anti")
+    fill = room.join(selected.select("claim_id", *SENT).hint("merge"), "claim_id").join(base.select("claim_id", "group_id", *SENT).hint("merge"), ["claim_id", "group_id", *SENT], "left_anti")
     fill = _ranked(fill, ["claim_id", "group_id"], seed + 1).filter("_r <= take").select("claim_id", "label", "group_id", *SENT, F.lit(True).alias("added"))
     none = claims.filter(F.col("label") == NEI).select("claim_id", "label", F.lit(0).alias("group_id"))
     if top:
         w = Window.partitionBy("claim_id").orderBy(F.desc("score"), *SENT)
-        rows = _ranked(none.join(selected.withColumn("_top", F.row_number().over(w) <= top), "claim_id"), ["claim_id", "_top"], seed + 2)
+        rows = _ranked(none.join(selected.withColumn("_top", F.row_number().over(w) <= top).hint("merge"), "claim_id"), ["claim_id", "_top"], seed + 2)
         rows = rows.filter(F.col("_top") | (F.col("_r") <= F.floor(hash_fraction("claim_id", seed=seed) * 3)))
     else:
-        rows = _ranked(none.join(selected, "claim_id"), ["claim_id"], seed + 2).filter(F.col("_r") <= 2 + F.floor(hash_fraction("claim_id", seed=seed) * 4))
+        rows = _ranked(none.join(selected.hint("merge"), "claim_id"), ["claim_id"], seed + 2).filter(F.col("_r") <= 2 + F.floor(hash_fraction("claim_id", seed=seed) * 4))
     rows = rows.select("claim_id", "label", "group_id", *SENT, F.lit(True).alias("added"))
     return base.unionByName(fill).unionByName(rows)
 
@@ -77,31 +77,31 @@ def _row_id() -> Column:
 def training_rows(claims: DataFrame, selected: DataFrame, sentences: DataFrame, seed: int = 12, top: int = 0) -> DataFrame:
     """(id, claim, evid, label): a row an evidence group."""
     groups = augment_evidence(claims, selected, seed, top)
-    texts = evidence_text(groups.join(sentences.select(*SENT, "text"), SENT), ["claim_id", "group_id"])
-    rows = texts.join(claims.select("claim_id", "claim", "label"), "claim_id")
+    texts = evidence_text(groups.join(sentences.select(*SENT, "text").hint("merge"), SENT), ["claim_id", "group_id"])
+    rows = texts.join(claims.select("claim_id", "claim", "label").hint("merge"), "claim_id")
     return rows.select(_row_id().alias("id"), "claim", "evid", "label")
 
 
 def training_rows_scored(claims: DataFrame, selected: DataFrame, sentences: DataFrame, sentence_scores: DataFrame, doc_scores: DataFrame | None = None, seed: int = 12) -> DataFrame:
     """(id, claim, label, evid: array of (text, prob[, doc_prob])); missing probabilities get the defaults."""
-    groups = augment_evidence(claims, selected, seed).join(sentences.select(*SENT, "text"), SENT)
+    groups = augment_evidence(claims, selected, seed).join(sentences.select(*SENT, "text").hint("merge"), SENT)
     keys = ["claim_id", "group_id"]
     rows = attach_scores(groups.withColumn("_t", titled_sentence(keys)), sentence_scores, doc_scores)
     probs = [F.col("sent_prob").alias("prob")] + ([F.col("doc_prob")] if doc_scores is not None else [])
     lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*SENT, F.struct(F.col("_t").alias("text"), *probs).alias("v")))).alias("_l"))
-    out = lists.select(*keys, F.transform("_l", lambda x: x["v"]).alias("evid")).join(claims.select("claim_id", "claim", "label"), "claim_id")
+    out = lists.select(*keys, F.transform("_l", lambda x: x["v"]).alias("evid")).join(claims.select("claim_id", "claim", "label").hint("merge"), "claim_id")
     return out.select(_row_id().alias("id"), "claim", "label", "evid")
 
 
 def missing_scores(groups: DataFrame, sentence_scores: DataFrame) -> DataFrame:
     """How many evidence rows have no sentence score."""
-    return groups.join(sentence_scores.select("claim_id", *SENT), ["claim_id", *SENT], "left_anti").agg(F.count("*").alias("n_missing"))
+    return groups.join(sentence_scores.select("claim_id", *SENT).hint("merge"), ["claim_id", *SENT], "left_anti").agg(F.count("*").alias("n_missing"))
 
 
 def eval_rows(claims: DataFrame, selected: DataFrame, sentences: DataFrame) -> DataFrame:
     """(claim_id, claim, evid): selected evidence as text; claims without any get the empty text."""
-    texts = evidence_text(selected.select("claim_id", *SENT).join(sentences.select(*SENT, "text"), SENT), ["claim_id"])
-    return claims.select("claim_id", "claim").join(texts, "claim_id", "left").fillna("", ["evid"])
+    texts = evidence_text(selected.select("claim_id", *SENT).join(sentences.select(*SENT, "text").hint("merge"), SENT), ["claim_id"])
+    return claims.select("claim_id", "claim").join(texts.hint("merge"), "claim_id", "left").fillna("", ["evid"])
 
 
 def adversarial_rows(claims: DataFrame, pairs: DataFrame, sentences: DataFrame, threshold: float = 0.5, n: int = 8, seed: int = 12) -> DataFrame:
@@ -154,7 +154,7 @@ def token_features(tokens: DataFrame, lexical: DataFrame, sentence_probs: DataFr
     Lexical flags (an array of 30 by claim_id and token), five numbers from the token's number bucket, and the sentence's
     probability (and the document's). ``keep`` names the parts, for ablations.
     """
-    rows = attach_scores(tokens, sentence_probs, doc_probs).join(lexical, ["claim_id", "token"], "left")
+    rows = attach_scores(tokens, sentence_probs, doc_probs).join(lexical.hint("merge"), ["claim_id", "token"], "left")
     bucket = C.number_bucket("token")
     numbers = F.array(*[F.when(bucket.isNull(), 0.0).otherwise(F.conv(F.substring(F.md5(F.concat_ws("|", bucket.cast("string"), F.lit(str(i)))), 1, 8), 16, 10).cast("double") / float(1 << 32)) for i in range(5)])
     probs = F.array("sent_prob", *(["doc_prob"] if doc_probs is not None else []))

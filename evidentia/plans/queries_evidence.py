@@ -176,7 +176,7 @@ def _doc_rows(s, d) -> DataFrame:
     x = X.read(s, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_suppkey").alias("doc_id"), "l_returnflag", "l_extendedprice", "l_discount")
     groups = x.groupBy("claim_id", "l_returnflag").agg(F.array_sort(F.collect_set(F.struct("doc_id", F.lit(0).alias("line_num")))).alias("g")).groupBy("claim_id").agg(F.collect_list("g").alias("evidence"))
     got = x.filter("l_discount >= 0.04").groupBy("claim_id", "doc_id").agg(F.max("l_extendedprice").alias("p")).groupBy("claim_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "doc_id")), False), lambda v: v["doc_id"]).alias("predicted_docids"))
-    rows = X.labels(s, d).join(groups, "claim_id").join(got, "claim_id", "left")
+    rows = X.labels(s, d).join(groups.hint("merge"), "claim_id").join(got.hint("merge"), "claim_id", "left")
     return rows.withColumn("predicted_docids", F.coalesce("predicted_docids", F.array().cast("array<long>")))
 
 
@@ -209,7 +209,7 @@ def m11_sentence_hit(s, d):
     x = X.read(s, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), "l_returnflag", C.pack_id("l_partkey", "l_linenumber").alias("sid"), "l_discount")
     gold = x.groupBy("claim_id", "l_returnflag").agg(F.collect_set("sid").alias("g")).groupBy("claim_id").agg(F.collect_list("g").alias("gold_sentids"))
     got = x.filter("l_discount >= 0.03").groupBy("claim_id").agg(F.collect_set("sid").alias("predicted_sentids"))
-    rows = X.labels(s, d).join(gold, "claim_id", "left").join(got, "claim_id", "left")
+    rows = X.labels(s, d).join(gold.hint("merge"), "claim_id", "left").join(got.hint("merge"), "claim_id", "left")
     rows = rows.withColumns({c: F.coalesce(c, F.array().cast(k)) for c, k in (("gold_sentids", "array<array<string>>"), ("predicted_sentids", "array<string>"))})
     return rows.select("claim_id", metrics.sentence_hit().alias("hit"))
 
@@ -426,7 +426,7 @@ def n15_token_features(s, d):
 @query(f"with {X.PAIRS}, {X.CLAIMS}, p as (select *, case when exists (select 1 from gold g where g.claim_id = pairs.claim_id and g.doc_id = pairs.doc_id and g.line_num = pairs.line_num and g.grp = 'R') then 'true' else 'false' end as l from pairs) select l as selection_label, count(*) as n_pairs from p group by 1")
 def t13_label_balance(s, d):
     gold = X.gold_rows(s, d).filter("grp = 'R'").select("claim_id", "doc_id", "line_num", F.lit("true").alias("selection_label")).distinct()
-    rows = X.pairs(s, d).join(gold, ["claim_id", "doc_id", "line_num"], "left").fillna("false", ["selection_label"])
+    rows = X.pairs(s, d).join(gold.hint("merge"), ["claim_id", "doc_id", "line_num"], "left").fillna("false", ["selection_label"])
     return T.label_balance(rows)
 
 
