@@ -19,6 +19,8 @@ from evidentia.functions import columns as C
 from evidentia.plans.scratch import written
 
 EXACT, STRIPPED = 5.0, 1.0
+#: Keywords, or heads, up to which they are broadcast (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_KEYWORDS = 100_000
 ARTICLES = ("The", "A", "An")
 
 
@@ -68,19 +70,19 @@ def _chosen(spans: Column) -> Column:
 
 
 class Trie(NamedTuple):
-    """``known`` (known, n_words): the distinct keywords; ``heads`` (head, lengths): a head and the numbers of words of the keywords under it."""
+    """``known`` (known, n_words): the distinct keywords; ``heads`` (head, lengths): a head and the numbers of words of the keywords under it. Each bears the hint that suits its rows."""
 
     known: DataFrame
     heads: DataFrame
 
 
 def keyword_trie(index: DataFrame, lower: bool = False) -> Trie:
-    """Both tables are written, so that joins with them split a head or keyword that is met in most claims."""
+    """Both tables are written and counted: few rows are broadcast, joins with more split a head or keyword that is met in most claims."""
     keyword = F.lower("keyword") if lower else F.col("keyword")
     words = F.split("known", " ")
     known = written(index.select(keyword.alias("known")).distinct().withColumn("n_words", F.size(words)), "keywords")
-    heads = known.groupBy(F.array_join(F.slice(words, 1, 2), " ").alias("head")).agg(F.collect_set("n_words").alias("lengths"))
-    return Trie(known, written(heads, "heads"))
+    heads = written(known.groupBy(F.array_join(F.slice(words, 1, 2), " ").alias("head")).agg(F.collect_set("n_words").alias("lengths")), "heads")
+    return Trie(*[t.hint("broadcast" if t.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS else "merge") for t in (known, heads)])
 
 
 def match_spans(claims: DataFrame, index: DataFrame, keys: list[str], longest: int | None = None, lower: bool = False, trie: Trie | None = None) -> DataFrame:
@@ -96,7 +98,7 @@ def match_spans(claims: DataFrame, index: DataFrame, keys: list[str], longest: i
     asked = places.select(*keys, "start", F.explode(F.when(F.col("start") + 1 < F.size("tokens"), F.array(plain(first), plain(two))).otherwise(F.array(plain(first)))).alias("head"))
     hits = asked.join(heads, "head").groupBy(*keys).agg(F.collect_list(F.struct("start", "lengths")).alias("hits"))
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    met = claims.select(*keys, "tokens").alias("c").join(hits.alias("h"), same)
+    met = claims.select(*keys, "tokens").alias("c").join(hits.alias("h").hint("merge"), same)
     grams = met.select(*[F.col(f"c.{k}") for k in keys], "tokens", F.inline("hits")).select(*keys, "tokens", "start", F.explode("lengths").alias("n"))
     grams = grams.filter(F.col("start") + F.col("n") <= F.size("tokens")).filter(F.col("n") <= longest if longest else F.lit(True))
     grams = grams.select(*keys, "start", (F.col("start") + F.col("n")).cast("int").alias("stop"), F.array_join(F.slice("tokens", F.col("start") + 1, F.col("n")), " ").alias("match_key"))
@@ -111,7 +113,7 @@ def link_keywords(claims: DataFrame, index: DataFrame, keys: list[str] | None =
     keys = keys or ["claim_id"]
     spans = match_spans(claims, index, keys, longest, lower, trie)
     on = (F.lower("match_key") == F.lower("keyword")) if lower else (F.col("match_key") == F.col("keyword"))
-    return spans.join(index, on).groupBy(*keys, "match_key", "start", "stop", "doc_id").agg(F.max("priority").alias("priority"))
+    return spans.join(index.hint("merge"), on).groupBy(*keys, "match_key", "start", "stop", "doc_id").agg(F.max("priority").alias("priority"))
 
 
 def _same_letter() -> Column:
@@ -126,17 +128,17 @@ def _titled(words: Column, at: int) -> Column:
     return F.transform(words, lambda w, i: F.when(i == at, F.initcap(w)).otherwise(w))
 
 
-def first_letter_filter(claims: DataFrame, index: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def first_letter_filter(claims: DataFrame, index: DataFrame, max_rounds: int | None = None, trie: Trie | None = None) -> DataFrame:
     """Links whose document starts with the key's first character, without stop-word keys.
 
     A key of more than two tokens that keeps no candidate is matched again without its first token, the next one in title
     case; fragments shrink, so the rounds are bounded by the longest keyword.
     """
-    trie = keyword_trie(index)
+    trie = trie or keyword_trie(index)
     longest = trie.known.agg(F.max("n_words")).first()[0] or 1
     work, out = claims.select("claim_id", F.lit("").alias("part"), "tokens"), None
     for _ in range(max_rounds or longest):
-        links = link_keywords(work, index, ["claim_id", "part"], trie=trie).filter(~_stop_key())
+        links = written(link_keywords(work, index, ["claim_id", "part"], trie=trie).filter(~_stop_key()), "links")
         kept = links.filter(_same_letter()).select("claim_id", "match_key", "start", "stop", "doc_id", "priority")
         out = kept if out is None else out.unionByName(kept)
         lost = links.groupBy("claim_id", "part", "match_key").agg(F.max(_same_letter().cast("int")).alias("ok")).filter("ok = 0")
@@ -194,14 +196,14 @@ def _swept_again(claims: DataFrame, known: DataFrame, failing: DataFrame) -> Dat
     words = F.split("known", " ")
     by_word = known.select("known", F.explode(F.array_distinct(words)).alias("word"))
     counts = written(by_word.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    rarest = by_word.join(counts, "word").groupBy("known").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    rarest = by_word.join(counts.hint("merge"), "word").groupBy("known").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
     marks = failing.select(F.col("match_key").alias("known"), F.lit(True).alias("fails"))
-    rated = written(rarest.join(marks, "known", "left").select("word", "known", F.coalesce("fails", F.lit(False)).alias("fails")), "rarest")
+    rated = written(rarest.join(marks.hint("merge"), "known", "left").select("word", "known", F.coalesce("fails", F.lit(False)).alias("fails")), "rarest")
     held = claims.select("claim_id", F.array_distinct("tokens").alias("own")).withColumn("word", F.explode("own"))
-    near = held.join(rated, "word").filter(F.size(F.array_except(words, "own")) == 0)
+    near = held.join(rated.hint("merge"), "word").filter(F.size(F.array_except(words, "own")) == 0)
     keys = near.groupBy("claim_id").agg(F.collect_set(F.struct("known", "fails")).alias("keys"))
     kind = claims.schema["claim_id"].dataType.simpleString()
-    return claims.select("claim_id", F.array_compact("tokens").alias("tokens")).join(keys, "claim_id").select("claim_id", "tokens", "keys").mapInArrow(_sweeps, f"claim_id {kind}, match_key string, start int, stop int")
+    return claims.select("claim_id", F.array_compact("tokens").alias("tokens")).join(keys.hint("merge"), "claim_id").select("claim_id", "tokens", "keys").mapInArrow(_sweeps, f"claim_id {kind}, match_key string, start int, stop int")
 
 
 def _restarting(claims: DataFrame, index: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -215,10 +217,10 @@ def _restarting(claims: DataFrame, index: DataFrame, keep: Callable[[DataFrame],
     by_key = rated.groupBy("match_key").agg(F.max(F.col("ok").cast("int")).alias("ok"))
     failing = written(by_key.filter((F.col("ok") == 0) & (F.size(F.split("match_key", " ")) > 2)).select("match_key"), "failing")
     spans = written(match_spans(claims, index, ["claim_id"], trie=trie), "spans")
-    again = written(spans.join(failing, "match_key", "left_semi").select("claim_id").distinct(), "restarted")
-    swept = _swept_again(claims.join(again, "claim_id", "left_semi"), trie.known, failing)
-    spans = spans.join(again, "claim_id", "left_anti").unionByName(swept)
-    links = spans.join(rated.filter("ok").drop("ok"), "match_key")
+    again = written(spans.join(failing.hint("merge"), "match_key", "left_semi").select("claim_id").distinct(), "restarted")
+    swept = _swept_again(claims.join(again.hint("merge"), "claim_id", "left_semi"), trie.known, failing)
+    spans = spans.join(again.hint("merge"), "claim_id", "left_anti").unionByName(swept)
+    links = spans.join(rated.filter("ok").drop("ok").hint("merge"), "match_key")
     return links.groupBy("claim_id", "match_key", "start", "stop", "doc_id").agg(F.max("priority").alias("priority"))
 
 
@@ -229,9 +231,9 @@ def link_keywords_multi(claims: DataFrame, index: DataFrame) -> DataFrame:
 def _with_rarity(links: DataFrame, frequencies: DataFrame, threshold: int) -> DataFrame:
     """``frequent``: all words of the key occur more often than the threshold in the corpus (word, n)."""
     keys = links.select("match_key").distinct()
-    words = keys.select("match_key", F.explode(F.split(F.lower("match_key"), " ")).alias("word")).join(frequencies, "word", "left")
+    words = keys.select("match_key", F.explode(F.split(F.lower("match_key"), " ")).alias("word")).join(frequencies.hint("merge"), "word", "left")
     flags = words.groupBy("match_key").agg(F.bool_and(F.coalesce("n", F.lit(0)) > threshold).alias("frequent"))
-    return links.join(flags, "match_key")
+    return links.join(flags.hint("merge"), "match_key")
 
 
 def link_frequency_aware(claims: DataFrame, index: DataFrame, frequencies: DataFrame, threshold: int = 5) -> DataFrame:
@@ -261,14 +263,14 @@ def without_article(claims: DataFrame, articles: tuple[str, ...] = ARTICLES) ->
     return rows.withColumn("tokens", _titled(F.slice("tokens", 2, F.size("tokens")), 0))
 
 
-def article_rule(claims: DataFrame, links: DataFrame, index: DataFrame, multi: bool = False) -> DataFrame:
+def article_rule(claims: DataFrame, links: DataFrame, index: DataFrame, multi: bool = False, trie: Trie | None = None) -> DataFrame:
     """Links joined by those of the claim without its article. The multi form knows ``One`` too and drops the article's own key."""
     articles = (*ARTICLES, "One") if multi else ARTICLES
     bare = without_article(claims, articles)
-    more = link_keywords_multi(bare, index) if multi else link_keywords(bare, index)
+    more = link_keywords_multi(bare, index) if multi else link_keywords(bare, index, trie=trie)
     if multi:
         first = claims.select("claim_id", F.get("tokens", F.lit(0)).alias("match_key")).filter(F.col("match_key").isin(*articles))
-        links = links.join(first, ["claim_id", "match_key"], "left_anti")
+        links = links.join(first.hint("merge"), ["claim_id", "match_key"], "left_anti")
     columns = ["claim_id", "match_key", "doc_id", "priority"]
     return links.select(*columns).unionByName(more.select(*columns)).distinct()
 
@@ -282,18 +284,20 @@ def singular(word: Column) -> Column:
 
 
 def unlinked(claims: DataFrame, links: DataFrame) -> DataFrame:
-    return claims.join(links.select("claim_id").distinct(), "claim_id", "left_anti")
+    return claims.join(links.select("claim_id").distinct().hint("merge"), "claim_id", "left_anti")
 
 
-def singularize_fallback(claims: DataFrame, links: DataFrame, index: DataFrame) -> DataFrame:
+def singularize_fallback(claims: DataFrame, links: DataFrame, index: DataFrame, trie: Trie | None = None) -> DataFrame:
     """Links, and for claims without any those of their singularised tokens."""
-    rest = unlinked(claims, links).withColumn("tokens", F.transform("tokens", singular))
-    return links.unionByName(link_keywords(rest, index).select(*links.columns))
+    links = written(links, "links")
+    rest = written(unlinked(claims, links).withColumn("tokens", F.transform("tokens", singular)), "unlinked")
+    return links.unionByName(link_keywords(rest, index, trie=trie).select(*links.columns))
 
 
 def lowercase_fallback(claims: DataFrame, links: DataFrame, index: DataFrame) -> DataFrame:
     """Links, and for claims without any those of their tokens without stop words, regardless of case."""
-    rest = unlinked(claims, links).withColumn("tokens", F.filter("tokens", lambda w: ~F.lower(w).isin(*C.STOP_WORDS)))
+    links = written(links, "links")
+    rest = written(unlinked(claims, links).withColumn("tokens", F.filter("tokens", lambda w: ~F.lower(w).isin(*C.STOP_WORDS))), "unlinked")
     return links.unionByName(link_keywords(rest, index, lower=True).select(*links.columns))
 
 
@@ -307,7 +311,7 @@ def literal_rewrite(claims: DataFrame, rewrites: dict[str, str], column: str = "
 def docid_rules(links: DataFrame, claims: DataFrame) -> DataFrame:
     """Per candidate: the bracket overlap score at priority 1.0, then the media bonus. Claims have tokens and lemmas (tokens where null)."""
     title = F.transform(C.title_tokens("doc_id"), lambda t: F.when(t.rlike("^-[LR][RSC]B-$"), t).otherwise(F.lower(t)))
-    rows = links.join(claims.select("claim_id", F.col("tokens").alias("_t"), F.coalesce("lemmas", "tokens").alias("_l")), "claim_id").withColumn("_d", title)
+    rows = links.join(claims.select("claim_id", F.col("tokens").alias("_t"), F.coalesce("lemmas", "tokens").alias("_l")).hint("merge"), "claim_id").withColumn("_d", title)
     score = F.when(F.col("priority") == STRIPPED, C.bracket_overlap_score("_d", "_d", "_t", "_l")).otherwise(F.col("priority"))
     return rows.withColumn("priority", F.round(score + C.media_bonus("_d"), 6)).drop("_t", "_l", "_d")
 
@@ -330,9 +334,9 @@ Rule = Callable[[DataFrame], DataFrame]
 
 
 def rule_chain(links: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Applies rules in order; a user's rule set is any list of functions of links."""
-    for rule in rules:
-        links = rule(links)
+    """Applies rules in order; a user's rule set is any list of functions of links. What a rule gives is written, since the next may read it several times: a plan holds one rule."""
+    for i, rule in enumerate(rules):
+        links = rule(links if i == 0 else written(links, "links"))
     return links
 
 
@@ -340,17 +344,20 @@ def preset(name: str, claims: DataFrame, index: DataFrame, views: DataFrame | No
     """Rule sets by name: default, lower, raw_id, word_freq, pageview, nopageview. The first rule ignores its argument and links the claims."""
     from evidentia.operators.docs import pageview_rank
 
+    index = written(index, "index")
+    trie = keyword_trie(index)
+
     def start(links: DataFrame) -> DataFrame:
-        return link_keywords(claims, index).select("claim_id", "match_key", "doc_id", "priority")
+        return link_keywords(claims, index, trie=trie).select("claim_id", "match_key", "doc_id", "priority")
 
     def raw(links: DataFrame) -> DataFrame:
-        return first_letter_filter(claims, index)
+        return first_letter_filter(claims, index, trie=trie)
 
     def frequency(links: DataFrame) -> DataFrame:
         return link_frequency_aware(claims, index, frequencies).select("claim_id", "match_key", "doc_id", "priority")
 
-    articles: Rule = lambda links: article_rule(claims, links, index)
-    singulars: Rule = lambda links: singularize_fallback(claims, links, index)
+    articles: Rule = lambda links: article_rule(claims, links, index, trie=trie)
+    singulars: Rule = lambda links: singularize_fallback(claims, links, index, trie)
     lowered: Rule = lambda links: lowercase_fallback(claims, links, index)
     titles: Rule = lambda links: docid_rules(links, claims)
     ranked: Rule = lambda links: pageview_rank(links, views)

@@ -22,7 +22,7 @@ LINK = ("claim_id", "match_key", "doc_id", "priority")
 
 @dataclass(frozen=True)
 class Hops:
-    """``selected``: scored sentences (claim_id, doc_id, line_num, score); ``link_rows``: (doc_id, line_num, target). ``links`` and ``aside`` are filled by rules."""
+    """``selected``: scored sentences (claim_id, doc_id, line_num, score); ``link_rows``: (doc_id, line_num, target). ``links`` and ``aside`` are filled by rules; ``trie`` is the index's, made by ``exact_match``."""
 
     claims: DataFrame | None = None
     index: DataFrame | None = None
@@ -33,13 +33,17 @@ class Hops:
     links: DataFrame | None = None
     targets: DataFrame | None = None
     aside: DataFrame | None = None
+    trie: K.Trie | None = None
 
 
 Rule = Callable[[Hops], Hops]
 
 
 def exact_match(h: Hops) -> Hops:
-    return replace(h, links=K.link_keywords(h.claims, h.index).select(*LINK))
+    """Also writes the index and makes its trie, which later rules use."""
+    index = written(h.index, "index")
+    h = replace(h, index=index, trie=K.keyword_trie(index))
+    return replace(h, links=K.link_keywords(h.claims, h.index, trie=h.trie).select(*LINK))
 
 
 def title_scores(h: Hops) -> Hops:
@@ -47,13 +51,13 @@ def title_scores(h: Hops) -> Hops:
 
 
 def singulars(h: Hops) -> Hops:
-    return replace(h, links=K.singularize_fallback(h.claims, h.links, h.index))
+    return replace(h, links=K.singularize_fallback(h.claims, h.links, h.index, h.trie))
 
 
 def articles(h: Hops) -> Hops:
     """Adds what the claim without its article links to, where the list hasn't that document under that key."""
-    more = K.link_keywords(K.without_article(h.claims), h.index).select(*LINK)
-    fresh = more.join(h.links.select(*LINK[:3]), list(LINK[:3]), "left_anti").select(*LINK)
+    more = K.link_keywords(K.without_article(h.claims), h.index, trie=h.trie).select(*LINK)
+    fresh = more.join(h.links.select(*LINK[:3]).hint("merge"), list(LINK[:3]), "left_anti").select(*LINK)
     return replace(h, links=h.links.select(*LINK).unionByName(fresh))
 
 
@@ -82,9 +86,13 @@ PRESETS: dict[str, list[Rule]] = {
 
 
 def run_rules(state: Hops, rules: list[Rule] | str) -> Hops:
-    """The state after a preset, by name, or any list of rules, in order."""
-    for rule in PRESETS[rules] if isinstance(rules, str) else rules:
-        state = rule(state)
+    """The state after a preset, by name, or any list of rules, in order. Lists that a rule made are written before the next rule, which may read them several times."""
+    rules = PRESETS[rules] if isinstance(rules, str) else rules
+    for i, rule in enumerate(rules):
+        made = rule(state)
+        if i + 1 < len(rules):
+            made = replace(made, **{k: written(getattr(made, k), k) for k in ("links", "targets", "aside") if getattr(made, k) is not None and getattr(made, k) is not getattr(state, k)})
+        state = made
     return state
 
 

@@ -129,7 +129,7 @@ def two_hop(steps: Steps, claims: DataFrame, index: DataFrame, views: DataFrame,
     query = claims.select("claim_id", F.col("claim").alias("query"))
 
     def scored(docs: DataFrame, hop: int) -> DataFrame:
-        pairs = T.sentence_candidates(docs, sentences).withColumn("text", T.prefix_title()).join(query, "claim_id")
+        pairs = T.sentence_candidates(docs, sentences).withColumn("text", T.prefix_title()).join(query.hint("merge"), "claim_id")
         return score_pairs(pairs, scorer).select("claim_id", "doc_id", "line_num", "score", "prob", F.lit(hop).alias("pos"))
 
     first = steps("sentences", lambda: scored(D.topk_docs(links, 10), 1), ["documents", held["claims"], held["sentences"]], models)
@@ -141,7 +141,7 @@ def two_hop(steps: Steps, claims: DataFrame, index: DataFrame, views: DataFrame,
         chosen = E.select_unique(first, claims.select("claim_id", "claim", "label", "evidence"), 0.1, 5)
         rows = chosen.select("claim_id", F.explode("predicted_evidence").alias("e")).select("claim_id", "e.doc_id", "e.line_num")
         logits = verifier(N.eval_rows(claims, rows, sentences)).select("claim_id", "logits")
-        return E.label_from_logits(chosen.join(logits, "claim_id"))
+        return E.label_from_logits(chosen.join(logits.hint("merge"), "claim_id"))
 
     verdicts = E.clear_nei_evidence(steps("verdicts", verify, ["sentences", held["claims"], held["sentences"]], models))
     verdicts = E.clear_nei_evidence(E.append_selected(verdicts, second, 0.9, 1, 5))

@@ -1,7 +1,10 @@
-"""Joins with tables that grow don't go through the driver, however small Spark guesses the tables."""
+"""Joins with tables that grow don't go through the driver, however small Spark guesses the tables, and rule chains run each rule once."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from evidentia.operators import candidates as T
+from evidentia.operators import linking as K
 from evidentia.operators import training_rows as N
 
 
@@ -27,3 +30,27 @@ def test_training_rows_join_by_shuffles(spark, evidence):
 def test_missing_gold_pairs_join_by_shuffles(spark, evidence):
     claims, selected, sentences = evidence
     assert "Broadcast" not in _plan(T.missing_gold_pairs(T.gold_sentences(claims), selected.filter("claim_id = 2"), sentences))
+
+
+def test_keywords_are_broadcast_behind_a_count(spark, monkeypatch):
+    claims = spark.createDataFrame([(1, ["New", "York", "is", "big"])], "claim_id long, tokens array<string>")
+    index = spark.createDataFrame([("New York", "New_York", 5.0), ("big", "Big", 5.0)], "keyword string, doc_id string, priority double")
+    few = K.link_keywords(claims, index)
+    monkeypatch.setattr(K, "BROADCAST_KEYWORDS", 1)
+    many = K.link_keywords(claims, index)
+    assert "BroadcastHashJoin" in _plan(few) and "BroadcastHashJoin" not in _plan(many)
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_a_rule_chain_runs_each_rule_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def count(x):
+        seen.add(1)
+        return x
+
+    first = lambda links: spark.range(10).select(count("id").alias("id"))
+    twice = lambda links: links.unionByName(links)
+    assert K.rule_chain(None, [first, twice, twice]).count() == 40
+    assert seen.value == 10
