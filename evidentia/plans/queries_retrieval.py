@@ -30,28 +30,33 @@ CORPUS = f"""{X.LINES}, counts as (select doc_id, line_num, term, count(*) as tf
 W = "ln(1 + {tf}) * greatest(0.0, ln((n - df + 0.5) / (df + 0.5)))"
 
 
+def _counts(s, d):
+    """N-gram counts of all lines, by small tasks: four for each of the session's shuffle partitions."""
+    return tfidf.ngram_counts(X.lines(s, d), ["doc_id", "line_num"], spread=4 * int(s.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query(f"with {X.LINES} select doc_id, line_num, term, count(*) as tf from {grams('lines', 'doc_id, line_num')} group by all")
 def t1_ngram_counts(s, d):
-    return tfidf.ngram_counts(X.lines(s, d), ["doc_id", "line_num"])
+    return _counts(s, d)
 
 
 @query(f"with {CORPUS} select * from dfs")
 def t2_doc_freqs(s, d):
-    return tfidf.doc_freqs(tfidf.ngram_counts(X.lines(s, d), ["doc_id", "line_num"]))
+    return tfidf.doc_freqs(_counts(s, d))
 
 
 @query(f"with {CORPUS} select doc_id, line_num, term, round({W.format(tf='tf')}, 6) as weight from counts join idf using (term)")
 def t3_tfidf_weights(s, d):
-    rows = X.lines(s, d)
-    counts = tfidf.ngram_counts(rows, ["doc_id", "line_num"])
-    return tfidf.tfidf_weights(counts, tfidf.idf_table(counts, rows)).select("doc_id", "line_num", "term", F.round("weight", 6).alias("weight"))
+    counts = _counts(s, d)
+    return tfidf.tfidf_weights(counts, tfidf.idf_table(counts, X.lines(s, d))).select("doc_id", "line_num", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"with {CORPUS} select item_id, term, round({W.format(tf='tf')}, 6) as weight from qc join idf using (term)")
 def t4_query_vector(s, d):
-    rows = X.lines(s, d)
-    idf = tfidf.idf_table(tfidf.ngram_counts(rows, ["doc_id", "line_num"]), rows)
-    return tfidf.query_vector(X.read(s, d, "benchmark"), "item_id", idf).select("item_id", "term", F.round("weight", 6).alias("weight"))
+    """Of the lines' n-grams only the passages' are counted."""
+    rows, asked = X.lines(s, d), X.read(s, d, "benchmark")
+    idf = tfidf.idf_of(asked, rows, "item_id", ["doc_id", "line_num"])
+    return tfidf.query_vector(asked, "item_id", idf).select("item_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""with {CORPUS}, sc as (select item_id, doc_id, line_num, round(sum({W.format(tf='qc.tf')} * {W.format(tf='counts.tf')}), 9) as score from qc join idf using (term) join counts using (term) group by all),
@@ -113,7 +118,7 @@ def t8_second_hop_candidates(s, d):
 @query(f"with {X.LINES} select doc_id, line_num, sha256(case when line_num = 0 or contains(lower(text), lower(source)) then text else concat(source, ' <t> ', text) end) as text from lines join (select doc_id, source from documents) using (doc_id)")
 def t9_prefix_title(s, d):
     sources = X.read(s, d, "documents").select("doc_id", "source")
-    return X.lines(s, d).join(sources, "doc_id").select("doc_id", "line_num", F.sha2(T.prefix_title("source"), 256).alias("text"))
+    return X.lines(s, d).join(sources.hint("merge"), "doc_id").select("doc_id", "line_num", F.sha2(T.prefix_title("source"), 256).alias("text"))
 
 
 def _numbered_claims(s, d):
@@ -147,7 +152,7 @@ def _pair_features(s, d):
   from pairs join cl using (claim_id) left join qw using (claim_id) left join tw using (doc_id, line_num) left join sh using (doc_id, line_num)""")
 def u2_pair_features(s, d):
     rows, claims = _pair_features(s, d)
-    named = rows.join(claims.select("claim_id", "item_id"), "claim_id")
+    named = rows.join(claims.select("claim_id", "item_id").hint("merge"), "claim_id")
     rounded = [F.round(c, 5).alias(c) for c in ("share_query", "share_text", "length", "tfidf", "weight_share")]
     return named.select(F.col("item_id").alias("claim_id"), "doc_id", "line_num", "shared", *rounded)
 
@@ -157,8 +162,8 @@ def u2_score_pairs(s, d):
     """Lines of documents of good quality that open them are labelled true; each passage's pairs are scored by a model of other passages' pairs."""
     rows, claims = _pair_features(s, d)
     gold = X.read(s, d, "labels").filter("quality = 1").select("doc_id", F.lit(0).alias("line_num"), F.lit("true").alias("_gold")).distinct()
-    labelled = rows.join(gold, ["doc_id", "line_num"], "left").withColumn("selection_label", F.coalesce("_gold", F.lit("false"))).drop("_gold")
-    scored = P.cross_fit(written(labelled, "features")).join(claims.select("claim_id", "item_id"), "claim_id")
+    labelled = rows.join(gold.hint("merge"), ["doc_id", "line_num"], "left").withColumn("selection_label", F.coalesce("_gold", F.lit("false"))).drop("_gold")
+    scored = P.cross_fit(written(labelled, "features")).join(claims.select("claim_id", "item_id").hint("merge"), "claim_id")
     return scored.select(F.col("item_id").alias("claim_id"), "doc_id", "line_num", "fold", "prob", "score")
 
 
