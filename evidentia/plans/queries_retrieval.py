@@ -59,7 +59,7 @@ def t4_query_vector(s, d):
     return tfidf.query_vector(asked, "item_id", idf).select("item_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""with {CORPUS}, sc as (select item_id, doc_id, line_num, round(sum({W.format(tf='qc.tf')} * {W.format(tf='counts.tf')}), 9) as score from qc join idf using (term) join counts using (term) group by all),
+@query(f"""with {CORPUS}, sc as (select item_id, doc_id, line_num, round(sum(({W.format(tf='qc.tf')} * {W.format(tf='counts.tf')})::decimal(38, 12))::double, 9) as score from qc join idf using (term) join counts using (term) group by all),
   r as (select *, row_number() over (partition by item_id order by score desc, doc_id, line_num)::int as rank from sc where score > 0)
   select item_id, doc_id, line_num, round(score, 5) as score, rank from r where rank <= 5""")
 def t5_closest_sentences(s, d):
