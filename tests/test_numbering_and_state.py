@@ -139,3 +139,13 @@ def test_states_end_behind_the_watermark(spark, tmp_path):
     best.writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
     assert [r for r in seen if r[0] == 1] == [(1, "a", 0, 5.0), (1, "c", 0, 2.0)]  # b is no better; c comes after the state's end
     assert list(itertools.chain(*[r[:2] for r in seen if r[0] == 2])) == [2, "x"]
+
+
+def test_numeric_documents_stay_whole_in_the_state(spark, tmp_path):
+    kind, big = "claim_id long, doc_id long, line_num int, score double", (1 << 53) + 1
+    for row in [(1, big, 2, 5.0), (1, big + 2, 1, 5.0), (1, big - 2, 1, 4.0), (1, big - 1, 3, 5.0)]:  # a tie, a lower score, a tie that wins
+        spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    best = streams.best_so_far(streams.read_stream(spark, str(tmp_path / "in"), kind, "*.parquet", 1))
+    seen = []
+    best.writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(1, big, 2, 5.0), (1, big - 1, 3, 5.0)]
