@@ -47,40 +47,51 @@ def level_split(closed: DataFrame) -> DataFrame:
 def exact_match(tokens: DataFrame, others: DataFrame) -> DataFrame:
     """Tokens (claim_id, token, lemma, stem) that equal, or share a lemma or stem with, a token of the other side; negations always match a negation."""
     forms = lambda df: df.select("claim_id", "token", F.explode(F.array_distinct(F.array(F.lower("token"), F.coalesce("lemma", F.lower("token")), F.coalesce("stem", F.lower("token")), F.when(F.lower("token").isin(*NEGATIONS), F.lit("not")).otherwise(F.lower("token"))))).alias("form"))
-    return forms(tokens).join(forms(others).select("claim_id", "form").distinct(), ["claim_id", "form"], "left_semi").select("claim_id", "token").distinct()
+    return forms(tokens).join(forms(others).select("claim_id", "form").distinct().hint("merge"), ["claim_id", "form"], "left_semi").select("claim_id", "token").distinct()
 
 
 def antonym_match(tokens: DataFrame, others: DataFrame, lex: DataFrame) -> DataFrame:
     """Tokens with an antonym on the other side."""
     ant = lex.filter("rel = 'antonym'").select(F.col("src").alias("token"), "dst")
-    return tokens.join(ant, "token").join(others.select("claim_id", F.col("token").alias("dst")).distinct(), ["claim_id", "dst"], "left_semi").select("claim_id", "token").distinct()
+    return tokens.join(ant.hint("merge"), "token").join(others.select("claim_id", F.col("token").alias("dst")).distinct().hint("merge"), ["claim_id", "dst"], "left_semi").select("claim_id", "token").distinct()
 
 
-def _directed(tokens: DataFrame, others: DataFrame, lex: DataFrame, depths: DataFrame) -> DataFrame:
-    """(claim_id, token, family): what holds for a token against the other side; of levels the nearest."""
-    t, o = tokens.select("claim_id", "token").distinct(), others.select("claim_id", F.col("token").alias("other")).distinct()
-    up = t.join(depths.withColumnsRenamed({"src": "token", "dst": "other"}), "token").join(o, ["claim_id", "other"], "left_semi")
-    down = t.join(depths.withColumnsRenamed({"dst": "token", "src": "other"}), "token").join(o, ["claim_id", "other"], "left_semi")
+def _above(lower: DataFrame, upper: DataFrame, depths: DataFrame) -> DataFrame:
+    """(claim_id, token, other, depth): tokens of one side and those of the other that lie above them.
+
+    Always found from the token upwards: a word has few words above it, but any number below it.
+    """
+    up = lower.join(depths.withColumnsRenamed({"src": "token", "dst": "other"}).hint("merge"), "token")
+    return up.join(upper.withColumnRenamed("token", "other").hint("merge"), ["claim_id", "other"], "left_semi")
 
-    def levels(rows: DataFrame, whole: str, name: str) -> DataFrame:
-        nearest = rows.groupBy("claim_id", "token").agg(F.min("depth").alias("depth"))
-        family: Column = F.when(F.col("depth") < 3, F.concat(F.lit(f"{name}_"), F.col("depth").cast("string"))).otherwise(f"{name}_3plus")
-        return nearest.select("claim_id", "token", F.explode(F.array(F.lit(whole), family)).alias("family"))
 
-    out = exact_match(tokens, others).withColumn("family", F.lit("em"))
-    out = out.unionByName(antonym_match(tokens, others, lex).withColumn("family", F.lit("ant")))
-    return out.unionByName(levels(up, "anc", "hyper")).unionByName(levels(down, "desc", "hypo"))
+def _levels(pairs: DataFrame, token: str, whole: str, name: str) -> DataFrame:
+    """(claim_id, token, family): the relation and its level, of levels the nearest."""
+    nearest = pairs.groupBy("claim_id", F.col(token).alias("token")).agg(F.min("depth").alias("depth"))
+    family: Column = F.when(F.col("depth") < 3, F.concat(F.lit(f"{name}_"), F.col("depth").cast("string"))).otherwise(f"{name}_3plus")
+    return nearest.select("claim_id", "token", F.explode(F.array(F.lit(whole), family)).alias("family"))
 
 
 def pair_features(side_1: DataFrame, side_2: DataFrame, lex: DataFrame) -> DataFrame:
-    """(claim_id, token, flags): for each token of either side, by family three flags: as a token of side 1, of side 2, of any."""
+    """(claim_id, token, flags): for each token of either side, by family three flags: as a token of side 1, of side 2, of any.
+
+    Sides, relations and found pairs are written: each is read several times.
+    """
+    sides = [written(x, "side") for x in (side_1, side_2)]
+    lex = written(lex, "lex")
     depths = closure(lex.filter("rel = 'hypernym'"))
-    one = _directed(side_1, side_2, lex, depths).withColumn("side", F.lit(1))
-    two = _directed(side_2, side_1, lex, depths).withColumn("side", F.lit(2))
-    found = one.unionByName(two)
-    tokens = side_1.select("claim_id", "token").unionByName(side_2.select("claim_id", "token")).distinct()
+    tokens = [x.select("claim_id", "token").distinct() for x in sides]
+    above = [written(_above(tokens[i], tokens[1 - i], depths), "above") for i in (0, 1)]
+    found = None
+    for i in (0, 1):
+        own = exact_match(sides[i], sides[1 - i]).withColumn("family", F.lit("em"))
+        own = own.unionByName(antonym_match(sides[i], sides[1 - i], lex).withColumn("family", F.lit("ant")))
+        own = own.unionByName(_levels(above[i], "token", "anc", "hyper")).unionByName(_levels(above[1 - i], "other", "desc", "hypo"))
+        own = own.withColumn("side", F.lit(i + 1))
+        found = own if found is None else found.unionByName(own)
+    rows = found.unionByName(tokens[0].unionByName(tokens[1]).select("claim_id", "token", F.lit(None).cast("string").alias("family"), F.lit(None).cast("int").alias("side")))
     flags = [F.max(F.coalesce(((F.col("family") == f) & c).cast("int"), F.lit(0))) for f in FAMILIES for c in (F.col("side") == 1, F.col("side") == 2, F.lit(True))]
-    return tokens.join(found, ["claim_id", "token"], "left").groupBy("claim_id", "token").agg(F.array(*flags).alias("flags"))
+    return rows.groupBy("claim_id", "token").agg(F.array(*flags).alias("flags"))
 
 
 def pos_class(tag: Column | str) -> Column:
