@@ -69,6 +69,12 @@ def from_sentences(h: Hops) -> Hops:
     return replace(h, targets=D.expand_from_sentences(h.selected, h.link_rows, encode=h.encode))
 
 
+def from_best_sentences(h: Hops) -> Hops:
+    """As from_sentences, of each claim's best sentence with links only, chosen before links are joined: a claim's other sentences have no say in the aside list."""
+    best = D.best_linked_sentences(h.selected, h.link_rows)
+    return replace(h, targets=D.expand_from_sentences(best, h.link_rows, encode=h.encode))
+
+
 def best_aside(h: Hops) -> Hops:
     return replace(h, aside=D.sentence_links_as_candidates(D.best_sentence_links(h.targets)))
 
@@ -78,10 +84,10 @@ def aside_by_views(h: Hops) -> Hops:
 
 
 PRESETS: dict[str, list[Rule]] = {
-    "spiral": [exact_match, title_scores, singulars, articles, from_sentences, best_aside, by_views, aside_by_views],
+    "spiral": [exact_match, title_scores, singulars, articles, from_best_sentences, best_aside, by_views, aside_by_views],
     "first_hop": [exact_match, title_scores, singulars, articles, by_views],
     "first_hop_no_views": [exact_match, title_scores, singulars, articles],
-    "second_hop": [from_sentences, best_aside, aside_by_views],
+    "second_hop": [from_best_sentences, best_aside, aside_by_views],
 }
 
 

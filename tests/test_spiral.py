@@ -45,3 +45,14 @@ def test_walk_ends_at_visited_documents(state):
     assert got == {(0, "C", 2), (0, "D", 2), (0, "F", 3)}
     assert rows(spiral.follow(first, choose, 1), "doc_id", "hop") == {("C", 2), ("D", 2)}
     assert spiral.follow(spiral.Hops(**{**first.__dict__, "selected": first.selected.filter("claim_id > 5")}), choose).count() == 0
+
+
+def test_only_the_best_sentences_links_are_made(spark):
+    selected = spark.createDataFrame([(1, "a", 0, 3.0), (1, "a", 0, 1.0), (1, "b", 0, 3.0), (1, "c", 0, 9.0), (2, "b", 0, -200.0)], "claim_id long, doc_id string, line_num int, score double")
+    links = spark.createDataFrame([("a", 0, "X"), ("a", 0, "Y"), ("b", 0, "Z")], "doc_id string, line_num int, target string")
+    views = spark.createDataFrame([("Y", 5)], "doc string, views long")
+    state = spiral.run_rules(spiral.Hops(selected=selected, link_rows=links, views=views), "second_hop")
+    whole = spiral.run_rules(spiral.Hops(selected=selected, link_rows=links, views=views), [spiral.from_sentences, spiral.best_aside, spiral.aside_by_views])
+    assert sorted(map(tuple, state.aside.collect())) == sorted(map(tuple, whole.aside.collect())) != []
+    assert {(r["claim_id"], r["sent_doc"]) for r in state.targets.collect()} == {(1, "a")}  # c has no links, the claim 2 no score above the least
+    assert {(r["claim_id"], r["sent_doc"]) for r in whole.targets.collect()} == {(1, "a"), (1, "b"), (2, "b")}
