@@ -70,19 +70,26 @@ def _chosen(spans: Column) -> Column:
 
 
 class Trie(NamedTuple):
-    """``known`` (known, n_words): the distinct keywords; ``heads`` (head, lengths): a head and the numbers of words of the keywords under it. Each bears the hint that suits its rows."""
+    """``known`` (known, n_words): the distinct keywords; ``heads`` (head, lengths): a head and the numbers of words of the keywords under it; ``index``: the index itself. Each bears the hint that suits its rows."""
 
     known: DataFrame
     heads: DataFrame
+    index: DataFrame
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """A written table with the hint that suits its rows: few are broadcast, so that a key which most claims hold needs no shuffle."""
+    return table.hint("broadcast" if table.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS else "merge")
 
 
 def keyword_trie(index: DataFrame, lower: bool = False) -> Trie:
-    """Both tables are written and counted: few rows are broadcast, joins with more split a head or keyword that is met in most claims."""
+    """The tables are written and counted: few rows are broadcast, joins with more split a head or keyword that is met in most claims."""
+    index = written(index.select("keyword", "doc_id", "priority"), "index")
     keyword = F.lower("keyword") if lower else F.col("keyword")
     words = F.split("known", " ")
     known = written(index.select(keyword.alias("known")).distinct().withColumn("n_words", F.size(words)), "keywords")
     heads = written(known.groupBy(F.array_join(F.slice(words, 1, 2), " ").alias("head")).agg(F.collect_set("n_words").alias("lengths")), "heads")
-    return Trie(*[t.hint("broadcast" if t.limit(BROADCAST_KEYWORDS + 1).count() <= BROADCAST_KEYWORDS else "merge") for t in (known, heads)])
+    return Trie(*map(_sized, (known, heads, index)))
 
 
 def match_spans(claims: DataFrame, index: DataFrame, keys: list[str], longest: int | None = None, lower: bool = False, trie: Trie | None = None) -> DataFrame:
@@ -90,7 +97,7 @@ def match_spans(claims: DataFrame, index: DataFrame, keys: list[str], longest: i
 
     Two rows a place are looked up among the heads; what follows grows with the heads found, not with the longest keyword.
     """
-    known, heads = trie or keyword_trie(index, lower)
+    known, heads, _ = trie or keyword_trie(index, lower)
     plain = (lambda c: F.lower(c)) if lower else (lambda c: c)
     places = claims.select(*keys, F.posexplode("tokens").alias("start", "_w"), "tokens")
     first = F.array_join(F.slice("tokens", F.col("start") + 1, 1), " ")
@@ -111,9 +118,10 @@ def match_spans(claims: DataFrame, index: DataFrame, keys: list[str], longest: i
 def link_keywords(claims: DataFrame, index: DataFrame, keys: list[str] | None = None, longest: int | None = None, lower: bool = False, trie: Trie | None = None) -> DataFrame:
     """Links of the matches' candidates; ``lower`` matches regardless of case. ``trie``: the index's, where it serves several calls."""
     keys = keys or ["claim_id"]
+    trie = trie or keyword_trie(index, lower)
     spans = match_spans(claims, index, keys, longest, lower, trie)
     on = (F.lower("match_key") == F.lower("keyword")) if lower else (F.col("match_key") == F.col("keyword"))
-    return spans.join(index.hint("merge"), on).groupBy(*keys, "match_key", "start", "stop", "doc_id").agg(F.max("priority").alias("priority"))
+    return spans.join(trie.index, on).groupBy(*keys, "match_key", "start", "stop", "doc_id").agg(F.max("priority").alias("priority"))
 
 
 def _same_letter() -> Column:
@@ -216,11 +224,12 @@ def _restarting(claims: DataFrame, index: DataFrame, keep: Callable[[DataFrame],
     rated = written(keep(index.select(F.col("keyword").alias("match_key"), "doc_id", "priority")).filter(~_stop_key()).select("match_key", "doc_id", "priority", "ok"), "rated")
     by_key = rated.groupBy("match_key").agg(F.max(F.col("ok").cast("int")).alias("ok"))
     failing = written(by_key.filter((F.col("ok") == 0) & (F.size(F.split("match_key", " ")) > 2)).select("match_key"), "failing")
+    failing = _sized(failing)
     spans = written(match_spans(claims, index, ["claim_id"], trie=trie), "spans")
-    again = written(spans.join(failing.hint("merge"), "match_key", "left_semi").select("claim_id").distinct(), "restarted")
+    again = written(spans.join(failing, "match_key", "left_semi").select("claim_id").distinct(), "restarted")
     swept = _swept_again(claims.join(again.hint("merge"), "claim_id", "left_semi"), trie.known, failing)
     spans = spans.join(again.hint("merge"), "claim_id", "left_anti").unionByName(swept)
-    links = spans.join(rated.filter("ok").drop("ok").hint("merge"), "match_key")
+    links = spans.join(_sized(rated.filter("ok").drop("ok")), "match_key")
     return links.groupBy("claim_id", "match_key", "start", "stop", "doc_id").agg(F.max("priority").alias("priority"))
 
 

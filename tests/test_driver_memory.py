@@ -54,3 +54,14 @@ def test_a_rule_chain_runs_each_rule_once(spark):
     twice = lambda links: links.unionByName(links)
     assert K.rule_chain(None, [first, twice, twice]).count() == 40
     assert seen.value == 10
+
+
+def test_a_small_index_is_broadcast_to_the_matches(spark, monkeypatch):
+    claims = spark.createDataFrame([(1, ["New", "York", "is", "big"])], "claim_id long, tokens array<string>")
+    index = spark.createDataFrame([("New York", "New_York", 5.0), ("big", "Big", 5.0)], "keyword string, doc_id string, priority double")
+    few = K.link_keywords(claims, index)
+    multi = K.link_keywords_multi(claims, index)
+    assert _plan(few).count("BroadcastHashJoin") == 3 and "hashpartitioning(match_key" not in _plan(few) + _plan(multi)
+    monkeypatch.setattr(K, "BROADCAST_KEYWORDS", 1)
+    many = K.link_keywords(claims, index)
+    assert "hashpartitioning(match_key" in _plan(many) and sorted(few.collect()) == sorted(many.collect())
