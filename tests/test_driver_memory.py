@@ -65,3 +65,10 @@ def test_a_small_index_is_broadcast_to_the_matches(spark, monkeypatch):
     monkeypatch.setattr(K, "BROADCAST_KEYWORDS", 1)
     many = K.link_keywords(claims, index)
     assert "hashpartitioning(match_key" in _plan(many) and sorted(few.collect()) == sorted(many.collect())
+
+
+def test_texts_are_split_once(spark):
+    from evidentia.plans import registry
+
+    plan = _plan(registry.queries()["c7_filter_ngram"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("split(text") == 1
