@@ -10,7 +10,7 @@ the threshold; the rest are confirmed on full shingle sets.
 
 No bucket is expanded into all pairs: each member is compared with the bucket's pivot, the member with the most
 neighbours (the original of a group of edited copies), and verified links are contracted to components. For buckets that still span several components, an exact prefix join over the members' differences from the
-pivot finds the pairs that are left.
+hub of the pivot's component, its node with the most neighbours, finds the pairs that are left.
 """
 
 from __future__ import annotations
@@ -243,7 +243,7 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def _differences(num: int, den: int):
-    """Rows (p, x, root, sp, sx) -> (p, x, root, far, n, m, items): the symmetric difference of x's set and p's, and whether they are too far apart for a link."""
+    """Rows (p, x, root, other, sp, sx) -> (p, x, root, other, far, n, m, items): the symmetric difference of x's set and p's, and whether they are too far apart for a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,42 +257,46 @@ def _differences(num: int, den: int):
                 items.append(apart.view(np.int64))
             sizes = [len(x) for x in items]
             listed = ragged(np.concatenate(items) if items else np.zeros(0, np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("x"), batch.column("root"), pa.array(far, pa.bool_()), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), listed], ["p", "x", "root", "far", "n", "m", "items"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("p", "x", "root", "other")], pa.array(far, pa.bool_()), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), listed], ["p", "x", "root", "other", "far", "n", "m", "items"])
 
     return run
 
 
-def _rest_pairs(around: DataFrame, sets: DataFrame, roots: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (a, b) of different components, around a common pivot, that may still be similar enough; no such pair is missed.
+def _rest_pairs(around: DataFrame, sets: DataFrame, roots: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components, around a common pivot, that may still be similar enough; no such pair is missed. Beside them the links (u, v) of pivots to members of other components, if the estimate has discarded any.
 
     ``around``: (p, x), the nodes x that share a bucket with its pivot p. Copies of one original differ from it in few
     shingles, and differently: so not the sets are compared but their differences X = x ^ p. With t the threshold, x and y are
-    linked only if |X ^ Y| <= (|x| + |y|) (1 - t) / (1 + t). One of the two, say x, is far from p (else both were linked to it),
-    and from these two follow |X & Y| >= t / (1 + t) |Y| and |X & Y| >= |X| - (1 - t) / t |x|. So the two differences share an
+    linked only if |X ^ Y| <= (|x| + |y|) (1 - t) / (1 + t). One of the two, say x, is of another component than p, so far from
+    it (else it were linked to p), and from these two follow |X & Y| >= t / (1 + t) |Y| and |X & Y| >= |X| - (1 - t) / t |x|. So the two differences share an
     item among the first few in any common order, the rarest first: a prefix join that meets next to none of the copies
-    which are merely near the same original.
+    which are merely near the same original. Items that only members of one component have can't tell such a pair: they come
+    first in the order, with those that no far node of another component has, and are not joined.
     """
     t = float(threshold)
-    rooted = around.join(roots.toDF("x", "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    rooted = around.join(roots.toDF("x", "root"), "x", "left").join(roots.toDF("p", "own"), "p", "left").withColumn("root", F.coalesce("root", "x"))
+    rooted = rooted.select("p", "x", "root", (F.col("root") != F.coalesce("own", "p")).alias("other"))
     rows = rooted.join(sets.toDF("x", "sx"), "x").join(sets.toDF("p", "sp"), "p")
-    kind = "p long, x long, root long, far boolean, n long, m long, items array<long>"
+    kind = "p long, x long, root long, other boolean, far boolean, n long, m long, items array<long>"
     diff = rows.mapInArrow(_differences(threshold.numerator, threshold.denominator), kind)
-    spots = written(diff.select("p", "x", "root", "far", "n", "m", F.explode("items").alias("item")), "spots")
-    often = written(spots.filter("far").groupBy("p", "item").agg(F.count("*").alias("df")), "often")
+    spots = written(diff.select("p", "x", "root", "other", "far", "n", "m", F.explode("items").alias("item")), "spots")
+    missed = spots.filter("other and not far").select(F.col("p").alias("u"), F.col("x").alias("v")).distinct()
+    often = spots.groupBy("p", "item").agg(F.count_if(F.col("far") & F.col("other")).alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    often = written(often.filter("df > 0 and r0 <> r1").select("p", "item", "df"), "often")
     met = spots.join(often, ["p", "item"])
-    # items that no far node has come first in the order and use up places of the prefix
+    # items that are not met come first in the order and use up places of the prefix
     own = Window.partitionBy("p", "x")
     ranked = met.withColumn("place", F.row_number().over(own.orderBy("df", "item")) + F.col("m") - F.count("*").over(own))
     near_end = F.col("m") - F.ceil(F.col("m") * (t / (1 + t)) - 1e-9) + 1
     far_end = F.col("m") - F.greatest(F.lit(1), F.col("m") - F.floor(F.col("n") * ((1 - t) / t) + 1e-9)) + 1
-    ranked = ranked.withColumns({"near": F.col("place") <= near_end, "far": F.col("far") & (F.col("place") <= far_end)}).filter("near or far")
+    ranked = ranked.withColumns({"near": F.col("place") <= near_end, "far": F.col("far") & F.col("other") & (F.col("place") <= far_end)}).filter("near or far")
     ranked = written(ranked.select("p", "item", "x", "n", "m", "place", "near", "far", "root"), "prefixes")
     left = ranked.filter("far").select("p", "item", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("place").alias("py"), F.col("root").alias("ry"))
     found = left.join(ranked.filter("near"), ["p", "item"]).filter("ry <> root").filter(F.least("n", "ny") * threshold.denominator >= F.greatest("n", "ny") * threshold.numerator)
     # after the first item that two differences share, enough must be left of both
     need = (F.col("m") + F.col("my") - (F.col("n") + F.col("ny")) * ((1 - t) / (1 + t))) / 2
     found = found.filter(1 + F.least(F.col("m") - F.col("place"), F.col("my") - F.col("py")) >= need - 1e-9)
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), missed
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
@@ -334,12 +338,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: float |
     # Buckets of two members have had their pair tested. Larger ones that span several components have pairs left.
     members = shared.filter("members > 2").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = written(members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"), "apart")
-    around = members.join(apart, "key").join(pivots, "key").select("p", F.col("node").alias("x")).filter("p <> x").distinct()
+    # all buckets whose pivots are of one component are compared with that component's node of the highest degree
+    placed = degree.join(roots, "node", "left").withColumn("own", F.coalesce("root", "node"))
+    hubs = written(placed.groupBy("own").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")), "hubs")
+    of = written(pivots.join(apart, "key").join(placed.select(F.col("node").alias("p"), "own"), "p").join(hubs, "own").select("key", F.col("hub").alias("p")), "of")
+    around = members.join(of, "key").select("p", F.col("node").alias("x")).filter("p <> x").distinct()
     around = written(around, "around")
     if around.limit(1).count():
         sets = _sets_of(around.select(F.explode(F.array("p", "x")).alias("node")), reps, docs, shingle_words)
-        more = _rest_pairs(around, sets, roots, threshold).join(tested, ["a", "b"], "left_anti")
-        edges = written(edges.unionByName(_links(_likely_pairs(more, reps, threshold), sets, threshold)), "links")
+        more, missed = _rest_pairs(around, sets, roots, threshold)
+        more = more.join(tested, ["a", "b"], "left_anti")
+        edges = written(edges.unionByName(_links(_likely_pairs(more, reps, threshold), sets, threshold)).unionByName(missed), "links")
         roots = written(components(edges), "roots")
 
     found = reps.select("node", "set_key", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
