@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -88,14 +95,58 @@ def count_pageviews(spark: SparkSession, path: str, prefix: str = "en") -> DataF
     return parse_pageviews(spark.read.option("recursiveFileLookup", "true").text(path), prefix)
 
 
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """``path`` as a name that ``open`` takes, None if it lies in a store that only Spark reaches."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    local = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+    return os.path.abspath(path) if local and ":" not in path.split("/")[0] else None
+
+
+def _part_files(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes lines that come part by part, a file each, and returns how many it wrote. A file gets its name once it is whole, so a repeated task puts the same file in its place."""
+
+    def write(batches):
+        part, out, n = None, None, 0
+
+        def finish() -> None:
+            out.close()
+            os.replace(out.name, f"{folder}/part={part}/rows.json")
+
+        for batch in batches:
+            numbers, lines = batch.column("part").to_numpy(), batch.column("line").to_pylist()
+            for i, j in pairwise([0, *(np.flatnonzero(np.diff(numbers)) + 1), len(lines)] if lines else []):
+                if numbers[i] != part:
+                    if out is not None:
+                        finish()
+                    part, n = numbers[i], n + 1
+                    os.makedirs(f"{folder}/part={part}", exist_ok=True)
+                    out = open(f"{folder}/part={part}/.{uuid.uuid4().hex}", "wb")
+                out.write(b"\n".join(lines[i:j]) + b"\n")
+        if out is not None:
+            finish()
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return write
+
+
 def split_by_rows(df: DataFrame, key: str, rows: int, path: str, ranges: int | None = None) -> None:
     """JSON parts of exactly ``rows`` rows (the last one: the rest) in the order of ``key``, one file each: part 12 lies in the folder ``part=12``.
 
-    A row's part follows from its exact number (operators.numbering), so it doesn't depend on how many tasks sorted the rows.
+    A row's part follows from its exact number (operators.numbering), so it doesn't depend on how many tasks sorted the rows. Parts are
+    dealt to a fixed number of tasks, as a file costs more than its few rows and sizes in bytes would join them to few tasks. In a mounted
+    folder tasks write the files themselves: there Spark's writer starts three processes a file to set permissions, which takes most of its time.
     """
+    spark = df.sparkSession
     parts = numbered(df, [key], "_number", ranges).withColumn("part", F.floor(F.col("_number") / rows))
-    dealt = parts.repartition("part").sortWithinPartitions("part", "_number").drop("_number")
-    dealt.write.partitionBy("part").option("maxRecordsPerFile", 0).mode("errorifexists").json(path)
+    dealt = parts.repartition(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "_number")
+    folder = _mounted(spark, path)
+    if folder is None:
+        dealt.drop("_number").write.partitionBy("part").option("maxRecordsPerFile", 0).mode("errorifexists").json(path)
+        return
+    os.makedirs(folder)
+    lines = dealt.select("part", F.to_json(F.struct(*df.columns)).cast("binary").alias("line"))
+    lines.mapInArrow(_part_files(folder), "n long").agg(F.sum("n")).collect()
 
 
 def read_splits(spark: SparkSession, schema: str, path: str) -> DataFrame:
