@@ -125,11 +125,21 @@ def score_table(pairs: DataFrame, key: list[str], order: str = "pos", tolerance:
     return ranked.filter("_n = 1").select(*key, "score", "prob", "query"), violations
 
 
+def _scored_within(rows: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their claim's score of the same ``keys``, null without one. The join's key is the claim alone, the others are a
+    further condition (not written as equality, which would make them keys), so that rows and scores dealt by claim stay as they lie."""
+    named = scores.withColumnsRenamed({c: f"_{c}" for c in ["claim_id", *keys]})
+    on = F.col("claim_id") == F.col("_claim_id")
+    for c in keys:
+        on = on & (F.col(c) <= F.col(f"_{c}")) & (F.col(c) >= F.col(f"_{c}"))
+    return rows.join(named.hint("merge"), on, "left").drop(*[f"_{c}" for c in ["claim_id", *keys]])
+
+
 def attach_scores(rows: DataFrame, sentence_scores: DataFrame, doc_scores: DataFrame | None = None, default: float = 0.5, doc_default: float = 0.99) -> DataFrame:
     """Rows of (claim, doc, line) with sent_prob and, if given, doc_prob; missing ones get the defaults."""
-    out = rows.join(sentence_scores.select("claim_id", *SENT, F.col("prob").alias("sent_prob")).hint("merge"), ["claim_id", *SENT], "left").fillna(default, ["sent_prob"])
+    out = _scored_within(rows, sentence_scores.select("claim_id", *SENT, F.col("prob").alias("sent_prob")), SENT).fillna(default, ["sent_prob"])
     if doc_scores is not None:
-        out = out.join(doc_scores.select("claim_id", "doc_id", F.col("prob").alias("doc_prob")).hint("merge"), ["claim_id", "doc_id"], "left").fillna(doc_default, ["doc_prob"])
+        out = _scored_within(out, doc_scores.select("claim_id", "doc_id", F.col("prob").alias("doc_prob")), ["doc_id"]).fillna(doc_default, ["doc_prob"])
     return out
 
 

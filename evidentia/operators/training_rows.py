@@ -13,14 +13,14 @@ SENT = ["doc_id", "line_num"]
 MOST = 5
 
 
-def _ranked(selected: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """Selected sentences of each key in a seeded order (``_r`` from 1)."""
-    order = [hash_fraction(*keys, *SENT, seed=seed), *[F.col(c) for c in SENT]]
-    return selected.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def _seeded(rows: Column, take: Column, *keys: Column | str, seed: int) -> Column:
+    """The first ``take`` sentences of an array in a seeded order of the keys and the sentence."""
+    order = F.sort_array(F.transform(rows, lambda x: F.struct(hash_fraction(*keys, x["doc_id"], x["line_num"], seed=seed).alias("_h"), x["doc_id"].alias("doc_id"), x["line_num"].alias("line_num"))))
+    return F.slice(order, F.lit(1), take.cast("int"))
 
 
-def _groups(claims: DataFrame) -> DataFrame:
-    return claims.select("claim_id", "label", F.posexplode("evidence").alias("group_id", "group"))
+def _sentences(rows: Column, added: bool) -> Column:
+    return F.transform(rows, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["line_num"].alias("line_num"), F.lit(added).alias("added")))
 
 
 def augment_evidence(claims: DataFrame, selected: DataFrame, seed: int = 12, top: int = 0) -> DataFrame:
@@ -28,23 +28,31 @@ def augment_evidence(claims: DataFrame, selected: DataFrame, seed: int = 12, top
 
     Claims with enough information: each gold group of n < 5 sentences plus a random 0..5-n of the claim's selected ones.
     Others: one group of 2 to 5 random selected ones, or, with ``top``, the top by score plus 0 to 2 random ones. ``added``
-    marks what isn't gold. Random means a seeded hash of the row's key.
+    marks what isn't gold. Random means a seeded hash of the row's key. A claim's selected sentences travel as one list, as
+    its groups do, so that claims and selection are joined once, by claim.
     """
-    enough = _groups(claims.filter(F.col("label") != NEI))
-    base = enough.select("claim_id", "label", "group_id", F.explode("group").alias("e")).select("claim_id", "label", "group_id", "e.doc_id", "e.line_num").withColumn("added", F.lit(False))
-    room = enough.select("claim_id", "label", "group_id", (MOST - F.size("group")).alias("room")).filter("room > 0")
-    room = room.withColumn("take", F.floor(hash_fraction("claim_id", "group_id", seed=seed) * (F.col("room") + 1)))
-    fill = room.join(selected.select("claim_id", *SENT).hint("merge"), "claim_id").join(base.select("claim_id", "group_id", *SENT).hint("merge"), ["claim_id", "group_id", *SENT], "left_anti")
-    fill = _ranked(fill, ["claim_id", "group_id"], seed + 1).filter("_r <= take").select("claim_id", "label", "group_id", *SENT, F.lit(True).alias("added"))
-    none = claims.filter(F.col("label") == NEI).select("claim_id", "label", F.lit(0).alias("group_id"))
+    rows = selected.select("claim_id", *SENT)
     if top:
         w = Window.partitionBy("claim_id").orderBy(F.desc("score"), *SENT)
-        rows = _ranked(none.join(selected.withColumn("_top", F.row_number().over(w) <= top).hint("merge"), "claim_id"), ["claim_id", "_top"], seed + 2)
-        rows = rows.filter(F.col("_top") | (F.col("_r") <= F.floor(hash_fraction("claim_id", seed=seed) * 3)))
+        rows = selected.select("claim_id", *SENT, (F.row_number().over(w) <= top).alias("_top"))
+    lists = rows.groupBy("claim_id").agg(F.collect_list(F.struct(*rows.columns[1:])).alias("_s"))
+    both = claims.select("claim_id", "label", "evidence").join(lists.hint("merge"), "claim_id", "left")
+    chosen = F.coalesce("_s", F.array().cast(dict(lists.dtypes)["_s"]))
+    enough, none = F.col("label") != NEI, F.col("label") == NEI
+
+    def filled(group: Column, i: Column) -> Column:
+        gold = lambda x: F.coalesce(F.exists(group, lambda e: (e["doc_id"] == x["doc_id"]) & (e["line_num"] == x["line_num"])), F.lit(False))
+        room = F.greatest(MOST - F.size(group), F.lit(0))
+        fill = _seeded(F.filter(chosen, lambda x: ~gold(x)), F.floor(hash_fraction("claim_id", i, seed=seed) * (room + 1)), "claim_id", i, seed=seed + 1)
+        return F.struct(i.alias("group_id"), F.concat(_sentences(group, False), _sentences(fill, True)).alias("rows"))
+
+    if top:
+        rest = _seeded(F.filter(chosen, lambda x: ~x["_top"]), F.floor(hash_fraction("claim_id", seed=seed) * 3), "claim_id", F.lit(False), seed=seed + 2)
+        picked = F.concat(_sentences(F.filter(chosen, lambda x: x["_top"]), True), _sentences(rest, True))
     else:
-        rows = _ranked(none.join(selected.hint("merge"), "claim_id"), ["claim_id"], seed + 2).filter(F.col("_r") <= 2 + F.floor(hash_fraction("claim_id", seed=seed) * 4))
-    rows = rows.select("claim_id", "label", "group_id", *SENT, F.lit(True).alias("added"))
-    return base.unionByName(fill).unionByName(rows)
+        picked = _sentences(_seeded(chosen, 2 + F.floor(hash_fraction("claim_id", seed=seed) * 4), "claim_id", seed=seed + 2), True)
+    groups = F.when(enough, F.transform("evidence", filled)).when(none, F.array(F.struct(F.lit(0).alias("group_id"), picked.alias("rows"))))
+    return both.select("claim_id", "label", F.explode(groups).alias("_g")).select("claim_id", "label", "_g.group_id", F.inline("_g.rows"))
 
 
 def augment_evidence_v11(claims: DataFrame, selected: DataFrame, seed: int = 12) -> DataFrame:
@@ -61,7 +69,7 @@ def titled_sentence(keys: list[str], mark: str = " <t> ") -> Column:
 
 def evidence_text_list(rows: DataFrame, keys: list[str], mark: str = " <t> ") -> DataFrame:
     """(keys, texts): a text a sentence in the order of (doc, line); rows have text."""
-    texts = rows.withColumn("_t", titled_sentence(keys, mark)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*SENT, "_t"))).alias("_l"))
+    texts = rows.withColumn("_t", titled_sentence(keys, mark)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*SENT, "_t"))).alias("_l"))
     return texts.select(*keys, F.transform("_l", lambda x: x["_t"]).alias("texts"))
 
 
@@ -74,21 +82,26 @@ def _row_id() -> Column:
     return F.concat_ws("#", "claim_id", F.row_number().over(Window.partitionBy("claim_id").orderBy("group_id")) - 1)
 
 
+def _with_text(rows: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Evidence rows with their texts, dealt by claim: what follows groups and joins within claims and needs no further shuffle of texts."""
+    return rows.join(sentences.select(*SENT, "text").hint("merge"), SENT).repartition("claim_id")
+
+
 def training_rows(claims: DataFrame, selected: DataFrame, sentences: DataFrame, seed: int = 12, top: int = 0) -> DataFrame:
     """(id, claim, evid, label): a row an evidence group."""
     groups = augment_evidence(claims, selected, seed, top)
-    texts = evidence_text(groups.join(sentences.select(*SENT, "text").hint("merge"), SENT), ["claim_id", "group_id"])
+    texts = evidence_text(_with_text(groups, sentences), ["claim_id", "group_id"])
     rows = texts.join(claims.select("claim_id", "claim", "label").hint("merge"), "claim_id")
     return rows.select(_row_id().alias("id"), "claim", "evid", "label")
 
 
 def training_rows_scored(claims: DataFrame, selected: DataFrame, sentences: DataFrame, sentence_scores: DataFrame, doc_scores: DataFrame | None = None, seed: int = 12) -> DataFrame:
     """(id, claim, label, evid: array of (text, prob[, doc_prob])); missing probabilities get the defaults."""
-    groups = augment_evidence(claims, selected, seed).join(sentences.select(*SENT, "text").hint("merge"), SENT)
+    groups = _with_text(augment_evidence(claims, selected, seed), sentences)
     keys = ["claim_id", "group_id"]
     rows = attach_scores(groups.withColumn("_t", titled_sentence(keys)), sentence_scores, doc_scores)
     probs = [F.col("sent_prob").alias("prob")] + ([F.col("doc_prob")] if doc_scores is not None else [])
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*SENT, F.struct(F.col("_t").alias("text"), *probs).alias("v")))).alias("_l"))
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*SENT, F.struct(F.col("_t").alias("text"), *probs).alias("v")))).alias("_l"))
     out = lists.select(*keys, F.transform("_l", lambda x: x["v"]).alias("evid")).join(claims.select("claim_id", "claim", "label").hint("merge"), "claim_id")
     return out.select(_row_id().alias("id"), "claim", "label", "evid")
 
@@ -100,7 +113,7 @@ def missing_scores(groups: DataFrame, sentence_scores: DataFrame) -> DataFrame:
 
 def eval_rows(claims: DataFrame, selected: DataFrame, sentences: DataFrame) -> DataFrame:
     """(claim_id, claim, evid): selected evidence as text; claims without any get the empty text."""
-    texts = evidence_text(selected.select("claim_id", *SENT).join(sentences.select(*SENT, "text").hint("merge"), SENT), ["claim_id"])
+    texts = evidence_text(_with_text(selected.select("claim_id", *SENT), sentences), ["claim_id"])
     return claims.select("claim_id", "claim").join(texts.hint("merge"), "claim_id", "left").fillna("", ["evid"])
 
 

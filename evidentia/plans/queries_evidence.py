@@ -295,7 +295,7 @@ AUG = f"""{X.PAIRS}, {X.CLAIMS}, groups as (select claim_id, label, grp, dense_r
 
 
 def _best(s, d) -> DataFrame:
-    return E.best_rows(E.first_rows(X.pairs(s, d), "pos"), 0.5, 5)
+    return E.best_rows(E.first_rows(X.pairs(s, d, dealt=True), "pos"), 0.5, 5)
 
 
 @query(f"with {AUG} select claim_id, label, group_id::int as group_id, doc_id, line_num, added from aug")
@@ -351,14 +351,14 @@ def n4_training_rows(s, d):
 
 @query(f"with {TEXTS}, few as (select * from uniq where line_num % 2 = 0) select id, label, count(*) as n, round(sum(coalesce(s.prob, 0.5)), 6) as total from ided i join aug a using (claim_id, group_id, label) left join few s on s.claim_id = a.claim_id and s.doc_id = a.doc_id and s.line_num = a.line_num group by all")
 def n6_training_rows_scored(s, d):
-    scores = E.first_rows(X.pairs(s, d), "pos").filter("line_num % 2 = 0")
+    scores = E.first_rows(X.pairs(s, d, dealt=True), "pos").filter("line_num % 2 = 0")
     got = N.training_rows_scored(_order_claims(s, d), _best(s, d), _part_sentences(s, d), scores)
     return got.select("id", "label", F.size("evid").cast("long").alias("n"), F.round(F.aggregate("evid", F.lit(0.0), lambda a, e: a + e["prob"]), 6).alias("total"))
 
 
 @query(f"with {TEXTS}, few as (select * from uniq where line_num % 2 = 0), dd as (select claim_id, doc_id, max(prob) as prob from few group by all) select id, label, round(sum(coalesce(dd.prob, 0.99)), 6) as total from ided i join aug a using (claim_id, group_id, label) left join dd on dd.claim_id = a.claim_id and dd.doc_id = a.doc_id group by all")
 def n7_training_rows_doc_scored(s, d):
-    scores = E.first_rows(X.pairs(s, d), "pos").filter("line_num % 2 = 0")
+    scores = E.first_rows(X.pairs(s, d, dealt=True), "pos").filter("line_num % 2 = 0")
     got = N.training_rows_scored(_order_claims(s, d), _best(s, d), _part_sentences(s, d), scores, scores.groupBy("claim_id", "doc_id").agg(F.max("prob").alias("prob")))
     return got.select("id", "label", F.round(F.aggregate("evid", F.lit(0.0), lambda a, e: a + e["doc_prob"]), 6).alias("total"))
 
@@ -374,7 +374,7 @@ def n8_eval_rows(s, d):
 
 @query(f"with {TEXTS} select count(*) as n, count(distinct id) as n_ids, sum(length(evid))::bigint as chars from ided")
 def n9_adversarial_rows(s, d):
-    got = N.adversarial_rows(_order_claims(s, d), E.first_rows(X.pairs(s, d), "pos"), _part_sentences(s, d), 0.5, 5)
+    got = N.adversarial_rows(_order_claims(s, d), E.first_rows(X.pairs(s, d, dealt=True), "pos"), _part_sentences(s, d), 0.5, 5)
     return got.agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.sum(F.length("evid")).alias("chars"))
 
 
@@ -443,7 +443,7 @@ def t11_downsample_negatives(s, d):
 @query(f"""with {X.PAIRS}, p as (select *, line_num % 2 = 0 as t, {X.hash_sql('claim_id', 'doc_id', 'line_num')} as h from uniq), m as (select least(count(*) filter (t), count(*) filter (not t)) as m from p)
   select claim_id, doc_id, line_num, t::varchar as selection_label from (select *, row_number() over (partition by t order by h, claim_id, doc_id, line_num) as r from p), m where r <= m""")
 def t15_balance_pairs(s, d):
-    rows = E.first_rows(X.pairs(s, d), "pos").withColumn("selection_label", F.when(F.col("line_num") % 2 == 0, "true").otherwise("false"))
+    rows = E.first_rows(X.pairs(s, d, dealt=True), "pos").withColumn("selection_label", F.when(F.col("line_num") % 2 == 0, "true").otherwise("false"))
     return T.balance_pairs(rows).select("claim_id", "doc_id", "line_num", "selection_label")
 
 
