@@ -30,9 +30,14 @@ CORPUS = f"""{X.LINES}, counts as (select doc_id, line_num, term, count(*) as tf
 W = "ln(1 + {tf}) * greatest(0.0, ln((n - df + 0.5) / (df + 0.5)))"
 
 
+def _spread(s):
+    """Small tasks: four for each of the session's shuffle partitions."""
+    return 4 * int(s.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _counts(s, d):
-    """N-gram counts of all lines, by small tasks: four for each of the session's shuffle partitions."""
-    return tfidf.ngram_counts(X.lines(s, d), ["doc_id", "line_num"], spread=4 * int(s.conf.get("spark.sql.shuffle.partitions")))
+    """N-gram counts of all lines."""
+    return tfidf.ngram_counts(X.lines(s, d), ["doc_id", "line_num"], spread=_spread(s))
 
 
 @query(f"with {X.LINES} select doc_id, line_num, term, count(*) as tf from {grams('lines', 'doc_id, line_num')} group by all")
@@ -47,8 +52,7 @@ def t2_doc_freqs(s, d):
 
 @query(f"with {CORPUS} select doc_id, line_num, term, round({W.format(tf='tf')}, 6) as weight from counts join idf using (term)")
 def t3_tfidf_weights(s, d):
-    counts = _counts(s, d)
-    return tfidf.tfidf_weights(counts, tfidf.idf_table(counts, X.lines(s, d))).select("doc_id", "line_num", "term", F.round("weight", 6).alias("weight"))
+    return tfidf.corpus_weights(X.lines(s, d), ["doc_id", "line_num"], spread=_spread(s)).select("doc_id", "line_num", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"with {CORPUS} select item_id, term, round({W.format(tf='tf')}, 6) as weight from qc join idf using (term)")
